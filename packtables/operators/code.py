@@ -62,6 +62,9 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out[c] = None
         for c in ("start_line", "end_line", "col", "line"):
             out[c] = out[c].astype("Int32")
+        for c in ("name", "kind", "body", "signature", "source", "error"):
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        out["names"] = out["names"].map(lambda v: v if isinstance(v, list) else None)
         yield out[["repo_id", "path", "tag"] + _FIELDS + ["error"]]
 
 

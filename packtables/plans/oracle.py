@@ -144,3 +144,133 @@ ORACLE = {
 }
 
 __all__ = ["ORACLE", "with_views", "q", "tokens_sql", "signals_sql", "cdata_sql", "escape_sql"]
+
+
+# ---------------------------------------------------------------------------
+# Index tables, stated from the FX-files key arithmetic (no parsing).
+
+SYMBOLS_BY_CONSTRUCTION = """
+select path, 'Cls' || file_id as name, 'class' as kind,
+       case when ext = '.go' then 8 else 4 end as start_line, case when ext = '.go' then 8 else 6 end as end_line,
+       '' as signature, '' as body
+from fx_files
+union all
+select path, 'Cls' || file_id || case when ext = '.go' then '.Run' else '.run' end, 'method',
+       case when ext = '.go' then 10 else 5 end, case ext when '.go' then 10 when '.py' then 6 else 5 end,
+       case ext when '.py' then 'def run(self):'
+                when '.go' then 'func (c *Cls' || file_id || ') Run() int { return fn_' || a || '(c) }'
+                else 'run() { return fn_' || a || '(this); }' end,
+       case ext when '.py' then 'def run(self):' || chr(10) || '        return fn_' || a || '(self)'
+                when '.go' then 'func (c *Cls' || file_id || ') Run() int { return fn_' || a || '(c) }'
+                else 'run() { return fn_' || a || '(this); }' end
+from fx_files
+union all
+select path, 'fn_' || file_id, 'function',
+       case when ext = '.go' then 12 else 8 end, case ext when '.py' then 9 when '.go' then 12 else 10 end,
+       case ext when '.py' then 'def fn_' || file_id || '(x):'
+                when '.go' then 'func fn_' || file_id || '(x int) int { return fn_' || b || '(x) }'
+                else 'function fn_' || file_id || '(x) {' end,
+       case ext when '.py' then 'def fn_' || file_id || '(x):' || chr(10) || '    return fn_' || b || '(x)'
+                when '.go' then 'func fn_' || file_id || '(x int) int { return fn_' || b || '(x) }'
+                else 'function fn_' || file_id || '(x) {' || chr(10) || '  return m.fn_' || b || '(x);'
+                     || chr(10) || '}' end
+from fx_files
+"""
+
+CODE_SYMBOLS = with_views(f"""
+with s as ({SYMBOLS_BY_CONSTRUCTION})
+select path, name, kind, start_line, end_line, signature, md5(body) as body_md5 from s
+""", ("fx_files",))
+
+CODE_IMPORTS = with_views("""
+select path, case ext when '.py' then 'pkg' || a % 20 || '.mod_' || a when '.go' then 'pkg' || a % 20 || '/mod_' || a
+                      else '../pkg' || a % 20 || '/mod_' || a end as source,
+       case when ext = '.go' then '' else 'fn_' || a end as names,
+       case when ext = '.go' then 4 else 1 end as line
+from fx_files
+union all
+select path, case ext when '.py' then 'pkg' || b % 20 || '.mod_' || b when '.go' then 'pkg' || b % 20 || '/mod_' || b
+                      else '../pkg' || b % 20 || '/mod_' || b end,
+       '', case when ext = '.go' then 5 else 2 end
+from fx_files
+""", ("fx_files",))
+
+CODE_CALLS = with_views("""
+select path, 'fn_' || a as symbol_name, case ext when '.py' then 6 when '.go' then 10 else 5 end as line from fx_files
+union all
+select path, case when ext in ('.py', '.go') then 'fn_' || b else 'm.fn_' || b end,
+       case ext when '.py' then 9 when '.go' then 12 else 9 end
+from fx_files
+""", ("fx_files",))
+
+PATH_KEYS = with_views(r"""
+with k as (
+  select path, regexp_replace(path, '\.[^./]+$', '') as no_ext from fx_files)
+select key, max(path) as path
+from (select path, unnest([no_ext, path, regexp_extract(no_ext, '([^/]*)$', 1), replace(no_ext, '/', '.')]) as key
+      from k)
+group by key
+""", ("fx_files",))
+
+EDGES_BY_CONSTRUCTION = """
+select distinct f.path as src, g.path as dst
+from fx_files f join fx_files g on g.file_id = f.a or g.file_id = f.b
+where g.file_id <> f.file_id
+"""
+
+DEP_EDGES = with_views(f"select src, dst from ({EDGES_BY_CONSTRUCTION})", ("fx_files",))
+
+DEPENDENTS = with_views(f"""
+with e as ({EDGES_BY_CONSTRUCTION}),
+h1 as (select dst as seed, src as dependent from e),
+h2 as (select h1.seed, e.src as dependent from h1 join e on e.dst = h1.dependent),
+u as (select seed, dependent, 1 as hops from h1 where dependent <> seed
+      union all select seed, dependent, 2 from h2 where dependent <> seed)
+select seed, dependent, min(hops) as hops from u group by seed, dependent
+""", ("fx_files",))
+
+DEPENDENCIES = with_views(f"select src as path, dst as dependency from ({EDGES_BY_CONSTRUCTION})", ("fx_files",))
+
+INDEX_STATS = with_views(f"""
+select 'fx' as repo_id, count(*) as file_count, 3 * count(*) as symbol_count, 2 * count(*) as chunk_count,
+       count(*) as n_nodes, (select count(*) from ({EDGES_BY_CONSTRUCTION})) as n_edges
+from fx_files
+""", ("fx_files",))
+
+CHUNKS_PER_FILE = with_views("""
+select path, 2 as n_chunks, 2 * (select count(*) from fx_files) as total_chunks,
+       (select count(*) from fx_files) as total_files
+from fx_files
+""", ("fx_files",))
+
+DEFINITIONS_BY_NAME = with_views(f"""
+with s as ({SYMBOLS_BY_CONSTRUCTION})
+select name, count(*) as n_definitions, min(path) as first_path, min(start_line) as first_line from s group by name
+""", ("fx_files",))
+
+_EXCLUDE_RX = r"node_modules|\.git|dist|__pycache__|.*\.min\.js|\.next|build"
+PATH_FILTERS = with_views(rf"""
+with p as (
+  select path, regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.*[^.](\.[^.]*)$', 1) as suffix from fx_paths)
+select path,
+  (len(list_filter(string_split(path, '/'), lambda c: regexp_full_match(c, '{_EXCLUDE_RX}'))) > 0
+   or regexp_full_match(path, '{_EXCLUDE_RX}'))::int as excluded,
+  (suffix not in ('.log', '.tmp', '.cache') and suffix in ('.ts', '.tsx', '.js', '.jsx', '.py', '.go')
+   and not list_has_any(string_split(path, '/'),
+       ['.next', 'node_modules', '.git', 'dist', 'build', '__pycache__', '.vscode', 'coverage']))::int as watched
+from p
+""", ("fx_paths",))
+
+ORACLE.update({
+    "code_symbols": CODE_SYMBOLS,
+    "code_imports": CODE_IMPORTS,
+    "code_calls": CODE_CALLS,
+    "path_keys": PATH_KEYS,
+    "dep_edges": DEP_EDGES,
+    "dependents": DEPENDENTS,
+    "dependencies": DEPENDENCIES,
+    "index_stats": INDEX_STATS,
+    "chunks_per_file": CHUNKS_PER_FILE,
+    "definitions_by_name": DEFINITIONS_BY_NAME,
+    "path_filters": PATH_FILTERS,
+})

@@ -74,3 +74,104 @@ QUERIES = {
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per conversation: signals (the full pack plan replaces this once built)."""
     return q_signals(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# Index tables over FX-files
+
+_FIXTURES: dict = {}
+
+
+def fixture(spark: SparkSession, sf: str):
+    """One derived-input bundle and one index per (session, folder) in this process."""
+    from packtables.plans.index import build_index
+    from packtables.sources.fixtures import Fixture
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FIXTURES:
+        fx = Fixture(spark, sf)
+        fx.index = build_index(fx.files, OPTS)
+        _FIXTURES[key] = fx
+    return _FIXTURES[key]
+
+
+def q_code_symbols(spark, sf):
+    s = fixture(spark, sf).index.symbols
+    return s.select("path", "name", "kind", "start_line", "end_line", "signature", F.md5("body").alias("body_md5"))
+
+
+def q_code_imports(spark, sf):
+    i = fixture(spark, sf).index.imports
+    return i.select("path", "source", F.array_join("names", " ").alias("names"), "line")
+
+
+def q_code_calls(spark, sf):
+    return fixture(spark, sf).index.calls.select("path", "symbol_name", "line")
+
+
+def q_path_keys(spark, sf):
+    return fixture(spark, sf).index.keys.select("key", "path")
+
+
+def q_dep_edges(spark, sf):
+    return fixture(spark, sf).index.edges.select("src", "dst")
+
+
+def q_dependents(spark, sf):
+    from packtables.operators.graph import dependents
+
+    idx = fixture(spark, sf).index
+    d = dependents(idx.files.select("repo_id", "path"), idx.edges, max_hops=OPTS.blast_hops)
+    return d.select("seed", "dependent", "hops")
+
+
+def q_dependencies(spark, sf):
+    from packtables.operators.graph import dependencies
+
+    idx = fixture(spark, sf).index
+    return dependencies(idx.files.select("repo_id", "path"), idx.edges).select("path", "dependency")
+
+
+def q_index_stats(spark, sf):
+    from packtables.operators.graph import graph_size
+    from packtables.plans.index import index_status
+
+    idx = fixture(spark, sf).index
+    return index_status(idx).join(graph_size(idx.files, idx.edges), "repo_id")
+
+
+def q_chunks_per_file(spark, sf):
+    from packtables.plans.index import chunks_per_file
+
+    return chunks_per_file(fixture(spark, sf).index.chunks).select("path", "n_chunks", "total_chunks", "total_files")
+
+
+def q_definitions_by_name(spark, sf):
+    from packtables.operators.code import definitions_by_name
+
+    return definitions_by_name(fixture(spark, sf).index.symbols).select(
+        "name", "n_definitions", "first_path", "first_line")
+
+
+def q_path_filters(spark, sf):
+    from packtables.sources.files import excluded, watched
+    from packtables.sources.fixtures import paths_from_parts
+
+    p = paths_from_parts(read_table(spark, sf, "part"))
+    return p.select("path", excluded("path", OPTS.exclude).cast("int").alias("excluded"),
+                    watched("path").cast("int").alias("watched"))
+
+
+QUERIES.update({
+    "code_symbols": q_code_symbols,
+    "code_imports": q_code_imports,
+    "code_calls": q_code_calls,
+    "path_keys": q_path_keys,
+    "dep_edges": q_dep_edges,
+    "dependents": q_dependents,
+    "dependencies": q_dependencies,
+    "index_stats": q_index_stats,
+    "chunks_per_file": q_chunks_per_file,
+    "definitions_by_name": q_definitions_by_name,
+    "path_filters": q_path_filters,
+})
