@@ -60,8 +60,8 @@ def short_message(message, width: int = 80) -> Column:
 def relative_age(committed_at, as_of) -> Column:
     """P14: 'N days ago' from one day on; 'N hours ago' above 3600 s; else
     'N minutes ago'. Commits in the future count as 0 minutes (fixes Q19)."""
-    secs = F.greatest(F.floor(F.unix_micros(_col(as_of)) / 1_000_000 - F.unix_micros(_col(committed_at)) / 1_000_000),
-                      F.lit(0)).cast("long")
+    micros = F.unix_micros(_col(as_of).cast("timestamp")) - F.unix_micros(_col(committed_at).cast("timestamp"))
+    secs = F.greatest(F.floor(micros / 1_000_000), F.lit(0)).cast("long")
     days = F.floor(secs / 86400).cast("long")
     rem = secs - days * 86400
     return (F.when(days > 0, F.concat(days.cast("string"), F.lit(" days ago")))

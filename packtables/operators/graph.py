@@ -90,9 +90,14 @@ def resolve_imports(imports: DataFrame, files: DataFrame, keys: DataFrame | None
 
 
 def build_edges(imports: DataFrame, files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """G1: distinct ``(repo_id, src, dst)``; A imports B gives A -> B."""
+    """G1: distinct ``(repo_id, src, dst, line, col)``; A imports B gives A -> B.
+
+    ``line``/``col`` is the first import that made the edge (successor order).
+    """
     r = resolve_imports(imports, files, keys)
-    return r.select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
+    first = F.min(F.struct("line", "col"))
+    return (r.groupBy("repo_id", F.col("path").alias("src"), F.col("target").alias("dst")).agg(first.alias("_f"))
+            .select("repo_id", "src", "dst", F.col("_f.line").alias("line"), F.col("_f.col").alias("col")))
 
 
 def dependencies(seeds: DataFrame, edges: DataFrame, seed_col: str = "path") -> DataFrame:

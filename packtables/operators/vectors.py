@@ -55,24 +55,26 @@ def _local_topk(k: int, exclude_self: bool):
 
 
 def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bool = False,
-              query_block_rows: int = 4096, chunk_block_rows: int = 65536) -> DataFrame:
+              query_block_rows: int = 4096, chunk_block_rows: int = 65536, group: str | None = None) -> DataFrame:
     """Exact top-k per query by Euclidean distance, ties broken by chunk_id.
 
     ``queries(query_id long, vec array<float|double>)``,
-    ``chunks(chunk_id long, vec array<float|double>)``.
+    ``chunks(chunk_id long, vec array<float|double>)``; with ``group`` (e.g.
+    ``repo_id``) on both sides a query only meets chunks of its own group.
     Returns ``(query_id, chunk_id, distance, rank)``.
     """
     nq = queries.count()
     nc = chunks.count()
     bq = max(1, math.ceil(nq / query_block_rows))
     bc = max(1, math.ceil(nc / chunk_block_rows))
-    q = (queries.select(F.col("query_id").cast("long"), F.col("vec"))
+    g = [group] if group else []
+    q = (queries.select(*g, F.col("query_id").cast("long"), F.col("vec"))
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(bq)))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<long>"))))
-    c = (chunks.select(F.col("chunk_id").cast("long"), F.col("vec"))
+    c = (chunks.select(*g, F.col("chunk_id").cast("long"), F.col("vec"))
          .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(bc)))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
-    local = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
+    local = (q.groupBy(*g, "qb", "cb").cogroup(c.groupBy(*g, "qb", "cb"))
              .applyInPandas(_local_topk(k, exclude_self), schema=_PAIR_SCHEMA))
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return (local.withColumn("rank", F.row_number().over(w))
@@ -81,13 +83,13 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bo
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 8, threshold: float = 0.40, *,
            exclude_self: bool = False, query_block_rows: int = 4096,
-           chunk_block_rows: int = 65536) -> DataFrame:
+           chunk_block_rows: int = 65536, group: str | None = None) -> DataFrame:
     """Top ``k`` first, threshold on score second (Q15).
 
     Returns ``(query_id, chunk_id, rank, distance, score)``.
     """
-    pairs = knn_pairs(queries, chunks, k, exclude_self=exclude_self,
-                      query_block_rows=query_block_rows, chunk_block_rows=chunk_block_rows)
+    pairs = knn_pairs(queries, chunks, k, exclude_self=exclude_self, query_block_rows=query_block_rows,
+                      chunk_block_rows=chunk_block_rows, group=group)
     return (pairs.withColumn("score", similarity("distance"))
             .filter(F.col("score") >= F.lit(threshold)))
 

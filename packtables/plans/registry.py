@@ -175,3 +175,157 @@ QUERIES.update({
     "definitions_by_name": q_definitions_by_name,
     "path_filters": q_path_filters,
 })
+
+
+# ---------------------------------------------------------------------------
+# Retrieval, budgeting and packs over FX-requests (R1-R8, J1-J5, J9-J13,
+# D1-D6, P13, P14, B1-B9, A3)
+
+AS_OF = "2001-09-01 00:00:00"
+
+
+def strategy_inputs(spark: SparkSession, sf: str):
+    from packtables.operators.history import commit_summary, recent_commits
+    from packtables.plans.strategies import StrategyInputs
+
+    fx = fixture(spark, sf)
+    if not hasattr(fx, "inputs"):
+        from packtables.session import cut_lineage
+
+        sig_df = cut_lineage(sig.with_signals(fx.requests, word_boundaries=OPTS.word_boundaries))
+        recent = recent_commits(fx.commits, fx.commit_files, OPTS.default_commits)
+        summary = cut_lineage(commit_summary(recent, F.lit(AS_OF).cast("timestamp")))
+        fx.inputs = StrategyInputs(signals=sig_df, index=fx.index, chunks=fx.chunks,
+                                   query_vectors=fx.query_vectors, commit_summary=summary)
+    return fx.inputs
+
+
+def _sites_text(c):
+    return F.array_join(F.transform(c, lambda s: F.concat(s["path"], F.lit(":"), s["line"].cast("string"))), ",")
+
+
+def q_routing(spark, sf):
+    from packtables.plans.strategies import routes
+
+    return routes(strategy_inputs(spark, sf).signals)
+
+
+def q_symbol_strategy(spark, sf):
+    from packtables.plans.strategies import symbol_strategy
+
+    inp = strategy_inputs(spark, sf)
+    e = symbol_strategy(inp.signals, inp.index, OPTS)
+    return e.select("request_id", "name", "path", "line", "signature", F.md5("body").alias("body_md5"),
+                    _sites_text(F.col("sites")).alias("sites"), F.col("pos.k1").alias("mention_rank"))
+
+
+def q_find_file(spark, sf):
+    from packtables.plans.strategies import find_file
+
+    inp = strategy_inputs(spark, sf)
+    m = inp.signals.select("repo_id", F.explode("file_mentions").alias("mention")).distinct()
+    return find_file(m, inp.index.files).select("mention", "resolved")
+
+
+def q_file_expand(spark, sf):
+    from packtables.plans.strategies import file_expand_strategy
+
+    inp = strategy_inputs(spark, sf)
+    e = file_expand_strategy(inp.signals, inp.index, OPTS)
+    return e.select("request_id", "path", F.md5("content").alias("content_md5"),
+                    F.col("pos.k1").alias("mention_rank"), F.col("pos.k3").alias("import_line"))
+
+
+def q_semantic(spark, sf):
+    from packtables.plans.strategies import semantic_hits, semantic_strategy
+
+    inp = strategy_inputs(spark, sf)
+    hits = semantic_hits(inp.signals, inp.query_vectors, inp.chunks, OPTS)
+    e = semantic_strategy(hits, OPTS)
+    return e.select("request_id", "path", F.col("pos.k1").alias("rank"), F.round("score", 6).alias("score"),
+                    F.md5("content").alias("text_md5"))
+
+
+def q_convention(spark, sf):
+    from packtables.plans.strategies import convention_strategy, semantic_hits
+
+    inp = strategy_inputs(spark, sf)
+    hits = semantic_hits(inp.signals, inp.query_vectors, inp.chunks, OPTS)
+    e = convention_strategy(hits, inp.signals, OPTS)
+    return e.select("request_id", "path", F.col("pos.k1").alias("rank"), F.md5("content").alias("text_md5"))
+
+
+def _stage0(inp):
+    from packtables.plans.strategies import file_expand_strategy, symbol_strategy
+
+    return symbol_strategy(inp.signals, inp.index, OPTS), file_expand_strategy(inp.signals, inp.index, OPTS)
+
+
+def q_blast_radius(spark, sf):
+    from packtables.plans.strategies import blast_radius_strategy
+
+    inp = strategy_inputs(spark, sf)
+    sym, fil = _stage0(inp)
+    e = blast_radius_strategy(inp.signals, inp.index, sym, fil, OPTS)
+    return e.select("request_id", "path", F.col("pos.k2").alias("seed"), F.md5("content").alias("content_md5"))
+
+
+def q_recent_commits(spark, sf):
+    s = strategy_inputs(spark, sf).commit_summary
+    return s.select("path", "rank", "hash", "message", "author", "date")
+
+
+def q_git_context(spark, sf):
+    from packtables.plans.strategies import blast_radius_strategy, git_strategy
+
+    inp = strategy_inputs(spark, sf)
+    sym, fil = _stage0(inp)
+    blast = blast_radius_strategy(inp.signals, inp.index, sym, fil, OPTS)
+    e = git_strategy(inp.signals, inp.commit_summary, sym, fil, blast, opts=OPTS)
+    commits = F.array_join(F.transform("commits", lambda c: F.concat_ws("|", c["hash"], c["message"], c["author"],
+                                                                        c["date"])), ";")
+    return e.select("request_id", "path", commits.alias("commits"))
+
+
+def compiled_packs(spark, sf):
+    from packtables.plans.packs import compile_packs
+
+    fx = fixture(spark, sf)
+    if not hasattr(fx, "packs"):
+        fx.packs = compile_packs(strategy_inputs(spark, sf), OPTS)
+    return fx.packs
+
+
+def q_packs(spark, sf):
+    p = compiled_packs(spark, sf)
+    return p.select("request_id", "task_id", "token_count", "n_symbols", "n_files", "n_semantic_chunks",
+                    "n_conventions", "n_git_entries", F.md5("xml").alias("xml_md5"))
+
+
+def q_enriched(spark, sf):
+    from packtables.plans.packs import enrich_turns
+
+    e = enrich_turns(read_table(spark, sf, "conversations"), compiled_packs(spark, sf))
+    return e.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+def q_preview(spark, sf):
+    from packtables.plans.packs import preview
+
+    return preview(strategy_inputs(spark, sf).signals, compiled_packs(spark, sf))
+
+
+QUERIES.update({
+    "routing": q_routing,
+    "symbol_strategy": q_symbol_strategy,
+    "find_file": q_find_file,
+    "file_expand": q_file_expand,
+    "semantic": q_semantic,
+    "convention": q_convention,
+    "blast_radius": q_blast_radius,
+    "recent_commits": q_recent_commits,
+    "git_context": q_git_context,
+    "packs": q_packs,
+    "enriched": q_enriched,
+    "preview": q_preview,
+})

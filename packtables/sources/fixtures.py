@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from packtables.functions.signals import prompts_from_turns
 from packtables.operators.code import language_of
-from packtables.session import read_table
+from packtables.session import cut_lineage, read_table
 
 REPO = "fx"
 NL = F.lit("\n")
@@ -179,12 +179,13 @@ class Fixture:
 
     @property
     def files(self) -> DataFrame:
-        return self._get("files", lambda: files_from_parts(self.table("part")))
+        # materialised once: every index table and request joins back to it
+        return self._get("files", lambda: cut_lineage(files_from_parts(self.table("part"))))
 
     @property
     def requests(self) -> DataFrame:
-        return self._get("requests", lambda: requests_from_conversations(self.table("conversations"),
-                                                                           self.table("part")))
+        return self._get("requests", lambda: cut_lineage(requests_from_conversations(
+            self.table("conversations"), self.table("part"))))
 
     @property
     def commits(self) -> DataFrame:
@@ -196,11 +197,11 @@ class Fixture:
 
     @property
     def chunks(self) -> DataFrame:
-        return self._get("chunks", lambda: chunks_from_embeddings(self.table("embeddings"), self.files))
+        return self._get("chunks", lambda: cut_lineage(chunks_from_embeddings(self.table("embeddings"), self.files)))
 
     @property
     def query_vectors(self) -> DataFrame:
-        return self._get("qvec", lambda: query_vectors(self.requests, self.table("embeddings")))
+        return self._get("qvec", lambda: cut_lineage(query_vectors(self.requests, self.table("embeddings"))))
 
     @property
     def changes(self) -> DataFrame:
