@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from packtables.functions.signals import CAMEL_PATTERN, FILE_PATTERN, SYMBOL_PATTERN, TASK_KEYWORDS
 from packtables.functions.tokens import TOKEN_PATTERN
-from packtables.sources.fixtures import with_views
+from packtables.sources.fixtures import COMMIT_FILES_SQL, COMMITS_SQL, with_views
 
 
 def q(s: str) -> str:
@@ -274,3 +274,192 @@ ORACLE.update({
     "definitions_by_name": DEFINITIONS_BY_NAME,
     "path_filters": PATH_FILTERS,
 })
+
+
+# ---------------------------------------------------------------------------
+# Retrieval over FX-requests.
+
+CALLS_BY_CONSTRUCTION = """
+select path, 'fn_' || a as symbol_name, case ext when '.py' then 6 when '.go' then 10 else 5 end as line from fx_files
+union all
+select path, case when ext in ('.py', '.go') then 'fn_' || b else 'm.fn_' || b end,
+       case ext when '.py' then 9 when '.go' then 12 else 9 end
+from fx_files
+"""
+
+EDGE_LINES = """
+select f.path as src, g.path as dst,
+       min(case when g.file_id = f.a then (case when f.ext = '.go' then 4 else 1 end)
+                else (case when f.ext = '.go' then 5 else 2 end) end) as line
+from fx_files f join fx_files g on g.file_id = f.a or g.file_id = f.b
+where g.file_id <> f.file_id group by 1, 2
+"""
+
+CALL_SITES = with_views(f"""
+with sym as ({SYMBOLS_BY_CONSTRUCTION}),
+c as ({CALLS_BY_CONSTRUCTION}),
+n as (select distinct name from sym),
+r as (select n.name, c.path, c.line, row_number() over (partition by n.name order by c.path, c.line) as rn
+      from n join c on c.symbol_name = n.name)
+select n.name, coalesce(string_agg(r.path || ':' || r.line, ',' order by r.rn), '') as sites
+from n left join r on r.name = n.name and r.rn <= 5
+group by n.name
+""", ("fx_files",))
+
+# Signals of the FX requests, then the staged strategies. Each CTE mirrors one strategy.
+RETRIEVAL_CTES = f"""
+p as (select request_id, prompt as raw_prompt from fx_requests),
+{signals_sql('p')},
+sym as ({SYMBOLS_BY_CONSTRUCTION}),
+calls as ({CALLS_BY_CONSTRUCTION}),
+edges as ({EDGE_LINES}),
+m as (
+  select request_id, symbols[i] as mention, i - 1 as m_pos
+  from (select request_id, symbols, unnest(generate_series(1, len(symbols))) as i from sig where len(symbols) > 0)),
+names as (select name, min(path) as path, min(start_line) as start_line from sym group by name),
+exact as (select m.* , m.mention as name from m where m.mention in (select name from names)),
+miss as (select * from m where m.mention not in (select name from names)),
+partial_hits as (
+  select miss.*, n.name,
+         row_number() over (partition by miss.request_id, miss.mention order by n.path, n.start_line) as rn
+  from miss join names n on contains(n.name, miss.mention)),
+hits as (select request_id, mention, m_pos, name from exact
+         union all select request_id, mention, m_pos, name from partial_hits where rn = 1),
+found as (
+  select h.request_id, h.m_pos, s.*,
+         row_number() over (partition by h.request_id, s.name, s.path order by h.m_pos, s.start_line) as rn2
+  from hits h join sym s on s.name = h.name),
+site_rank as (
+  select c.symbol_name, c.path, c.line, row_number() over (partition by c.symbol_name order by c.path, c.line) as rn
+  from calls c where c.symbol_name in (select name from found)),
+sites as (select symbol_name, string_agg(path || ':' || line, ',' order by rn) as sites
+          from site_rank where rn <= 5 group by symbol_name),
+r1 as (
+  select f.request_id, f.m_pos, f.name, f.path, f.start_line as line, f.signature, f.body,
+         coalesce(s.sites, '') as sites
+  from found f left join sites s on s.symbol_name = f.name where rn2 = 1),
+fm as (
+  select request_id, files[i] as mention, i - 1 as m_pos
+  from (select request_id, files, unnest(generate_series(1, len(files))) as i from sig where len(files) > 0)),
+res as (
+  select fm.*, (select min(path) from fx_files f where contains(f.path, fm.mention)) as resolved from fm),
+cand as (
+  select request_id, m_pos, resolved as path, -1 as k3 from res where resolved is not null
+  union all
+  select res.request_id, res.m_pos, e.dst, e.line from res join edges e on e.src = res.resolved),
+r2 as (
+  select * from (
+    select c.*, f.content, row_number() over (partition by c.request_id, c.path order by c.m_pos, c.k3) as rn
+    from cand c join fx_files f on f.path = c.path where f.content <> '')
+  where rn = 1),
+d as (
+  select r.request_id, c.chunk_id, c.path, c.text,
+         list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) as distance
+  from fx_requests r join fx_qvec q using (request_id) join fx_chunks c on c.repo_id = r.repo_id),
+ranked as (select *, row_number() over (partition by request_id order by distance, chunk_id) as rank from d),
+knn as (select *, 1.0 / (1.0 + distance) as score from ranked where rank <= 8 and 1.0 / (1.0 + distance) >= 0.40),
+r3 as (
+  select * from (
+    select *, row_number() over (partition by request_id, path, substring(text, 1, 100) order by rank) as rn
+    from knn) where rn = 1),
+r5 as (
+  select knn.* from knn join sig using (request_id) where sig.task_type = 'add_feature' and knn.rank <= 3),
+seeds as (
+  select distinct request_id, path from (select request_id, path from r1 union all select request_id, path from r2)
+  where request_id in (select request_id from sig where task_type = 'refactor')),
+h1 as (select s.request_id, s.path as seed, e.src as dependent from seeds s join edges e on e.dst = s.path),
+h2 as (select h1.request_id, h1.seed, e.src as dependent from h1 join edges e on e.dst = h1.dependent),
+dep as (
+  select distinct request_id, seed, dependent from (select * from h1 union all select * from h2)
+  where dependent <> seed),
+r4 as (
+  select * from (
+    select dep.request_id, dep.seed, dep.dependent as path, f.content,
+           row_number() over (partition by dep.request_id, dep.dependent order by dep.seed) as rn
+    from dep join fx_files f on f.path = dep.dependent
+    where f.content <> ''
+      and not exists (select 1 from r2 where r2.request_id = dep.request_id and r2.path = dep.dependent))
+  where rn = 1),
+cf as ({COMMIT_FILES_SQL}),
+cm as ({COMMITS_SQL}),
+recent as (
+  select cf.path, cm.hash, cm.message, cm.author, cm.committed_at,
+         row_number() over (partition by cf.path order by cm.committed_at desc, cm.hash) as rank
+  from cf join cm on cm.hash = cf.hash),
+summary as (
+  select path, rank, committed_at, substring(hash, 1, 7) as hash,
+         substring(split_part(regexp_replace(message, '^\\s+|\\s+$', '', 'g'), chr(10), 1), 1, 80) as message,
+         author,
+         greatest(floor(epoch(timestamp '2001-09-01 00:00:00') - epoch(committed_at)), 0)::bigint as secs
+  from recent where rank <= 5),
+summary2 as (
+  select *, case when secs // 86400 > 0 then (secs // 86400) || ' days ago'
+                 when secs % 86400 > 3600 then ((secs % 86400) // 3600) || ' hours ago'
+                 else ((secs % 86400) // 60) || ' minutes ago' end as date
+  from summary),
+gpaths as (
+  select distinct request_id, path from (
+    select request_id, path from r1 union all select request_id, path from r2
+    union all select request_id, path from r4)
+  where request_id in (select request_id from sig where task_type in ('debug', 'refactor'))),
+r6 as (
+  select g.request_id, g.path,
+         string_agg(s.hash || '|' || s.message || '|' || s.author || '|' || s.date, ';' order by s.rank) as commits
+  from gpaths g join summary2 s on s.path = g.path and s.rank <= 3
+  group by g.request_id, g.path)
+"""
+
+_RETRIEVAL_VIEWS = ("fx_files", "fx_requests", "fx_chunks", "fx_qvec")
+
+
+def retrieval(select: str) -> str:
+    return with_views(f"with {RETRIEVAL_CTES}\n{select}", _RETRIEVAL_VIEWS)
+
+
+ROUTING = retrieval("""
+select request_id, strategy, stage from (
+  select request_id, 'symbol' as strategy, 0 as stage from sig where len(symbols) > 0
+  union all select request_id, 'file_expand', 0 from sig where len(files) > 0
+  union all select request_id, 'semantic', 0 from sig
+  union all select request_id, 'blast_radius', 1 from sig where task_type = 'refactor'
+  union all select request_id, 'convention', 0 from sig where task_type = 'add_feature'
+  union all select request_id, 'git_ctx', 2 from sig where task_type in ('debug', 'refactor'))
+""")
+
+SYMBOL_STRATEGY = retrieval("""
+select request_id, name, path, line, signature, md5(body) as body_md5, sites, m_pos as mention_rank from r1
+""")
+
+FIND_FILE = retrieval("select distinct mention, resolved from res where resolved is not null")
+
+FILE_EXPAND = retrieval("""
+select request_id, path, md5(content) as content_md5, m_pos as mention_rank, k3 as import_line from r2
+""")
+
+SEMANTIC = retrieval("select request_id, path, rank, round(score, 6) as score, md5(text) as text_md5 from r3")
+
+CONVENTION = retrieval("select request_id, path, rank, md5(text) as text_md5 from r5")
+
+BLAST_RADIUS = retrieval("""
+select request_id, path, seed,
+       md5('// [blast radius - imports ' || seed || ']' || chr(10)
+           || array_to_string(string_split(content, chr(10))[1:3], chr(10)) || chr(10) || '// ...') as content_md5
+from r4
+""")
+
+RECENT_COMMITS = retrieval("select path, rank, hash, message, author, date from summary2")
+
+GIT_CONTEXT = retrieval("select request_id, path, commits from r6")
+
+ORACLE.update({
+    "call_sites": CALL_SITES,
+    "routing": ROUTING,
+    "symbol_strategy": SYMBOL_STRATEGY,
+    "find_file": FIND_FILE,
+    "file_expand": FILE_EXPAND,
+    "semantic": SEMANTIC,
+    "convention": CONVENTION,
+    "blast_radius": BLAST_RADIUS,
+    "recent_commits": RECENT_COMMITS,
+    "git_context": GIT_CONTEXT,
+})

@@ -329,3 +329,17 @@ QUERIES.update({
     "enriched": q_enriched,
     "preview": q_preview,
 })
+
+
+def q_call_sites(spark, sf):
+    """First five call sites of every defined name, in file order."""
+    from packtables.plans.strategies import call_sites
+
+    idx = fixture(spark, sf).index
+    names = idx.symbols.select("repo_id", "name").distinct()
+    sites = call_sites(idx.calls, names, OPTS.max_call_sites)
+    return names.join(sites, ["repo_id", "name"], "left").select(
+        "name", F.coalesce(_sites_text(F.col("sites")), F.lit("")).alias("sites"))
+
+
+QUERIES["call_sites"] = q_call_sites
