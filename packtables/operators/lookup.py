@@ -52,10 +52,12 @@ def containing(needles: DataFrame, haystack: DataFrame, *, needle: str, value: s
 def _all_short_subs(col: Column, max_len: int) -> Column:
     """Distinct substrings of length 1..max_len."""
     n = F.length(col)
+    def cut(ln):
+        return lambda i: F.substring(col, i, ln)
+
     parts = []
     for ln in range(1, max_len + 1):
-        parts.append(F.transform(F.sequence(F.lit(1), F.greatest(n - ln + 1, F.lit(1))),
-                                 lambda i, ln=ln: F.substring(col, i, ln)))
+        parts.append(F.transform(F.sequence(F.lit(1), F.greatest(n - ln + 1, F.lit(1))), cut(ln)))
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda s: F.length(s) > 0))
 
 

@@ -463,3 +463,228 @@ ORACLE.update({
     "recent_commits": RECENT_COMMITS,
     "git_context": GIT_CONTEXT,
 })
+
+
+# ---------------------------------------------------------------------------
+# Budgeted packs (B1-B5, B7, A3) and enrichment.
+
+
+def _attr(name: str, x: str) -> str:
+    return f"' {name}=\"' || {escape_sql(x)} || '\"'"
+
+
+PACK_CTES = f"""
+site_x as (
+  select symbol_name,
+         string_agg(chr(10) || '        <site' || {_attr('file', 'path')} || {_attr('line', 'line::varchar')} || '/>',
+                    '' order by rn) as sx
+  from site_rank where rn <= 5 group by symbol_name),
+e_sym as (
+  select r1.request_id, r1.m_pos, r1.path, r1.line, r1.body,
+         '    <symbol' || {_attr('name', 'r1.name')} || {_attr('file', 'r1.path')} || {_attr('line', 'r1.line::varchar')}
+           || '>' || case when r1.signature <> '' then chr(10) || '      <signature>' || {escape_sql('r1.signature')}
+                          || '</signature>' else '' end as head,
+         case when sx.sx is null then '' else chr(10) || '      <call_sites>' || sx.sx || chr(10)
+              || '      </call_sites>' end as sites_block,
+         string_split(r1.body, chr(10)) as ls
+  from r1 left join site_x sx on sx.symbol_name = r1.name),
+e_sym2 as (
+  select *, len(ls) as nl,
+         case when body is null or body = '' then 0
+              else (select count(*) from generate_series(1, 31) g(t) where (len(ls) >> (t - 1)) > 5) end as nt
+  from e_sym),
+versions as (
+  select e.request_id, e.m_pos, e.path, e.line, t,
+         case when t = 0 then e.body
+              else array_to_string(e.ls[1:(e.nl >> t)], chr(10)) || chr(10) || '  // ... trimmed' end as v
+  from e_sym2 e, (select unnest(generate_series(0, 31)) as t) tt where tt.t <= e.nt),
+vtok as (
+  select *, case when coalesce(v, '') = '' then 0
+                 else {tokens_sql("chr(10) || '      <body>' || " + cdata_sql('v') + " || '</body>'")} end as vt
+  from versions),
+e_oth as (
+  select request_id, 'files' as section, 3 as phase, 0 as p0, m_pos as p1, '' as p2, k3 as p3, 0 as p4, '' as p5,
+         length(content) as chars, null::double as score,
+         '    <file' || {_attr('path', 'path')} || '>' || {cdata_sql('content')} || '</file>' as xml
+  from r2
+  union all
+  select request_id, 'files', 3, 1, 0, seed, 0, 0, path,
+         length(hs), null,
+         '    <file' || {_attr('path', 'path')} || '>' || {cdata_sql('hs')} || '</file>'
+  from (select *, '// [blast radius - imports ' || seed || ']' || chr(10)
+                  || array_to_string(string_split(content, chr(10))[1:3], chr(10)) || chr(10) || '// ...' as hs from r4)
+  union all
+  select request_id, 'semantic_matches', 2, 0, rank, '', 0, 0, '', length(text), score,
+         '    <match' || {_attr('file', 'path')} || ' score="' || printf('%.2f', score) || '">' || {cdata_sql('text')}
+         || '</match>'
+  from r3
+  union all
+  select request_id, 'conventions', 1, 0, rank, '', 0, 0, '', length(text), null,
+         '    <example' || {_attr('file', 'path')} || '>' || {cdata_sql('text')} || '</example>'
+  from r5
+  union all
+  select g.request_id, 'git_context', 0, 0, 0, g.path, 0, 0, '', 0, null,
+         '    <file' || {_attr('path', 'g.path')} || '>'
+         || string_agg(chr(10) || '      <commit' || {_attr('hash', 's.hash')} || {_attr('message', 's.message')}
+                       || {_attr('author', 's.author')} || {_attr('date', 's.date')} || '/>', '' order by s.rank)
+         || chr(10) || '    </file>'
+  from gpaths g join summary2 s on s.path = g.path and s.rank <= 3
+  group by g.request_id, g.path),
+steps as (
+  select request_id, section, phase, 0 as step, p0, p1, p2, p3, p4, p5, chars, score,
+         {tokens_sql('xml')} as delta0, xml from e_oth
+  union all
+  select request_id, 'symbols', 4, 0, 0, m_pos, path, line, 0, '', 0, null, {tokens_sql('sites_block')}, null
+  from e_sym2
+  union all
+  select a.request_id, 'symbols', 5, a.t, 0, a.m_pos, a.path, a.line, 0, '', 0, null, b.vt - a.vt, null
+  from vtok a join vtok b on a.request_id = b.request_id and a.m_pos = b.m_pos and a.path = b.path
+                         and a.line = b.line and b.t = a.t - 1
+  union all
+  select e.request_id, 'symbols', 6, 0, 0, e.m_pos, e.path, e.line, 0, '', 0, null,
+         {tokens_sql('e.head')} + {tokens_sql(chr(39) + chr(10) + "    </symbol>" + chr(39))} + v.vt, null
+  from e_sym2 e join vtok v on v.request_id = e.request_id and v.m_pos = e.m_pos and v.path = e.path
+                            and v.line = e.line and v.t = e.nt),
+ordered as (
+  select *,
+    {tokens_sql(chr(39) + '<context_pack task_id="' + chr(39) + " || substr(md5(request_id::varchar), 1, 8) || "
+                + chr(39) + '" tokens="">' + chr(39))} + {tokens_sql(chr(39) + '</context_pack>' + chr(39))} as base,
+    case section when 'symbols' then {tokens_sql(chr(39) + '  <symbols>' + chr(39))} + {tokens_sql(chr(39) + '  </symbols>' + chr(39))}
+                 when 'files' then {tokens_sql(chr(39) + '  <files>' + chr(39))} + {tokens_sql(chr(39) + '  </files>' + chr(39))}
+                 when 'semantic_matches' then {tokens_sql(chr(39) + '  <semantic_matches>' + chr(39))} + {tokens_sql(chr(39) + '  </semantic_matches>' + chr(39))}
+                 when 'conventions' then {tokens_sql(chr(39) + '  <conventions>' + chr(39))} + {tokens_sql(chr(39) + '  </conventions>' + chr(39))}
+                 else {tokens_sql(chr(39) + '  <git_context>' + chr(39))} + {tokens_sql(chr(39) + '  </git_context>' + chr(39))} end as wrap
+  from steps),
+w1 as (
+  select *, delta0 + case when phase not in (4, 5)
+                               and coalesce(lead(section) over o, '') <> section then wrap else 0 end as delta
+  from ordered
+  window o as (partition by request_id order by phase,
+               case when phase = 2 then score end asc nulls last,
+               case when phase = 3 then chars end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p0 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p1 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p2 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p3 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p4 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p5 end desc nulls last,
+               case when phase in (3, 4, 5) then p0 end asc nulls last,
+               case when phase in (3, 4, 5) then p1 end asc nulls last,
+               case when phase in (3, 4, 5) then p2 end asc nulls last,
+               case when phase in (3, 4, 5) then p3 end asc nulls last,
+               case when phase in (3, 4, 5) then p4 end asc nulls last,
+               case when phase in (3, 4, 5) then p5 end asc nulls last,
+               step)),
+w2 as (
+  select *, base + sum(delta) over (o rows between current row and unbounded following) as remaining
+  from w1
+  window o as (partition by request_id order by phase,
+               case when phase = 2 then score end asc nulls last,
+               case when phase = 3 then chars end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p0 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p1 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p2 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p3 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p4 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p5 end desc nulls last,
+               case when phase in (3, 4, 5) then p0 end asc nulls last,
+               case when phase in (3, 4, 5) then p1 end asc nulls last,
+               case when phase in (3, 4, 5) then p2 end asc nulls last,
+               case when phase in (3, 4, 5) then p3 end asc nulls last,
+               case when phase in (3, 4, 5) then p4 end asc nulls last,
+               case when phase in (3, 4, 5) then p5 end asc nulls last,
+               step)),
+w3 as (
+  select *, min(remaining) over (o rows between unbounded preceding and current row) > 6000 as applied
+  from w2
+  window o as (partition by request_id order by phase,
+               case when phase = 2 then score end asc nulls last,
+               case when phase = 3 then chars end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p0 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p1 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p2 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p3 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p4 end desc nulls last,
+               case when phase in (0, 1, 2, 6) then p5 end desc nulls last,
+               case when phase in (3, 4, 5) then p0 end asc nulls last,
+               case when phase in (3, 4, 5) then p1 end asc nulls last,
+               case when phase in (3, 4, 5) then p2 end asc nulls last,
+               case when phase in (3, 4, 5) then p3 end asc nulls last,
+               case when phase in (3, 4, 5) then p4 end asc nulls last,
+               case when phase in (3, 4, 5) then p5 end asc nulls last,
+               step)),
+w4 as (
+  select *, base + sum(case when applied then 0 else delta end) over (partition by request_id) as final_tokens,
+         max(case when phase not in (4, 5) then applied::int end)
+           over (partition by request_id, section, p0, p1, p2, p3, p4, p5) as dropped,
+         max(case when phase = 4 then applied::int end)
+           over (partition by request_id, section, p0, p1, p2, p3, p4, p5) as cleared,
+         coalesce(max(case when phase = 5 and applied then step end)
+           over (partition by request_id, section, p0, p1, p2, p3, p4, p5), 0) as halved
+  from w3),
+kept as (
+  select w.request_id, w.section, w.p0, w.p1, w.p2, w.p3, w.p4, w.p5, w.final_tokens,
+         case when w.section = 'symbols' then
+           e.head || case when coalesce(v.v, '') <> '' then chr(10) || '      <body>' || {cdata_sql('v.v')} || '</body>'
+                          else '' end
+                  || case when w.cleared = 1 then '' else e.sites_block end || chr(10) || '    </symbol>'
+         else w.xml end as xml,
+         case w.section when 'symbols' then 0 when 'files' then 1 when 'semantic_matches' then 2
+                        when 'conventions' then 3 else 4 end as sec_rank
+  from w4 w
+  left join e_sym2 e on w.section = 'symbols' and e.request_id = w.request_id and e.m_pos = w.p1
+                      and e.path = w.p2 and e.line = w.p3
+  left join vtok v on w.section = 'symbols' and v.request_id = w.request_id and v.m_pos = w.p1
+                    and v.path = w.p2 and v.line = w.p3 and v.t = w.halved
+  where w.phase not in (4, 5) and w.dropped = 0),
+blocks as (
+  select request_id, sec_rank, section,
+         '  <' || section || '>' || chr(10) || string_agg(xml, chr(10) order by p0, p1, p2, p3, p4, p5) || chr(10)
+         || '  </' || section || '>' as block,
+         count(*) as n, max(final_tokens) as final_tokens
+  from kept group by request_id, sec_rank, section),
+packs as (
+  select sig.request_id, substr(md5(sig.request_id::varchar), 1, 8) as task_id,
+         coalesce(max(b.final_tokens),
+                  {tokens_sql(chr(39) + '<context_pack task_id="' + chr(39) + " || substr(md5(sig.request_id::varchar), 1, 8) || "
+                              + chr(39) + '" tokens="">' + chr(39))} + {tokens_sql(chr(39) + '</context_pack>' + chr(39))})
+           as token_count,
+         coalesce(sum(case when b.section = 'symbols' then b.n end), 0) as n_symbols,
+         coalesce(sum(case when b.section = 'files' then b.n end), 0) as n_files,
+         coalesce(sum(case when b.section = 'semantic_matches' then b.n end), 0) as n_semantic_chunks,
+         coalesce(sum(case when b.section = 'conventions' then b.n end), 0) as n_conventions,
+         coalesce(sum(case when b.section = 'git_context' then b.n end), 0) as n_git_entries,
+         string_agg(b.block, chr(10) order by b.sec_rank) as body
+  from sig left join blocks b on b.request_id = sig.request_id
+  group by sig.request_id),
+packs2 as (
+  select *, '<context_pack task_id="' || task_id || '" tokens="' || token_count || '">' || chr(10)
+            || case when body is null then '' else body || chr(10) end || '</context_pack>' as xml,
+         n_symbols + n_files + n_semantic_chunks + n_conventions + n_git_entries as n_entries
+  from packs)
+"""
+
+
+def packs_sql(select: str) -> str:
+    return with_views(f"with {RETRIEVAL_CTES},\n{PACK_CTES}\n{select}", _RETRIEVAL_VIEWS)
+
+
+PACKS = packs_sql("""
+select request_id, task_id, token_count, n_symbols, n_files, n_semantic_chunks, n_conventions, n_git_entries,
+       md5(xml) as xml_md5
+from packs2
+""")
+
+ENRICHED = packs_sql("""
+, fs as (select conv_id, min(turn) as sys_turn from conversations where role = 'system' group by conv_id),
+pk as (select request_id as conv_id, xml from packs2 where n_entries > 0)
+select c.conv_id, c.turn, c.role,
+       md5(case when pk.xml is not null and c.turn = fs.sys_turn then pk.xml || chr(10) || chr(10) || coalesce(c.text, '')
+                else c.text end) as text_md5
+from conversations c left join fs using (conv_id) left join pk using (conv_id)
+union all
+select pk.conv_id, -1, 'system', md5(pk.xml)
+from pk where pk.conv_id not in (select conv_id from fs) and pk.conv_id in (select conv_id from conversations)
+""")
+
+ORACLE.update({"packs": PACKS, "enriched": ENRICHED})

@@ -17,7 +17,10 @@ from packtables.operators.code import language_of
 from packtables.session import cut_lineage, read_table
 
 REPO = "fx"
-NL = F.lit("\n")
+
+
+def _nl() -> Column:
+    return F.lit("\n")
 
 
 def _s(c: Column) -> Column:
@@ -39,27 +42,27 @@ def files_from_parts(part: DataFrame, repo_id: str = REPO) -> DataFrame:
     i = F.col("p_partkey")
     a, b = (i * 7 + 1) % n, (i * 13 + 5) % n
     ext = _ext(i)
-    py = F.concat(F.lit("from pkg"), _s(a % 20), F.lit(".mod_"), _s(a), F.lit(" import fn_"), _s(a), NL,
-                  F.lit("import pkg"), _s(b % 20), F.lit(".mod_"), _s(b), NL, NL,
-                  F.lit("class Cls"), _s(i), F.lit(":"), NL,
-                  F.lit("    def run(self):"), NL,
-                  F.lit("        return fn_"), _s(a), F.lit("(self)"), NL, NL,
-                  F.lit("def fn_"), _s(i), F.lit("(x):"), NL,
-                  F.lit("    return fn_"), _s(b), F.lit("(x)"), NL)
-    go = F.concat(F.lit("package pkg"), _s(i % 20), NL, NL,
-                  F.lit("import ("), NL,
-                  F.lit('  "pkg'), _s(a % 20), F.lit("/mod_"), _s(a), F.lit('"'), NL,
-                  F.lit('  "pkg'), _s(b % 20), F.lit("/mod_"), _s(b), F.lit('"'), NL, F.lit(")"), NL, NL,
-                  F.lit("type Cls"), _s(i), F.lit(" struct{}"), NL, NL,
-                  F.lit("func (c *Cls"), _s(i), F.lit(") Run() int { return fn_"), _s(a), F.lit("(c) }"), NL, NL,
-                  F.lit("func fn_"), _s(i), F.lit("(x int) int { return fn_"), _s(b), F.lit("(x) }"), NL)
+    py = F.concat(F.lit("from pkg"), _s(a % 20), F.lit(".mod_"), _s(a), F.lit(" import fn_"), _s(a), _nl(),
+                  F.lit("import pkg"), _s(b % 20), F.lit(".mod_"), _s(b), _nl(), _nl(),
+                  F.lit("class Cls"), _s(i), F.lit(":"), _nl(),
+                  F.lit("    def run(self):"), _nl(),
+                  F.lit("        return fn_"), _s(a), F.lit("(self)"), _nl(), _nl(),
+                  F.lit("def fn_"), _s(i), F.lit("(x):"), _nl(),
+                  F.lit("    return fn_"), _s(b), F.lit("(x)"), _nl())
+    go = F.concat(F.lit("package pkg"), _s(i % 20), _nl(), _nl(),
+                  F.lit("import ("), _nl(),
+                  F.lit('  "pkg'), _s(a % 20), F.lit("/mod_"), _s(a), F.lit('"'), _nl(),
+                  F.lit('  "pkg'), _s(b % 20), F.lit("/mod_"), _s(b), F.lit('"'), _nl(), F.lit(")"), _nl(), _nl(),
+                  F.lit("type Cls"), _s(i), F.lit(" struct{}"), _nl(), _nl(),
+                  F.lit("func (c *Cls"), _s(i), F.lit(") Run() int { return fn_"), _s(a), F.lit("(c) }"), _nl(), _nl(),
+                  F.lit("func fn_"), _s(i), F.lit("(x int) int { return fn_"), _s(b), F.lit("(x) }"), _nl())
     js = F.concat(F.lit("import { fn_"), _s(a), F.lit(' } from "../pkg'), _s(a % 20), F.lit("/mod_"), _s(a),
-                  F.lit('";'), NL,
-                  F.lit('import * as m from "../pkg'), _s(b % 20), F.lit("/mod_"), _s(b), F.lit('";'), NL, NL,
-                  F.lit("class Cls"), _s(i), F.lit(" {"), NL,
-                  F.lit("  run() { return fn_"), _s(a), F.lit("(this); }"), NL, F.lit("}"), NL, NL,
-                  F.lit("function fn_"), _s(i), F.lit("(x) {"), NL,
-                  F.lit("  return m.fn_"), _s(b), F.lit("(x);"), NL, F.lit("}"), NL)
+                  F.lit('";'), _nl(),
+                  F.lit('import * as m from "../pkg'), _s(b % 20), F.lit("/mod_"), _s(b), F.lit('";'), _nl(), _nl(),
+                  F.lit("class Cls"), _s(i), F.lit(" {"), _nl(),
+                  F.lit("  run() { return fn_"), _s(a), F.lit("(this); }"), _nl(), F.lit("}"), _nl(), _nl(),
+                  F.lit("function fn_"), _s(i), F.lit("(x) {"), _nl(),
+                  F.lit("  return m.fn_"), _s(b), F.lit("(x);"), _nl(), F.lit("}"), _nl())
     path = F.concat(F.lit("pkg"), _s(i % 20), F.lit("/mod_"), _s(i), ext)
     return part.select(
         F.lit(repo_id).alias("repo_id"), i.alias("file_id"), path.alias("path"), ext.alias("ext"),
@@ -96,7 +99,7 @@ def requests_from_conversations(conversations: DataFrame, part: DataFrame, repo_
     for idx, w in enumerate(_TASK_WORDS[1:], start=1):
         word = word.when(m == idx, w)
     prompt = F.concat(word, F.lit(" Cls"), _s(k), F.lit(" and Cls"), _s(k), F.lit(".ru plus fnOne in pkg"),
-                      _s(k % 20), F.lit("/mod_"), _s(k), _ext(k), NL, F.col("body"))
+                      _s(k % 20), F.lit("/mod_"), _s(k), _ext(k), _nl(), F.col("body"))
     return body.select(F.col("conv_id").alias("request_id"), F.lit(repo_id).alias("repo_id"), prompt.alias("prompt"))
 
 
@@ -105,7 +108,7 @@ def commits_from_orders(orders: DataFrame, repo_id: str = REPO) -> DataFrame:
     return orders.select(
         F.lit(repo_id).alias("repo_id"),
         F.md5(_s(F.col("o_orderkey"))).alias("hash"),
-        F.concat(F.col("o_orderpriority"), F.lit(" order "), _s(F.col("o_orderkey")), NL, F.lit("status "),
+        F.concat(F.col("o_orderpriority"), F.lit(" order "), _s(F.col("o_orderkey")), _nl(), F.lit("status "),
                  F.col("o_orderstatus")).alias("message"),
         F.concat(F.lit("author"), _s(F.col("o_custkey"))).alias("author"),
         F.col("o_orderdate").alias("committed_at"))
@@ -145,7 +148,7 @@ def chunks_from_embeddings(embeddings: DataFrame, files: DataFrame) -> DataFrame
     return (embeddings.join(f, "label")
             .select("repo_id", F.col("vec_id").alias("chunk_id"), "path",
                     F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
-                    F.concat(F.lit("// part "), _s(F.col("vec_id") % 3), NL, F.col("content")).alias("text"),
+                    F.concat(F.lit("// part "), _s(F.col("vec_id") % 3), _nl(), F.col("content")).alias("text"),
                     F.col("embedding")))
 
 
