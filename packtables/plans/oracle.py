@@ -150,12 +150,12 @@ __all__ = ["ORACLE", "with_views", "q", "tokens_sql", "signals_sql", "cdata_sql"
 # Index tables, stated from the FX-files key arithmetic (no parsing).
 
 SYMBOLS_BY_CONSTRUCTION = """
-select path, 'Cls' || file_id as name, 'class' as kind,
+select file_id, path, 'Cls' || file_id as name, 'class' as kind,
        case when ext = '.go' then 8 else 4 end as start_line, case when ext = '.go' then 8 else 6 end as end_line,
        '' as signature, '' as body
 from fx_files
 union all
-select path, 'Cls' || file_id || case when ext = '.go' then '.Run' else '.run' end, 'method',
+select file_id, path, 'Cls' || file_id || case when ext = '.go' then '.Run' else '.run' end, 'method',
        case when ext = '.go' then 10 else 5 end, case ext when '.go' then 10 when '.py' then 6 else 5 end,
        case ext when '.py' then 'def run(self):'
                 when '.go' then 'func (c *Cls' || file_id || ') Run() int { return fn_' || a || '(c) }'
@@ -165,7 +165,7 @@ select path, 'Cls' || file_id || case when ext = '.go' then '.Run' else '.run' e
                 else 'run() { return fn_' || a || '(this); }' end
 from fx_files
 union all
-select path, 'fn_' || file_id, 'function',
+select file_id, path, 'fn_' || file_id, 'function',
        case when ext = '.go' then 12 else 8 end, case ext when '.py' then 9 when '.go' then 12 else 10 end,
        case ext when '.py' then 'def fn_' || file_id || '(x):'
                 when '.go' then 'func fn_' || file_id || '(x int) int { return fn_' || b || '(x) }'
@@ -688,3 +688,81 @@ from pk where pk.conv_id not in (select conv_id from fs) and pk.conv_id in (sele
 """)
 
 ORACLE.update({"packs": PACKS, "enriched": ENRICHED})
+
+
+# ---------------------------------------------------------------------------
+# Change feed, request log, cache and vector reuse (batch twins).
+
+_SESSIONS = """
+c as (select * from fx_changes),
+l as (select *, case when lag(ts) over w is null or ts - lag(ts) over w > interval 600 second then 1 else 0 end as new
+      from c window w as (partition by repo_id order by ts, seq)),
+s as (select *, sum(new) over (partition by repo_id order by ts, seq
+                              rows between unbounded preceding and current row) as sid from l),
+ss as (select *, min(ts) over (partition by repo_id, sid) as session_start from s)"""
+
+DEBOUNCE_SESSIONS = with_views(f"""
+with {_SESSIONS}
+select repo_id, min(ts) as session_start, max(ts) as last_ts, count(*) as n_changes from ss group by repo_id, sid
+""", ("fx_changes",))
+
+DEBOUNCE_FLUSH = with_views(f"""
+with {_SESSIONS}
+select repo_id, session_start, path, arg_max(change_type, seq) as change_type, max(seq) as seq
+from ss group by repo_id, session_start, path
+""", ("fx_changes",))
+
+_FINAL = f"""
+sym as ({SYMBOLS_BY_CONSTRUCTION}),
+last as (select repo_id, path, arg_max(change_type, seq) as ct, arg_max(user_id, seq) as u
+         from fx_changes group by repo_id, path),
+fin as (select l.repo_id, l.path, l.u, f.a, f.b from last l join fx_files f on f.file_id = l.u where l.ct <> 'deleted')"""
+
+CHANGES_FINAL_SYMBOLS = with_views(f"""
+with {_FINAL}
+select fin.repo_id, fin.path, s.name, s.kind, s.start_line, s.end_line from fin join sym s on s.file_id = fin.u
+""", ("fx_changes", "fx_files"))
+
+CHANGES_FINAL_EDGES = with_views(f"""
+with {_FINAL}
+select distinct x.repo_id, x.path as src, y.path as dst
+from fin x join fin y on x.repo_id = y.repo_id and (y.u = x.a or y.u = x.b) and y.u <> x.u
+""", ("fx_changes", "fx_files"))
+
+TTL_CACHE = """
+with recursive e as (select event_id, user_id as k, ts from events),
+chain(k, t0) as (
+  select k, min(ts) from e group by k
+  union all
+  select c.k, n.t
+  from chain c, lateral (select min(e.ts) as t from e where e.k = c.k and e.ts > c.t0 + interval 300 second) n
+  where n.t is not null),
+first_at as (select c.k, min(e.event_id) as event_id from chain c join e on e.k = c.k and e.ts = c.t0 group by c.k, c.t0)
+select e.event_id, case when f.event_id is null then 0 else 1 end as compiled
+from e left join first_at f on f.event_id = e.event_id
+"""
+
+REQUEST_LOG = """
+select time_bucket(interval '1 hour', ts) as window_start, event_type as task_type,
+       case when event_type = 'error' then '502 ERR' else '200 OK' end as status,
+       count(*) as requests, sum(round(value * 100)::bigint) as tokens
+from events group by all
+"""
+
+VECTOR_REUSE = """
+with d as (select source as repo_id, doc_id as chunk_id, md5(text) as h from documents),
+s as (select distinct source as repo_id, md5(text) as h from documents where lang = 'en')
+select chunk_id, case when exists (select 1 from s where s.repo_id = d.repo_id and s.h = d.h) then 1 else 0 end
+       as reused
+from d
+"""
+
+ORACLE.update({
+    "debounce_sessions": DEBOUNCE_SESSIONS,
+    "debounce_flush": DEBOUNCE_FLUSH,
+    "changes_final_symbols": CHANGES_FINAL_SYMBOLS,
+    "changes_final_edges": CHANGES_FINAL_EDGES,
+    "ttl_cache": TTL_CACHE,
+    "request_log": REQUEST_LOG,
+    "vector_reuse": VECTOR_REUSE,
+})

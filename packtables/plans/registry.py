@@ -72,8 +72,8 @@ QUERIES = {
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Per conversation: signals (the full pack plan replaces this once built)."""
-    return q_signals(spark, sf)
+    """Compiled, budgeted context packs (one row per request)."""
+    return q_packs(spark, sf)
 
 
 # ---------------------------------------------------------------------------
@@ -343,3 +343,93 @@ def q_call_sites(spark, sf):
 
 
 QUERIES["call_sites"] = q_call_sites
+
+
+# ---------------------------------------------------------------------------
+# Change feed, request stream and persistence (batch twins of T1-T5, S7, A4)
+
+CHANGE_GAP_SECONDS = 600          # tests use 10 minutes (events are minutes apart)
+SNAPSHOT_CUTOFF = "2024-01-15 00:00:00"
+
+
+def q_debounce_sessions(spark, sf):
+    from packtables.streaming.changes import sessions
+
+    ch = fixture(spark, sf).changes
+    return sessions(ch, f"{CHANGE_GAP_SECONDS} seconds").select("repo_id", "session_start", "last_ts", "n_changes")
+
+
+def q_debounce_flush(spark, sf):
+    from packtables.streaming.changes import flush_rows
+
+    ch = fixture(spark, sf).changes
+    return flush_rows(ch, CHANGE_GAP_SECONDS).select("repo_id", "session_start", "path", "change_type", "seq")
+
+
+def _incremental_index(spark, sf):
+    """Initial build from the changes before a cutoff, then one flush with the rest."""
+    from packtables.operators import code
+    from packtables.session import cut_lineage
+    from packtables.streaming.changes import apply_flush, last_state
+
+    fx = fixture(spark, sf)
+    if not hasattr(fx, "incremental"):
+        ch = fx.changes
+        cut = F.lit(SNAPSHOT_CUTOFF).cast("timestamp")
+        files0 = cut_lineage(last_state(ch.filter(F.col("ts") < cut)))
+        tagged0 = cut_lineage(code.extract(files0))
+        nf, nt, edges = apply_flush(files0, tagged0, ch.filter(F.col("ts") >= cut))
+        fx.incremental = (cut_lineage(nf), cut_lineage(nt), edges)
+    return fx.incremental
+
+
+def q_changes_final_symbols(spark, sf):
+    from packtables.operators import code
+
+    _, tagged, _ = _incremental_index(spark, sf)
+    return code.symbols_of(tagged).select("repo_id", "path", "name", "kind", "start_line", "end_line")
+
+
+def q_changes_final_edges(spark, sf):
+    _, _, edges = _incremental_index(spark, sf)
+    return edges.select("repo_id", "src", "dst")
+
+
+def q_ttl_cache(spark, sf):
+    from packtables.streaming.requests import ttl_compiles
+
+    ev = read_table(spark, sf, "events").select("event_id", F.col("user_id").alias("fingerprint"), "ts",
+                                                F.col("event_id").alias("seq"))
+    t = ttl_compiles(ev, key="fingerprint", ts="ts", order="seq", ttl_seconds=OPTS.cache_ttl_seconds)
+    return t.select("event_id", F.col("compiled").cast("int").alias("compiled"))
+
+
+def q_request_log(spark, sf):
+    from packtables.streaming.requests import log_from_events, request_log
+
+    return request_log(log_from_events(read_table(spark, sf, "events")))
+
+
+def q_vector_reuse(spark, sf):
+    """Vectors already stored (earlier build: the English documents) are
+    reused by (repo, content hash); only unseen content is embedded."""
+    from packtables.sources.store import reuse_or_embed
+
+    docs = read_table(spark, sf, "documents").select(
+        F.col("source").alias("repo_id"), F.col("doc_id").alias("chunk_id"), "text", "lang")
+    stored = docs.filter(F.col("lang") == "en")
+    stored = stored.select("repo_id", F.md5("text").alias("content_hash"),
+                           F.array(F.length("text").cast("float")).alias("embedding"))
+    out = reuse_or_embed(docs.drop("lang"), stored, "text", dim=8)
+    return out.select("chunk_id", F.col("reused").cast("int").alias("reused"))
+
+
+QUERIES.update({
+    "debounce_sessions": q_debounce_sessions,
+    "debounce_flush": q_debounce_flush,
+    "changes_final_symbols": q_changes_final_symbols,
+    "changes_final_edges": q_changes_final_edges,
+    "ttl_cache": q_ttl_cache,
+    "request_log": q_request_log,
+    "vector_reuse": q_vector_reuse,
+})

@@ -132,8 +132,9 @@ def changes_from_events(events: DataFrame, files: DataFrame | None = None) -> Da
         .otherwise("modified").alias("change_type"),
         F.col("ts"), F.col("event_id").alias("seq"), F.col("user_id"))
     if files is not None:
-        ch = ch.join(files.select(F.col("file_id").alias("user_id"), F.col("content")), "user_id", "left")
-        ch = ch.withColumn("content", F.when(F.col("change_type") != "deleted", F.col("content")))
+        ch = ch.join(files.select(F.col("file_id").alias("user_id"), "content", "lang"), "user_id", "left")
+        ch = (ch.withColumn("content", F.when(F.col("change_type") != "deleted", F.col("content")))
+              .withColumn("lang", F.when(F.col("change_type") != "deleted", F.col("lang"))))
     return ch.drop("user_id")
 
 
