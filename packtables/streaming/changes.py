@@ -10,7 +10,7 @@ tables, writing a new snapshot version (readers always see a whole version).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packtables.operators import code, graph
@@ -49,20 +49,36 @@ def sessions(changes: DataFrame, gap: str, watermark: str | None = None) -> Data
                     "last_ts", "n_changes"))
 
 
+def assign_sessions(changes: DataFrame, closed: DataFrame, gap_seconds: float) -> DataFrame:
+    """Attach ``session_start`` to every change of the given sessions.
+
+    An as-of join done as an equi-join: sessions are exploded into the time
+    buckets of width ``gap`` they cover and joined with the changes on
+    ``(repo_id, bucket)``, then checked against the session bounds. Two
+    sessions of a repo are more than ``gap`` apart, so a bucket meets at most
+    two sessions, and a session covers at most one bucket per change plus
+    one: the join is linear and a busy repository is spread over many keys.
+    """
+    width = int(gap_seconds * 1_000_000)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sb = closed.select("repo_id", "session_start", "last_ts",
+                       F.explode(F.sequence(F.floor(us("session_start") / width), F.floor(us("last_ts") / width)))
+                       .alias("_b"))
+    ev = changes.withColumn("_b", F.floor(us("ts") / width))
+    return (ev.join(sb, ["repo_id", "_b"])
+            .filter((F.col("ts") >= F.col("session_start")) & (F.col("ts") <= F.col("last_ts")))
+            .drop("_b", "last_ts"))
+
+
 def flush_rows(changes: DataFrame, gap_seconds: float) -> DataFrame:
     """T1 + T2 (batch): the last change per path within each session.
 
-    A session starts where the gap to the previous event of the repository
-    exceeds ``gap_seconds``. Returns ``(repo_id, session_start, path,
-    change_type, seq, ts, content, lang)``.
+    Sessions come from ``sessions`` (merged map-side per repo); changes are
+    placed in their session by the bucketed equi-join of ``assign_sessions``.
+    Returns ``(repo_id, session_start, path, change_type, seq, ts, content, lang)``.
     """
-    w = Window.partitionBy("repo_id").orderBy("ts", "seq")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    c = changes.withColumn("_new", F.when(gap.isNull() | (gap > F.lit(int(gap_seconds * 1_000_000))), 1)
-                           .otherwise(0))
-    c = c.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.min("ts").over(Window.partitionBy("repo_id", "_sid"))
-    c = c.withColumn("session_start", start)
+    closed = sessions(changes, f"{int(gap_seconds * 1_000_000)} microseconds")
+    c = assign_sessions(changes, closed, gap_seconds)
     last = F.max_by(F.struct("change_type", "seq", "ts", "content", "lang"), "seq")
     return (c.groupBy("repo_id", "session_start", "path").agg(last.alias("l"))
             .select("repo_id", "session_start", "path", "l.change_type", "l.seq", "l.ts", "l.content", "l.lang"))
@@ -111,6 +127,7 @@ def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpo
 
     stream = read_change_stream(spark, change_dir)
     closed = sessions(watch_filter(stream), gap, watermark)
+    gap_seconds = _seconds(gap)
 
     def apply(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
@@ -118,10 +135,9 @@ def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpo
         bounds = batch.select("repo_id", "session_start", "last_ts")
         lo, hi = bounds.agg(F.min("session_start"), F.max("last_ts")).first()
         # only the closed sessions' time range is read (pushed to the scan)
-        raw = (spark.read.schema(CHANGE_SCHEMA).parquet(change_dir)
-               .filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))))
-        hits = (raw.join(bounds, "repo_id")
-                .filter((F.col("ts") >= F.col("session_start")) & (F.col("ts") <= F.col("last_ts"))))
+        raw = watch_filter(spark.read.schema(CHANGE_SCHEMA).parquet(change_dir)
+                           .filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))))
+        hits = assign_sessions(raw, bounds, gap_seconds)
         prev = _latest_version(spark, store_dir, before=batch_id)
         if prev is None:
             files = spark.createDataFrame([], "repo_id string, path string, content string, lang string")
@@ -157,3 +173,10 @@ def _latest_version(spark: SparkSession, store_dir: str, before: int | None = No
         v = v.filter(F.col("batch_id") < before)
     row = v.orderBy(F.col("batch_id").desc()).select("path").first()
     return row[0] if row else None
+
+
+def _seconds(interval: str) -> float:
+    n, unit = interval.split()
+    scale = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
+             "millisecond": 1e-3, "milliseconds": 1e-3}[unit]
+    return float(n) * scale
