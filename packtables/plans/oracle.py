@@ -766,3 +766,10 @@ ORACLE.update({
     "request_log": REQUEST_LOG,
     "vector_reuse": VECTOR_REUSE,
 })
+
+ORACLE["chat_bodies"] = """
+select conv_id as request_id,
+       md5(coalesce(string_agg(case when role = 'user' then text end, chr(10) order by turn), '')) as prompt_md5,
+       count(*) as n_messages
+from conversations group by conv_id
+"""

@@ -433,3 +433,21 @@ QUERIES.update({
     "request_log": q_request_log,
     "vector_reuse": q_vector_reuse,
 })
+
+
+def q_chat_bodies(spark, sf):
+    """S3 + P1 (wide form): conversations as JSON chat bodies, read back
+    through VARIANT, prompt assembled from the user messages."""
+    from packtables.sources.store import requests_from_bodies
+
+    conv = read_table(spark, sf, "conversations")
+    msgs = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
+                       lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    bodies = conv.groupBy(F.col("conv_id").alias("request_id")).agg(
+        F.to_json(F.struct(msgs.alias("messages"), F.lit(False).alias("stream"))).alias("body"))
+    r = requests_from_bodies(bodies)
+    return r.select("request_id", F.md5(sig.prompt_from_messages("messages")).alias("prompt_md5"),
+                    F.size("messages").alias("n_messages"))
+
+
+QUERIES["chat_bodies"] = q_chat_bodies
