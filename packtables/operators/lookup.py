@@ -22,18 +22,39 @@ def _grams(col: Column, q: int) -> Column:
                                         lambda i: F.substring(col, i, q)))
 
 
-def containing(needles: DataFrame, haystack: DataFrame, *, needle: str, value: str,
-               keys: tuple[str, ...] = ("repo_id",), q: int = 3) -> DataFrame:
+class GramIndex:
+    """The n-gram side of a lookup, built once per index version.
+
+    ``grams(keys..., _g, value, extra...)`` and ``freq(keys..., _g, _f)``.
+    """
+
+    def __init__(self, haystack: DataFrame, value: str, keys: tuple[str, ...] = ("repo_id",), q: int = 3,
+                 materialize: bool = False):
+        from packtables.session import cut_lineage
+
+        self.haystack, self.value, self.keys, self.q = haystack, value, list(keys), q
+        hay_cols = [c for c in haystack.columns if c not in self.keys]
+        grams = haystack.select(*self.keys, *hay_cols, F.explode(_grams(F.col(value), q)).alias("_g"))
+        freq = grams.groupBy(*self.keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
+        if materialize:
+            grams, freq = cut_lineage(grams), cut_lineage(freq)
+        self.grams, self.freq = grams, freq
+
+
+def containing(needles: DataFrame, haystack: DataFrame | None = None, *, needle: str, value: str,
+               keys: tuple[str, ...] = ("repo_id",), q: int = 3, index: GramIndex | None = None) -> DataFrame:
     """All ``(keys, needle, value)`` with ``contains(value, needle)``.
 
     ``needles(keys..., needle)`` and ``haystack(keys..., value, ...)``; extra
-    haystack columns are carried through.
+    haystack columns are carried through. A prebuilt ``index`` replaces the
+    haystack.
     """
-    keys = list(keys)
+    if index is None:
+        index = GramIndex(haystack, value, keys, q)
+    haystack, keys, q = index.haystack, list(index.keys), index.q
     nd = needles.select(*keys, needle).distinct()
     hay_cols = [c for c in haystack.columns if c not in keys]
-    hg = haystack.select(*keys, *hay_cols, F.explode(_grams(F.col(value), q)).alias("_g"))
-    freq = hg.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
+    hg, freq = index.grams, index.freq
     long_n = nd.filter(F.length(needle) >= q)
     ng = long_n.select(*keys, needle, F.explode(_grams(F.col(needle), q)).alias("_g"))
     ng = ng.join(freq, keys + ["_g"], "left").fillna(0, ["_f"])
@@ -61,9 +82,10 @@ def _all_short_subs(col: Column, max_len: int) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda s: F.length(s) > 0))
 
 
-def first_containing(needles: DataFrame, haystack: DataFrame, *, needle: str, value: str, order: Column | str,
-                     keys: tuple[str, ...] = ("repo_id",), q: int = 3, out: str = "match") -> DataFrame:
+def first_containing(needles: DataFrame, haystack: DataFrame | None = None, *, needle: str, value: str,
+                     order: Column | str, keys: tuple[str, ...] = ("repo_id",), q: int = 3, out: str = "match",
+                     index: GramIndex | None = None) -> DataFrame:
     """``(keys, needle, out)``: the first candidate (by ``order``) containing each needle."""
-    hit = containing(needles, haystack, needle=needle, value=value, keys=keys, q=q)
+    hit = containing(needles, haystack, needle=needle, value=value, keys=keys, q=q, index=index)
     o = F.col(order) if isinstance(order, str) else order
     return (hit.groupBy(*keys, needle).agg(F.min_by(F.col(value), o).alias(out)))

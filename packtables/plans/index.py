@@ -8,6 +8,7 @@ checkpoint folder) and every index table is a projection of them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,32 @@ class CodeIndex:
     errors: DataFrame
     keys: DataFrame
     edges: DataFrame
+    materialize: bool = True
 
     @property
     def chunks(self) -> DataFrame:
         return chunks_of(self.symbols)
 
+    @cached_property
+    def names(self) -> DataFrame:
+        """Distinct symbol names with their first definition (insertion order of the reference)."""
+        n = self.symbols.groupBy("repo_id", "name").agg(F.min(F.struct("path", "start_line", "col")).alias("first"))
+        return cut_lineage(n) if self.materialize else n
+
+    @cached_property
+    def name_grams(self):
+        """Bigram index of symbol names (J2 partial matches; mentions have 2+ characters)."""
+        from packtables.operators.lookup import GramIndex
+
+        return GramIndex(self.names, "name", q=2, materialize=self.materialize)
+
+    @cached_property
+    def path_grams(self):
+        """Trigram index of file paths (J4 / J5; file mentions have 3+ characters)."""
+        from packtables.operators.lookup import GramIndex
+
+        return GramIndex(self.files.select("repo_id", "path"), "path", q=3, materialize=self.materialize)
+
 
 def chunks_of(symbols: DataFrame, max_chars: int = 2000) -> DataFrame:
     """Function and method bodies, cut at ``max_chars``; classes and empty bodies excluded."""
@@ -53,8 +75,13 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
     calls = code.calls_of(tagged)
     keys = graph.path_keys(files)
     edges = graph.build_edges(imports, files, keys)
+    if path:
+        edges.write.mode("overwrite").parquet(f"{path}/edges")
+        edges = files.sparkSession.read.parquet(f"{path}/edges")
+    elif materialize:
+        edges = cut_lineage(edges)      # read by file expansion, blast radius and stats
     return CodeIndex(files=files, symbols=symbols, imports=imports, calls=calls, errors=code.errors_of(tagged),
-                     keys=keys, edges=edges)
+                     keys=keys, edges=edges, materialize=materialize or bool(path))
 
 
 def index_status(idx: CodeIndex, as_of=None) -> DataFrame:

@@ -224,7 +224,7 @@ def q_find_file(spark, sf):
 
     inp = strategy_inputs(spark, sf)
     m = inp.signals.select("repo_id", F.explode("file_mentions").alias("mention")).distinct()
-    return find_file(m, inp.index.files).select("mention", "resolved")
+    return find_file(m, inp.index).select("mention", "resolved")
 
 
 def q_file_expand(spark, sf):

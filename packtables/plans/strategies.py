@@ -107,12 +107,12 @@ def symbol_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> Da
     m = (signals.filter(gate("symbol"))
          .select("request_id", "repo_id", F.posexplode("symbols").alias("m_pos", "mention")))
     defs = idx.symbols
-    names = defs.groupBy("repo_id", "name").agg(F.min(F.struct("path", "start_line", "col")).alias("first"))
+    names = idx.names
     exact = m.join(names.select("repo_id", F.col("name").alias("mention")), ["repo_id", "mention"], "left_semi")
     miss = m.join(names.select("repo_id", F.col("name").alias("mention")), ["repo_id", "mention"], "left_anti")
     # First name (in definition order) that contains the mention
-    partial = first_containing(miss.select("repo_id", "mention"), names, needle="mention", value="name",
-                               order="first", q=2, out="name")
+    partial = first_containing(miss.select("repo_id", "mention"), needle="mention", value="name",
+                               order="first", out="name", index=idx.name_grams)
     hits = (exact.withColumn("name", F.col("mention"))
             .unionByName(miss.join(partial, ["repo_id", "mention"])))
     found = hits.join(defs, ["repo_id", "name"])
@@ -132,24 +132,23 @@ def symbol_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> Da
 # R2 file_expand
 
 
-def find_file(mentions: DataFrame, files: DataFrame, mention: str = "mention") -> DataFrame:
+def find_file(mentions: DataFrame, idx: CodeIndex, mention: str = "mention") -> DataFrame:
     """``(repo_id, mention, resolved)``: the first path (path order) containing the mention."""
-    return first_containing(mentions.select("repo_id", mention), files.select("repo_id", "path"),
-                            needle=mention, value="path", order="path", q=3, out="resolved")
+    return first_containing(mentions.select("repo_id", mention), needle=mention, value="path", order="path",
+                            out="resolved", index=idx.path_grams)
 
 
-def find_files(mentions: DataFrame, files: DataFrame, mention: str = "mention") -> DataFrame:
+def find_files(mentions: DataFrame, idx: CodeIndex, mention: str = "mention") -> DataFrame:
     """Every path containing the mention."""
     from packtables.operators.lookup import containing
 
-    return containing(mentions.select("repo_id", mention), files.select("repo_id", "path"),
-                      needle=mention, value="path", q=3)
+    return containing(mentions.select("repo_id", mention), needle=mention, value="path", index=idx.path_grams)
 
 
 def file_expand_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> DataFrame:
     m = (signals.filter(gate("file_expand"))
          .select("request_id", "repo_id", F.posexplode("file_mentions").alias("m_pos", "mention")))
-    res = m.join(find_file(m, idx.files), ["repo_id", "mention"])
+    res = m.join(find_file(m, idx), ["repo_id", "mention"])
     own = res.select("request_id", "repo_id", "m_pos", F.col("resolved").alias("path"),
                      F.lit(-1).cast("long").alias("k3"), F.lit(0).cast("long").alias("k4"))
     deps = (res.join(idx.edges.select("repo_id", F.col("src").alias("resolved"), "dst", "line", "col"),
