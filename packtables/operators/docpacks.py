@@ -7,7 +7,7 @@ the reference), until the pack fits the budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packtables.functions.text import cdata, xml_escape
@@ -17,7 +17,7 @@ from packtables.plans.xml import ROOT_CLOSE, literal_tokens, root_open, section_
 
 
 def budget_documents(docs: DataFrame, max_tokens: int = 6000, group_col: str = "source",
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", method: str = "scan") -> DataFrame:
     path = F.concat(F.col(group_col), F.lit("/doc_"), F.col(id_col).cast("string"))
     line = F.concat(F.lit('    <file path="'), xml_escape(path), F.lit('">'), cdata(F.col(text_col)), F.lit("</file>"))
     pack_id = F.substring(F.md5(F.col(group_col).cast("string")), 1, 8)
@@ -25,11 +25,14 @@ def budget_documents(docs: DataFrame, max_tokens: int = 6000, group_col: str = "
         F.col(group_col), F.col(id_col), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"),
         count_tokens(line).alias("tokens"),
         (count_tokens(root_open(pack_id)) + F.lit(literal_tokens(ROOT_CLOSE))).alias("base"))
-    # The section wrapper goes with the file that is dropped last (the shortest).
+    # The section wrapper goes with the file that is dropped last (the shortest,
+    # ties: highest id); an aggregate finds it without ordering the whole pack.
     order = [F.col("chars").desc(), F.col(id_col).asc()]
-    last = Window.partitionBy(group_col).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    steps = entries.withColumn(
-        "delta", F.col("tokens") + F.when(F.count(F.lit(1)).over(last) == 0, F.lit(section_tokens("files")))
-        .otherwise(F.lit(0)))
-    return apply_budget(steps, [group_col], order, budget=max_tokens)
+    last = (entries.groupBy(group_col).agg(F.min(F.struct("chars", (-F.col(id_col)).alias("nid"))).alias("m"))
+            .select(group_col, F.col("m.chars").alias("chars"), (-F.col("m.nid")).alias(id_col),
+                    F.lit(True).alias("_last")))
+    steps = (entries.join(last, [group_col, "chars", id_col], "left")
+             .withColumn("delta", F.col("tokens") + F.when(F.col("_last"), F.lit(section_tokens("files")))
+                         .otherwise(F.lit(0))).drop("_last"))
+    return apply_budget(steps, [group_col], order, budget=max_tokens, method=method)
 

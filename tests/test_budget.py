@@ -51,3 +51,20 @@ def test_halving_ladder(spark, n):
     df = spark.createDataFrame([(body,)], "b string")
     got = df.select(halving_ladder(F.col("b")).alias("v")).first().v
     assert got == (halving_loop(body) if body else [body])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.integers(-20, 200), min_size=0, max_size=40), min_size=1, max_size=4),
+       st.integers(0, 50), st.integers(0, 900))
+def test_scan_equals_greedy(spark, ladders, base, budget):
+    """The split-pack scan gives the greedy answer even when packs span many blocks."""
+    rows = [(p, i, d, base) for p, ds in enumerate(ladders) for i, d in enumerate(ds)]
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, "pack long, ord long, delta long, base long")
+    res = apply_budget(df, ["pack"], ["ord"], budget=budget, method="scan", num_blocks=7)
+    got = {(r.pack, r.ord): (r.applied, r.final_tokens) for r in res.collect()}
+    for p, ds in enumerate(ladders):
+        applied, final = greedy(base, ds, budget)
+        for i, a in enumerate(applied):
+            assert got[(p, i)] == (a, final)
