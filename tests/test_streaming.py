@@ -65,3 +65,34 @@ def test_ttl_stream_equals_batch(spark, tmp_path):
     streamed = {(r.seq, r.compiled) for r in spark.sql("select seq, compiled from ttl_t").collect()}
     batch = {(r.seq, r.compiled) for r in ttl_compiles(df).collect()}
     assert streamed == batch
+
+
+def test_follow_changes_equals_batch(spark, tmp_path):
+    """The snapshot left by the stream equals the batch rebuild of the final state."""
+    from packtables.operators import code
+    from packtables.streaming.changes import follow_changes, last_state
+
+    t0 = dt.datetime(2024, 1, 1)
+    py = "import b\n\ndef f():\n    return g()\n"
+    rows1 = [("r", "a.py", "added", t0, 1, py, "python"),
+             ("r", "b.py", "added", t0 + dt.timedelta(seconds=1), 2, "def g():\n    return 1\n", "python"),
+             ("r", "c.py", "added", t0 + dt.timedelta(seconds=1), 3, "x = 1\n", "python")]
+    rows2 = [("r", "c.py", "deleted", t0 + dt.timedelta(seconds=30), 4, None, None),
+             ("r", "b.py", "modified", t0 + dt.timedelta(seconds=31), 5, "def h():\n    return 2\n", "python"),
+             ("r", "x/README.md", "added", t0 + dt.timedelta(seconds=32), 6, "x", None),
+             ("r", "zz.py", "added", t0 + dt.timedelta(seconds=300), 7, "y = 2\n", "python")]   # closes session 2
+    feed, store, ck = tmp_path / "feed", str(tmp_path / "store"), str(tmp_path / "ck")
+    spark.createDataFrame(rows1, CHANGE_SCHEMA).write.parquet(str(feed / "p1"))
+    spark.createDataFrame(rows2, CHANGE_SCHEMA).write.parquet(str(feed / "p2"))
+    q = follow_changes(spark, str(feed / "*"), store, ck, gap="2 seconds", watermark="1 second", trigger_once=True)
+    q.awaitTermination(300)
+    versions = spark.read.parquet(f"{store}/_versions").orderBy("batch_id").collect()
+    latest = versions[-1].path
+    files = {(r.path, r.content) for r in spark.read.parquet(f"{latest}/files").collect()}
+    all_changes = spark.createDataFrame(rows1 + rows2[:-1], CHANGE_SCHEMA)
+    expect = {(r.path, r.content) for r in last_state(all_changes).filter("path like '%.py'").collect()}
+    assert files == expect
+    syms = {r.name for r in code.symbols_of(spark.read.parquet(f"{latest}/tagged")).collect()}
+    assert syms == {"f", "h"}
+    edges = {(r.src, r.dst) for r in spark.read.parquet(f"{latest}/edges").collect()}
+    assert edges == {("a.py", "b.py")}
