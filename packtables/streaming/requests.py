@@ -6,7 +6,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packtables.session import cut_lineage
@@ -18,16 +18,28 @@ def ttl_compiles(requests: DataFrame, key: str = "fingerprint", ts: str = "ts",
 
     A key compiles at its first request; a later request reuses the pack
     while ``ts <= t0 + ttl`` (``t0`` = last compile; hits do not extend the
-    life), else it compiles again. The chain of compiles is a pointer chain
-    ``i -> next(i)`` (first request after ``ts_i + ttl``), followed from each
-    key's first request by pointer doubling: O(log n) rounds of equi-joins,
-    no per-key loop and no collected groups. Adds ``compiled`` (bool).
+    life), else it compiles again. ``order`` must be unique per key.
+
+    The chain of compiles is a pointer chain ``i -> next(i)`` (first request
+    after ``ts_i + ttl``). Positions come from one running count over the
+    requests merged with probe rows at ``ts_i + ttl`` (``scan.running_sum``:
+    a key with a large share of all requests is split over tasks). The chain
+    is then followed from each key's first request by pointer doubling:
+    O(log n) rounds of equi-joins on ``(key, position)``, no per-key loop and
+    no collected groups. Adds ``compiled`` (bool).
     """
+    from packtables.operators.scan import running_sum
+
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(ts, order)
-    r = requests.withColumn("_idx", F.row_number().over(w)).withColumn("_us", us)
-    wr = Window.partitionBy(key).orderBy("_us").rangeBetween(Window.unboundedPreceding, ttl_seconds * 1_000_000)
-    r = cut_lineage(r.withColumn("_nxt", F.count(F.lit(1)).over(wr) + 1))
+    base = requests.select(key, order, us.alias("_t"))
+    events = base.select(key, order, "_t", F.lit(0).alias("_kind"), F.lit(1).alias("_one"))
+    probes = base.select(key, order, (F.col("_t") + ttl_seconds * 1_000_000).alias("_t"), F.lit(1).alias("_kind"),
+                         F.lit(0).alias("_one"))
+    counted = running_sum(events.unionByName(probes), [key], ["_t", "_kind", order], "_one", "_run")
+    pos = (counted.groupBy(key, order)
+           .agg(F.max(F.when(F.col("_kind") == 0, F.col("_run"))).alias("_idx"),
+                F.max(F.when(F.col("_kind") == 1, F.col("_run") + 1)).alias("_nxt")))
+    r = cut_lineage(requests.join(pos, [key, order]))
     jump = r.select(key, F.col("_idx").alias("i"), F.col("_nxt").alias("j"))
     n_max = r.agg(F.max("_idx")).first()[0] or 0
     reached = r.filter(F.col("_idx") == 1).select(key, F.col("_idx").alias("i"))
@@ -42,7 +54,7 @@ def ttl_compiles(requests: DataFrame, key: str = "fingerprint", ts: str = "ts",
                                    F.coalesce(F.col("b.j"), F.col("a.j")).alias("j")))
         span *= 2
     out = r.join(reached.withColumnRenamed("i", "_idx").withColumn("compiled", F.lit(True)), [key, "_idx"], "left")
-    return out.withColumn("compiled", F.coalesce("compiled", F.lit(False))).drop("_idx", "_us", "_nxt")
+    return out.withColumn("compiled", F.coalesce("compiled", F.lit(False))).drop("_idx", "_nxt")
 
 
 def _ttl_state(key_cols, ttl_seconds):

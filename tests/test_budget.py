@@ -68,3 +68,17 @@ def test_scan_equals_greedy(spark, ladders, base, budget):
         applied, final = greedy(base, ds, budget)
         for i, a in enumerate(applied):
             assert got[(p, i)] == (a, final)
+
+
+def test_running_sum_hot_key(spark):
+    """One key holds most rows; the split-block running sum equals a plain cumulative sum."""
+    from packtables.operators.scan import running_sum
+
+    rows = [("hot", i, (i * 7) % 5) for i in range(300)] + [(f"k{j}", i, 1) for j in range(5) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    got = {(r.k, r.o): r.s for r in running_sum(df, ["k"], ["o"], "v", "s", num_blocks=9).collect()}
+    exp, acc = {}, {}
+    for k, o, v in sorted(rows):
+        acc[k] = acc.get(k, 0) + v
+        exp[(k, o)] = acc[k]
+    assert got == exp
