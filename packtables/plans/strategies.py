@@ -248,7 +248,18 @@ class StrategyInputs:
     commit_summary: DataFrame   # repo_id, path, rank, hash, message, author, date
 
 
-def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions()) -> DataFrame:
+@dataclass
+class Strategy:
+    """U4: a user strategy. ``fn(signals, inputs, opts)`` returns rows for
+    ``entries(df, section, ...)``; it runs for requests where ``gate`` holds,
+    after the built-in strategies."""
+    name: str
+    gate: Column
+    fn: object
+
+
+def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
+                   extra: list[Strategy] | tuple = ()) -> DataFrame:
     """R1-R7 staged: returns all pack entries before budgeting.
 
     R8: a strategy that cannot be planned (missing input table, bad option)
@@ -272,8 +283,9 @@ def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions()) -> Da
     blast = safe(lambda: blast_radius_strategy(sig, inp.index, sym_, fil_, opts))
     blast_ = blast if blast is not None else empty
     git = safe(lambda: git_strategy(sig, inp.commit_summary, sym_, fil_, blast_, opts=opts))
+    custom = [safe(lambda st=st: st.fn(sig.filter(st.gate), inp, opts)) for st in extra]
     out = None
-    for part in (sym, fil, sem, blast, conv, git):
+    for part in (sym, fil, sem, blast, conv, git, *custom):
         if part is not None:
             out = part if out is None else out.unionByName(part)
     return out if out is not None else empty
