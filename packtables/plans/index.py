@@ -100,3 +100,23 @@ def chunks_per_file(chunks: DataFrame) -> DataFrame:
     per = chunks.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("n_chunks"))
     tot = per.groupBy("repo_id").agg(F.sum("n_chunks").alias("total_chunks"), F.count(F.lit(1)).alias("total_files"))
     return per.join(tot, "repo_id")
+
+
+def embed_chunks(idx: CodeIndex, stored: DataFrame | None = None, embedder=None, dim: int = 64) -> DataFrame:
+    """Chunks with vectors (U1 + S7): stored vectors are reused by (repo, content hash),
+    only new chunk text goes through the embedder."""
+    from packtables.operators.vectors import embed_column
+    from packtables.sources.store import reuse_or_embed
+
+    chunks = idx.chunks
+    if stored is None:
+        return embed_column(chunks, "text", "embedding", embedder=embedder, dim=dim)
+    return reuse_or_embed(chunks, stored, "text", embedder=embedder, dim=dim)
+
+
+def embed_queries(signals: DataFrame, embedder=None, dim: int = 64) -> DataFrame:
+    """Query vectors from each request's scope hint (the text the reference embeds)."""
+    from packtables.operators.vectors import embed_column
+
+    return embed_column(signals.select("request_id", "scope_hint"), "scope_hint", "embedding",
+                        embedder=embedder, dim=dim).select("request_id", "embedding")

@@ -38,3 +38,21 @@ def test_routing_gates(spark):
     got = {(r.request_id, r.strategy) for r in routes(sig).collect()}
     assert got == {(1, "symbol"), (1, "semantic"), (1, "blast_radius"), (1, "git_ctx"),
                    (2, "file_expand"), (2, "semantic"), (3, "semantic"), (3, "git_ctx")}
+
+
+def test_embedded_queries_and_chunks_end_to_end(spark):
+    """Production path: scope hints and chunk bodies embedded by the U1 hook, then packs."""
+    from packtables.plans.index import embed_chunks, embed_queries
+    from packtables.plans.packs import compile_packs
+    from packtables.plans.strategies import StrategyInputs
+
+    inp = R.strategy_inputs(spark, SF)
+    idx = inp.index
+    chunks = embed_chunks(idx, dim=16)
+    qv = embed_queries(inp.signals, dim=16)
+    assert chunks.filter(F.size("embedding") != 16).count() == 0
+    packs = compile_packs(StrategyInputs(inp.signals, idx, chunks, qv, inp.commit_summary), R.OPTS)
+    rows = packs.collect()
+    assert len(rows) == inp.signals.count()
+    assert all(r.token_count <= R.OPTS.max_pack_tokens for r in rows)
+    assert sum(r.n_semantic_chunks for r in rows) > 0
