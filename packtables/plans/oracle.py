@@ -773,3 +773,14 @@ select conv_id as request_id,
        count(*) as n_messages
 from conversations group by conv_id
 """
+
+ORACLE["preview"] = packs_sql("""
+select p.request_id,
+       to_json({'signals': {'task_type': s.task_type, 'symbols': s.symbols, 'file_mentions': s.files,
+                            'scope_hint': s.raw_prompt},
+                'pack_xml': p.xml, 'pack_tokens': p.token_count,
+                'summary': {'n_symbols': p.n_symbols, 'n_files': p.n_files,
+                            'n_semantic_chunks': p.n_semantic_chunks, 'n_conventions': p.n_conventions,
+                            'n_git_entries': p.n_git_entries, 'token_count': p.token_count}}) as preview
+from packs2 p join sig s using (request_id)
+""")

@@ -11,7 +11,7 @@ from tools.oracle_check import TABLES, digest
 SF = "/root/testdata/sf0.001"
 FAST = ["signals", "vector_knn", "budget_documents", "text_helpers", "code_symbols", "dep_edges",
         "dependents", "path_filters", "symbol_strategy", "file_expand", "semantic", "git_context", "packs",
-        "enriched", "debounce_flush", "ttl_cache", "request_log"]
+        "enriched", "debounce_flush", "ttl_cache", "request_log", "preview", "chat_bodies", "call_sites"]
 
 
 def test_entry_runs(spark):
