@@ -259,12 +259,17 @@ class Strategy:
 
 
 def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
-                   extra: list[Strategy] | tuple = ()) -> DataFrame:
+                   extra: list[Strategy] | tuple = (), materialize: bool = False) -> DataFrame:
     """R1-R7 staged: returns all pack entries before budgeting.
 
     R8: a strategy that cannot be planned (missing input table, bad option)
-    contributes nothing; the others still run.
+    contributes nothing; the others still run. With ``materialize`` the
+    stage-0 results that later stages read again (symbol and file entries,
+    vector hits) are written once to the shared checkpoint folder.
     """
+    from packtables.session import cut_lineage
+
+    keep = cut_lineage if materialize else (lambda df: df)
     def safe(fn):
         try:
             return fn()
@@ -272,9 +277,9 @@ def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
             return None
 
     sig = inp.signals
-    sym = safe(lambda: symbol_strategy(sig, inp.index, opts))
-    fil = safe(lambda: file_expand_strategy(sig, inp.index, opts))
-    hits = safe(lambda: semantic_hits(sig, inp.query_vectors, inp.chunks, opts))
+    sym = safe(lambda: keep(symbol_strategy(sig, inp.index, opts)))
+    fil = safe(lambda: keep(file_expand_strategy(sig, inp.index, opts)))
+    hits = safe(lambda: keep(semantic_hits(sig, inp.query_vectors, inp.chunks, opts)))
     sem = safe(lambda: semantic_strategy(hits, opts)) if hits is not None else None
     conv = safe(lambda: convention_strategy(hits, sig, opts)) if hits is not None else None
     empty = entries(sig.limit(0), "files")
