@@ -85,7 +85,7 @@ def _all_short_subs(col: Column, max_len: int) -> Column:
 def first_containing(needles: DataFrame, haystack: DataFrame | None = None, *, needle: str, value: str,
                      order: Column | str, keys: tuple[str, ...] = ("repo_id",), q: int = 3, out: str = "match",
                      index: GramIndex | None = None) -> DataFrame:
-    """``(keys, needle, out)``: the first candidate (by ``order``) containing each needle."""
+    """``(keys, needle, out)``: the first candidate (by ``order``) containing each needle."""
     hit = containing(needles, haystack, needle=needle, value=value, keys=keys, q=q, index=index)
     o = F.col(order) if isinstance(order, str) else order
     return (hit.groupBy(*keys, needle).agg(F.min_by(F.col(value), o).alias(out)))

@@ -17,7 +17,7 @@ import bisect
 import re
 
 # ---------------------------------------------------------------------------
-# Python
+# Python (X1 definitions, X4 imports, X7 calls)
 
 
 def scan_python(text: str) -> list[dict]:
@@ -152,7 +152,7 @@ def _sig(text_lines: list[str], line: int) -> str:
 
 
 # ---------------------------------------------------------------------------
-# JavaScript / TypeScript
+# JavaScript / TypeScript (X2 definitions, X5 imports, X7 calls)
 
 _JS_FUNC_RE = re.compile(r"(?<![\w$.])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\s*\(")
 _JS_CLASS_RE = re.compile(r"(?<![\w$.])class\s+([A-Za-z_$][\w$]*)[^{;]*\{")
@@ -231,8 +231,6 @@ def scan_js(text: str) -> list[dict]:
                 continue
             open_pos = m.end() - 1
             close = _match_brace(masked, open_pos)
-            start = m.start(1) if masked[m.start():m.start(1)].strip() == "" else m.start() + len(
-                masked[m.start():m.end()]) - len(masked[m.start():m.end()].lstrip())
             start = m.start() + (len(masked[m.start():m.end()]) - len(masked[m.start():m.end()].lstrip()))
             out.append(dict(tag="symbol", name=f"{name}.{m.group(1)}", kind="method",
                             start_line=lines.line(start), end_line=lines.line(close), col=start,
@@ -276,7 +274,7 @@ def scan_js(text: str) -> list[dict]:
 
 
 # ---------------------------------------------------------------------------
-# Go
+# Go (X3 definitions, X6 imports, X7 calls)
 
 _GO_FUNC_RE = re.compile(r"(?m)^func\s+(?:\(([^)]*)\)\s*)?([A-Za-z_][\w]*)\s*(?:\[[^\]]*\])?\s*\(")
 _GO_TYPE_RE = re.compile(r"(?m)^type\s+(\()?")
@@ -314,7 +312,6 @@ def scan_go(text: str) -> list[dict]:
             kind = "method"
             params = m.group(1).strip().split()
             rcv = params[-1].lstrip("*") if params else ""
-            rcv = rcv.split("[")[0] if False else rcv
             name = f"{rcv}.{name}" if rcv else name
         out.append(dict(tag="symbol", name=name, kind=kind, start_line=lines.line(m.start()),
                         end_line=lines.line(close), col=m.start(), body=text[m.start():close + 1],
