@@ -96,3 +96,19 @@ def test_follow_changes_equals_batch(spark, tmp_path):
     assert syms == {"f", "h"}
     edges = {(r.src, r.dst) for r in spark.read.parquet(f"{latest}/edges").collect()}
     assert edges == {("a.py", "b.py")}
+
+
+def test_enrich_stream_writes_each_batch(spark, tmp_path):
+    """A request stream compiled micro-batch by micro-batch (here: signals only)."""
+    from packtables.functions.signals import with_signals
+    from packtables.streaming.requests import enrich_stream
+
+    src = tmp_path / "req"
+    spark.createDataFrame([(1, "fix FooBar"), (2, "explain a.py")], "request_id long, prompt string") \
+        .write.parquet(str(src))
+    stream = spark.readStream.schema("request_id long, prompt string").parquet(str(src))
+    q = enrich_stream(stream, lambda b: with_signals(b).select("request_id", "task_type"),
+                      str(tmp_path / "out"), str(tmp_path / "ck"), trigger_once=True)
+    q.awaitTermination(120)
+    got = {(r.request_id, r.task_type) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, "debug"), (2, "explain")}
