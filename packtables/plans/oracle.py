@@ -70,7 +70,7 @@ with p as (
   from conversations group by conv_id),
 {signals_sql('p')}
 select request_id, task_type, array_to_string(symbols, ' ') as symbols, array_to_string(files, ' ') as file_mentions,
-       length(raw_prompt) as prompt_chars, 1 as scope_is_prompt, fingerprint
+       length(raw_prompt)::INTEGER as prompt_chars, 1 as scope_is_prompt, fingerprint
 from sig
 """
 
@@ -80,7 +80,7 @@ with d as (
          list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as distance
   from embeddings a join embeddings b on a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by distance, chunk_id) as rank from d)
-select query_id, chunk_id, rank, round(1.0 / (1.0 + distance), 6) as score
+select query_id, chunk_id, rank::INTEGER as rank, round(1.0 / (1.0 + distance), 6) as score
 from r where rank <= 8 and 1.0 / (1.0 + distance) >= 0.40
 """
 
@@ -116,15 +116,15 @@ f as (
   select *, min(remaining) over (partition by source order by chars desc, doc_id asc
                                  rows between unbounded preceding and current row) > 6000 as applied
   from r)
-select source, doc_id, tokens, remaining, applied::int as dropped,
-       base + sum(case when applied then 0 else delta end) over (partition by source) as final_tokens
+select source, doc_id, tokens::INTEGER as tokens, remaining::BIGINT as remaining, applied::int as dropped,
+       (base + sum(case when applied then 0 else delta end) over (partition by source))::BIGINT as final_tokens
 from f
 """
 
 TEXT_HELPERS = f"""
 with d as (select *, string_split(text, chr(10)) as ls, source || '/doc_' || doc_id as seed from documents)
 select doc_id,
-  {tokens_sql('text')} as tokens,
+  ({tokens_sql('text')})::INTEGER as tokens,
   md5(case when text is null or text = '' then text
            when len(ls) > 60 then array_to_string(ls[1:60], chr(10)) || chr(10) || '  // ... truncated'
            else text end) as truncated_md5,
@@ -238,7 +238,7 @@ from fx_files
 """, ("fx_files",))
 
 CHUNKS_PER_FILE = with_views("""
-select path, 2 as n_chunks, 2 * (select count(*) from fx_files) as total_chunks,
+select path, 2::BIGINT as n_chunks, 2 * (select count(*) from fx_files) as total_chunks,
        (select count(*) from fx_files) as total_files
 from fx_files
 """, ("fx_files",))
@@ -433,7 +433,7 @@ select request_id, name, path, line, signature, md5(body) as body_md5, sites, m_
 FIND_FILE = retrieval("select distinct mention, resolved from res where resolved is not null")
 
 FILE_EXPAND = retrieval("""
-select request_id, path, md5(content) as content_md5, m_pos as mention_rank, k3 as import_line from r2
+select request_id, path, md5(content) as content_md5, m_pos as mention_rank, k3::BIGINT as import_line from r2
 """)
 
 SEMANTIC = retrieval("select request_id, path, rank, round(score, 6) as score, md5(text) as text_md5 from r3")
@@ -447,7 +447,7 @@ select request_id, path, seed,
 from r4
 """)
 
-RECENT_COMMITS = retrieval("select path, rank, hash, message, author, date from summary2")
+RECENT_COMMITS = retrieval("select path, rank::INTEGER as rank, hash, message, author, date from summary2")
 
 GIT_CONTEXT = retrieval("select request_id, path, commits from r6")
 
@@ -670,8 +670,9 @@ def packs_sql(select: str) -> str:
 
 
 PACKS = packs_sql("""
-select request_id, task_id, token_count, n_symbols, n_files, n_semantic_chunks, n_conventions, n_git_entries,
-       md5(xml) as xml_md5
+select request_id, task_id, token_count::BIGINT as token_count, n_symbols::BIGINT as n_symbols,
+       n_files::BIGINT as n_files, n_semantic_chunks::BIGINT as n_semantic_chunks,
+       n_conventions::BIGINT as n_conventions, n_git_entries::BIGINT as n_git_entries, md5(xml) as xml_md5
 from packs2
 """)
 
@@ -745,7 +746,7 @@ from e left join first_at f on f.event_id = e.event_id
 REQUEST_LOG = """
 select time_bucket(interval '1 hour', ts) as window_start, event_type as task_type,
        case when event_type = 'error' then '502 ERR' else '200 OK' end as status,
-       count(*) as requests, sum(round(value * 100)::bigint) as tokens
+       count(*) as requests, sum(round(value * 100)::bigint)::BIGINT as tokens
 from events group by all
 """
 
@@ -770,7 +771,7 @@ ORACLE.update({
 ORACLE["chat_bodies"] = """
 select conv_id as request_id,
        md5(coalesce(string_agg(case when role = 'user' then text end, chr(10) order by turn), '')) as prompt_md5,
-       count(*) as n_messages
+       count(*)::INTEGER as n_messages
 from conversations group by conv_id
 """
 
@@ -781,6 +782,6 @@ select p.request_id,
                 'pack_xml': p.xml, 'pack_tokens': p.token_count,
                 'summary': {'n_symbols': p.n_symbols, 'n_files': p.n_files,
                             'n_semantic_chunks': p.n_semantic_chunks, 'n_conventions': p.n_conventions,
-                            'n_git_entries': p.n_git_entries, 'token_count': p.token_count}}) as preview
+                            'n_git_entries': p.n_git_entries, 'token_count': p.token_count}})::VARCHAR as preview
 from packs2 p join sig s using (request_id)
 """)
