@@ -256,9 +256,14 @@ def q_convention(spark, sf):
 
 
 def _stage0(inp):
+    """Symbol and file entries, written once (as ``compile_packs`` does) for the later stages."""
     from packtables.plans.strategies import file_expand_strategy, symbol_strategy
+    from packtables.session import cut_lineage
 
-    return symbol_strategy(inp.signals, inp.index, OPTS), file_expand_strategy(inp.signals, inp.index, OPTS)
+    if not hasattr(inp, "stage0"):
+        inp.stage0 = (cut_lineage(symbol_strategy(inp.signals, inp.index, OPTS)),
+                      cut_lineage(file_expand_strategy(inp.signals, inp.index, OPTS)))
+    return inp.stage0
 
 
 def q_blast_radius(spark, sf):
