@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from packtables.streaming.changes import CHANGE_SCHEMA, flush_rows, sessions
 from packtables.streaming.requests import ttl_compiles, ttl_compiles_stream
