@@ -622,8 +622,14 @@ w4 as (
          coalesce(max(case when phase = 5 and applied then step end)
            over (partition by request_id, section, p0, p1, p2, p3, p4, p5), 0) as halved
   from w3),
+w5 as (
+  select *, max(case when phase = 2 and applied then 1 else 0 end) over (partition by request_id) as sem_sorted,
+            max(case when phase = 3 and applied then 1 else 0 end) over (partition by request_id) as files_sorted
+  from w4),
 kept as (
   select w.request_id, w.section, w.p0, w.p1, w.p2, w.p3, w.p4, w.p5, w.final_tokens,
+         case when w.section = 'semantic_matches' and w.sem_sorted = 1 then -w.score
+              when w.section = 'files' and w.files_sorted = 1 then -w.chars else 0 end as okey,
          case when w.section = 'symbols' then
            e.head || case when coalesce(v.v, '') <> '' then chr(10) || '      <body>' || {cdata_sql('v.v')} || '</body>'
                           else '' end
@@ -631,7 +637,7 @@ kept as (
          else w.xml end as xml,
          case w.section when 'symbols' then 0 when 'files' then 1 when 'semantic_matches' then 2
                         when 'conventions' then 3 else 4 end as sec_rank
-  from w4 w
+  from w5 w
   left join e_sym2 e on w.section = 'symbols' and e.request_id = w.request_id and e.m_pos = w.p1
                       and e.path = w.p2 and e.line = w.p3
   left join vtok v on w.section = 'symbols' and v.request_id = w.request_id and v.m_pos = w.p1
@@ -639,7 +645,7 @@ kept as (
   where w.phase not in (4, 5) and w.dropped = 0),
 blocks as (
   select request_id, sec_rank, section,
-         '  <' || section || '>' || chr(10) || string_agg(xml, chr(10) order by p0, p1, p2, p3, p4, p5) || chr(10)
+         '  <' || section || '>' || chr(10) || string_agg(xml, chr(10) order by okey, p0, p1, p2, p3, p4, p5) || chr(10)
          || '  </' || section || '>' as block,
          count(*) as n, max(final_tokens) as final_tokens
   from kept group by request_id, sec_rank, section),
