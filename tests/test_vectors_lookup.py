@@ -36,3 +36,18 @@ def test_containing_equals_brute_force(spark):
     first = {r.mention: r.match for r in first_containing(n, h, needle="mention", value="path",
                                                          order="path", q=3).collect()}
     assert first == {x: min(p for p in hay if x in p) for x in needles if any(x in p for p in hay)}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(alphabet="ab/.c", min_size=1, max_size=8), min_size=1, max_size=12, unique=True),
+       st.lists(st.text(alphabet="ab/.c", min_size=1, max_size=4), min_size=1, max_size=8, unique=True),
+       st.sampled_from([2, 3]))
+def test_containing_random(spark, hay, needles, q):
+    h = spark.createDataFrame([("r", p) for p in hay], "repo_id string, path string")
+    n = spark.createDataFrame([("r", x) for x in needles], "repo_id string, mention string")
+    got = {(r.mention, r.path) for r in containing(n, h, needle="mention", value="path", q=q).collect()}
+    assert got == {(x, p) for x in needles for p in hay if x in p}
