@@ -123,3 +123,26 @@ def enrich_stream(requests: DataFrame, compile_batch, sink_dir: str, checkpoint_
     if trigger_once:
         q = q.trigger(availableNow=True)
     return q.start()
+
+
+def pack_compiler(index, chunks: DataFrame, commit_summary: DataFrame, opts=None, embedder=None, dim: int = 64):
+    """T6 + B7: a ``compile_batch`` for ``enrich_stream``.
+
+    Each micro-batch of ``(request_id, repo_id, prompt)`` gets its signals,
+    query vectors from the scope hints (U1 hook), and its packs compiled
+    against the static index tables.
+    """
+    from packtables.functions.signals import with_signals
+    from packtables.options import PackOptions
+    from packtables.plans.index import embed_queries
+    from packtables.plans.packs import compile_packs
+    from packtables.plans.strategies import StrategyInputs
+
+    opts = opts or PackOptions()
+
+    def compile_batch(batch: DataFrame) -> DataFrame:
+        sig = with_signals(batch, word_boundaries=opts.word_boundaries)
+        qv = embed_queries(sig, embedder=embedder, dim=dim)
+        return compile_packs(StrategyInputs(sig, index, chunks, qv, commit_summary), opts)
+
+    return compile_batch

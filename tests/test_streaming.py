@@ -111,3 +111,23 @@ def test_enrich_stream_writes_each_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.request_id, r.task_type) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "debug"), (2, "explain")}
+
+
+def test_enrich_stream_compiles_packs(spark, tmp_path):
+    """T6 with the ready-made compiler: packs for a streamed batch of requests."""
+    from packtables.plans import registry as R
+    from packtables.plans.index import embed_chunks
+    from packtables.streaming.requests import enrich_stream, pack_compiler
+
+    sf = "/root/testdata/sf0.001"
+    inp = R.strategy_inputs(spark, sf)
+    reqs = R.fixture(spark, sf).requests.limit(5)
+    src = tmp_path / "req"
+    reqs.write.parquet(str(src))
+    stream = spark.readStream.schema(reqs.schema).parquet(str(src))
+    fn = pack_compiler(inp.index, embed_chunks(inp.index, dim=16), inp.commit_summary, R.OPTS, dim=16)
+    q = enrich_stream(stream, fn, str(tmp_path / "out"), str(tmp_path / "ck"), trigger_once=True)
+    q.awaitTermination(300)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(out) == 5 and all(r.token_count <= R.OPTS.max_pack_tokens and r.xml.startswith("<context_pack")
+                                 for r in out)
