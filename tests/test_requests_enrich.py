@@ -44,3 +44,16 @@ def test_enrich_messages(spark):
     assert [p.text for p in out[2][0].parts] == ["<P2/>", "sys"]
     assert [(m.role, m.content) for m in out[3]] == [("user", "q")]
     assert [(m.role, m.content) for m in out[4]] == [("user", "q")]
+
+
+def test_read_requests_json_file(spark, tmp_path):
+    from packtables.sources.store import read_requests_json
+
+    docs = [{"request_id": 7, "ts": "2024-01-01T00:00:00Z",
+             "body": {"messages": [{"role": "user", "content": [{"type": "text", "text": "fix FooBar"}]}],
+                      "stream": True}}]
+    p = tmp_path / "req.jsonl"
+    p.write_text("\n".join(json.dumps(d) for d in docs))
+    r = read_requests_json(spark, str(p))
+    row = r.select("request_id", prompt_from_messages("messages").alias("p")).first()
+    assert (row.request_id, row.p) == (7, "fix FooBar")
