@@ -87,20 +87,30 @@ def routes(signals: DataFrame) -> DataFrame:
 # R1 symbol
 
 
-def call_sites(calls: DataFrame, names: DataFrame, max_sites: int) -> DataFrame:
+def _last_segment(c: Column) -> Column:
+    return F.element_at(F.split(c, r"\."), -1)
+
+
+def call_sites(calls: DataFrame, names: DataFrame, max_sites: int, match: str = "exact") -> DataFrame:
     """First ``max_sites`` call sites per ``(repo_id, name)`` in file order.
 
-    The top-k window plans a partial limit before the shuffle, so a callee
-    called from a third of all files sends at most ``max_sites`` rows per task.
+    ``match="exact"`` joins on the callee text as written (the reference);
+    ``match="last_segment"`` joins ``obj.save`` with ``Cls.save`` (Q6). The
+    top-k is taken per callee key before names are joined, so a key shared by
+    many definitions never pairs every call with every definition; the
+    top-k window plans a partial limit before the shuffle.
     """
-    c = calls.join(names.select("repo_id", F.col("name").alias("symbol_name")).distinct(),
-                   ["repo_id", "symbol_name"], "left_semi")
-    w = Window.partitionBy("repo_id", "symbol_name").orderBy("path", "line", "col")
+    key = (lambda c: c) if match == "exact" else _last_segment
+    n = names.select("repo_id", "name").distinct().withColumn("_key", key(F.col("name")))
+    c = calls.withColumn("_key", key(F.col("symbol_name")))
+    c = c.join(n.select("repo_id", "_key").distinct(), ["repo_id", "_key"], "left_semi")
+    w = Window.partitionBy("repo_id", "_key").orderBy("path", "line", "col")
     top = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_sites)
-    return (top.groupBy("repo_id", F.col("symbol_name").alias("name"))
-            .agg(F.array_sort(F.collect_list(F.struct("_r", "path", "line"))).alias("_s"))
+    per_key = (top.groupBy("repo_id", "_key")
+               .agg(F.array_sort(F.collect_list(F.struct("_r", "path", "line"))).alias("_s")))
+    return (n.join(per_key, ["repo_id", "_key"])
             .select("repo_id", "name", F.transform("_s", lambda s: F.struct(s["path"].alias("path"),
-                                                                             s["line"].alias("line"))).alias("sites")))
+                                                                            s["line"].alias("line"))).alias("sites")))
 
 
 def symbol_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> DataFrame:
@@ -119,7 +129,7 @@ def symbol_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> Da
     # One entry per (name, path), the first in insertion order
     w = Window.partitionBy("request_id", "name", "path").orderBy("m_pos", "start_line", "col")
     found = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-    sites = call_sites(idx.calls, found.select("repo_id", "name"), opts.max_call_sites)
+    sites = call_sites(idx.calls, found.select("repo_id", "name"), opts.max_call_sites, opts.call_match)
     found = found.join(sites, ["repo_id", "name"], "left")
     return entries(found, "symbols",
                    pos=pos(0, F.col("m_pos"), F.col("path"), F.col("start_line"), F.col("col")),
@@ -132,8 +142,20 @@ def symbol_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> Da
 # R2 file_expand
 
 
-def find_file(mentions: DataFrame, idx: CodeIndex, mention: str = "mention") -> DataFrame:
-    """``(repo_id, mention, resolved)``: the first path (path order) containing the mention."""
+def find_file(mentions: DataFrame, idx: CodeIndex, mention: str = "mention", match: str = "contains") -> DataFrame:
+    """``(repo_id, mention, resolved)``: the first path (path order) containing the mention.
+
+    ``match="suffix"`` instead equi-joins the mention with the path suffixes
+    that start at a ``/`` (cheaper; it can pick another file than the first
+    one containing the text).
+    """
+    if match == "suffix":
+        parts = F.split(F.col("path"), "/")
+        sufs = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                           lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+        s = idx.files.select("repo_id", "path", F.explode(sufs).alias(mention))
+        return (mentions.select("repo_id", mention).distinct().join(s, ["repo_id", mention])
+                .groupBy("repo_id", mention).agg(F.min("path").alias("resolved")))
     return first_containing(mentions.select("repo_id", mention), needle=mention, value="path", order="path",
                             out="resolved", index=idx.path_grams)
 
@@ -148,7 +170,7 @@ def find_files(mentions: DataFrame, idx: CodeIndex, mention: str = "mention") ->
 def file_expand_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> DataFrame:
     m = (signals.filter(gate("file_expand"))
          .select("request_id", "repo_id", F.posexplode("file_mentions").alias("m_pos", "mention")))
-    res = m.join(find_file(m, idx), ["repo_id", "mention"])
+    res = m.join(find_file(m, idx, match=opts.file_match), ["repo_id", "mention"])
     own = res.select("request_id", "repo_id", "m_pos", F.col("resolved").alias("path"),
                      F.lit(-1).cast("long").alias("k3"), F.lit(0).cast("long").alias("k4"))
     deps = (res.join(idx.edges.select("repo_id", F.col("src").alias("resolved"), "dst", "line", "col"),

@@ -56,3 +56,31 @@ def test_embedded_queries_and_chunks_end_to_end(spark):
     assert len(rows) == inp.signals.count()
     assert all(r.token_count <= R.OPTS.max_pack_tokens for r in rows)
     assert sum(r.n_semantic_chunks for r in rows) > 0
+
+
+def test_call_match_last_segment(spark):
+    from packtables.plans.strategies import call_sites
+
+    calls = spark.createDataFrame([("r", "a.py", "obj.save", 3, 0), ("r", "b.py", "save", 1, 0),
+                                   ("r", "c.py", "Cls.save", 9, 0), ("r", "d.py", "load", 2, 0)],
+                                  "repo_id string, path string, symbol_name string, line int, col int")
+    names = spark.createDataFrame([("r", "Cls.save"), ("r", "Other.save"), ("r", "load")], "repo_id string, name string")
+    exact = {r.name: [(s.path, s.line) for s in r.sites] for r in call_sites(calls, names, 5).collect()}
+    assert exact == {"Cls.save": [("c.py", 9)], "load": [("d.py", 2)]}
+    seg = {r.name: [(s.path, s.line) for s in r.sites] for r in call_sites(calls, names, 2, "last_segment").collect()}
+    assert seg == {"Cls.save": [("a.py", 3), ("b.py", 1)], "Other.save": [("a.py", 3), ("b.py", 1)],
+                   "load": [("d.py", 2)]}
+
+
+def test_find_file_suffix_option(spark):
+    from packtables.plans.index import CodeIndex
+    from packtables.plans.strategies import find_file
+
+    files = spark.createDataFrame([("r", "src/app/util.py"), ("r", "lib/util.py"), ("r", "x/myutil.py")],
+                                  "repo_id string, path string")
+    idx = CodeIndex(files, *([None] * 6), materialize=False)
+    m = spark.createDataFrame([("r", "util.py"), ("r", "app/util.py"), ("r", "til.py")], "repo_id string, mention string")
+    contains = {r.mention: r.resolved for r in find_file(m, idx).collect()}
+    assert contains == {"util.py": "lib/util.py", "app/util.py": "src/app/util.py", "til.py": "lib/util.py"}
+    suffix = {r.mention: r.resolved for r in find_file(m, idx, match="suffix").collect()}
+    assert suffix == {"util.py": "lib/util.py", "app/util.py": "src/app/util.py"}
