@@ -104,14 +104,25 @@ def prompt_from_messages(messages) -> Column:
     return F.array_join(F.flatten(texts), "\n")
 
 
-def with_signals(requests: DataFrame, prompt_col: str = "prompt", word_boundaries: bool = False) -> DataFrame:
-    """One pass adding every signal column."""
+def with_signals(requests: DataFrame, prompt_col: str = "prompt", word_boundaries: bool = False,
+                 symbol_stop_words: tuple[str, ...] = (), trim_file_dots: bool = False) -> DataFrame:
+    """One pass adding every signal column.
+
+    Options for documented quirks (defaults keep the reference's behaviour):
+    ``word_boundaries`` (Q1), ``symbol_stop_words`` (Q2), ``trim_file_dots`` (Q4).
+    """
     raw = F.coalesce(F.col(prompt_col), F.lit(""))
     df = requests.withColumn("raw_prompt", raw)
     df = (df.withColumn("task_type", F.when(F.col("raw_prompt") == "", F.lit("other"))
                         .otherwise(task_type("raw_prompt", word_boundaries)))
           .withColumn("symbols", symbol_mentions("raw_prompt"))
           .withColumn("file_mentions", file_mentions("raw_prompt")))
+    if symbol_stop_words:
+        stop = F.array(*[F.lit(w) for w in symbol_stop_words])
+        df = df.withColumn("symbols", F.array_except("symbols", stop))
+    if trim_file_dots:
+        df = df.withColumn("file_mentions", F.array_sort(F.array_distinct(F.filter(
+            F.transform("file_mentions", lambda f: F.regexp_replace(f, r"\.+$", "")), lambda f: f != ""))))
     if "scope_hint" in requests.columns:
         df = df.withColumn("scope_hint", F.coalesce(F.nullif(F.col("scope_hint"), F.lit("")), F.col("raw_prompt")))
     else:

@@ -24,6 +24,8 @@ class PackOptions:
     debounce_seconds: float = 2.0
     # Matching switches for documented quirks (defaults follow the reference).
     word_boundaries: bool = False
+    symbol_stop_words: tuple[str, ...] = ()   # Q2: e.g. ("Explain", "The"); none by default
+    trim_file_dots: bool = False              # Q4: "src/a.py." -> "src/a.py"
     call_match: str = "exact"          # or "last_segment"
     file_match: str = "contains"       # or "suffix"
     # Sizing of distributed vector search blocks.

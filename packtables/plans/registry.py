@@ -192,7 +192,9 @@ def strategy_inputs(spark: SparkSession, sf: str):
     if not hasattr(fx, "inputs"):
         from packtables.session import cut_lineage
 
-        sig_df = cut_lineage(sig.with_signals(fx.requests, word_boundaries=OPTS.word_boundaries))
+        sig_df = cut_lineage(sig.with_signals(fx.requests, word_boundaries=OPTS.word_boundaries,
+                                              symbol_stop_words=OPTS.symbol_stop_words,
+                                              trim_file_dots=OPTS.trim_file_dots))
         recent = recent_commits(fx.commits, fx.commit_files, OPTS.default_commits)
         summary = cut_lineage(commit_summary(recent, F.lit(AS_OF).cast("timestamp")))
         fx.inputs = StrategyInputs(signals=sig_df, index=fx.index, chunks=fx.chunks,

@@ -141,7 +141,8 @@ def pack_compiler(index, chunks: DataFrame, commit_summary: DataFrame, opts=None
     opts = opts or PackOptions()
 
     def compile_batch(batch: DataFrame) -> DataFrame:
-        sig = with_signals(batch, word_boundaries=opts.word_boundaries)
+        sig = with_signals(batch, word_boundaries=opts.word_boundaries, symbol_stop_words=opts.symbol_stop_words,
+                           trim_file_dots=opts.trim_file_dots)
         qv = embed_queries(sig, embedder=embedder, dim=dim)
         return compile_packs(StrategyInputs(sig, index, chunks, qv, commit_summary), opts)
 

@@ -69,3 +69,11 @@ def test_word_boundary_option(spark):
     r = sig.with_signals(df, word_boundaries=True).first()
     assert r.task_type == "other"
     assert df.select(sig.task_type(F.col("prompt"), True).alias("t")).first().t == "other"
+
+
+def test_quirk_options(spark):
+    df = spark.createDataFrame([(0, "Explain The FooBar in src/a.py.")], "request_id long, prompt string")
+    plain = sig.with_signals(df).first()
+    assert plain.symbols == ["Explain", "FooBar", "The"] and plain.file_mentions == ["src/a.py."]
+    opt = sig.with_signals(df, symbol_stop_words=("Explain", "The"), trim_file_dots=True).first()
+    assert opt.symbols == ["FooBar"] and opt.file_mentions == ["src/a.py"]
