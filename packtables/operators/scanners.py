@@ -20,14 +20,45 @@ import re
 # Python (X1 definitions, X4 imports, X7 calls)
 
 
+_LINE_ENDS = re.compile(r"\r\n|\r|\n")
+
+
+def _segmenter(text: str):
+    """Source text of a node, as ``ast.get_source_segment`` gives it, but with
+    the file split into lines once (that function re-splits per call, which
+    is quadratic on files with many calls). Columns are UTF-8 byte offsets."""
+    pieces, start = [], 0
+    for m in _LINE_ENDS.finditer(text):
+        pieces.append(text[start:m.end()])
+        start = m.end()
+    pieces.append(text[start:])
+    encoded: dict[int, bytes] = {}
+
+    def enc(i: int) -> bytes:
+        if i not in encoded:
+            encoded[i] = pieces[i].encode()
+        return encoded[i]
+
+    def seg(node) -> str:
+        try:
+            l0, l1 = node.lineno - 1, node.end_lineno - 1
+            c0, c1 = node.col_offset, node.end_col_offset
+        except AttributeError:
+            return ""
+        if l1 is None or c1 is None or l1 >= len(pieces):
+            return ""
+        if l0 == l1:
+            return enc(l0)[c0:c1].decode(errors="replace")
+        return (enc(l0)[c0:].decode(errors="replace") + "".join(pieces[l0 + 1:l1])
+                + enc(l1)[:c1].decode(errors="replace"))
+    return seg
+
+
 def scan_python(text: str) -> list[dict]:
     tree = ast.parse(text)
     lines = text.split("\n")
     out: list[dict] = []
-
-    def seg(node) -> str:
-        s = ast.get_source_segment(text, node)
-        return s if s is not None else ""
+    seg = _segmenter(text)
 
     def sig(lineno: int) -> str:
         return lines[lineno - 1].strip() if 0 < lineno <= len(lines) else ""
