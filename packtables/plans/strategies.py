@@ -292,6 +292,7 @@ def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
     from packtables.session import cut_lineage
 
     keep = cut_lineage if materialize else (lambda df: df)
+
     def safe(fn):
         try:
             return fn()

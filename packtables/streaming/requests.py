@@ -26,7 +26,8 @@ def ttl_compiles(requests: DataFrame, key: str = "fingerprint", ts: str = "ts",
     a key with a large share of all requests is split over tasks). The chain
     is then followed from each key's first request by pointer doubling:
     O(log n) rounds of equi-joins on ``(key, position)``, no per-key loop and
-    no collected groups. Adds ``compiled`` (bool).
+    no collected groups. Adds ``compiled`` (bool) and ``served_by`` (the
+    ``order`` value of the request whose compiled pack this one is given).
     """
     from packtables.operators.scan import running_sum
 
@@ -54,7 +55,12 @@ def ttl_compiles(requests: DataFrame, key: str = "fingerprint", ts: str = "ts",
                                    F.coalesce(F.col("b.j"), F.col("a.j")).alias("j")))
         span *= 2
     out = r.join(reached.withColumnRenamed("i", "_idx").withColumn("compiled", F.lit(True)), [key, "_idx"], "left")
-    return out.withColumn("compiled", F.coalesce("compiled", F.lit(False))).drop("_idx", "_nxt")
+    out = out.withColumn("compiled", F.coalesce("compiled", F.lit(False)))
+    # served_by: the request whose compile this one reuses (itself when it compiles).
+    # The running count of compiles numbers them; a request takes the compile with its number.
+    out = running_sum(out, [key], ["_idx"], F.col("compiled").cast("int"), "_cno")
+    firsts = out.filter("compiled").select(key, "_cno", F.col(order).alias("served_by"))
+    return out.join(firsts, [key, "_cno"]).drop("_idx", "_nxt", "_cno")
 
 
 def _ttl_state(key_cols, ttl_seconds):

@@ -46,9 +46,10 @@ def _requests(spark, secs):
 
 
 def test_ttl_rows(spark):
-    got = [r.compiled for r in ttl_compiles(_requests(spark, [0, 299, 301, 600, 601, 1000])).orderBy("seq").collect()]
+    rows = ttl_compiles(_requests(spark, [0, 299, 301, 600, 601, 1000])).orderBy("seq").collect()
     # 601 is within 300 s of the compile at 301; 1000 is not
-    assert got == [True, False, True, False, False, True]
+    assert [r.compiled for r in rows] == [True, False, True, False, False, True]
+    assert [r.served_by for r in rows] == [0, 0, 2, 2, 2, 5]
 
 
 def test_ttl_stream_equals_batch(spark, tmp_path):
