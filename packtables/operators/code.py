@@ -71,12 +71,16 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Tagged extraction rows for every file with a known language.
 
-    Files are hash-partitioned by (repo_id, path) first so that Python work is
-    spread evenly whatever the input layout.
+    A files table read from Parquet is already split by bytes, so it is parsed
+    where it lies: shuffling all file contents only to balance the Python work
+    would cost more than the parsing at scale. Only an input with fewer
+    partitions than the target (a small or collapsed table) is hash-partitioned
+    by (repo_id, path) first; ``num_partitions`` forces that.
     """
     src = files.select("repo_id", "path", "lang", "content").filter(F.col("lang").isNotNull())
-    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = src.repartition(n, "repo_id", "path")
+    target = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions or src.rdd.getNumPartitions() < target:
+        src = src.repartition(target, "repo_id", "path")
     return src.mapInPandas(_extract_batches, schema=EXTRACT_SCHEMA)
 
 
