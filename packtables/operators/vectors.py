@@ -5,13 +5,13 @@ Distributed block search: queries are hashed into ``bq`` blocks, chunks into
 where NumPy computes the block's distance matrix and keeps each query's local
 top-k (plus ties). A row_number window over at most ``bc * k`` rows per
 query then gives the global top-k. No pair rows are ever materialised; the
-shuffle is ``|queries| * bc + |chunks| * bq`` vectors. Block counts follow
-the row counts, so a block always fits in one task's memory.
+shuffle is ``|queries| * bc + |chunks| * bq`` vectors per group (repository).
+Block counts follow each group's row counts, so a block always fits in one
+task's memory.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Iterator
 
 import numpy as np
@@ -62,20 +62,32 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bo
     ``queries(query_id long, vec array<float|double>)``,
     ``chunks(chunk_id long, vec array<float|double>)``; with ``group`` (e.g.
     ``repo_id``) on both sides a query only meets chunks of its own group.
+    Block counts are computed per group from grouped counts (no driver-side
+    action): a group with ``Q`` queries and ``C`` chunks gets
+    ``ceil(Q / query_block_rows)`` query blocks and ``ceil(C / chunk_block_rows)``
+    chunk blocks, so replication follows each group's own sizes.
     Returns ``(query_id, chunk_id, distance, rank)``.
     """
-    nq = queries.count()
-    nc = chunks.count()
-    bq = max(1, math.ceil(nq / query_block_rows))
-    bc = max(1, math.ceil(nc / chunk_block_rows))
-    g = [group] if group else []
-    q = (queries.select(*g, F.col("query_id").cast("long"), F.col("vec"))
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(bq)))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<long>"))))
-    c = (chunks.select(*g, F.col("chunk_id").cast("long"), F.col("vec"))
-         .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(bc)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
-    local = (q.groupBy(*g, "qb", "cb").cogroup(c.groupBy(*g, "qb", "cb"))
+    g = group or "_grp"
+    gcol = (lambda: F.col(group)) if group else (lambda: F.lit(0))
+    # fresh projections: both sides may come from one table (all-against-all search)
+    queries = queries.select(gcol().alias(g), F.col("query_id").cast("long").alias("query_id"),
+                             F.col("vec").alias("vec"))
+    chunks = chunks.select(gcol().alias(g), F.col("chunk_id").cast("long").alias("chunk_id"),
+                           F.col("vec").alias("vec"))
+    sizes = (queries.groupBy(g).agg(F.count(F.lit(1)).alias("_nq"))
+             .join(chunks.groupBy(g).agg(F.count(F.lit(1)).alias("_nc")), g)
+             .select(F.col(g).alias(g), F.ceil(F.col("_nq") / query_block_rows).cast("long").alias("_bq"),
+                     F.ceil(F.col("_nc") / chunk_block_rows).cast("long").alias("_bc")))
+    q = (queries.join(sizes, g)
+         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("_bq")))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bc") - 1)))
+         .drop("_bq", "_bc"))
+    c = (chunks.join(sizes, g)
+         .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("_bc")))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bq") - 1)))
+         .drop("_bq", "_bc"))
+    local = (q.groupBy(g, "qb", "cb").cogroup(c.groupBy(g, "qb", "cb"))
              .applyInPandas(_local_topk(k, exclude_self), schema=_PAIR_SCHEMA))
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return (local.withColumn("rank", F.row_number().over(w))

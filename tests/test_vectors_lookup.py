@@ -51,3 +51,27 @@ def test_containing_random(spark, hay, needles, q):
     n = spark.createDataFrame([("r", x) for x in needles], "repo_id string, mention string")
     got = {(r.mention, r.path) for r in containing(n, h, needle="mention", value="path", q=q).collect()}
     assert got == {(x, p) for x in needles for p in hay if x in p}
+
+
+def test_grouped_knn_per_repo_blocks(spark):
+    """Queries only meet chunks of their repo; block counts follow each repo's size."""
+    rng = np.random.default_rng(3)
+    data = {"big": (rng.normal(size=(30, 4)), rng.normal(size=(90, 4))), "small": (rng.normal(size=(3, 4)),
+                                                                                  rng.normal(size=(5, 4)))}
+    qrows, crows, qid, cid = [], [], 0, 0
+    exp = {}
+    for repo, (qs, cs) in data.items():
+        cids = list(range(cid, cid + len(cs)))
+        for v in qs:
+            d = np.sqrt(((cs - v) ** 2).sum(axis=1))
+            order = sorted(range(len(cs)), key=lambda j: (d[j], cids[j]))[:3]
+            for r, j in enumerate(order, start=1):
+                exp[(qid, r)] = cids[j]
+            qrows.append((repo, qid, v.astype(np.float32).tolist()))
+            qid += 1
+        crows += [(repo, c, v.astype(np.float32).tolist()) for c, v in zip(cids, cs)]
+        cid += len(cs)
+    q = spark.createDataFrame(qrows, "repo_id string, query_id long, vec array<float>")
+    c = spark.createDataFrame(crows, "repo_id string, chunk_id long, vec array<float>")
+    got = vectors.knn_pairs(q, c, 3, group="repo_id", query_block_rows=7, chunk_block_rows=11)
+    assert {(r.query_id, r.rank): r.chunk_id for r in got.collect()} == exp
