@@ -62,12 +62,19 @@ def chunks_of(symbols: DataFrame, max_chars: int = 2000) -> DataFrame:
                     "path", "start_line", "end_line", chunk_text("body", max_chars).alias("text"))
 
 
+def _read_back(spark, path: str, like: DataFrame) -> DataFrame:
+    """Read a written table with its known schema (an empty partitioned write has no files)."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
 def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str | None = None,
                 materialize: bool = True) -> CodeIndex:
     tagged = code.extract(files)
     if path:
-        tagged.write.mode("overwrite").parquet(f"{path}/tagged")
-        tagged = files.sparkSession.read.parquet(f"{path}/tagged")
+        from packtables.sources.store import write_index
+
+        write_index({"tagged": tagged}, path)           # partitioned by repo_id, per-repo overwrite
+        tagged = _read_back(files.sparkSession, f"{path}/tagged", tagged)
     elif materialize:
         tagged = cut_lineage(tagged)
     symbols = code.symbols_of(tagged)
@@ -76,8 +83,10 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
     keys = graph.path_keys(files)
     edges = graph.build_edges(imports, files, keys)
     if path:
-        edges.write.mode("overwrite").parquet(f"{path}/edges")
-        edges = files.sparkSession.read.parquet(f"{path}/edges")
+        from packtables.sources.store import write_index
+
+        write_index({"edges": edges}, path)
+        edges = _read_back(files.sparkSession, f"{path}/edges", edges)
     elif materialize:
         edges = cut_lineage(edges)      # read by file expansion, blast radius and stats
     return CodeIndex(files=files, symbols=symbols, imports=imports, calls=calls, errors=code.errors_of(tagged),

@@ -28,3 +28,21 @@ def test_reuse_by_repo_and_hash(spark):
     assert out[1] == (True, [7.0])
     assert out[2][0] is False and len(out[2][1]) == 4
     assert out[3][0] is False                   # same text in another repo is not reused
+
+
+def test_build_index_written_equals_in_memory(spark, tmp_path):
+    import os
+
+    from packtables.operators.code import language_of
+    from packtables.plans.index import build_index
+
+    files = spark.createDataFrame([("a", "m.py", "import n\n\ndef f():\n    return g()\n"), ("a", "n.py", "def g():\n    return 1\n"),
+                                   ("b", "x.go", "package x\n\nfunc X() {}\n")],
+                                  "repo_id string, path string, content string").withColumn("lang", language_of("path"))
+    mem = build_index(files)
+    disk = build_index(files, path=str(tmp_path / "idx"))
+    for t in ("symbols", "imports", "calls", "edges"):
+        a = {repr(tuple(r)) for r in getattr(mem, t).collect()}
+        b = {repr(tuple(r)) for r in getattr(disk, t).collect()}
+        assert a == b, t
+    assert sorted(d for d in os.listdir(tmp_path / "idx" / "tagged") if d.startswith("repo_id=")) == ["repo_id=a", "repo_id=b"]
