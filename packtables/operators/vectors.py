@@ -75,15 +75,27 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bo
                              F.col("vec").alias("vec"))
     chunks = chunks.select(gcol().alias(g), F.col("chunk_id").cast("long").alias("chunk_id"),
                            F.col("vec").alias("vec"))
-    sizes = (queries.groupBy(g).agg(F.count(F.lit(1)).alias("_nq"))
-             .join(chunks.groupBy(g).agg(F.count(F.lit(1)).alias("_nc")), g)
-             .select(F.col(g).alias(g), F.ceil(F.col("_nq") / query_block_rows).cast("long").alias("_bq"),
-                     F.ceil(F.col("_nc") / chunk_block_rows).cast("long").alias("_bc")))
-    q = (queries.join(sizes, g)
+    if group:
+        sizes = (queries.groupBy(g).agg(F.count(F.lit(1)).alias("_nq"))
+                 .join(chunks.groupBy(g).agg(F.count(F.lit(1)).alias("_nc")), g)
+                 .select(F.col(g).alias(g), F.ceil(F.col("_nq") / query_block_rows).cast("long").alias("_bq"),
+                         F.ceil(F.col("_nc") / chunk_block_rows).cast("long").alias("_bc")))
+
+        def sized(df):
+            return df.join(sizes, g)
+    else:
+        # one group: the block counts are scalar subqueries, not a join on a constant key
+        nq = queries.select(F.count(F.lit(1))).scalar()
+        nc = chunks.select(F.count(F.lit(1))).scalar()
+
+        def sized(df):
+            return (df.withColumn("_bq", F.ceil(nq / F.lit(query_block_rows)).cast("long"))
+                    .withColumn("_bc", F.ceil(nc / F.lit(chunk_block_rows)).cast("long")))
+    q = (sized(queries)
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("_bq")))
          .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bc") - 1)))
          .drop("_bq", "_bc"))
-    c = (chunks.join(sizes, g)
+    c = (sized(chunks)
          .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("_bc")))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bq") - 1)))
          .drop("_bq", "_bc"))
