@@ -43,3 +43,16 @@ def test_oracle(spark, duck, name):
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_oracle_sql_needs_no_spark_session():
+    """The driver may ask for the oracle SQL in a process without a SparkContext."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; o = E.oracle_sql(); q = E.queries(); print(len(o), len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_oracle, n_queries = map(int, out.stdout.split())
+    assert n_oracle == n_queries == 36
