@@ -1,0 +1,65 @@
+"""Byte-level BPE by tree reduction against the tokenizer library on whole texts."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from packtables.llm import bytebpe as B
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    path, pattern = B.defaults()
+    with open(path, "rb") as f:
+        return B.ByteBpe(f.read(), pattern)
+
+
+def random_text(rng, n):
+    chars = "aäbc DE'rllvest\n\t    é漢字🙂12.,!?-_  \x1c\x85"
+    return "".join(rng.choice(chars) for _ in range(n))
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 5, 16, 64])
+def test_tree_equals_whole_text(bpe, leaf):
+    rng = random.Random(leaf)
+    for n in [0, 1, 2, 3, 7, 40, 300]:
+        for _ in range(40):
+            t = random_text(rng, n)
+            assert bpe.encode(t, leaf=leaf, window=1).tolist() == bpe.core.encode_ordinary(t), repr(t)
+
+
+@pytest.mark.parametrize("text", ["a" * 50_000, " " * 5_000, "x" * 3000 + " " + "y" * 3000, "'ll" * 4000, "\n" * 5000 + "end",
+                                  "word " * 20_000, "漢" * 9_000, "I'll we've they're " * 2000])
+def test_long_runs(bpe, text):
+    assert bpe.encode(text).tolist() == bpe.core.encode_ordinary(text)
+    assert bpe.decode(bpe.encode(text)) == text.encode()
+
+
+def test_join_is_associative(bpe):
+    rng = random.Random(9)
+    for _ in range(60):
+        t = random_text(rng, 60)
+        i, j = sorted(rng.sample(range(61), 2))
+        a, b, c = bpe.leaf(t[:i]), bpe.leaf(t[i:j]), bpe.leaf(t[j:])
+        left = bpe.join(t, 0, j, 60, bpe.join(t, 0, i, j, a, b), c)
+        right = bpe.join(t, 0, i, 60, a, bpe.join(t, i, j, 60, b, c))
+        assert left.tolist() == right.tolist() == bpe.core.encode_ordinary(t)
+
+
+def test_query_columns(spark, bpe):
+    rows = [(1, "Hello wörld, it's 12:30\n" * 200, "c"), (2, None, "c"), (3, "", None), (1, "twice", ""), (1, "twice", ""),
+            (None, "no id", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    enc = B.encode(df)
+    got = sorted((tuple(r) for r in B.digests(enc).collect()), key=str)
+    want = []
+    for d, t, _ in rows:
+        ids = bpe.core.encode_ordinary(t or "")
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    back = sorted(((r.doc_id, bytes(r.bytes)) for r in B.decode(enc).collect()), key=str)
+    assert back == sorted(((d, (t or "").encode()) for d, t, _ in rows), key=str)
+    assert B.digests(B.encode(df.limit(0))).collect() == []
