@@ -1,0 +1,81 @@
+"""Language identification: Viterbi by brute force, held-out accuracy, edge cases."""
+
+import itertools
+
+import numpy as np
+
+from packtables.llm import langid as L
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_viterbi_matches_all_paths():
+    rng = np.random.default_rng(2)
+    sizes, k, pen = [0, 1, 5, 3, 6, 0, 2], 3, 1.3
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    s = rng.normal(size=(len(doc), k)).astype(np.float32)
+    got = L.viterbi(s, doc, len(sizes), pen)
+
+    def value(x, path):
+        return sum(x[i, p] for i, p in enumerate(path)) - pen * sum(a != b for a, b in zip(path, path[1:]))
+    for d, n in enumerate(sizes):
+        x = s[doc == d]
+        best = max(value(x, p) for p in itertools.product(range(k), repeat=n))
+        assert np.isclose(value(x, got[doc == d]), best, atol=1e-5)
+
+
+def test_words_and_scripts():
+    w = L.words_of(["Ab, cd1e", "", "Жук ab", "42"])
+    assert list(zip(w.doc, w.start, w.size)) == [(0, 0, 2), (0, 4, 2), (0, 7, 1), (2, 0, 3), (2, 4, 2)]
+    assert [L.SCRIPT_NAMES[s] for s in w.script] == ["latin", "latin", "latin", "cyrillic", "latin"]
+    assert w.letters.tolist() == [5, 0, 5, 0] and len(w.buckets) == 10
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = L.identify(docs, L.train(docs)).join(docs.select("doc_id", "lang", L.held_out_column().alias("h")), "doc_id")
+    rows = out.filter("h").collect()
+    assert len(rows) > 200
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def model_of(spark):
+    rows = [(i, t, lang, "x") for i, (t, lang) in enumerate([
+        ("the quick brown fox jumps over the lazy dog and then some", "en"), ("this is the house that he had built for them", "en"),
+        ("мама мыла раму а папа читал газету", "ru"), ("вот дом который построил он", "ru"),
+        ("der schnelle braune fuchs springt über den faulen hund", "de"), ("das ist das haus welches er gebaut hatte", "de")] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    return L.train(df)
+
+
+def test_mixed_language_spans(spark):
+    m = model_of(spark)
+    assert m.langs == ["de", "en", "ru"]
+    text = "the quick brown fox jumps over the lazy dog. der schnelle braune fuchs springt über den faulen hund und мама мыла раму"
+    lang, score, spans = L.label([text], m)
+    assert [s["lang"] for s in spans[0]] == ["en", "de", "ru"]
+    assert text[spans[0][2]["start"]:spans[0][2]["end"]] == "мама мыла раму"
+    assert lang == ["de"] and 0 < score[0] < 0.7
+
+
+def test_edge_rows(spark):
+    m = model_of(spark)
+    rows = [(1, None), (1, None), (2, ""), (3, "123 !? 45"), (None, "the house that he built"), (5, "한국어 글"), (6, "the dog " * 40_000)]
+    df = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, lang_pred string")
+    got = {(r.doc_id, r.lang_pred) for r in L.identify(df, m).collect()}
+    assert got == {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "de"), (6, "en")}
+    assert L.identify(df.limit(0), m).collect() == []
+    empty = L.train(df.limit(0).withColumnRenamed("lang_pred", "lang"))
+    assert {r.lang_pred for r in L.identify(df, empty).collect()} == {"und"}
+    kept = L.keep_identified(df, m)
+    assert kept.columns == ["doc_id", "text", "lang_pred"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["6", "None"]
+
+
+def test_held_out_rows_are_not_learned(spark):
+    import zlib
+
+    rows = [(i, "zzz qqq xxx", "held") for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1] + [(1000, "abc", "en"), (1003, "abc", "en")]
+    m = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "held" not in m.langs
