@@ -7,14 +7,43 @@ from pyspark.sql import DataFrame, SparkSession
 from packtables.session import read_table
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.tokenfile import token_file_round_trip
+
+    return token_file_round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.bytebpe import digests, encode
+
+    return digests(encode(read_table(spark, sf_dir, "documents")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.langid import held_out_column, identify, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packtables.llm.simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.secretscan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_token_file": op2_token_file,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_language_id": op5_language_id,
     "op7_simhash": op7_simhash,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
