@@ -1,0 +1,66 @@
+"""Snapshot collapse against brute force and the oracle SQL."""
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from packtables.llm import chatformat as C
+from tests.llm.oracle import arrow, same
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "conv_id long, turn long, role string, text string, pos string"
+
+
+def logs():
+    rng = random.Random(2)
+    rows, convs = [], []
+    for c in range(60):
+        if convs and rng.random() < 0.6:
+            base = rng.choice(convs)
+            turns = base[:rng.randrange(1, len(base) + 1)]
+            turns = turns + [(rng.choice(["user", "assistant", None]), rng.choice(["x", "y", "", None])) for _ in range(rng.randrange(3))]
+        else:
+            turns = [("user", rng.choice(["hi", "x", "", None]))] + [("assistant", rng.choice("xyz")) for _ in range(rng.randrange(4))]
+        convs.append(turns)
+        rows += [(c, i, r, t, "c") for i, (r, t) in enumerate(turns)]
+    rows += [(None, 0, "user", "only null id", "c"), (None, 1, "assistant", "yes", "c"), (90, None, "user", "null turn", "c"), (90, 2, "user", "b", "c"),
+             (91, 0, "user", "twice", "c"), (91, 0, "user", "twice", "c")]
+    rows += [(95, i, "user", f"m{i}", "c") for i in range(50)] + [(96, i, "user", f"m{i}", "c") for i in range(49)]
+    return rows
+
+
+def brute(rows):
+    key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
+    convs = {}
+    for c, turn, role, text, _ in rows:
+        convs.setdefault(c, []).append((turn, role, text))
+    seqs = {}
+    for c, turns in convs.items():
+        seqs.setdefault(tuple(x[1:] for x in sorted(turns, key=key)), []).append(c)
+    out = []
+    for s, ids in seqs.items():
+        if not any(o[:len(s)] == s and len(o) > len(s) for o in seqs):
+            known = [x for x in ids if x is not None]
+            out.append((min(known) if known else None, len(s), len(ids), "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in s)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rows = logs()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted((tuple(r) for r in C.format_chats(df).collect()), key=str)
+    assert got == brute(rows)
+    assert C.format_chats(df.limit(0)).collect() == []
+
+
+def test_oracle_sql(spark):
+    rows = [r for r in logs() if r[0] is not None]
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("pos", pa.string())])
+    assert same(C.format_chats(spark.createDataFrame(rows, SCHEMA)), C.ORACLE, conversations=arrow(rows, schema))
+
+
+def test_oracle_on_given_tables(spark):
+    assert same(C.format_chats(spark.read.parquet(f"{SF}/conversations.parquet")), C.ORACLE, conversations=f"{SF}/conversations.parquet")
