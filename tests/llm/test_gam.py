@@ -1,0 +1,70 @@
+"""Additive model: fit on known functions, held-out accuracy, edge cases."""
+
+import zlib
+
+import numpy as np
+
+from packtables.llm import gam as G
+
+SF = "/root/testdata/sf0.01"
+
+
+def sample(n=4000, seed=0):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, len(G.FEATURES))), rng
+
+
+def test_learns_additive_steps():
+    x, rng = sample()
+    y = ((x[:, 0] > 0.3).astype(int) + (np.abs(x[:, 3]) > 1)) >= 1
+    m = G.fit(x, y.astype(float))
+    z, _ = sample(seed=1)
+    want = (z[:, 0] > 0.3) | (np.abs(z[:, 3]) > 1)
+    assert ((m.score(z) > 0.5) == want).mean() > 0.97
+
+
+def test_pairs_learn_interactions():
+    x, _ = sample()
+    y = (x[:, 2] > 0) ^ (x[:, 5] > 0)
+    m = G.fit(x, y.astype(float))
+    assert {m.pairs[0][0], m.pairs[0][1]} == {2, 5}
+    z, _ = sample(seed=1)
+    assert ((m.score(z) > 0.5) == ((z[:, 2] > 0) ^ (z[:, 5] > 0))).mean() > 0.9
+
+
+def test_shallow_tree_finds_the_best_cuts():
+    g = np.array([1, 1, 1, -2, -2, 5, 5, 5.0])
+    assert np.unique(np.round(G.shallow_tree(g, np.ones(8), 3), 6)).size == 3
+    step, gain = G.pair_tree(np.array([[3.0, -3], [-3, 3]]), np.ones((2, 2)))
+    assert gain > 0 and (np.sign(step) == [[1, -1], [-1, 1]]).all()
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = G.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    y, s = np.array([r.quality for r in rows]), np.array([r.score for r in rows])
+    assert len(y) > 60 and ((s >= 0.5) == (y == 1)).mean() > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert np.mean([r.predicted for r in rows if r.quality == 1]) > 0.9
+
+
+def test_edge_rows(spark):
+    docs = [(i, "good words here " * 20, "c") for i in range(20)] + [(i, "### $$$ %%%" * 9, "c") for i in range(20, 40)]
+    docs += [(50, None, "c"), (50, None, "c"), (51, "", "c"), (None, "good words", "c"), (53, "w" * 300_000, "c"), (54, "\n \t", "c")]
+    labels = [(i, int(i < 20), 0) for i in range(40)] + [(None, 1, 0), (51, None, 0), (3, 1, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = G.classify(df, lab).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
+    assert len({r.score for r in got if r.doc_id in (50, 51, 54)}) == 1      # null, empty and blank alike
+    assert G.classify(df.limit(0), lab).collect() == []
+    assert {r.score for r in G.classify(df, lab.limit(0)).collect()} == {0.5}
+
+
+def test_held_out_rows_are_not_learned(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    df = spark.createDataFrame([(i, "### " * 60) for i in held], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1) for i in held], "doc_id long, quality int")
+    assert not len(G.train(df, lab).pairs) and G.train(df, lab).intercept == 0.0
