@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packtables.llm import chatformat, decontaminate, qualityrules
 from packtables.session import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.pii import extract
+
+    return extract(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packtables.llm.tokenfile import token_file_round_trip
 
@@ -19,6 +26,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(read_table(spark, sf_dir, "documents")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.qualityrules import verdicts
+
+    return verdicts(read_table(spark, sf_dir, "documents"), policy="v1")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packtables.llm.langid import held_out_column, identify, train
 
@@ -26,24 +39,43 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.chatformat import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packtables.llm.simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.gam import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packtables.llm.secretscan import scan
 
     return scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op2_token_file": op2_token_file,
-    "op3_byte_bpe": op3_byte_bpe,
-    "op5_language_id": op5_language_id,
-    "op7_simhash": op7_simhash,
-    "op9_secret_scan": op9_secret_scan,
-}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.decontaminate import contamination
 
-ORACLE: dict[str, str] = {}
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_token_file, op3_byte_bpe, op4_quality_rules, op5_language_id, op6_chat_format, op7_simhash,
+    op8_quality_classifier, op9_secret_scan, op10_decontamination)}
+
+#: Where DuckDB can give a query's rows over whole tables.
+ORACLE = {
+    "op4_quality_rules": qualityrules.ORACLE,
+    "op6_chat_format": chatformat.ORACLE,
+    "op10_decontamination": decontaminate.ORACLE,
+}
