@@ -25,7 +25,9 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -42,8 +44,11 @@ END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
-MEMO = 400_000         # distinct pieces kept by a worker
+MEMO = 800_000         # distinct pieces kept by a worker
 MEMO_BYTES = 128       # longer pieces aren't kept
+OUTER = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"     # ASCII punctuation but '<|>
+PLAIN = chr(0x250)       # no combining marks below
+STOP = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])[.,](?=[ \n])")
 
 WRITE = {
     "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE_BYTES),
@@ -54,41 +59,92 @@ WRITE = {
 
 
 class Pieces:
-    """Encodes texts by pieces between ASCII white space."""
+    """Encodes texts by pieces between ASCII white space, each known piece from memory.
+
+    Two steps make more pieces alike; both leave the ids as they are:
+
+    * a text of Latin-1 characters without ``<|`` (special tokens) is lower-cased, as the normaliser would, which has
+      nothing to compose there; and a full stop or comma between a letter or digit and white space becomes a piece;
+    * a piece that isn't known is parted into ASCII punctuation, core and ASCII punctuation if the core begins and ends
+      with a letter or digit below ``PLAIN`` and the punctuation holds none of ``'<|>`` (contractions, special tokens):
+      the split pattern parts there, and nothing is composed across.
+    """
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
         self.core = Tokenizer.from_str(model.decode("utf-8"))
+        vocabulary = self.core.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
 
-    def learn(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
-        new = list(pieces)
-        found = self.core.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, found)}
+    @staticmethod
+    def pieces(text: str) -> list[bytes]:
+        if "<|" not in text:
+            try:
+                text.isascii() or text.encode("latin-1")
+                text = STOP.sub(r" \g<0>", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.encode("utf-8").split()       # bytes: ASCII white space only
+
+    @staticmethod
+    def parted(piece: bytes) -> tuple[bytes, ...]:
+        if piece.isalpha():         # ASCII letters
+            return (piece,)
+        text = piece.decode("utf-8")
+        core = text.strip(OUTER)
+        if len(core) == len(text) or not core or not (_plain(core[0]) and _plain(core[-1])) or "<|" in text:
+            return (piece,)
+        at = text.index(core)
+        return tuple(x.encode("utf-8") for x in (text[:at], core, text[at + len(core):]) if x)
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Asks for the ids of parts. Words of plain letters are joined by spaces: each is one word there."""
+        joint, rest = [], []
+        for p in parts:
+            (joint if p.isalpha() or (t := p.decode("utf-8")).isalpha() and max(t) < PLAIN and "\u0130" not in t else rest).append(p)
+        for i in range(0, len(joint), 1000):
+            block = joint[i:i + 1000]
+            ids = np.array(self.core.encode_batch_fast([b" ".join(block).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            at = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
+            assert len(at) == len(block) + 1 and at[-1] == len(ids)
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            self.memo.update(zip(block, [raw[a:b] for a, b in zip(at, at[1:])]))
+        for p, e in zip(rest, self.core.encode_batch_fast([p.decode("utf-8") for p in rest], add_special_tokens=False)):
+            self.memo[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: Iterable[str | None], end_id: int | None) -> Iterator[np.ndarray]:
-        """Ids of each text (unsigned 32 bit), the end id appended."""
+        """Ids of each text (unsigned 32 bit), the end id appended. ``texts`` are held at once."""
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for text in texts:
-            pieces = (text or "").encode("utf-8").split()     # bytes: ASCII white space only
-            table = self.memo
-            missing = set(pieces).difference(table)
-            if missing:
-                if len(table) + len(missing) > MEMO:
-                    table.clear()
-                    missing = set(pieces)
-                found = self.learn(missing)
-                table.update((k, v) for k, v in found.items() if len(k) <= MEMO_BYTES)
-                if len(table) < len(found) or any(len(k) > MEMO_BYTES for k in found):
-                    found.update((p, table[p]) for p in pieces if p in table)
-                    table = found
+        table = self.memo
+        rows = [self.pieces(t or "") for t in texts]
+        every = set().union(*rows)
+        missing = every.difference(table)
+        if len(table) + len(missing) > MEMO:
+            table.clear()
+            missing = every
+        split = {p: self.parted(p) for p in missing}
+        self.learn({x for parts in split.values() for x in parts}.difference(table))
+        for p, parts in split.items():
+            if len(parts) > 1:
+                table[p] = b"".join(map(table.__getitem__, parts))
+        for pieces in rows:
             yield np.frombuffer(b"".join(map(table.__getitem__, pieces)) + tail, "<u4")
+        for p in [p for p in missing if len(p) > MEMO_BYTES]:       # long pieces aren't kept
+            for x in {p, *split[p]}:
+                table.pop(x, None)
+
+
+def _plain(c: str) -> bool:
+    return c < PLAIN and (c.isalpha() or "0" <= c <= "9") and c != "\u0130"       # its lower case ends with a mark
 
 
 @functools.lru_cache(maxsize=2)
 def pieces_encoder(model: bytes) -> Pieces:
+    gc.set_threshold(500_000)       # many short-lived lists of pieces, and no cycles
     return Pieces(model)
 
 
