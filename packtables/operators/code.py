@@ -37,11 +37,14 @@ def language_of(path, languages=("typescript", "python", "javascript", "go")) ->
     return expr if expr is not None else F.lit(None).cast("string")
 
 
-def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+FILES_AT_ONCE = 256       # files whose rows are held in one frame
+
+
+def _extract_batches(batches: Iterator[pd.DataFrame], scanners: dict = SCANNERS) -> Iterator[pd.DataFrame]:
+    for pdf in (b.iloc[i:i + FILES_AT_ONCE] for b in batches for i in range(0, len(b), FILES_AT_ONCE)):
         rows = []
         for repo_id, path, lang, content in zip(pdf["repo_id"], pdf["path"], pdf["lang"], pdf["content"]):
-            scanner = SCANNERS.get(lang)
+            scanner = scanners.get(lang)
             if scanner is None:
                 continue
             try:
@@ -68,20 +71,20 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[["repo_id", "path", "tag"] + _FIELDS + ["error"]]
 
 
-def extract(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def extract(files: DataFrame, num_partitions: int | None = None, scanners: dict | None = None) -> DataFrame:
     """Tagged extraction rows for every file with a known language.
 
-    A files table read from Parquet is already split by bytes, so it is parsed
-    where it lies: shuffling all file contents only to balance the Python work
-    would cost more than the parsing at scale. Only an input with fewer
-    partitions than the target (a small or collapsed table) is hash-partitioned
-    by (repo_id, path) first; ``num_partitions`` forces that.
+    Files are parsed where they lie: a files table read from Parquet is split
+    by bytes already, and shuffling all contents only to balance the Python
+    work would cost more than the parsing at scale. ``num_partitions`` asks for
+    a hash partitioning by (repo_id, path) first, for an input in few partitions.
+    ``scanners`` (U2: language -> function of a text) replaces or adds scanners.
     """
     src = files.select("repo_id", "path", "lang", "content").filter(F.col("lang").isNotNull())
-    target = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if num_partitions or src.rdd.getNumPartitions() < target:
-        src = src.repartition(target, "repo_id", "path")
-    return src.mapInPandas(_extract_batches, schema=EXTRACT_SCHEMA)
+    if num_partitions:
+        src = src.repartition(num_partitions, "repo_id", "path")
+    known = {**SCANNERS, **(scanners or {})}
+    return src.mapInPandas(lambda batches: _extract_batches(batches, known), schema=EXTRACT_SCHEMA)
 
 
 def symbols_of(tagged: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def definitions_by_name(symbols: DataFrame) -> DataFrame:
 
     The reference keeps a list per name; a name such as ``run`` can be defined
     in a large share of all files, so the list itself is not gathered into one
-    row here. The definitions stay rows of ``symbols``; these aggregates are
+    row here: ``definitions`` returns it as ordered rows. These aggregates are
     partial (map-side) and skew-safe.
     """
     first = F.min(F.struct("path", "start_line", "col"))
@@ -131,3 +134,14 @@ def definitions_by_name(symbols: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_definitions"), first.alias("first"))
             .select("repo_id", "name", "n_definitions", F.col("first.path").alias("first_path"),
                     F.col("first.start_line").alias("first_line")))
+
+
+def definitions(symbols: DataFrame) -> DataFrame:
+    """A5: the definitions of each (repo_id, name) as rows, numbered in file order from 1.
+
+    The numbering is a running count that spreads a name with many definitions over tasks.
+    """
+    from packtables.operators.scan import running_sum
+
+    s = symbols.select("repo_id", "name", "path", "start_line", "col", "kind")
+    return running_sum(s, ["repo_id", "name"], ["path", "start_line", "col", "kind"], F.lit(1), "rank")

@@ -1,8 +1,8 @@
 """Index build (L1): files -> symbols / imports / calls / edges / chunks (+ stats).
 
 ``build_index`` parses each file once: the tagged extraction rows are
-materialised (written to ``path`` when given, else checkpointed in the shared
-checkpoint folder) and every index table is a projection of them.
+checkpointed in the shared checkpoint folder and every index table is a
+projection of them; with ``path`` all tables become a new version of a store.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ class CodeIndex:
     keys: DataFrame
     edges: DataFrame
     materialize: bool = True
+    vectors: DataFrame | None = None        # stored chunks with vectors, if the index was loaded
 
     @property
     def chunks(self) -> DataFrame:
@@ -62,46 +63,65 @@ def chunks_of(symbols: DataFrame, max_chars: int = 2000) -> DataFrame:
                     "path", "start_line", "end_line", chunk_text("body", max_chars).alias("text"))
 
 
-def _read_back(spark, path: str, like: DataFrame) -> DataFrame:
-    """Read a written table with its known schema (an empty partitioned write has no files)."""
-    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+def _index_of(files: DataFrame, tagged: DataFrame, edges: DataFrame, materialize: bool, vectors: DataFrame | None = None) -> CodeIndex:
+    return CodeIndex(files=files, symbols=code.symbols_of(tagged), imports=code.imports_of(tagged), calls=code.calls_of(tagged),
+                     errors=code.errors_of(tagged), keys=graph.path_keys(files), edges=edges, materialize=materialize,
+                     vectors=vectors)
 
 
 def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str | None = None,
-                materialize: bool = True) -> CodeIndex:
-    tagged = code.extract(files)
-    if path:
-        from packtables.sources.store import write_index
-
-        write_index({"tagged": tagged}, path)           # partitioned by repo_id, per-repo overwrite
-        tagged = _read_back(files.sparkSession, f"{path}/tagged", tagged)
-    elif materialize:
+                materialize: bool = True, num_partitions: int | None = None, scanners: dict | None = None,
+                repos: DataFrame | None = None, embedder=None, dim: int = 64) -> CodeIndex:
+    """The index of ``files``; with ``path`` it becomes a new version of that store.
+
+    The stored version holds files, extraction rows, edges and chunks with their
+    vectors (S7: vectors of equal text are taken from the version before). It
+    covers the repositories of ``files`` and those of ``repos``: a covered
+    repository that has no files any more is empty afterwards.
+    """
+    tagged = code.extract(files, num_partitions, scanners)
+    if path or materialize:
         tagged = cut_lineage(tagged)
-    symbols = code.symbols_of(tagged)
-    imports = code.imports_of(tagged)
-    calls = code.calls_of(tagged)
-    keys = graph.path_keys(files)
-    edges = graph.build_edges(imports, files, keys)
+    edges = graph.build_edges(code.imports_of(tagged), files)
     if path:
-        from packtables.sources.store import write_index
-
-        write_index({"edges": edges}, path)
-        edges = _read_back(files.sparkSession, f"{path}/edges", edges)
-    elif materialize:
+        from packtables.sources.store import read_index, write_index
+
+        spark = files.sparkSession
+        idx = _index_of(files, tagged, edges, materialize)
+        stored = read_index(spark, path).get("chunks")
+        if stored is not None:
+            stored = stored.select("repo_id", F.md5("text").alias("content_hash"), "embedding")
+        chunks = embed_chunks(idx, stored, embedder, dim)
+        chunks = chunks.select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
+        covered = files.select("repo_id")
+        if repos is not None:
+            covered = covered.union(repos.select("repo_id"))
+        write_index({"files": files, "tagged": tagged, "edges": edges, "chunks": chunks}, path, repos=covered)
+        return load_index(spark, path)
+    if materialize:
         edges = cut_lineage(edges)      # read by file expansion, blast radius and stats
-    return CodeIndex(files=files, symbols=symbols, imports=imports, calls=calls, errors=code.errors_of(tagged),
-                     keys=keys, edges=edges, materialize=materialize or bool(path))
+    return _index_of(files, tagged, edges, materialize)
+
+
+def load_index(spark, path: str, repos: list[str] | None = None) -> CodeIndex:
+    """The newest stored index, without parsing or embedding anything."""
+    from packtables.sources.store import read_index
+
+    t = read_index(spark, path, repos)
+    return _index_of(t["files"], t["tagged"], t["edges"], materialize=True, vectors=t["chunks"])
 
 
 def index_status(idx: CodeIndex, as_of=None) -> DataFrame:
-    """A1: per repo file, symbol and chunk counts and the time of the snapshot."""
-    f = idx.files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))
+    """A1: per repo file, symbol and chunk counts and ``last_indexed``, the time of the snapshot.
+
+    ``as_of`` is that time: a literal, a column of ``idx.files`` (its latest value per repo), or None (not known).
+    """
+    at = F.lit(as_of).cast("timestamp") if as_of is None or isinstance(as_of, str) and as_of not in idx.files.columns \
+        else F.max(F.col(as_of)) if isinstance(as_of, str) else F.lit(as_of)
+    f = idx.files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"), at.alias("last_indexed"))
     s = idx.symbols.groupBy("repo_id").agg(F.count(F.lit(1)).alias("symbol_count"))
     c = idx.chunks.groupBy("repo_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    out = f.join(s, "repo_id", "left").join(c, "repo_id", "left").fillna(0, ["symbol_count", "chunk_count"])
-    if as_of is not None:
-        out = out.withColumn("last_indexed", F.lit(as_of))
-    return out
+    return f.join(s, "repo_id", "left").join(c, "repo_id", "left").fillna(0, ["symbol_count", "chunk_count"])
 
 
 def chunks_per_file(chunks: DataFrame) -> DataFrame:

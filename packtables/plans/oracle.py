@@ -233,6 +233,7 @@ DEPENDENCIES = with_views(f"select src as path, dst as dependency from ({EDGES_B
 
 INDEX_STATS = with_views(f"""
 select 'fx' as repo_id, count(*) as file_count, 3 * count(*) as symbol_count, 2 * count(*) as chunk_count,
+       '2001-09-01 00:00:00' as last_indexed,
        count(*) as n_nodes, (select count(*) from ({EDGES_BY_CONSTRUCTION})) as n_edges
 from fx_files
 """, ("fx_files",))
@@ -757,11 +758,12 @@ from events group by all
 """
 
 VECTOR_REUSE = """
-with d as (select source as repo_id, doc_id as chunk_id, md5(text) as h from documents),
-s as (select distinct source as repo_id, md5(text) as h from documents where lang = 'en')
-select chunk_id, case when exists (select 1 from s where s.repo_id = d.repo_id and s.h = d.h) then 1 else 0 end
-       as reused
-from d
+with d as (select source as repo_id, doc_id as chunk_id, md5(text) as h, text from documents),
+s as (select distinct source as repo_id, md5(text) as h from documents where lang = 'en'),
+r as (select d.*, exists (select 1 from s where s.repo_id = d.repo_id and s.h = d.h) as hit from d)
+select chunk_id, hit::INTEGER as reused,
+       case when hit then length(text)::VARCHAR else concat(length(text), ' ', length(text) - length(replace(text, ' ', ''))) end as vector
+from r
 """
 
 ORACLE.update({
@@ -774,6 +776,30 @@ ORACLE.update({
     "vector_reuse": VECTOR_REUSE,
 })
 
+ORACLE["flush_one_repo"] = with_views(f"""
+with sym as ({SYMBOLS_BY_CONSTRUCTION}),
+last as (select repo_id, path, arg_max(change_type, seq) as ct, arg_max(user_id, seq) as u
+         from fx_changes where ts < timestamp '2024-01-15 00:00:00' or repo_id = '1' group by repo_id, path),
+fin as (select l.repo_id, l.path, l.u, f.a, f.b, f.content from last l join fx_files f on f.file_id = l.u where l.ct <> 'deleted')
+select repo_id, 'file' as kind, path as a, md5(content) as b from fin
+union all
+select * from (select distinct x.repo_id, 'edge', x.path, y.path
+               from fin x join fin y on x.repo_id = y.repo_id and (y.u = x.a or y.u = x.b) and y.u <> x.u)
+union all
+select fin.repo_id, 'chunk', fin.path, md5(s.body) from fin join sym s on s.file_id = fin.u where s.kind <> 'class'
+""", ("fx_changes", "fx_files"))
+
+ORACLE["find_files"] = retrieval("""
+select distinct m.mention, f.path from (select distinct unnest(files) as mention from sig) m
+join fx_files f on contains(f.path, m.mention)
+""")
+
+ORACLE["definitions"] = with_views(f"""
+with s as ({SYMBOLS_BY_CONSTRUCTION})
+select name, row_number() over (partition by name order by path, start_line)::INTEGER as rank, path,
+       start_line, kind from s
+""", ("fx_files",))
+
 ORACLE["chat_bodies"] = """
 select conv_id as request_id,
        md5(coalesce(string_agg(case when role = 'user' then text end, chr(10) order by turn), '')) as prompt_md5,

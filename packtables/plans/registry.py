@@ -90,7 +90,7 @@ def fixture(spark: SparkSession, sf: str):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FIXTURES:
         fx = Fixture(spark, sf)
-        fx.index = build_index(fx.files, OPTS)
+        fx.index = build_index(fx.files, OPTS, num_partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
         _FIXTURES[key] = fx
     return _FIXTURES[key]
 
@@ -137,7 +137,8 @@ def q_index_stats(spark, sf):
     from packtables.plans.index import index_status
 
     idx = fixture(spark, sf).index
-    return index_status(idx).join(graph_size(idx.files, idx.edges), "repo_id")
+    st = index_status(idx, F.lit(AS_OF).cast("timestamp")).withColumn("last_indexed", F.date_format("last_indexed", "yyyy-MM-dd HH:mm:ss"))
+    return st.join(graph_size(idx.files, idx.edges), "repo_id")
 
 
 def q_chunks_per_file(spark, sf):
@@ -385,11 +386,62 @@ def _incremental_index(spark, sf):
         cut = F.lit(SNAPSHOT_CUTOFF).cast("timestamp")
         files0 = cut_lineage(last_state(ch.filter(F.col("ts") < cut)))
         tagged0 = cut_lineage(code.extract(files0))
-        nf, nt, edges = apply_flush(files0, tagged0, ch.filter(F.col("ts") >= cut))
-        fx.incremental = (cut_lineage(nf), cut_lineage(nt), edges)
+        out = apply_flush(files0, tagged0, ch.filter(F.col("ts") >= cut))
+        fx.incremental = (cut_lineage(out.files), cut_lineage(out.tagged), out.edges)
     return fx.incremental
 
 
+PARTIAL_REPO = "1"                # the second flush touches this repository alone
+
+
+def _partial_index(spark, sf):
+    """Initial build from the changes before a cutoff, then a flush of one repository; tables of all repositories."""
+    from packtables.operators import code, graph
+    from packtables.operators.vectors import embed_column
+    from packtables.plans.index import chunks_of
+    from packtables.session import cut_lineage
+    from packtables.streaming.changes import apply_flush, last_state
+
+    fx = fixture(spark, sf)
+    if not hasattr(fx, "partial"):
+        ch = fx.changes
+        cut = F.lit(SNAPSHOT_CUTOFF).cast("timestamp")
+        files0 = cut_lineage(last_state(ch.filter(F.col("ts") < cut)))
+        tagged0 = cut_lineage(code.extract(files0))
+        edges0 = cut_lineage(graph.build_edges(code.imports_of(tagged0), files0))
+        chunks0 = cut_lineage(embed_column(chunks_of(code.symbols_of(tagged0)), "text", "embedding", dim=8))
+        fx.partial = apply_flush(files0, tagged0, ch.filter((F.col("ts") >= cut) & (F.col("repo_id") == PARTIAL_REPO)),
+                                 edges=edges0, chunks=chunks0, dim=8)
+    return fx.partial
+
+
+def q_flush_one_repo(spark, sf):
+    """T3 + T4: files, edges and chunks (with vectors) of all repositories after a flush that touches one of them."""
+    out = _partial_index(spark, sf)
+    files = out.files.select("repo_id", F.lit("file").alias("kind"), F.col("path").alias("a"), F.md5("content").alias("b"))
+    edges = out.edges.select("repo_id", F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    full = F.when(F.size("embedding") == 8, F.md5("text"))
+    chunks = out.chunks.select("repo_id", F.lit("chunk").alias("kind"), F.col("path").alias("a"), full.alias("b"))
+    return files.unionByName(edges).unionByName(chunks)
+
+
+def q_find_files(spark, sf):
+    """Every path that contains a mention."""
+    from packtables.plans.strategies import find_files
+
+    inp = strategy_inputs(spark, sf)
+    m = inp.signals.select("repo_id", F.explode("file_mentions").alias("mention")).distinct()
+    return find_files(m, inp.index).select("mention", "path")
+
+
+def q_definitions(spark, sf):
+    """A5: the definitions of every name in file order."""
+    from packtables.operators.code import definitions
+
+    return definitions(fixture(spark, sf).index.symbols).select(
+        "name", F.col("rank").cast("int").alias("rank"), "path", "start_line", "kind")
+
+
 def q_changes_final_symbols(spark, sf):
     from packtables.operators import code
 
@@ -419,7 +471,8 @@ def q_request_log(spark, sf):
 
 def q_vector_reuse(spark, sf):
     """Vectors already stored (earlier build: the English documents) are
-    reused by (repo, content hash); only unseen content is embedded."""
+    reused by (repo, content hash); only unseen content goes through the embedder
+    (here one that returns the length and the number of words)."""
     from packtables.sources.store import reuse_or_embed
 
     docs = read_table(spark, sf, "documents").select(
@@ -427,8 +480,13 @@ def q_vector_reuse(spark, sf):
     stored = docs.filter(F.col("lang") == "en")
     stored = stored.select("repo_id", F.md5("text").alias("content_hash"),
                            F.array(F.length("text").cast("float")).alias("embedding"))
-    out = reuse_or_embed(docs.drop("lang"), stored, "text", dim=8)
-    return out.select("chunk_id", F.col("reused").cast("int").alias("reused"))
+    out = reuse_or_embed(docs.drop("lang"), stored, "text", embedder=_size_embedder)
+    return out.select("chunk_id", F.col("reused").cast("int").alias("reused"),
+                      F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
+def _size_embedder():
+    return lambda texts: [[len(t), t.count(" ")] for t in texts]
 
 
 QUERIES.update({
@@ -436,6 +494,9 @@ QUERIES.update({
     "debounce_flush": q_debounce_flush,
     "changes_final_symbols": q_changes_final_symbols,
     "changes_final_edges": q_changes_final_edges,
+    "flush_one_repo": q_flush_one_repo,
+    "find_files": q_find_files,
+    "definitions": q_definitions,
     "ttl_cache": q_ttl_cache,
     "request_log": q_request_log,
     "vector_reuse": q_vector_reuse,

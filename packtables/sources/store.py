@@ -1,8 +1,12 @@
 """Index storage and request/commit sources.
 
-Index tables are Parquet folders partitioned by ``repo_id``. A rebuild
-overwrites only the partitions of the repositories it covers (dynamic
-partition overwrite), so stale rows of deleted files cannot survive (Q11).
+A store folder holds versions: ``<table>/v=<number>/part=r_<repo_id>`` and, in
+``_versions``, which repositories each version covers. A reader takes each
+repository from the newest version that covers it, so a rebuild or a flush writes
+the repositories it touches and nothing else, a repository whose new tables are
+empty leaves no old rows behind (Q11), and a version that was not finished is
+never seen. Writing a version again replaces it, so replays are idempotent.
+
 Stored vectors are reused by ``(repo_id, content_hash)``, so only new or
 changed chunk text is embedded (Q10: the reference reuses any non-empty
 store regardless of repository or staleness).
@@ -10,36 +14,82 @@ store regardless of repository or staleness).
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from packtables.operators.joins import null_safe_join
 from packtables.operators.vectors import embed_column
 
 INDEX_TABLES = ("files", "tagged", "edges", "chunks")
 
 
-def write_index(tables: dict[str, DataFrame], path: str, repos_only: bool = True) -> None:
-    """Write index tables under ``path/<name>``, partitioned by repo_id.
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """``v, repo_id, table, schema`` of all finished versions; None if there is none."""
+    try:
+        return spark.read.schema("repo_id string, table string, schema string, v long").parquet(f"{path}/_versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    With ``repos_only`` the overwrite replaces just the repositories present in
-    the new data (a full rebuild of those repos; others are untouched).
-    """
-    for name, df in tables.items():
-        w = df.write.mode("overwrite").partitionBy("repo_id")
-        if repos_only:
-            w = w.option("partitionOverwriteMode", "dynamic")
-        w.parquet(f"{path}/{name}")
+
+def latest_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """Number of the newest finished version (older than ``before`` when given)."""
+    m = _manifest(spark, path)
+    if m is None:
+        return None
+    if before is not None:
+        m = m.filter(F.col("v") < before)
+    return m.agg(F.max("v")).first()[0]
 
 
-def read_index(spark: SparkSession, path: str, repos: list[str] | None = None) -> dict[str, DataFrame]:
-    """Load stored index tables; a repo filter prunes partitions at the scan."""
+def write_index(tables: dict[str, DataFrame], path: str, repos: DataFrame | None = None, version: int | None = None) -> int:
+    """Write ``tables`` as a new version that covers ``repos`` (``repo_id``; default: those of the tables).
+
+    A covered repository without rows is empty from this version on; the others stay as they were.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if version is None:
+        version = (latest_version(spark, path) or 0) + 1
+    part = F.coalesce(F.concat(F.lit("r_"), "repo_id"), F.lit("none"))
+    covered = repos.select("repo_id") if repos is not None else None
+    for name, df in tables.items():
+        # one task writes a repository's rows unless there are many of them (AQE splits large partitions)
+        df.withColumn("part", part).hint("rebalance", "part").write.mode("overwrite").partitionBy("part") \
+            .parquet(f"{path}/{name}/v={version:012d}")
+        if repos is None:
+            own = df.select("repo_id")
+            covered = own if covered is None else covered.union(own)
+    schemas = F.explode(F.create_map(*[x for name, df in tables.items() for x in (F.lit(name), F.lit(df.schema.json()))]))
+    rows = covered.distinct().select("repo_id", schemas.alias("table", "schema"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/_versions/v={version:012d}")      # visible from here on
+    return version
+
+
+def read_index(spark: SparkSession, path: str, repos: list[str] | None = None, before: int | None = None) -> dict[str, DataFrame]:
+    """Load the stored tables, each repository from the newest version that covers it; ``repos`` prunes partitions."""
+    m = _manifest(spark, path)
+    if m is None:
+        return {}
+    if before is not None:
+        m = m.filter(F.col("v") < before)
+    if repos:
+        m = m.filter(F.col("repo_id").isin(*repos))
     out = {}
-    for name in INDEX_TABLES:
-        try:
-            df = spark.read.parquet(f"{path}/{name}")
-        except Exception:     # noqa: BLE001 - a table not built yet
-            continue
-        out[name] = df.filter(F.col("repo_id").isin(*repos)) if repos else df
+    for row in m.groupBy("table").agg(F.max_by("schema", "v").alias("schema")).collect():      # a handful of tables
+        schema = StructType.fromJson(json.loads(row["schema"]))
+        newest = m.filter(F.col("table") == row["table"]).groupBy("repo_id").agg(F.max("v").alias("v"))
+        newest = newest.select("repo_id", F.col("v").alias("_v"))
+        full = StructType([*schema.fields, StructField("v", LongType()), StructField("part", StringType())])
+        stored = spark.read.schema(full).option("basePath", f"{path}/{row['table']}").parquet(f"{path}/{row['table']}")
+        if repos:
+            stored = stored.filter(F.col("part").isin(*[f"r_{r}" for r in repos]))
+        stored = stored.withColumn("_v", F.col("v"))
+        out[row["table"]] = null_safe_join(stored, newest, ["repo_id", "_v"], "left_semi").select(*schema.names)
     return out
 
 
@@ -74,7 +124,8 @@ def read_requests_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def requests_from_bodies(raw: DataFrame, body_col: str = "body") -> DataFrame:
-    v = F.parse_json(F.col(body_col))
+    """Requests with ``messages``; a body that is no JSON gives null messages (listed by ``body_errors``)."""
+    v = F.try_parse_json(F.col(body_col))
     msgs = F.try_variant_get(v, "$.messages", "array<variant>")
     parts_t = "array<struct<type:string,text:string>>"
     as_struct = F.transform(msgs, lambda m: F.struct(
@@ -85,6 +136,12 @@ def requests_from_bodies(raw: DataFrame, body_col: str = "body") -> DataFrame:
     return raw.withColumn("messages", as_struct).drop(body_col)
 
 
+def body_errors(raw: DataFrame, body_col: str = "body") -> DataFrame:
+    """S3: one row per request whose body cannot be read: ``request_id, error``."""
+    bad = raw.filter(F.col(body_col).isNull() | F.try_parse_json(F.col(body_col)).isNull())
+    return bad.select("request_id", F.when(F.col(body_col).isNull(), "no body").otherwise("malformed JSON").alias("error"))
+
+
 def read_commits(spark: SparkSession, commits_path: str, files_path: str, fmt: str = "parquet"):
     """Commit history export: ``commits(repo_id, hash, message, author, committed_at)``
     and ``commit_files(repo_id, hash, path)``."""

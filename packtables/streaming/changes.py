@@ -4,18 +4,28 @@ The reference flushes pending file changes after a quiet period of the whole
 repository, keeps the last change per path, re-indexes only those files, and
 rebuilds the dependency graph. Here the quiet period is a session window on
 event time per ``repo_id`` (events exactly ``gap`` apart stay in one
-session), and a flush is applied by keyed anti-joins and unions on the index
-tables, writing a new snapshot version (readers always see a whole version).
+session), and a flush is applied by keyed anti-joins and unions on the tables
+of the touched repositories, which become a new version of the store (readers
+always see whole versions).
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packtables.operators import code, graph
+from packtables.operators.joins import null_safe_join
+from packtables.operators.vectors import embed_column
+from packtables.plans.index import chunks_of
+from packtables.session import cut_lineage
 from packtables.sources.files import watched
+from packtables.sources.store import read_index, reuse_or_embed, write_index
 
+FAN = 1024            # buckets a session is cut into at most (twice that at a border)
 CHANGE_SCHEMA = ("repo_id string, path string, change_type string, ts timestamp, seq long, "
                  "content string, lang string")
 
@@ -53,21 +63,26 @@ def assign_sessions(changes: DataFrame, closed: DataFrame, gap_seconds: float) -
     """Attach ``session_start`` to every change of the given sessions.
 
     An as-of join done as an equi-join: sessions are exploded into the time
-    buckets of width ``gap`` they cover and joined with the changes on
-    ``(repo_id, bucket)``, then checked against the session bounds. Two
-    sessions of a repo are more than ``gap`` apart, so a bucket meets at most
-    two sessions, and a session covers at most one bucket per change plus
-    one: the join is linear and a busy repository is spread over many keys.
+    buckets they cover and joined with the changes on ``(repo_id, bucket)``,
+    then checked against the session bounds. Buckets start at the width of the
+    gap (two sessions of a repo are more than that apart, so a bucket meets at
+    most two) and are coarser for long sessions, whose level is part of the
+    key: a session covers at most ``FAN`` buckets of its level, however long
+    it is, and a busy repository is still spread over many keys.
     """
     width = int(gap_seconds * 1_000_000)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    sb = closed.select("repo_id", "session_start", "last_ts",
-                       F.explode(F.sequence(F.floor(us("session_start") / width), F.floor(us("last_ts") / width)))
-                       .alias("_b"))
-    ev = changes.withColumn("_b", F.floor(us("ts") / width))
-    return (ev.join(sb, ["repo_id", "_b"])
-            .filter((F.col("ts") >= F.col("session_start")) & (F.col("ts") <= F.col("last_ts")))
-            .drop("_b", "last_ts"))
+    # a session of n gaps is cut at level ceil(log_FAN(n)): bucket width gap * FAN^level
+    span = (us("last_ts") - us("session_start")) / F.lit(width)
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(span / F.lit(FAN), F.lit(1.0))) / math.log(FAN))).cast("int")
+    wide = (F.lit(float(width)) * F.pow(F.lit(float(FAN)), F.col("_l"))).cast("long")
+    sb = closed.select("repo_id", "session_start", "last_ts", level.alias("_l"))
+    levels = [r[0] for r in sb.select("_l").distinct().collect()] or [0]      # a few numbers: logarithms
+    sb = sb.withColumn("_b", F.explode(F.sequence(F.floor(us("session_start") / wide), F.floor(us("last_ts") / wide))))
+    ev = changes.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("_b", F.floor(us("ts") / wide))
+    hit = null_safe_join(ev, sb, ["repo_id", "_l", "_b"])
+    return (hit.filter((F.col("ts") >= F.col("session_start")) & (F.col("ts") <= F.col("last_ts")))
+            .drop("_b", "_l", "last_ts"))
 
 
 def flush_rows(changes: DataFrame, gap_seconds: float) -> DataFrame:
@@ -92,13 +107,25 @@ def last_state(changes: DataFrame) -> DataFrame:
             .select("repo_id", "path", F.col("l.content").alias("content"), F.col("l.lang").alias("lang")))
 
 
-def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """T3 + T4 + X8: apply one flush to ``files`` and the extraction rows.
+class Flush(NamedTuple):
+    """Index tables after a flush, for all repositories, and the repositories it touched."""
+    files: DataFrame
+    tagged: DataFrame
+    edges: DataFrame
+    chunks: DataFrame
+    repos: DataFrame
+
+
+def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame, edges: DataFrame | None = None,
+                chunks: DataFrame | None = None, embedder=None, dim: int = 64, scanners: dict | None = None) -> Flush:
+    """T3 + T4 + X8: apply one flush to the index tables.
 
     Deleted paths leave every table; added/modified paths are re-read and
     re-extracted alone; untouched files are not parsed again. Edges are
-    rebuilt for the touched repositories only. Returns (files, tagged, edges
-    of touched repos).
+    rebuilt for the touched repositories; those of the others are carried
+    over from ``edges`` (without it, all are rebuilt). The chunks of the
+    touched files are cut anew and embedded, with vectors of equal text reused
+    from ``chunks``.
     """
     last = flush.groupBy("repo_id", "path").agg(
         F.max_by(F.struct("change_type", "content", "lang"), "seq").alias("l"))
@@ -106,53 +133,63 @@ def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame) -> tuple[
     upserts = (last.filter(F.col("l.change_type") != "deleted")
                .select("repo_id", "path", F.col("l.content").alias("content"), F.col("l.lang").alias("lang")))
     new_files = code.replace_files(files.select("repo_id", "path", "content", "lang"), upserts, touched)
-    new_tagged = code.replace_files(tagged, code.extract(upserts), touched)
+    added = code.extract(upserts, scanners=scanners)
+    new_tagged = code.replace_files(tagged, added, touched)
     repos = touched.select("repo_id").distinct()
-    f_r = new_files.join(repos, "repo_id", "left_semi")
-    imports = code.imports_of(new_tagged.join(repos, "repo_id", "left_semi"))
-    edges = graph.build_edges(imports, f_r)
-    return new_files, new_tagged, edges
+    if edges is None:
+        new_edges = graph.build_edges(code.imports_of(new_tagged), new_files)
+    else:
+        own_files = null_safe_join(new_files, repos, ["repo_id"], "left_semi")
+        own_imports = code.imports_of(null_safe_join(new_tagged, repos, ["repo_id"], "left_semi"))
+        new_edges = null_safe_join(edges, repos, ["repo_id"], "left_anti").unionByName(graph.build_edges(own_imports, own_files))
+    fresh = chunks_of(code.symbols_of(added))
+    if chunks is None:
+        old = embed_column(chunks_of(code.symbols_of(tagged)), "text", "embedding", embedder=embedder, dim=dim)
+        new_chunks = embed_column(fresh, "text", "embedding", embedder=embedder, dim=dim)
+    else:
+        old = chunks
+        stored = old.select("repo_id", F.md5("text").alias("content_hash"), "embedding")
+        new_chunks = reuse_or_embed(fresh, stored, "text", embedder=embedder, dim=dim)
+    new_chunks = new_chunks.select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
+    return Flush(new_files, new_tagged, new_edges, code.replace_files(old, new_chunks, touched), repos)
 
 
 def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpoint_dir: str,
-                   gap: str = "2 seconds", watermark: str = "10 seconds", trigger_once: bool = False):
-    """Follow a change feed and keep versioned index snapshots up to date.
+                   gap: str = "2 seconds", watermark: str = "10 seconds", trigger_once: bool = False,
+                   embedder=None, dim: int = 64):
+    """Follow a change feed and keep a versioned index store up to date.
 
     Each micro-batch (``foreachBatch``) takes the sessions the watermark has
     closed, gathers their changes from the raw feed, applies them to the
-    latest snapshot and writes ``store_dir/v=<batch_id>``. Re-running a batch
-    id rewrites the same version, so replays after a failure are idempotent.
+    touched repositories of the latest version and writes those as version
+    ``batch_id`` (``sources.store``). Re-running a batch id rewrites the same
+    version, so replays after a failure are idempotent.
     """
-    import os
-
     stream = read_change_stream(spark, change_dir)
     closed = sessions(watch_filter(stream), gap, watermark)
     gap_seconds = _seconds(gap)
 
     def apply(batch: DataFrame, batch_id: int):
-        if batch.isEmpty():
-            return
-        bounds = batch.select("repo_id", "session_start", "last_ts")
+        bounds = cut_lineage(batch.select("repo_id", "session_start", "last_ts"))
         lo, hi = bounds.agg(F.min("session_start"), F.max("last_ts")).first()
+        if lo is None:
+            return
         # only the closed sessions' time range is read (pushed to the scan)
         raw = watch_filter(spark.read.schema(CHANGE_SCHEMA).parquet(change_dir)
                            .filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))))
-        hits = assign_sessions(raw, bounds, gap_seconds)
-        prev = _latest_version(spark, store_dir, before=batch_id)
-        if prev is None:
-            files = spark.createDataFrame([], "repo_id string, path string, content string, lang string")
-            tagged = spark.createDataFrame([], code.EXTRACT_SCHEMA)
-        else:
-            files = spark.read.parquet(f"{prev}/files")
-            tagged = spark.read.parquet(f"{prev}/tagged")
-        nf, nt, edges = apply_flush(files, tagged, hits)
-        out = os.path.join(store_dir, f"v={batch_id:012d}")
-        nf.write.mode("overwrite").parquet(f"{out}/files")
-        nt.write.mode("overwrite").parquet(f"{out}/tagged")
-        edges.write.mode("overwrite").parquet(f"{out}/edges")
-        # a version becomes visible only once all its tables are written
-        (spark.createDataFrame([(batch_id, out)], "batch_id long, path string")
-         .write.mode("append").parquet(os.path.join(store_dir, "_versions")))
+        hits = cut_lineage(assign_sessions(raw, bounds, gap_seconds))
+        repos = hits.select("repo_id").distinct()
+        stored = read_index(spark, store_dir, before=batch_id)
+        empty = {"files": "repo_id string, path string, content string, lang string", "tagged": code.EXTRACT_SCHEMA,
+                 "edges": "repo_id string, src string, dst string, line int, col int",
+                 "chunks": "repo_id string, chunk_id long, path string, start_line int, end_line int, text string, "
+                           "embedding array<float>"}
+        # the touched repositories alone are read, applied and written
+        prev = {t: null_safe_join(stored[t], repos, ["repo_id"], "left_semi") if t in stored else spark.createDataFrame([], ddl)
+                for t, ddl in empty.items()}
+        new = apply_flush(prev["files"], prev["tagged"], hits, prev["edges"], prev["chunks"], embedder=embedder, dim=dim)
+        write_index({"files": new.files, "tagged": new.tagged, "edges": new.edges, "chunks": new.chunks}, store_dir,
+                    repos=new.repos, version=batch_id)
 
     q = (closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint_dir)
          .foreachBatch(apply))
@@ -161,20 +198,6 @@ def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpo
     return q.start()
 
 
-def _latest_version(spark: SparkSession, store_dir: str, before: int | None = None) -> str | None:
-    """Path of the newest committed snapshot (older than ``before`` when given)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        v = spark.read.parquet(f"{store_dir}/_versions")
-    except AnalysisException:
-        return None
-    if before is not None:
-        v = v.filter(F.col("batch_id") < before)
-    row = v.orderBy(F.col("batch_id").desc()).select("path").first()
-    return row[0] if row else None
-
-
 def _seconds(interval: str) -> float:
     n, unit = interval.split()
     scale = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,

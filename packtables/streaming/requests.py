@@ -8,7 +8,9 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from packtables.operators.joins import null_safe_join
 from packtables.session import cut_lineage
 
 
@@ -18,15 +20,18 @@ def ttl_compiles(requests: DataFrame, key: str = "fingerprint", ts: str = "ts",
 
     A key compiles at its first request; a later request reuses the pack
     while ``ts <= t0 + ttl`` (``t0`` = last compile; hits do not extend the
-    life), else it compiles again. ``order`` must be unique per key.
+    life), else it compiles again. ``order`` must be unique per key; a null
+    key is a key like any other.
 
     The chain of compiles is a pointer chain ``i -> next(i)`` (first request
     after ``ts_i + ttl``). Positions come from one running count over the
     requests merged with probe rows at ``ts_i + ttl`` (``scan.running_sum``:
-    a key with a large share of all requests is split over tasks). The chain
-    is then followed from each key's first request by pointer doubling:
-    O(log n) rounds of equi-joins on ``(key, position)``, no per-key loop and
-    no collected groups. Adds ``compiled`` (bool) and ``served_by`` (the
+    a key with a large share of all requests is split over tasks). A request
+    more than the TTL after its predecessor always compiles, so it heads a
+    segment of its own, and most segments are settled at once. Only pointers
+    inside longer segments are doubled: log2(longest chain of a segment)
+    rounds of equi-joins on ``(key, position)``, no per-key loop and no
+    collected groups. Adds ``compiled`` (bool) and ``served_by`` (the
     ``order`` value of the request whose compiled pack this one is given).
     """
     from packtables.operators.scan import running_sum
@@ -40,58 +45,87 @@ def ttl_compiles(requests: DataFrame, key: str = "fingerprint", ts: str = "ts",
     pos = (counted.groupBy(key, order)
            .agg(F.max(F.when(F.col("_kind") == 0, F.col("_run"))).alias("_idx"),
                 F.max(F.when(F.col("_kind") == 1, F.col("_run") + 1)).alias("_nxt")))
-    r = cut_lineage(requests.join(pos, [key, order]))
-    jump = r.select(key, F.col("_idx").alias("i"), F.col("_nxt").alias("j"))
-    n_max = r.agg(F.max("_idx")).first()[0] or 0
-    reached = r.filter(F.col("_idx") == 1).select(key, F.col("_idx").alias("i"))
-    span = 1
-    while span < n_max:
-        step = reached.join(jump, [key, "i"]).select(key, F.col("j").alias("i"))
+    pos = cut_lineage(pos)
+    # the predecessor's pointer tells whether a request heads a segment
+    before = pos.select(key, (F.col("_idx") + 1).alias("_idx"), F.col("_nxt").alias("_from"))
+    pos = null_safe_join(pos, before, [key, "_idx"], "left").withColumn(
+        "_head", (F.col("_idx") == 1) | (F.col("_from") == F.col("_idx"))).drop("_from")
+    r = cut_lineage(null_safe_join(requests, pos, [key, order]))
+    reached = r.filter("_head").select(key, F.col("_idx").alias("i"))
+    inner = r.filter(~F.col("_head")).select(key, F.col("_idx").alias("j"))
+    jump = cut_lineage(null_safe_join(r.select(key, F.col("_idx").alias("i"), F.col("_nxt").alias("j")), inner, [key, "j"],
+                                      "left_semi"))
+    while not jump.isEmpty():
+        step = null_safe_join(reached, jump, [key, "i"]).select(key, F.col("j").alias("i"))
         reached = cut_lineage(reached.unionByName(step).distinct())
-        # jump_{k+1}(i) = jump_k(jump_k(i)); pointers past the end stay there
-        jump = cut_lineage(jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}"))
-                                                & (F.col("a.j") == F.col("b.i")), "left")
-                           .select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"),
-                                   F.coalesce(F.col("b.j"), F.col("a.j")).alias("j")))
-        span *= 2
-    out = r.join(reached.withColumnRenamed("i", "_idx").withColumn("compiled", F.lit(True)), [key, "_idx"], "left")
+        # jump_{k+1}(i) = jump_k(jump_k(i)); pointers that leave the segment end there
+        jump = cut_lineage(null_safe_join(jump.select(key, F.col("i").alias("i0"), F.col("j").alias("i")), jump, [key, "i"])
+                           .select(key, F.col("i0").alias("i"), "j"))
+    out = null_safe_join(r, reached.withColumnRenamed("i", "_idx").withColumn("compiled", F.lit(True)), [key, "_idx"], "left")
     out = out.withColumn("compiled", F.coalesce("compiled", F.lit(False)))
     # served_by: the request whose compile this one reuses (itself when it compiles).
     # The running count of compiles numbers them; a request takes the compile with its number.
     out = running_sum(out, [key], ["_idx"], F.col("compiled").cast("int"), "_cno")
     firsts = out.filter("compiled").select(key, "_cno", F.col(order).alias("served_by"))
-    return out.join(firsts, [key, "_cno"]).drop("_idx", "_nxt", "_cno")
+    return null_safe_join(out, firsts, [key, "_cno"]).drop("_idx", "_nxt", "_head", "_cno")
 
 
-def _ttl_state(key_cols, ttl_seconds):
+def compile_reusing(inp, opts=None, ts: str = "ts", index_version: str = "") -> DataFrame:
+    """T5 + B7: one row per request with the pack it is given, compiling each pack once per TTL.
+
+    Requests share a pack only within a repository, an index version and a
+    prompt fingerprint. Only the requests that compile go through
+    ``compile_packs``; the others are joined with the pack of ``served_by``.
+    ``inp.signals`` needs the request time ``ts``.
+    """
+    from dataclasses import replace
+
+    from packtables.options import PackOptions
+    from packtables.plans.packs import compile_packs
+
+    opts = opts or PackOptions()
+    keyed = inp.signals.withColumn("_pack_key", F.struct("repo_id", F.lit(index_version).alias("version"), "fingerprint"))
+    served = cut_lineage(ttl_compiles(keyed, key="_pack_key", ts=ts, order="request_id", ttl_seconds=opts.cache_ttl_seconds))
+    own = served.filter("compiled").select(*inp.signals.columns)
+    packs = compile_packs(replace(inp, signals=own), opts).withColumnRenamed("request_id", "served_by")
+    return served.select("request_id", "compiled", "served_by").join(packs, "served_by")
+
+
+def _ttl_state(ttl_seconds: int, order: str | None):
     from pyspark.sql.streaming.state import GroupState
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "seq"])
-            compiled = []
-            for t in pdf["ts"]:
-                ts = pd.Timestamp(t).value // 1000
-                if last is None or ts > last + ttl_seconds * 1_000_000:
-                    last = ts
-                    compiled.append(True)
-                else:
-                    compiled.append(False)
-            yield pdf.assign(compiled=compiled)
-        if last is not None:
+        # a key's rows of one micro-batch may come in several chunks; the rule needs them in time order
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", order] if order else ["ts"], kind="stable")
+        compiled = []
+        for t in pdf["ts"]:
+            us = pd.Timestamp(t).value // 1000
+            if last is None or us > last + ttl_seconds * 1_000_000:
+                last = us
+                compiled.append(True)
+            else:
+                compiled.append(False)
+        yield pdf.assign(compiled=compiled)
+        expiry = last // 1000 + ttl_seconds * 1000 + 1
+        if expiry > state.getCurrentWatermarkMs():
             state.update((last,))
-            state.setTimeoutTimestamp(last // 1000 + ttl_seconds * 1000 + 1)
+            state.setTimeoutTimestamp(expiry)
+        elif state.exists:        # nothing the watermark still lets in can reuse this pack
+            state.remove()
     return fn
 
 
 def ttl_compiles_stream(requests: DataFrame, key: str = "fingerprint", ttl_seconds: int = 300,
-                        watermark: str = "10 minutes") -> DataFrame:
+                        watermark: str = "10 minutes", order: str | None = "seq") -> DataFrame:
     """T5 on a stream: per-key state is the last compile time only, dropped
     once the watermark passes its expiry (exact TTL, bounded state)."""
-    schema = requests.schema.add("compiled", "boolean")
+    schema = StructType([*requests.schema.fields, StructField("compiled", BooleanType())])
     return (requests.withWatermark("ts", watermark).groupBy(key)
-            .applyInPandasWithState(_ttl_state([key], ttl_seconds), outputStructType=schema,
+            .applyInPandasWithState(_ttl_state(ttl_seconds, order), outputStructType=schema,
                                     stateStructType="last_us long", outputMode="append",
                                     timeoutConf="EventTimeTimeout"))
 

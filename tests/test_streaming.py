@@ -3,6 +3,7 @@
 import datetime as dt
 
 
+from packtables.sources.store import read_index
 from packtables.streaming.changes import CHANGE_SCHEMA, flush_rows, sessions
 from packtables.streaming.requests import ttl_compiles, ttl_compiles_stream
 
@@ -86,16 +87,83 @@ def test_follow_changes_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows2, CHANGE_SCHEMA).write.parquet(str(feed / "p2"))
     q = follow_changes(spark, str(feed / "*"), store, ck, gap="2 seconds", watermark="1 second", trigger_once=True)
     q.awaitTermination(300)
-    versions = spark.read.parquet(f"{store}/_versions").orderBy("batch_id").collect()
-    latest = versions[-1].path
-    files = {(r.path, r.content) for r in spark.read.parquet(f"{latest}/files").collect()}
+    t = read_index(spark, store)
+    files = {(r.path, r.content) for r in t["files"].collect()}
     all_changes = spark.createDataFrame(rows1 + rows2[:-1], CHANGE_SCHEMA)
     expect = {(r.path, r.content) for r in last_state(all_changes).filter("path like '%.py'").collect()}
     assert files == expect
-    syms = {r.name for r in code.symbols_of(spark.read.parquet(f"{latest}/tagged")).collect()}
-    assert syms == {"f", "h"}
-    edges = {(r.src, r.dst) for r in spark.read.parquet(f"{latest}/edges").collect()}
-    assert edges == {("a.py", "b.py")}
+    assert {r.name for r in code.symbols_of(t["tagged"]).collect()} == {"f", "h"}
+    assert {(r.src, r.dst) for r in t["edges"].collect()} == {("a.py", "b.py")}
+    assert {r.text.split("(")[0]: len(r.embedding) for r in t["chunks"].collect()} == {"def f": 64, "def h": 64}
+
+
+def test_flush_keeps_untouched_repos(spark):
+    """T4: a flush of repos a and z leaves the files, edges and chunks of b as they were, and b's vectors too."""
+    from packtables.operators import code, graph
+    from packtables.operators.vectors import embed_column
+    from packtables.plans.index import chunks_of
+    from packtables.streaming.changes import apply_flush
+
+    t0 = dt.datetime(2024, 1, 1)
+    old = [(r, "m.py", "import n\n\ndef f():\n    return 1\n", "python") for r in "ab"] + [(r, "n.py", "def g():\n    return 2\n", "python") for r in "ab"]
+    files = spark.createDataFrame(old, "repo_id string, path string, content string, lang string")
+    tagged = code.extract(files)
+    edges = graph.build_edges(code.imports_of(tagged), files)
+    chunks = embed_column(chunks_of(code.symbols_of(tagged)), "text", dim=8)
+    flush = spark.createDataFrame([("a", "n.py", "deleted", t0, 1, None, None), ("z", "k.py", "added", t0, 2, "import j\n", "python"),
+                                   ("z", "j.py", "added", t0, 3, "def h():\n    return 3\n", "python")], CHANGE_SCHEMA)
+    for given in (edges, None):
+        out = apply_flush(files, tagged, flush, edges=given, chunks=chunks, dim=8)
+        assert {(r.repo_id, r.src, r.dst) for r in out.edges.collect()} == {("b", "m.py", "n.py"), ("z", "k.py", "j.py")}
+        assert {(r.repo_id, r.path) for r in out.chunks.collect()} == {("a", "m.py"), ("b", "m.py"), ("b", "n.py"), ("z", "j.py")}
+        assert {(r.repo_id, r.path) for r in out.files.collect()} == {("a", "m.py"), ("b", "m.py"), ("b", "n.py"), ("z", "j.py"), ("z", "k.py")}
+
+
+def test_long_sessions_have_few_buckets(spark, monkeypatch):
+    """A session of many gaps is placed like the others, through coarser buckets."""
+    from packtables.streaming import changes as C
+
+    monkeypatch.setattr(C, "FAN", 4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("r", f"{i}.py", "added", t0 + dt.timedelta(seconds=2 * i), i, "x", "python") for i in range(300)]
+    rows += [("r", "late.py", "added", t0 + dt.timedelta(seconds=900), 400, "x", "python"), (None, "n.py", "added", t0, 401, "x", "python")]
+    ch = spark.createDataFrame(rows, CHANGE_SCHEMA)
+    got = flush_rows(ch, 2).groupBy("repo_id", "session_start").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 1, 300]
+
+
+def test_ttl_state_expires_in_a_later_batch(spark, tmp_path):
+    """Two expiries in micro-batches of their own, then the key comes back."""
+    t0 = dt.datetime(2024, 1, 1)
+    src, batches = tmp_path / "req", [[("k", 0, 1), ("j", 5, 2), ("k", 10, 3)], [("x", 3000, 4)], [("y", 9000, 5), ("k", 9001, 6), ("k", 9002, 7)],
+                                      [("x", 20000, 8)], [("k", 30000, 9)]]
+    schema = "fingerprint string, ts timestamp, seq long"
+    make = lambda rows: spark.createDataFrame([(k, t0 + dt.timedelta(seconds=s), i) for k, s, i in rows], schema)
+    make(batches[0]).write.parquet(str(src))
+    stream = spark.readStream.schema(schema).parquet(str(src))
+    q = (ttl_compiles_stream(stream, ttl_seconds=300, watermark="10 seconds").writeStream.format("memory").queryName("ttl_x")
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    for b in batches[1:]:
+        make(b).write.mode("append").parquet(str(src))
+        q.processAllAvailable()
+    q.stop()
+    streamed = {(r.seq, r.compiled) for r in spark.sql("select seq, compiled from ttl_x").collect()}
+    rows = make([r for b in batches for r in b])
+    assert streamed == {(r.seq, r.compiled) for r in ttl_compiles(rows).collect()}
+
+
+def test_ttl_of_null_keys_and_dense_requests(spark):
+    """Null fingerprints are a key; chains inside long segments are followed."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(seconds=7 * i), i) for k in ("a", None) for i in range(400)]
+    got = ttl_compiles(spark.createDataFrame(rows, "fingerprint string, ts timestamp, seq long"), ttl_seconds=60).collect()
+    want, last = {}, None
+    for i in range(400):
+        if last is None or 7 * i > 7 * last + 60:
+            last = i
+        want[i] = last
+    assert len(got) == 800 and all(r.served_by == want[r.seq] and r.compiled == (want[r.seq] == r.seq) for r in got)
 
 
 def test_enrich_stream_writes_each_batch(spark, tmp_path):
