@@ -2,7 +2,7 @@
 
 Every ``group_col`` value is one pack; its documents are ``<file>`` entries.
 Files are dropped longest first (ties: lower id first, the stable order of
-the reference), until the pack fits the budget.
+the reference), until the pack fits the budget. A null group is a pack too.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packtables.functions.text import cdata, xml_escape
 from packtables.functions.tokens import count_tokens
 from packtables.operators.budget import apply_budget
+from packtables.operators.joins import null_safe_join
 from packtables.plans.xml import ROOT_CLOSE, literal_tokens, root_open, section_tokens
 
 
@@ -31,7 +32,7 @@ def budget_documents(docs: DataFrame, max_tokens: int = 6000, group_col: str = "
     last = (entries.groupBy(group_col).agg(F.min(F.struct("chars", (-F.col(id_col)).alias("nid"))).alias("m"))
             .select(group_col, F.col("m.chars").alias("chars"), (-F.col("m.nid")).alias(id_col),
                     F.lit(True).alias("_last")))
-    steps = (entries.join(last, [group_col, "chars", id_col], "left")
+    steps = (null_safe_join(entries, last, [group_col, "chars", id_col], "left")
              .withColumn("delta", F.col("tokens") + F.when(F.col("_last"), F.lit(section_tokens("files")))
                          .otherwise(F.lit(0))).drop("_last"))
     return apply_budget(steps, [group_col], order, budget=max_tokens, method=method)

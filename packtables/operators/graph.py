@@ -53,8 +53,7 @@ def normalize_path(path) -> Column:
 
 def _candidates() -> Column:
     s = F.col("source")
-    importer_dir = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
-    rel = normalize_path(F.concat_ws("/", importer_dir, s))
+    rel = normalize_path(F.concat_ws("/", F.col("folder"), s))
     slashed = F.translate(s, ".", "/")
     c = [F.struct(F.lit(0).alias("prio"), F.lit("k").alias("ns"), s.alias("key"))]
     for j, e in enumerate(RELATIVE_EXTS):
@@ -81,12 +80,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame, keys: DataFrame | None
     plus each extension; last component as a stem. Self-imports are dropped.
     """
     look = lookup_table(files, keys)
-    cand = imports.select("repo_id", "path", "source", "line", "col", F.explode(_candidates()).alias("c"))
-    cand = cand.select("repo_id", "path", "source", "line", "col", "c.prio", "c.ns", "c.key")
+    # a source is resolved once per repository (a relative one: once per folder), however many files import it
+    folder = F.when(F.col("source").startswith("."), F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)).otherwise("")
+    named = imports.select("repo_id", "path", "source", "line", "col", folder.alias("folder"))
+    cand = named.select("repo_id", "source", "folder").distinct()
+    cand = cand.select("repo_id", "source", "folder", F.explode(_candidates()).alias("c"))
+    cand = cand.select("repo_id", "source", "folder", "c.prio", "c.ns", "c.key")
     hit = cand.join(look.withColumnRenamed("path", "target"), ["repo_id", "ns", "key"])
-    best = (hit.groupBy("repo_id", "path", "source", "line", "col")
-            .agg(F.min_by("target", "prio").alias("target")))
-    return best.filter(F.col("target") != F.col("path"))
+    best = hit.groupBy("repo_id", "source", "folder").agg(F.min_by("target", "prio").alias("target"))
+    out = named.join(best, ["repo_id", "source", "folder"]).select("repo_id", "path", "source", "line", "col", "target")
+    return out.filter(F.col("target") != F.col("path")).distinct()
 
 
 def build_edges(imports: DataFrame, files: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -5,9 +5,9 @@ loop over every (needle, candidate) pair, both sides are cut into n-grams:
 each needle keeps its rarest n-gram (frequencies are one partial
 aggregation), is equi-joined with the candidates holding that n-gram, and
 the short candidate list is checked with ``contains``. The result is exact:
-a candidate containing the needle holds every n-gram of it. Needles shorter
-than ``q`` fall back to an equi-join on ``q``-length prefixes of the
-candidates' substrings, which still has no pair blow-up.
+a candidate containing the needle holds every n-gram of it. The index also
+holds the shorter substrings, so a needle shorter than ``q`` is its own gram and
+takes the same path.
 """
 
 from __future__ import annotations
@@ -17,11 +17,21 @@ from pyspark.sql import functions as F
 
 
 def _grams(col: Column, q: int) -> Column:
+    """Distinct substrings of ``q`` characters (a shorter text: itself)."""
     n = F.length(col)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))),
                                         lambda i: F.substring(col, i, q)))
 
 
+def _indexed_grams(col: Column, q: int) -> Column:
+    """Distinct substrings of 1 to ``q`` characters."""
+    return F.array_distinct(F.flatten(F.array(*[_grams(col, k) for k in range(1, q + 1)])))
+
+
+def _needle_grams(col: Column, q: int) -> Column:
+    return F.when(F.length(col) < q, F.array(col)).otherwise(_grams(col, q))
+
+
 class GramIndex:
     """The n-gram side of a lookup, built once per index version.
 
@@ -34,7 +44,7 @@ class GramIndex:
 
         self.haystack, self.value, self.keys, self.q = haystack, value, list(keys), q
         hay_cols = [c for c in haystack.columns if c not in self.keys]
-        grams = haystack.select(*self.keys, *hay_cols, F.explode(_grams(F.col(value), q)).alias("_g"))
+        grams = haystack.select(*self.keys, *hay_cols, F.explode(_indexed_grams(F.col(value), q)).alias("_g"))
         freq = grams.groupBy(*self.keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
         if materialize:
             grams, freq = cut_lineage(grams), cut_lineage(freq)
@@ -51,35 +61,17 @@ def containing(needles: DataFrame, haystack: DataFrame | None = None, *, needle:
     """
     if index is None:
         index = GramIndex(haystack, value, keys, q)
-    haystack, keys, q = index.haystack, list(index.keys), index.q
+    keys, q = list(index.keys), index.q
     nd = needles.select(*keys, needle).distinct()
-    hay_cols = [c for c in haystack.columns if c not in keys]
     hg, freq = index.grams, index.freq
-    long_n = nd.filter(F.length(needle) >= q)
-    ng = long_n.select(*keys, needle, F.explode(_grams(F.col(needle), q)).alias("_g"))
+    nd = nd.filter(F.length(needle) > 0)
+    ng = nd.select(*keys, needle, F.explode(_needle_grams(F.col(needle), q)).alias("_g"))
     ng = ng.join(freq, keys + ["_g"], "left").fillna(0, ["_f"])
     # a needle with an n-gram no candidate holds has no match at all
     best = (ng.groupBy(*keys, needle)
             .agg(F.min("_f").alias("_minf"), F.min_by("_g", F.struct("_f", "_g")).alias("_g"))
             .filter(F.col("_minf") > 0).drop("_minf"))
-    hit = best.join(hg, keys + ["_g"]).filter(F.col(value).contains(F.col(needle))).drop("_g")
-    if q > 1:
-        short_n = nd.filter(F.length(needle) < q)
-        subs = haystack.select(*keys, *hay_cols, F.explode(_all_short_subs(F.col(value), q - 1)).alias(needle))
-        hit = hit.unionByName(short_n.join(subs, keys + [needle]).select(hit.columns))
-    return hit
-
-
-def _all_short_subs(col: Column, max_len: int) -> Column:
-    """Distinct substrings of length 1..max_len."""
-    n = F.length(col)
-    def cut(ln):
-        return lambda i: F.substring(col, i, ln)
-
-    parts = []
-    for ln in range(1, max_len + 1):
-        parts.append(F.transform(F.sequence(F.lit(1), F.greatest(n - ln + 1, F.lit(1))), cut(ln)))
-    return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda s: F.length(s) > 0))
+    return best.join(hg, keys + ["_g"]).filter(F.col(value).contains(F.col(needle))).drop("_g")
 
 
 def first_containing(needles: DataFrame, haystack: DataFrame | None = None, *, needle: str, value: str,

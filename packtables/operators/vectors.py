@@ -3,7 +3,7 @@
 Distributed block search: queries are hashed into ``bq`` blocks, chunks into
 ``bc`` blocks; every (query block, chunk block) pair meets once in a cogroup,
 where NumPy computes the block's distance matrix and keeps each query's local
-top-k (plus ties). A row_number window over at most ``bc * k`` rows per
+top-k (ties by chunk_id, so never more than k). A row_number window over at most ``bc * k`` rows per
 query then gives the global top-k. No pair rows are ever materialised; the
 shuffle is ``|queries| * bc + |chunks| * bq`` vectors per group (repository).
 Block counts follow each group's row counts, so a block always fits in one
@@ -21,15 +21,14 @@ from pyspark.sql import functions as F
 
 from packtables.functions.text import similarity
 
-_PAIR_SCHEMA = "query_id long, chunk_id long, distance double"
-
-
-def _local_topk(k: int, exclude_self: bool):
+def _local_topk(k: int, exclude_self: bool, group: str):
     def run(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+            return pd.DataFrame({group: pd.Series([], dtype="object"),
+                                 "query_id": pd.Series([], dtype="int64"),
                                  "chunk_id": pd.Series([], dtype="int64"),
                                  "distance": pd.Series([], dtype="float64")})
+        cdf = cdf.sort_values("chunk_id", kind="stable")
         cid = cdf["chunk_id"].to_numpy(dtype=np.int64)
         cm = np.stack([np.asarray(v, dtype=np.float64) for v in cdf["vec"].to_numpy()])
         cn = np.einsum("ij,ij->i", cm, cm)
@@ -46,11 +45,14 @@ def _local_topk(k: int, exclude_self: bool):
             if exclude_self:
                 d2[qid[:, None] == cid[None, :]] = np.inf
             kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+            nearer = d2 < kth[:, None]
+            equal = (d2 == kth[:, None]) & np.isfinite(d2)
+            wanted = kk - nearer.sum(axis=1, keepdims=True)      # of the equal ones, the smallest ids
+            rows, cols = np.nonzero(nearer | (equal & (np.cumsum(equal, axis=1) <= wanted)))
             out_q.append(qid[rows])
             out_c.append(cid[cols])
             out_d.append(np.sqrt(d2[rows, cols]))
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_c),
+        return pd.DataFrame({group: qdf[group].iloc[0], "query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_c),
                              "distance": np.concatenate(out_d)})
     return run
 
@@ -66,7 +68,8 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bo
     action): a group with ``Q`` queries and ``C`` chunks gets
     ``ceil(Q / query_block_rows)`` query blocks and ``ceil(C / chunk_block_rows)``
     chunk blocks, so replication follows each group's own sizes.
-    Returns ``(query_id, chunk_id, distance, rank)``.
+    Returns ``(group, query_id, chunk_id, distance, rank)``, ``group`` only if it was given; ids need to be unique
+    within a group only.
     """
     g = group or "_grp"
     gcol = (lambda: F.col(group)) if group else (lambda: F.lit(0))
@@ -99,11 +102,12 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bo
          .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("_bc")))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bq") - 1)))
          .drop("_bq", "_bc"))
+    kind = queries.schema[g].dataType.simpleString()
     local = (q.groupBy(g, "qb", "cb").cogroup(c.groupBy(g, "qb", "cb"))
-             .applyInPandas(_local_topk(k, exclude_self), schema=_PAIR_SCHEMA))
-    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return (local.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+             .applyInPandas(_local_topk(k, exclude_self, g), schema=f"{g} {kind}, query_id long, chunk_id long, distance double"))
+    w = Window.partitionBy(g, "query_id").orderBy("distance", "chunk_id")
+    top = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top if group else top.drop(g)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 8, threshold: float = 0.40, *,
@@ -111,7 +115,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 8, threshold: float =
            chunk_block_rows: int = 65536, group: str | None = None) -> DataFrame:
     """Top ``k`` first, threshold on score second (Q15).
 
-    Returns ``(query_id, chunk_id, rank, distance, score)``.
+    Returns ``(group, query_id, chunk_id, rank, distance, score)``, ``group`` only if it was given.
     """
     pairs = knn_pairs(queries, chunks, k, exclude_self=exclude_self, query_block_rows=query_block_rows,
                       chunk_block_rows=chunk_block_rows, group=group)
@@ -119,16 +123,11 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 8, threshold: float =
             .filter(F.col("score") >= F.lit(threshold)))
 
 
-def attach_chunk_meta(hits: DataFrame, chunk_meta: DataFrame) -> DataFrame:
-    """Join hits to chunk metadata (kept for an external vector table)."""
-    return hits.join(chunk_meta, "chunk_id")
-
-
 # ---------------------------------------------------------------------------
 # Embedder hook. The default embeds text by hashing its word pieces into
 # a fixed number of dimensions (deterministic, runs anywhere). Any callable
 # ``list[str] -> np.ndarray`` can replace it; it is called once per Arrow batch
-# and loaded once per worker. Failing batches yield null vectors, filtered out.
+# and loaded once per worker. A failing batch gives an error in each of its rows.
 
 def hashed_bag_embedder(dim: int = 64):
     import re
@@ -151,16 +150,24 @@ def hashed_bag_embedder(dim: int = 64):
 
 def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding", embedder=None,
                  dim: int = 64) -> DataFrame:
+    """``df`` with a vector of each text, without the rows whose batch failed (``embed_checked`` lists those)."""
+    checked = embed_checked(df, text_col, out_col, embedder, dim)
+    return checked.filter(F.col(out_col).isNotNull()).drop(f"{out_col}_error")
+
+
+def embed_checked(df: DataFrame, text_col: str, out_col: str = "embedding", embedder=None, dim: int = 64) -> DataFrame:
+    """``df`` with a vector of each text and ``<out_col>_error``: what the embedder raised for the row's batch, or null."""
     make = embedder or (lambda: hashed_bag_embedder(dim))
 
-    @F.pandas_udf("array<float>")
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vec array<float>, error string")
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = make()
         for s in batches:
             try:
-                vecs = fn(s.fillna("").tolist())
-                yield pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
-            except Exception:
-                yield pd.Series([None] * len(s))
+                vecs = [np.asarray(v, dtype=np.float32) for v in fn(s.fillna("").tolist())]
+                yield pd.DataFrame({"vec": vecs, "error": None})
+            except Exception as e:      # a batch that fails is reported row by row; the others go on
+                yield pd.DataFrame({"vec": [None] * len(s), "error": f"{type(e).__name__}: {e}"})
 
-    return df.withColumn(out_col, _embed(F.col(text_col))).filter(F.col(out_col).isNotNull())
+    both = df.withColumn("_embedded", _embed(F.col(text_col)))
+    return both.withColumn(out_col, F.col("_embedded.vec")).withColumn(f"{out_col}_error", F.col("_embedded.error")).drop("_embedded")

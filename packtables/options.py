@@ -31,4 +31,5 @@ class PackOptions:
     # Sizing of distributed vector search blocks.
     knn_query_block_rows: int = 4096
     knn_chunk_block_rows: int = 65536
+    counter: object = field(default=None, hash=False, compare=False)      # U3: a tokens.TokenCounter
     extra: dict = field(default_factory=dict, hash=False, compare=False)

@@ -43,14 +43,14 @@ class CodeIndex:
 
     @cached_property
     def name_grams(self):
-        """Bigram index of symbol names (J2 partial matches; mentions have 2+ characters)."""
+        """Trigram index of symbol names (J2 partial matches)."""
         from packtables.operators.lookup import GramIndex
 
-        return GramIndex(self.names, "name", q=2, materialize=self.materialize)
+        return GramIndex(self.names, "name", q=3, materialize=self.materialize)
 
     @cached_property
     def path_grams(self):
-        """Trigram index of file paths (J4 / J5; file mentions have 3+ characters)."""
+        """Trigram index of file paths."""
         from packtables.operators.lookup import GramIndex
 
         return GramIndex(self.files.select("repo_id", "path"), "path", q=3, materialize=self.materialize)

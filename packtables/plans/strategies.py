@@ -10,6 +10,7 @@ order, so "first wins" rules are ``row_number() = 1`` on that order.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,12 +126,14 @@ def symbol_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions) -> Da
                                order="first", out="name", index=idx.name_grams)
     hits = (exact.withColumn("name", F.col("mention"))
             .unionByName(miss.join(partial, ["repo_id", "mention"])))
-    found = hits.join(defs, ["repo_id", "name"])
-    # One entry per (name, path), the first in insertion order
-    w = Window.partitionBy("request_id", "name", "path").orderBy("m_pos", "start_line", "col")
-    found = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    # One entry per (name, path), the first in insertion order; keys only, the texts come last
+    keys = defs.select("repo_id", "name", "path", "start_line", "col")
+    found = (hits.join(keys, ["repo_id", "name"]).groupBy("request_id", "repo_id", "name", "path")
+             .agg(F.min(F.struct("m_pos", "start_line", "col")).alias("_f"))
+             .select("request_id", "repo_id", "name", "path", "_f.*"))
     sites = call_sites(idx.calls, found.select("repo_id", "name"), opts.max_call_sites, opts.call_match)
     found = found.join(sites, ["repo_id", "name"], "left")
+    found = found.join(defs, ["repo_id", "name", "path", "start_line", "col"])
     return entries(found, "symbols",
                    pos=pos(0, F.col("m_pos"), F.col("path"), F.col("start_line"), F.col("col")),
                    line=F.col("start_line"),
@@ -178,11 +181,11 @@ def file_expand_strategy(signals: DataFrame, idx: CodeIndex, opts: PackOptions)
             .select("request_id", "repo_id", "m_pos", F.col("dst").alias("path"),
                     F.col("line").cast("long").alias("k3"), F.col("col").cast("long").alias("k4")))
     cand = own.unionByName(deps)
-    # Only files with content; D3 / J10: first entry per path wins
-    cand = cand.join(idx.files.select("repo_id", "path", "content").filter(F.col("content") != ""),
-                     ["repo_id", "path"])
-    w = Window.partitionBy("request_id", "path").orderBy("m_pos", "k3", "k4")
-    cand = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    # Only files with content; D3 / J10: first entry per path wins; keys only, the texts come last
+    full = idx.files.filter(F.col("content") != "")
+    cand = (cand.join(full.select("repo_id", "path"), ["repo_id", "path"], "left_semi").groupBy("request_id", "repo_id", "path")
+            .agg(F.min(F.struct("m_pos", "k3", "k4")).alias("_f")).select("request_id", "repo_id", "path", "_f.*"))
+    cand = cand.join(full.select("repo_id", "path", "content"), ["repo_id", "path"])
     return entries(cand, "files", pos=pos(0, F.col("m_pos"), "", F.col("k3"), F.col("k4")))
 
 
@@ -200,7 +203,7 @@ def semantic_hits(signals: DataFrame, query_vectors: DataFrame, chunks: DataFram
                           group="repo_id", query_block_rows=opts.knn_query_block_rows,
                           chunk_block_rows=opts.knn_chunk_block_rows)
     return (hits.withColumnRenamed("query_id", "request_id")
-            .join(chunks.select("chunk_id", "repo_id", "path", "text"), "chunk_id"))
+            .join(chunks.select("repo_id", "chunk_id", "path", "text"), ["repo_id", "chunk_id"]))
 
 
 def semantic_strategy(hits: DataFrame, opts: PackOptions) -> DataFrame:
@@ -234,15 +237,17 @@ def blast_radius_strategy(signals: DataFrame, idx: CodeIndex, sym: DataFrame, fi
                           opts: PackOptions) -> DataFrame:
     req = signals.filter(gate("blast_radius")).select("request_id")
     seeds = pack_paths(sym, files).join(req, "request_id", "left_semi")
-    dep = graph.dependents(seeds, idx.edges, max_hops=opts.blast_hops, key_cols=("request_id",))
-    dep = dep.withColumnRenamed("dependent", "path")
+    # each distinct seed is expanded once, whatever the number of requests that hold it
+    dep = graph.dependents(seeds.select("repo_id", "path").distinct(), idx.edges, max_hops=opts.blast_hops)
+    dep = dep.withColumnRenamed("dependent", "path").join(
+        seeds.withColumnRenamed("path", "seed"), ["repo_id", "seed"]).select("request_id", "repo_id", "seed", "path")
     # Skip files already in the pack; J9: only files with content
     dep = dep.join(files.select("request_id", "path"), ["request_id", "path"], "left_anti")
-    dep = dep.join(idx.files.select("repo_id", "path", "content").filter(F.col("content") != ""),
-                   ["repo_id", "path"])
-    # the first seed (path order) that reaches a file names it
-    w = Window.partitionBy("request_id", "path").orderBy("seed")
-    dep = dep.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    full = idx.files.filter(F.col("content") != "")
+    dep = dep.join(full.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    # the first seed (path order) that reaches a file names it; the texts come last
+    dep = dep.groupBy("request_id", "repo_id", "path").agg(F.min("seed").alias("seed"))
+    dep = dep.join(full.select("repo_id", "path", "content"), ["repo_id", "path"])
     return entries(dep, "files", pos=pos(1, 0, F.col("seed"), 0, 0, F.col("path")),
                    content=head_summary("content", "seed"))
 
@@ -281,39 +286,50 @@ class Strategy:
 
 
 def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
-                   extra: list[Strategy] | tuple = (), materialize: bool = False) -> DataFrame:
+                   extra: list[Strategy] | tuple = (), materialize: bool = False, errors: list | None = None) -> DataFrame:
     """R1-R7 staged: returns all pack entries before budgeting.
 
-    R8: a strategy that cannot be planned (missing input table, bad option)
-    contributes nothing; the others still run. With ``materialize`` the
+    R8: a strategy that fails (missing input table, bad option, a failure while
+    its result is written) contributes nothing; the others still run. The
+    failure is logged and, if ``errors`` is given, appended to it as (strategy,
+    error); ``strategy_errors`` makes a table of it. With ``materialize`` the
     stage-0 results that later stages read again (symbol and file entries,
-    vector hits) are written once to the shared checkpoint folder.
+    vector hits) are written once to the shared checkpoint folder, and so are
+    user strategies, so that one that fails at run time fails alone.
     """
     from packtables.session import cut_lineage
 
     keep = cut_lineage if materialize else (lambda df: df)
 
-    def safe(fn):
+    def safe(name, fn):
         try:
             return fn()
-        except Exception:    # noqa: BLE001 - failure isolation is the feature
+        except Exception as e:    # noqa: BLE001 - failure isolation is the feature
+            logging.getLogger(__name__).warning("strategy %s failed: %s", name, e)
+            if errors is not None:
+                errors.append((name, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
             return None
 
     sig = inp.signals
-    sym = safe(lambda: keep(symbol_strategy(sig, inp.index, opts)))
-    fil = safe(lambda: keep(file_expand_strategy(sig, inp.index, opts)))
-    hits = safe(lambda: keep(semantic_hits(sig, inp.query_vectors, inp.chunks, opts)))
-    sem = safe(lambda: semantic_strategy(hits, opts)) if hits is not None else None
-    conv = safe(lambda: convention_strategy(hits, sig, opts)) if hits is not None else None
+    sym = safe("symbol", lambda: keep(symbol_strategy(sig, inp.index, opts)))
+    fil = safe("file_expand", lambda: keep(file_expand_strategy(sig, inp.index, opts)))
+    hits = safe("semantic", lambda: keep(semantic_hits(sig, inp.query_vectors, inp.chunks, opts)))
+    sem = safe("semantic", lambda: semantic_strategy(hits, opts)) if hits is not None else None
+    conv = safe("convention", lambda: convention_strategy(hits, sig, opts)) if hits is not None else None
     empty = entries(sig.limit(0), "files")
     sym_ = sym if sym is not None else empty
     fil_ = fil if fil is not None else empty
-    blast = safe(lambda: blast_radius_strategy(sig, inp.index, sym_, fil_, opts))
+    blast = safe("blast_radius", lambda: blast_radius_strategy(sig, inp.index, sym_, fil_, opts))
     blast_ = blast if blast is not None else empty
-    git = safe(lambda: git_strategy(sig, inp.commit_summary, sym_, fil_, blast_, opts=opts))
-    custom = [safe(lambda st=st: st.fn(sig.filter(st.gate), inp, opts)) for st in extra]
+    git = safe("git_ctx", lambda: git_strategy(sig, inp.commit_summary, sym_, fil_, blast_, opts=opts))
+    custom = [safe(st.name, lambda st=st: keep(st.fn(sig.filter(st.gate), inp, opts))) for st in extra]
     out = None
     for part in (sym, fil, sem, blast, conv, git, *custom):
         if part is not None:
             out = part if out is None else out.unionByName(part)
     return out if out is not None else empty
+
+
+def strategy_errors(spark, errors: list) -> DataFrame:
+    """``strategy, error`` of the strategies that failed."""
+    return spark.createDataFrame(errors, "strategy string, error string")

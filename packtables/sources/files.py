@@ -2,9 +2,10 @@
 
 S1 lists paths itself instead of using the ``binaryFile`` source, which skips
 names starting with ``_`` or ``.`` (``__init__.py``, ``_app.tsx``). Roots are
-a table: each root is walked in its own task, the path table is filtered
-(extension, then exclude patterns) before any content is read, repartitioned,
-and read in a second ``mapInPandas`` with bad bytes replaced.
+a table of folders on a file system that all executors share; they are listed
+level by level, the path table is filtered (extension, then exclude patterns)
+before any content is read, repartitioned, and read in a second ``mapInPandas``
+with bad bytes replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from packtables.operators.code import language_of
 from packtables.options import PackOptions
+from packtables.session import cut_lineage
 
 # Extensions indexed, and the watcher's noise lists.
 INDEXABLE_EXTS = (".ts", ".tsx", ".js", ".jsx", ".py", ".go")
@@ -50,27 +52,36 @@ def _suffix(path) -> Column:
 
 
 def watched(path) -> Column:
-    """The watcher keeps indexable files outside noise folders."""
+    """Whether a changed path is indexable and in no noise folder."""
     p = F.col(path) if isinstance(path, str) else path
     suf = _suffix(p)
     return (~suf.isin(*WATCH_IGNORE_SUFFIXES) & suf.isin(*INDEXABLE_EXTS)
             & ~F.arrays_overlap(F.split(p, "/"), F.array(*[F.lit(d) for d in WATCH_IGNORE_DIRS])))
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+READ_AT_ONCE = 64          # files whose contents are held in one frame
+
+
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The direct entries of each folder: files, and folders to list next."""
     for pdf in batches:
-        out = []
-        for repo_id, root in zip(pdf["repo_id"], pdf["root"]):
-            for d, _dirs, names in os.walk(root):
-                for nm in names:
-                    full = os.path.join(d, nm)
-                    if os.path.isfile(full):
-                        out.append((repo_id, root, os.path.relpath(full, root).replace(os.sep, "/")))
-        yield pd.DataFrame(out, columns=["repo_id", "root", "path"])
+        for repo_id, root, folder in zip(pdf["repo_id"], pdf["root"], pdf["path"]):
+            out = []
+            try:
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for e in entries:
+                        rel = f"{folder}/{e.name}" if folder else e.name
+                        if e.is_dir(follow_symlinks=False):
+                            out.append((repo_id, root, rel, True))
+                        elif e.is_file():
+                            out.append((repo_id, root, rel, False))
+            except OSError:
+                pass                       # a folder that went away or cannot be read has no files
+            yield pd.DataFrame(out, columns=["repo_id", "root", "path", "is_dir"]).astype({"is_dir": bool})
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in (b.iloc[i:i + READ_AT_ONCE] for b in batches for i in range(0, len(b), READ_AT_ONCE)):
         contents = []
         for root, path in zip(pdf["root"], pdf["path"]):
             try:
@@ -82,14 +93,27 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[pdf["content"].notna()]
 
 
+def list_directories(roots: DataFrame, num_partitions: int) -> DataFrame:
+    """``repo_id, root, path`` of all files below the roots, level by level: the folders of a level are spread over
+    tasks, so one large root is not one task."""
+    kind = "repo_id string, root string, path string"
+    level = roots.select("repo_id", "root", F.lit("").alias("path"))
+    files = None
+    while files is None or not level.isEmpty():
+        found = cut_lineage(level.repartition(num_partitions, "repo_id", "root", "path").mapInPandas(_list, f"{kind}, is_dir boolean"))
+        own = found.filter(~F.col("is_dir")).drop("is_dir")
+        files = own if files is None else files.union(own)
+        level = found.filter("is_dir").drop("is_dir")
+    return files
+
+
 def scan_directories(spark: SparkSession, roots: list[tuple[str, str]] | DataFrame,
                      opts: PackOptions = PackOptions(), num_partitions: int | None = None) -> DataFrame:
     """``files(repo_id, path, ext, lang, content)`` from folders on a shared file system."""
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame(list(roots), "repo_id string, root string")
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = (roots.repartition(max(1, min(n, 1024)), "repo_id", "root")
-              .mapInPandas(_walk, "repo_id string, root string, path string"))
+    listed = list_directories(roots, n)
     ext = _suffix("path")
     keep = listed.filter(ext.isin(*INDEXABLE_EXTS) & ~excluded("path", opts.exclude))
     files = (keep.repartition(n, "repo_id", "path")
