@@ -1,7 +1,7 @@
-"""Code-structure extraction (X1-X8, P8, A5) as one Spark job.
+"""Code-structure extraction (X1-X3, X7, X8, P8, A5) as one Spark job; imports (X4-X6) are in imports.py.
 
 ``files`` -> ``mapInPandas`` over Arrow batches of files -> rows tagged
-``symbol | import | call | error``. Callers persist the tagged table once
+``symbol | call | error``. Callers persist the tagged table once
 (``index.build_index`` writes it) and split it by tag, so files are parsed
 once. The per-language scanner is a plain function (``scanners.py``).
 """
@@ -18,9 +18,9 @@ from packtables.operators.scanners import EXT_LANG, SCANNERS
 
 EXTRACT_SCHEMA = (
     "repo_id string, path string, tag string, name string, kind string, start_line int, end_line int, "
-    "col int, body string, signature string, source string, names array<string>, line int, error string")
+    "col int, body string, signature string, line int, error string")
 
-_FIELDS = ["name", "kind", "start_line", "end_line", "col", "body", "signature", "source", "names", "line"]
+_FIELDS = ["name", "kind", "start_line", "end_line", "col", "body", "signature", "line"]
 
 
 def language_of(path, languages=("typescript", "python", "javascript", "go")) -> Column:
@@ -65,9 +65,8 @@ def _extract_batches(batches: Iterator[pd.DataFrame], scanners: dict = SCANNERS)
                 out[c] = None
         for c in ("start_line", "end_line", "col", "line"):
             out[c] = out[c].astype("Int32")
-        for c in ("name", "kind", "body", "signature", "source", "error"):
+        for c in ("name", "kind", "body", "signature", "error"):
             out[c] = out[c].astype(object).where(out[c].notna(), None)
-        out["names"] = out["names"].map(lambda v: v if isinstance(v, list) else None)
         yield out[["repo_id", "path", "tag"] + _FIELDS + ["error"]]
 
 
@@ -94,13 +93,6 @@ def symbols_of(tagged: DataFrame) -> DataFrame:
                     F.coalesce("body", F.lit("")).alias("body"), F.coalesce("signature", F.lit("")).alias("signature")))
 
 
-def imports_of(tagged: DataFrame) -> DataFrame:
-    """``imports(repo_id, path, source, names, line, col)``."""
-    return (tagged.filter(F.col("tag") == "import")
-            .select("repo_id", "path", "source", F.coalesce("names", F.array().cast("array<string>")).alias("names"),
-                    "line", "col"))
-
-
 def calls_of(tagged: DataFrame) -> DataFrame:
     """``calls(repo_id, path, symbol_name, line, col)``."""
     return (tagged.filter(F.col("tag") == "call")

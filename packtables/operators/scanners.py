@@ -1,7 +1,7 @@
 """Per-language code scanners (U2): plain Python functions over one file.
 
-Each scanner takes ``(text)`` and returns rows as dicts tagged ``symbol``,
-``import`` or ``call``. They run inside ``mapInPandas`` (see code.py); Spark
+Each scanner takes ``(text)`` and returns rows as dicts tagged ``symbol`` or
+``call`` (imports are column functions, see imports.py). They run inside ``mapInPandas`` (see code.py); Spark
 distributes the files, the scanner only reads one file at a time.
 
 Python uses the standard ``ast`` module. JavaScript/TypeScript and Go use a
@@ -17,7 +17,7 @@ import bisect
 import re
 
 # ---------------------------------------------------------------------------
-# Python (X1 definitions, X4 imports, X7 calls)
+# Python (X1 definitions, X7 calls)
 
 
 _LINE_ENDS = re.compile(r"\r\n|\r|\n")
@@ -75,13 +75,6 @@ def scan_python(text: str) -> list[dict]:
             for child in ast.iter_child_nodes(node):
                 walk(child, node.name)
             return
-        elif isinstance(node, ast.ImportFrom):
-            if not (node.level == 0 and node.module == "__future__"):
-                out.append(dict(tag="import", source="." * node.level + (node.module or ""),
-                                names=[a.name for a in node.names], line=node.lineno, col=node.col_offset))
-        elif isinstance(node, ast.Import):
-            out.append(dict(tag="import", source=node.names[0].name, names=[], line=node.lineno,
-                            col=node.col_offset))
         elif isinstance(node, ast.Call):
             out.append(dict(tag="call", name=seg(node.func), line=node.lineno, col=node.col_offset))
         for child in ast.iter_child_nodes(node):
@@ -183,7 +176,7 @@ def _sig(text_lines: list[str], line: int) -> str:
 
 
 # ---------------------------------------------------------------------------
-# JavaScript / TypeScript (X2 definitions, X5 imports, X7 calls)
+# JavaScript / TypeScript (X2 definitions, X7 calls)
 
 _JS_FUNC_RE = re.compile(r"(?<![\w$.])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\s*\(")
 _JS_CLASS_RE = re.compile(r"(?<![\w$.])class\s+([A-Za-z_$][\w$]*)[^{;]*\{")
@@ -193,28 +186,6 @@ _JS_METHOD_RE = re.compile(
 _JS_ARROW_RE = re.compile(
     r"(?<![\w$.])(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s+)?"
     r"(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=;{]+)?=>")
-_JS_IMPORT_RE = re.compile(r"(?ms)^[ \t]*import\s+(?:type\s+)?(?:([^'\";]*?)\s*from\s*)?['\"]([^'\"]+)['\"]")
-
-
-def _js_import_names(clause: str) -> list[str]:
-    names: list[str] = []
-    clause = clause.strip()
-    if not clause:
-        return names
-    braces = re.search(r"\{([^}]*)\}", clause)
-    head = clause[:braces.start()] if braces else clause
-    for part in head.split(","):
-        part = part.strip()
-        if part and not part.startswith("*") and re.fullmatch(r"[A-Za-z_$][\w$]*", part):
-            names.append(part)
-    if braces:
-        for spec in braces.group(1).split(","):
-            spec = spec.strip()
-            if spec.startswith("type "):
-                spec = spec[5:].strip()
-            if spec:
-                names.append(re.split(r"\s+as\s+", spec)[0].strip())
-    return names
 
 
 def scan_js(text: str) -> list[dict]:
@@ -295,23 +266,16 @@ def scan_js(text: str) -> list[dict]:
                         body=text[m.start():end], signature=_sig(tlines, lines.line(m.start()))))
         def_pos.add(m.start(1))
 
-    for m in _JS_IMPORT_RE.finditer(text):
-        if masked[m.start():m.start() + len(m.group(0))].lstrip().startswith("import"):
-            out.append(dict(tag="import", source=m.group(2), names=_js_import_names(m.group(1) or ""),
-                            line=lines.line(m.start() + len(m.group(0)) - len(m.group(0).lstrip())),
-                            col=0))
     out.extend(_calls(text, masked, lines, _JS_NOT_CALLS, def_pos))
     return out
 
 
 # ---------------------------------------------------------------------------
-# Go (X3 definitions, X6 imports, X7 calls)
+# Go (X3 definitions, X7 calls)
 
 _GO_FUNC_RE = re.compile(r"(?m)^func\s+(?:\(([^)]*)\)\s*)?([A-Za-z_][\w]*)\s*(?:\[[^\]]*\])?\s*\(")
 _GO_TYPE_RE = re.compile(r"(?m)^type\s+(\()?")
 _GO_SPEC_RE = re.compile(r"(?m)^[ \t]*([A-Za-z_][\w]*)\b")
-_GO_IMPORT_RE = re.compile(r"(?m)^import\s*(\()?")
-_GO_PATH_RE = re.compile(r"\"([^\"]*)\"|`([^`]*)`")
 
 
 def _go_type_end(masked: str, pos: int) -> int:
@@ -373,17 +337,6 @@ def scan_go(text: str) -> list[dict]:
                                 signature=""))
                 def_pos.add(sm.start(1))
 
-    for m in _GO_IMPORT_RE.finditer(masked):
-        if m.group(1):
-            close = masked.find(")", m.end())
-            close = len(text) if close < 0 else close
-            region = (m.end(), close)
-        else:
-            nl = text.find("\n", m.end())
-            region = (m.end(), len(text) if nl < 0 else nl)
-        for pm in _GO_PATH_RE.finditer(text, *region):
-            out.append(dict(tag="import", source=pm.group(1) if pm.group(1) is not None else pm.group(2),
-                            names=[], line=lines.line(pm.start()), col=0))
     out.extend(_calls(text, masked, lines, _GO_NOT_CALLS, def_pos))
     return out
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from packtables.functions.text import chunk_text
 from packtables.operators import code, graph
+from packtables.operators.imports import extract_imports
 from packtables.options import PackOptions
 from packtables.session import cut_lineage
 
@@ -63,8 +64,9 @@ def chunks_of(symbols: DataFrame, max_chars: int = 2000) -> DataFrame:
                     "path", "start_line", "end_line", chunk_text("body", max_chars).alias("text"))
 
 
-def _index_of(files: DataFrame, tagged: DataFrame, edges: DataFrame, materialize: bool, vectors: DataFrame | None = None) -> CodeIndex:
-    return CodeIndex(files=files, symbols=code.symbols_of(tagged), imports=code.imports_of(tagged), calls=code.calls_of(tagged),
+def _index_of(files: DataFrame, tagged: DataFrame, imports: DataFrame, edges: DataFrame, materialize: bool,
+              vectors: DataFrame | None = None) -> CodeIndex:
+    return CodeIndex(files=files, symbols=code.symbols_of(tagged), imports=imports, calls=code.calls_of(tagged),
                      errors=code.errors_of(tagged), keys=graph.path_keys(files), edges=edges, materialize=materialize,
                      vectors=vectors)
 
@@ -74,7 +76,7 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
                 repos: DataFrame | None = None, embedder=None, dim: int = 64) -> CodeIndex:
     """The index of ``files``; with ``path`` it becomes a new version of that store.
 
-    The stored version holds files, extraction rows, edges and chunks with their
+    The stored version holds files, extraction rows, imports, edges and chunks with their
     vectors (S7: vectors of equal text are taken from the version before). It
     covers the repositories of ``files`` and those of ``repos``: a covered
     repository that has no files any more is empty afterwards.
@@ -82,12 +84,15 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
     tagged = code.extract(files, num_partitions, scanners)
     if path or materialize:
         tagged = cut_lineage(tagged)
-    edges = graph.build_edges(code.imports_of(tagged), files)
+    imports = extract_imports(files)
+    if path or materialize:
+        imports = cut_lineage(imports)
+    edges = graph.build_edges(imports, files)
     if path:
         from packtables.sources.store import read_index, write_index
 
         spark = files.sparkSession
-        idx = _index_of(files, tagged, edges, materialize)
+        idx = _index_of(files, tagged, imports, edges, materialize)
         stored = read_index(spark, path).get("chunks")
         if stored is not None:
             stored = stored.select("repo_id", F.md5("text").alias("content_hash"), "embedding")
@@ -96,11 +101,11 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
         covered = files.select("repo_id")
         if repos is not None:
             covered = covered.union(repos.select("repo_id"))
-        write_index({"files": files, "tagged": tagged, "edges": edges, "chunks": chunks}, path, repos=covered)
+        write_index({"files": files, "tagged": tagged, "imports": imports, "edges": edges, "chunks": chunks}, path, repos=covered)
         return load_index(spark, path)
     if materialize:
         edges = cut_lineage(edges)      # read by file expansion, blast radius and stats
-    return _index_of(files, tagged, edges, materialize)
+    return _index_of(files, tagged, imports, edges, materialize)
 
 
 def load_index(spark, path: str, repos: list[str] | None = None) -> CodeIndex:
@@ -108,7 +113,7 @@ def load_index(spark, path: str, repos: list[str] | None = None) -> CodeIndex:
     from packtables.sources.store import read_index
 
     t = read_index(spark, path, repos)
-    return _index_of(t["files"], t["tagged"], t["edges"], materialize=True, vectors=t["chunks"])
+    return _index_of(t["files"], t["tagged"], t["imports"], t["edges"], materialize=True, vectors=t["chunks"])
 
 
 def index_status(idx: CodeIndex, as_of=None) -> DataFrame:

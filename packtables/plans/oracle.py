@@ -9,10 +9,22 @@ treat them as word characters).
 
 from __future__ import annotations
 
-from packtables.functions.signals import CAMEL_PATTERN, FILE_PATTERN, SYMBOL_PATTERN, TASK_KEYWORDS
-from packtables.functions.tokens import TOKEN_PATTERN
 from packtables.sources.fixtures import COMMIT_FILES_SQL, COMMITS_SQL, with_views
 
+# Fixed values, written out here again so that a wrong one in the library shows.
+TASK_KEYWORDS = (
+    ("refactor", ("refactor", "rename", "extract", "move", "reorganize")),
+    ("debug", ("bug", "error", "fix", "broken", "failing", "crash", "exception", "traceback")),
+    ("add_feature", ("add", "implement", "create", "build", "new feature")),
+    ("explain", ("explain", "how does", "what does", "walk me through")),
+    ("test", ("test", "spec", "coverage", "unit test")),
+)
+SYMBOL_PATTERN = r"\b([A-Z][a-zA-Z0-9]*(?:\.[a-zA-Z][a-zA-Z0-9]*)*)\b"
+CAMEL_PATTERN = r"\b([a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b"
+FILE_PATTERN = (r"(?:^|\s)([a-zA-Z0-9_./-]+(?:/[a-zA-Z0-9_./-]+)+)"
+                r"|(?:^|\s)([a-zA-Z0-9_.-]+\.(?:ts|tsx|js|jsx|py|go|rs|java|rb|css|scss|html|json|yaml|yml|toml|md))\b")
+TOKEN_PATTERN = r"[A-Za-z]{1,4}|[0-9]{1,3}|[^A-Za-z0-9 \t\n\r]"
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

@@ -397,6 +397,7 @@ PARTIAL_REPO = "1"                # the second flush touches this repository alo
 def _partial_index(spark, sf):
     """Initial build from the changes before a cutoff, then a flush of one repository; tables of all repositories."""
     from packtables.operators import code, graph
+    from packtables.operators.imports import extract_imports
     from packtables.operators.vectors import embed_column
     from packtables.plans.index import chunks_of
     from packtables.session import cut_lineage
@@ -408,7 +409,7 @@ def _partial_index(spark, sf):
         cut = F.lit(SNAPSHOT_CUTOFF).cast("timestamp")
         files0 = cut_lineage(last_state(ch.filter(F.col("ts") < cut)))
         tagged0 = cut_lineage(code.extract(files0))
-        edges0 = cut_lineage(graph.build_edges(code.imports_of(tagged0), files0))
+        edges0 = cut_lineage(graph.build_edges(extract_imports(files0), files0))
         chunks0 = cut_lineage(embed_column(chunks_of(code.symbols_of(tagged0)), "text", "embedding", dim=8))
         fx.partial = apply_flush(files0, tagged0, ch.filter((F.col("ts") >= cut) & (F.col("repo_id") == PARTIAL_REPO)),
                                  edges=edges0, chunks=chunks0, dim=8)

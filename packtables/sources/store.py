@@ -24,9 +24,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from packtables.operators.joins import null_safe_join
 from packtables.operators.vectors import embed_column
 
-INDEX_TABLES = ("files", "tagged", "edges", "chunks")
-
-
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """``v, repo_id, table, schema`` of all finished versions; None if there is none."""
     try:

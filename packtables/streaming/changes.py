@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packtables.operators import code, graph
+from packtables.operators.imports import extract_imports
 from packtables.operators.joins import null_safe_join
 from packtables.operators.vectors import embed_column
 from packtables.plans.index import chunks_of
@@ -111,13 +112,15 @@ class Flush(NamedTuple):
     """Index tables after a flush, for all repositories, and the repositories it touched."""
     files: DataFrame
     tagged: DataFrame
+    imports: DataFrame
     edges: DataFrame
     chunks: DataFrame
     repos: DataFrame
 
 
 def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame, edges: DataFrame | None = None,
-                chunks: DataFrame | None = None, embedder=None, dim: int = 64, scanners: dict | None = None) -> Flush:
+                chunks: DataFrame | None = None, embedder=None, dim: int = 64, scanners: dict | None = None,
+                imports: DataFrame | None = None) -> Flush:
     """T3 + T4 + X8: apply one flush to the index tables.
 
     Deleted paths leave every table; added/modified paths are re-read and
@@ -135,12 +138,14 @@ def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame, edges: Da
     new_files = code.replace_files(files.select("repo_id", "path", "content", "lang"), upserts, touched)
     added = code.extract(upserts, scanners=scanners)
     new_tagged = code.replace_files(tagged, added, touched)
+    old_imports = extract_imports(files) if imports is None else imports
+    new_imports = code.replace_files(old_imports, extract_imports(upserts), touched)
     repos = touched.select("repo_id").distinct()
     if edges is None:
-        new_edges = graph.build_edges(code.imports_of(new_tagged), new_files)
+        new_edges = graph.build_edges(new_imports, new_files)
     else:
         own_files = null_safe_join(new_files, repos, ["repo_id"], "left_semi")
-        own_imports = code.imports_of(null_safe_join(new_tagged, repos, ["repo_id"], "left_semi"))
+        own_imports = null_safe_join(new_imports, repos, ["repo_id"], "left_semi")
         new_edges = null_safe_join(edges, repos, ["repo_id"], "left_anti").unionByName(graph.build_edges(own_imports, own_files))
     fresh = chunks_of(code.symbols_of(added))
     if chunks is None:
@@ -151,7 +156,7 @@ def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame, edges: Da
         stored = old.select("repo_id", F.md5("text").alias("content_hash"), "embedding")
         new_chunks = reuse_or_embed(fresh, stored, "text", embedder=embedder, dim=dim)
     new_chunks = new_chunks.select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
-    return Flush(new_files, new_tagged, new_edges, code.replace_files(old, new_chunks, touched), repos)
+    return Flush(new_files, new_tagged, new_imports, new_edges, code.replace_files(old, new_chunks, touched), repos)
 
 
 def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpoint_dir: str,
@@ -181,14 +186,16 @@ def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpo
         repos = hits.select("repo_id").distinct()
         stored = read_index(spark, store_dir, before=batch_id)
         empty = {"files": "repo_id string, path string, content string, lang string", "tagged": code.EXTRACT_SCHEMA,
+                 "imports": "repo_id string, path string, source string, names array<string>, line int, col int",
                  "edges": "repo_id string, src string, dst string, line int, col int",
                  "chunks": "repo_id string, chunk_id long, path string, start_line int, end_line int, text string, "
                            "embedding array<float>"}
         # the touched repositories alone are read, applied and written
         prev = {t: null_safe_join(stored[t], repos, ["repo_id"], "left_semi") if t in stored else spark.createDataFrame([], ddl)
                 for t, ddl in empty.items()}
-        new = apply_flush(prev["files"], prev["tagged"], hits, prev["edges"], prev["chunks"], embedder=embedder, dim=dim)
-        write_index({"files": new.files, "tagged": new.tagged, "edges": new.edges, "chunks": new.chunks}, store_dir,
+        new = apply_flush(prev["files"], prev["tagged"], hits, prev["edges"], prev["chunks"], embedder=embedder, dim=dim,
+                          imports=prev["imports"])
+        write_index({"files": new.files, "tagged": new.tagged, "imports": new.imports, "edges": new.edges, "chunks": new.chunks}, store_dir,
                     repos=new.repos, version=batch_id)
 
     q = (closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint_dir)

@@ -1,7 +1,8 @@
 """Import resolution ladder (J6, J7), edges (G1) and dependents."""
 
 from packtables.operators import graph
-from packtables.operators.code import extract, imports_of, language_of
+from packtables.operators.code import language_of
+from packtables.operators.imports import extract_imports
 from pyspark.sql import functions as F
 
 
@@ -12,7 +13,7 @@ def _files(spark, items):
 
 def _edges(spark, items):
     files = _files(spark, items)
-    imps = imports_of(extract(files, 2))
+    imps = extract_imports(files)
     return {(r.src, r.dst) for r in graph.build_edges(imps, files).collect()}
 
 

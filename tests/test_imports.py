@@ -1,0 +1,104 @@
+"""Imports (X4-X6) as column functions: against the language's own parser, and hand-written code."""
+
+import ast
+
+import pytest
+
+from packtables.operators.imports import extract_imports
+
+SCHEMA = "repo_id string, path string, lang string, content string"
+
+PY = r'''from __future__ import annotations
+from a.b import (x, y as z)
+import os.path, sys
+from . import rel
+
+def f():
+    """import no
+from no import nope
+    """
+    import json; from ..up import *
+    s = 'it\'s'  # import never
+    try: import quick
+    except ImportError: pass
+    if s: from q import (one,  # a (note
+        two as t,
+    )
+from  lib . sub import a1, \
+    b1
+s2 = """
+import hidden
+"""
+yield_ = [x for x in s2]
+import last as end
+'''
+
+JS = r'''import Def, { a, b as c } from 'mod';
+import * as ns from "./ns";
+// import x from 'no'
+/* import y
+from 'no' */
+const s = `
+import z from 'no'
+`;
+  import type { T, type U } from "types";
+import './side';
+import {
+  p,
+  q as r,
+} from '../up';
+const d = import('dyn');
+'''
+
+GO = r'''package p
+
+import "fmt"
+import (
+  alias "a/b" // import "no"
+  "c"
+  /* "d"
+  */ _ `e`
+)
+// import "no"
+var s = `
+import "no"
+`
+'''
+
+
+def _imports(spark, lang, src):
+    df = spark.createDataFrame([("r", "f", lang, src)], SCHEMA)
+    return [(r.source, r.names, r.line) for r in extract_imports(df).orderBy("line", "col").collect()]
+
+
+def test_python_imports_equal_the_parser(spark):
+    want = []
+    for n in ast.walk(ast.parse(PY)):
+        if isinstance(n, ast.ImportFrom) and n.module != "__future__":
+            want.append(("." * n.level + (n.module or ""), [a.name for a in n.names], n.lineno))
+        elif isinstance(n, ast.Import):
+            want.append((n.names[0].name, [], n.lineno))
+    assert sorted(_imports(spark, "python", PY)) == sorted(want) and len(want) >= 9
+
+
+def test_js_and_go_imports(spark):
+    assert _imports(spark, "typescript", JS) == [("mod", ["Def", "a", "b"], 1), ("./ns", [], 2), ("types", ["T", "U"], 9),
+                                                 ("./side", [], 10), ("../up", ["p", "q"], 11)]
+    assert _imports(spark, "go", GO) == [("fmt", [], 3), ("a/b", [], 5), ("c", [], 6), ("e", [], 8)]
+
+
+LONG = [("python", "x = '" + "a\\\\" * 60_000 + "'\nimport z\n"), ("python", '"""' + "q " * 80_000 + '"""\nimport z\n'),
+        ("javascript", "/*" + "* " * 80_000 + "*/\nimport 'z'\n"), ("go", "/*" + "x" * 90_000 + '*/\nimport "z"\n'),
+        ("go", "import (\n" + '  "z"\n' * 20_000 + ")\n")]
+
+
+@pytest.mark.parametrize("lang,src", LONG)
+def test_long_strings_and_comments(spark, lang, src):
+    got = _imports(spark, lang, src)
+    assert got[0][0] == "z" and got[0][2] == 2 and len(got) == src.count('  "z"') or 1
+
+
+def test_imports_run_no_python(spark):
+    df = spark.createDataFrame([("r", "f", "go", None)], SCHEMA)
+    plan = extract_imports(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and extract_imports(df).collect() == []

@@ -1,4 +1,4 @@
-"""Scanner rules (X1-X7) on hand-written code."""
+"""Scanner rules (X1-X3, X7) on hand-written code."""
 
 from packtables.operators.scanners import scan_go, scan_js, scan_python
 
@@ -7,7 +7,7 @@ def _by(rows, tag):
     return [r for r in rows if r["tag"] == tag]
 
 
-def test_python_nesting_and_imports():
+def test_python_nesting():
     src = ("from __future__ import annotations\nfrom a.b import (x, y as z)\nimport os.path, sys\n"
            "from . import rel\n\nclass A:\n    class B:\n        def inner(self):\n            pass\n"
            "    @dec\n    def m(self):\n        def helper():\n            return self.save(1)\n"
@@ -18,8 +18,6 @@ def test_python_nesting_and_imports():
     assert ("B.inner", "method", 8, 9) in syms
     assert ("A.m", "method", 11, 14) in syms and ("A.helper", "method", 12, 13) in syms
     assert ("top", "function", 16, 17) in syms
-    imps = [(r["source"], r["names"], r["line"]) for r in _by(rows, "import")]
-    assert imps == [("a.b", ["x", "y"], 2), ("os.path", [], 3), (".", ["rel"], 4)]
     calls = {(r["name"], r["line"]) for r in _by(rows, "call")}
     assert {("self.save", 13), ("helper", 14), ("A().m", 17), ("A", 17)} <= calls
     assert ("dec", 10) not in calls          # a bare decorator is not a call
@@ -35,8 +33,6 @@ def test_js_forms():
     assert ("f", "function", 3, 5) in syms and ("h", "function", 6, 6) in syms
     assert ("K", "class", 7, 12) in syms and ("K.make", "method", 8, 8) in syms and ("K.run", "method", 9, 11) in syms
     assert ("outer", "function", 13, 13) in syms
-    imps = [(r["source"], r["names"], r["line"]) for r in _by(rows, "import")]
-    assert imps == [("mod", ["Def", "a", "b"], 1), ("./ns", [], 2)]
     calls = {(r["name"], r["line"]) for r in _by(rows, "call")}
     assert ("g", 4) in calls and ("this.go", 10) in calls
     assert not any(n in ("run", "make", "outer", "K") for n, _ in calls)
@@ -49,6 +45,5 @@ def test_go_forms():
     syms = {(r["name"], r["kind"], r["start_line"], r["end_line"]) for r in _by(rows, "symbol")}
     assert ("T", "class", 10, 12) in syms and ("U", "class", 13, 13) in syms
     assert ("T.M", "method", 16, 16) in syms and ("F", "function", 18, 20) in syms
-    assert [(r["source"], r["line"]) for r in _by(rows, "import")] == [("fmt", 3), ("a/b", 5), ("c", 6)]
     calls = {(r["name"], r["line"]) for r in _by(rows, "call")}
     assert ("fmt.Println", 16) in calls and ("helper", 19) in calls

@@ -100,6 +100,7 @@ def test_follow_changes_equals_batch(spark, tmp_path):
 def test_flush_keeps_untouched_repos(spark):
     """T4: a flush of repos a and z leaves the files, edges and chunks of b as they were, and b's vectors too."""
     from packtables.operators import code, graph
+    from packtables.operators.imports import extract_imports
     from packtables.operators.vectors import embed_column
     from packtables.plans.index import chunks_of
     from packtables.streaming.changes import apply_flush
@@ -108,7 +109,7 @@ def test_flush_keeps_untouched_repos(spark):
     old = [(r, "m.py", "import n\n\ndef f():\n    return 1\n", "python") for r in "ab"] + [(r, "n.py", "def g():\n    return 2\n", "python") for r in "ab"]
     files = spark.createDataFrame(old, "repo_id string, path string, content string, lang string")
     tagged = code.extract(files)
-    edges = graph.build_edges(code.imports_of(tagged), files)
+    edges = graph.build_edges(extract_imports(files), files)
     chunks = embed_column(chunks_of(code.symbols_of(tagged)), "text", dim=8)
     flush = spark.createDataFrame([("a", "n.py", "deleted", t0, 1, None, None), ("z", "k.py", "added", t0, 2, "import j\n", "python"),
                                    ("z", "j.py", "added", t0, 3, "def h():\n    return 3\n", "python")], CHANGE_SCHEMA)
