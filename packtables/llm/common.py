@@ -33,6 +33,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None
         yield x.as_py()
 
 
+def slices(batch: pa.RecordBatch, chars: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch of at most about ``chars`` characters (one long text may be more), with their texts (null: empty)."""
+    texts, size, begin = [], 0, 0
+    values = batch.column(batch.schema.get_field_index(column))
+    for i, x in enumerate(values):
+        t = x.as_py() or ""
+        if texts and size + len(t) > chars:
+            yield batch.slice(begin, i - begin), texts
+            texts, size, begin = [], 0, i
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield batch.slice(begin), texts
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base`` with underscores in front until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}

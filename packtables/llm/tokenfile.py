@@ -27,115 +27,141 @@ from __future__ import annotations
 import functools
 import gc
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packtables.llm.bytebpe import id_rows
-from packtables.llm.common import shared_path, texts_of
+from packtables.llm.common import shared_path, slices
 
 END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
-MEMO = 800_000         # distinct pieces kept by a worker
-MEMO_BYTES = 128       # longer pieces aren't kept
+MEMO = 1_000_000       # distinct pieces kept by a worker
+MEMO_CHARS = 64        # longer pieces aren't kept
+SLICE_CHARS = 8_000_000
 OUTER = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"     # ASCII punctuation but '<|>
 PLAIN = chr(0x250)       # no combining marks below
-STOP = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])[.,](?=[ \n])")
+STOP = r"([a-z0-9])([.,])([ \n])"
 
 WRITE = {
     "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE_BYTES),
     "parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "true",
     **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "local_start", "n_tokens")},
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
 class Pieces:
-    """Encodes texts by pieces between ASCII white space, each known piece from memory.
+    """Encodes texts by pieces between ASCII white space, each distinct piece of a slice once, known ones from memory.
 
-    Two steps make more pieces alike; both leave the ids as they are:
+    Some steps make more pieces alike or cheaper; all leave the ids as they are:
 
     * a text of Latin-1 characters without ``<|`` (special tokens) is lower-cased, as the normaliser would, which has
-      nothing to compose there; and a full stop or comma between a letter or digit and white space becomes a piece;
+      nothing to compose there;
+    * a full stop or comma between a letter or digit and white space becomes a piece, as the split pattern has it;
     * a piece that isn't known is parted into ASCII punctuation, core and ASCII punctuation if the core begins and ends
       with a letter or digit below ``PLAIN`` and the punctuation holds none of ``'<|>`` (contractions, special tokens):
-      the split pattern parts there, and nothing is composed across.
+      the split pattern parts there, and nothing is composed across;
+    * words of lower-case letters below ``PLAIN`` go to the same model without the normaliser, which would not change
+      them, split at spaces, as the pattern would.
     """
 
     def __init__(self, model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark's tasks already use all cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.core = Tokenizer.from_str(model.decode("utf-8"))
+        self.words = Tokenizer.from_str(model.decode("utf-8"))
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.core.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
     @staticmethod
-    def pieces(text: str) -> list[bytes]:
-        if "<|" not in text:
-            try:
-                text.isascii() or text.encode("latin-1")
-                text = STOP.sub(r" \g<0>", text.lower())
-            except UnicodeEncodeError:
-                pass
-        return text.encode("utf-8").split()       # bytes: ASCII white space only
+    def lowered(text: str | None) -> str:
+        if not text or "<|" in text:
+            return text or ""
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
     @staticmethod
-    def parted(piece: bytes) -> tuple[bytes, ...]:
-        if piece.isalpha():         # ASCII letters
+    def parted(piece: str) -> tuple[str, ...]:
+        core = piece.strip(OUTER)
+        if len(core) == len(piece) or not core or not (_plain(core[0]) and _plain(core[-1])) or "<|" in piece:
             return (piece,)
-        text = piece.decode("utf-8")
-        core = text.strip(OUTER)
-        if len(core) == len(text) or not core or not (_plain(core[0]) and _plain(core[-1])) or "<|" in text:
-            return (piece,)
-        at = text.index(core)
-        return tuple(x.encode("utf-8") for x in (text[:at], core, text[at + len(core):]) if x)
-
-    def learn(self, parts: set[bytes]) -> None:
-        """Asks for the ids of parts. Words of plain letters are joined by spaces: each is one word there."""
-        joint, rest = [], []
-        for p in parts:
-            (joint if p.isalpha() or (t := p.decode("utf-8")).isalpha() and max(t) < PLAIN and "\u0130" not in t else rest).append(p)
-        for i in range(0, len(joint), 1000):
-            block = joint[i:i + 1000]
-            ids = np.array(self.core.encode_batch_fast([b" ".join(block).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        at = piece.index(core)
+        return tuple(x for x in (piece[:at], core, piece[at + len(core):]) if x)
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Asks for the ids of parts; plain words are joined by spaces, each ends with a token that ends a word."""
+        found: dict[str, bytes] = {}
+        plain = [p for p in parts if p.isalpha() and p.islower() and (p.isascii() or max(p) < PLAIN)]
+        for i in range(0, len(plain), 100):
+            block = plain[i:i + 100]
+            ids = np.array(self.words.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, "<u4")
             at = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
             assert len(at) == len(block) + 1 and at[-1] == len(ids)
             raw, at = ids.tobytes(), (4 * at).tolist()
-            self.memo.update(zip(block, [raw[a:b] for a, b in zip(at, at[1:])]))
-        for p, e in zip(rest, self.core.encode_batch_fast([p.decode("utf-8") for p in rest], add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: Iterable[str | None], end_id: int | None) -> Iterator[np.ndarray]:
-        """Ids of each text (unsigned 32 bit), the end id appended. ``texts`` are held at once."""
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        table = self.memo
-        rows = [self.pieces(t or "") for t in texts]
-        every = set().union(*rows)
-        missing = every.difference(table)
-        if len(table) + len(missing) > MEMO:
-            table.clear()
-            missing = every
-        split = {p: self.parted(p) for p in missing}
-        self.learn({x for parts in split.values() for x in parts}.difference(table))
-        for p, parts in split.items():
-            if len(parts) > 1:
-                table[p] = b"".join(map(table.__getitem__, parts))
-        for pieces in rows:
-            yield np.frombuffer(b"".join(map(table.__getitem__, pieces)) + tail, "<u4")
-        for p in [p for p in missing if len(p) > MEMO_BYTES]:       # long pieces aren't kept
-            for x in {p, *split[p]}:
-                table.pop(x, None)
+            found.update(zip(block, [raw[a:b] for a, b in zip(at, at[1:])]))
+        rest = list(parts.difference(plain))
+        for p, e in zip(rest, self.core.encode_batch_fast(rest, add_special_tokens=False)):
+            found[p] = np.array(e.ids, "<u4").tobytes()
+        return found
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some distinct pieces, as little-endian bytes."""
+        out = list(map(self.memo.get, pieces))
+        new = [p for p, ids in zip(pieces, out) if ids is None]
+        if new:
+            split = {p: self.parted(p) for p in new if not p.isalpha()}
+            parts = {x for xs in split.values() for x in xs}.union(p for p in new if p not in split)
+            found = self.learn(parts.difference(self.memo))
+            look = lambda x: found[x] if x in found else self.memo[x]
+            for p, xs in split.items():
+                if len(xs) > 1:
+                    found[p] = b"".join(map(look, xs))
+            out = [found[p] if ids is None else ids for p, ids in zip(pieces, out)]
+            if len(self.memo) + len(found) > MEMO:
+                self.memo.clear()
+            self.memo.update(found if len(max(new, key=len)) <= MEMO_CHARS else
+                             {p: ids for p, ids in found.items() if len(p) <= MEMO_CHARS})      # long pieces aren't kept
+        return out
+
+    def encode(self, texts: Sequence[str | None], end_id: int | None) -> pa.ListArray:
+        """Ids of each text, the end id appended. What is held grows with the texts given."""
+        low = pa.array(list(map(self.lowered, texts)), pa.string())
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(low, STOP, r"\1 \2\3"))
+        coded = words.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        offsets = words.offsets.to_numpy(zero_copy_only=False)
+        n = size[which]
+        if end_id is not None:
+            n[offsets[1:] - 1] += 1           # each text has a last piece, if an empty one
+        ends = np.append(0, np.cumsum(n, dtype=np.int64))
+        assert ends[-1] < 2 ** 31, "a list column's offsets have 32 bits"
+        ends = ends.astype(np.int32)
+        source = np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - ends[:-1], n)
+        source += np.arange(ends[-1], dtype=np.int32)
+        values = np.frombuffer(b"".join(ids) + bytes(4), "<i4")[source]
+        if end_id is not None:
+            values[ends[offsets[1:]] - 1] = end_id
+        return pa.ListArray.from_arrays(pa.array(ends[offsets]), pa.array(values))
 
 
 def _plain(c: str) -> bool:
@@ -160,16 +186,13 @@ def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, place = pieces_encoder(model.value), TaskContext.get().partitionId(), 0
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                rows = list(encoder.encode(texts_of(some := b.slice(i, 512)), end_id))
-                sizes = np.array([len(x) for x in rows], np.int64)
-                ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)),
-                                                 pa.array(np.concatenate(rows).view(np.int32)))
+            for some, texts in slices(b, SLICE_CHARS):
+                lists = encoder.encode(texts, end_id)
+                starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(np.full(len(rows), part, np.int32)), pa.array(place + ends - sizes),
-                     pa.array(sizes), lists], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
-                place += int(ends[-1])
+                    [some.column(0), pa.array(np.full(len(texts), part, np.int32)), pa.array(place + starts[:-1]),
+                     pa.array(np.diff(starts)), lists], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
+                place += int(starts[-1])
 
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()

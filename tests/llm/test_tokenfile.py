@@ -33,8 +33,10 @@ def test_pieces_equal_whole_texts(model, whole):
     texts = [random_text(rng, n) for n in [0, 1, 2, 5, 30, 200] for _ in range(150)] + [None, "x" * 3000, "a" * 200 + " b " + "c" * 130]
     enc = T.Pieces(model)
     want = [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
-    assert [x.tolist() for x in enc.encode(texts, 2)] == want
-    assert [x.tolist() for x in enc.encode(texts, 2)] == want       # from memory
+    assert enc.encode(texts, 2).to_pylist() == want
+    assert enc.encode(texts, 2).to_pylist() == want       # from memory
+    assert enc.encode(texts[::-1], None).to_pylist() == [w[:-1] for w in want[::-1]]
+    assert enc.encode([], 2).to_pylist() == []
 
 
 def test_memory_is_bounded(model, whole, monkeypatch):
@@ -42,8 +44,8 @@ def test_memory_is_bounded(model, whole, monkeypatch):
     enc = T.Pieces(model)
     texts = [" ".join(f"w{i * j}" for i in range(15)) + " " + "z" * 300 for j in range(20)]
     for t in texts:
-        assert [x.tolist() for x in enc.encode([t], None)] == [whole.encode(t, add_special_tokens=False).ids]
-        assert len(enc.memo) <= 20 and not any(len(k) > T.MEMO_BYTES for k in enc.memo)
+        assert enc.encode([t], None).to_pylist() == [whole.encode(t, add_special_tokens=False).ids]
+        assert len(enc.memo) <= 20 and not any(len(k) > T.MEMO_CHARS for k in enc.memo)
 
 
 ROWS = [(5, "Five words are in here", "a"), (1, "One", "b"), (3, None, "c"), (9, "", "d"), (7, "twice", "e"), (7, "twice", "e"),
