@@ -1,13 +1,18 @@
 """Exact k-nearest-neighbour search (J11, J12, W1, P12) and the embedder hook.
 
-Distributed block search: queries are hashed into ``bq`` blocks, chunks into
-``bc`` blocks; every (query block, chunk block) pair meets once in a cogroup,
-where NumPy computes the block's distance matrix and keeps each query's local
-top-k (ties by chunk_id, so never more than k). A row_number window over at most ``bc * k`` rows per
-query then gives the global top-k. No pair rows are ever materialised; the
-shuffle is ``|queries| * bc + |chunks| * bq`` vectors per group (repository).
-Block counts follow each group's row counts, so a block always fits in one
-task's memory.
+Chunks are dealt to cells by their nearest centroid; a cell's radius is its
+furthest chunk. A query first visits its nearest cells, as many as hold k
+chunks; the k-th distance found there bounds the answer. By the triangle
+inequality a cell whose centroid is further away than that bound plus the cell's
+radius cannot improve it, so only the other cells are visited, in a second round.
+The centroids come from a bounded sample (``SAMPLE``); they decide how much is
+pruned, never the result.
+
+In a visit, blocks of a cell's chunks meet blocks of its queries in a cogroup, where
+NumPy keeps each query's local top-k (ties by chunk_id, so never more than k). A
+row_number window over these rows gives the global top-k. No pair rows are
+materialised; block counts follow the row counts of each group (repository) and
+cell, so a block always fits in one task's memory.
 """
 
 from __future__ import annotations
@@ -57,56 +62,116 @@ def _local_topk(k: int, exclude_self: bool, group: str):
     return run
 
 
+SAMPLE, CENTROIDS = 2_048, 48
+
+
+def fit_centroids(vecs: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """A few rounds of k-means from evenly spaced sample rows."""
+    cent = vecs[np.linspace(0, len(vecs) - 1, min(n, len(vecs))).astype(int)].copy()
+    for _ in range(rounds):
+        near = _distances(vecs, cent).argmin(axis=1)
+        for i in np.unique(near):
+            cent[i] = vecs[near == i].mean(axis=0)
+    return cent
+
+
+def _distances(x: np.ndarray, cent: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.stack([((x - c) ** 2).sum(axis=1) for c in cent], axis=1))
+
+
+def _matrix(s: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
+
+
+def _assigner(cent: np.ndarray):
+    @F.pandas_udf("cell int, dist double")
+    def assign(vec: pd.Series) -> pd.DataFrame:
+        if not len(vec):
+            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
+        d = _distances(_matrix(vec), cent)
+        near = d.argmin(axis=1)
+        return pd.DataFrame({"cell": near.astype("int32"), "dist": d[np.arange(len(d)), near]})
+    return assign
+
+
+def _planner(cent: np.ndarray, enough: int):
+    """The cells of a query's group with the least distance any of their chunks can have, and which to visit first."""
+    @F.pandas_udf("array<struct<cell:int,lower:double,first:boolean>>")
+    def plan(vec: pd.Series, cells: pd.Series, radius: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        d = _distances(_matrix(vec), cent) if len(vec) else None
+        for i, (cs, rs, ns) in enumerate(zip(cells, radius, n)):
+            cs, rs, ns = np.asarray(cs, int), np.asarray(rs, float), np.asarray(ns, int)
+            order = np.argsort(d[i, cs], kind="stable")
+            before = np.cumsum(ns[order]) - ns[order]
+            out.append([{"cell": int(cs[j]), "lower": float(d[i, cs[j]] - rs[j]), "first": bool(b < enough)}
+                        for j, b in zip(order, before)])
+        return pd.Series(out)
+    return plan
+
+
 def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bool = False,
-              query_block_rows: int = 4096, chunk_block_rows: int = 65536, group: str | None = None) -> DataFrame:
+              query_block_rows: int = 4096, chunk_block_rows: int = 65536, group: str | None = None,
+              visits: list | None = None) -> DataFrame:
     """Exact top-k per query by Euclidean distance, ties broken by chunk_id.
 
     ``queries(query_id long, vec array<float|double>)``,
     ``chunks(chunk_id long, vec array<float|double>)``; with ``group`` (e.g.
     ``repo_id``) on both sides a query only meets chunks of its own group.
-    Block counts are computed per group from grouped counts (no driver-side
-    action): a group with ``Q`` queries and ``C`` chunks gets
-    ``ceil(Q / query_block_rows)`` query blocks and ``ceil(C / chunk_block_rows)``
-    chunk blocks, so replication follows each group's own sizes.
+    A cell with ``Q`` visiting queries and ``C`` chunks is cut into
+    ``ceil(Q / query_block_rows)`` by ``ceil(C / chunk_block_rows)`` blocks.
     Returns ``(group, query_id, chunk_id, distance, rank)``, ``group`` only if it was given; ids need to be unique
-    within a group only.
+    within a group only. ``visits``, if given, gets the frames of the two rounds' (query, cell) rows.
     """
+    from packtables.session import cut_lineage
+
     g = group or "_grp"
     gcol = (lambda: F.col(group)) if group else (lambda: F.lit(0))
     # fresh projections: both sides may come from one table (all-against-all search)
     queries = queries.select(gcol().alias(g), F.col("query_id").cast("long").alias("query_id"),
-                             F.col("vec").alias("vec"))
+                             F.col("vec").alias("vec")).filter("vec is not null")
     chunks = chunks.select(gcol().alias(g), F.col("chunk_id").cast("long").alias("chunk_id"),
-                           F.col("vec").alias("vec"))
-    if group:
-        sizes = (queries.groupBy(g).agg(F.count(F.lit(1)).alias("_nq"))
-                 .join(chunks.groupBy(g).agg(F.count(F.lit(1)).alias("_nc")), g)
-                 .select(F.col(g).alias(g), F.ceil(F.col("_nq") / query_block_rows).cast("long").alias("_bq"),
-                         F.ceil(F.col("_nc") / chunk_block_rows).cast("long").alias("_bc")))
-
-        def sized(df):
-            return df.join(sizes, g)
-    else:
-        # one group: the block counts are scalar subqueries, not a join on a constant key
-        nq = queries.select(F.count(F.lit(1))).scalar()
-        nc = chunks.select(F.count(F.lit(1))).scalar()
-
-        def sized(df):
-            return (df.withColumn("_bq", F.ceil(nq / F.lit(query_block_rows)).cast("long"))
-                    .withColumn("_bc", F.ceil(nc / F.lit(chunk_block_rows)).cast("long")))
-    q = (sized(queries)
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("_bq")))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bc") - 1)))
-         .drop("_bq", "_bc"))
-    c = (sized(chunks)
-         .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("_bc")))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bq") - 1)))
-         .drop("_bq", "_bc"))
+                           F.col("vec").alias("vec")).filter("vec is not null")
     kind = queries.schema[g].dataType.simpleString()
-    local = (q.groupBy(g, "qb", "cb").cogroup(c.groupBy(g, "qb", "cb"))
-             .applyInPandas(_local_topk(k, exclude_self, g), schema=f"{g} {kind}, query_id long, chunk_id long, distance double"))
-    w = Window.partitionBy(g, "query_id").orderBy("distance", "chunk_id")
-    top = local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    sample = [r.vec for r in chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).select("vec").collect()]
+    cent = fit_centroids(np.array(sample, dtype=np.float64), CENTROIDS) if sample else np.zeros((1, 1))
+
+    c = chunks.withColumn("a", _assigner(cent)("vec")).select(g, "chunk_id", "vec", "a.cell", "a.dist")
+    c = cut_lineage(c)
+    sizes = c.groupBy(g, "cell").agg(F.max("dist").alias("radius"), F.count("*").alias("n"))
+    per_group = sizes.groupBy(g).agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "n"))).alias("cells"))   # CENTROIDS at most
+    q = queries.join(per_group, g) if group else queries.withColumn("cells", per_group.select("cells").scalar())
+    q = q.filter("cells is not null").withColumn(
+        "plan", _planner(cent, k + int(exclude_self))("vec", F.col("cells.cell"), F.col("cells.radius"), F.col("cells.n")))
+    q = cut_lineage(q.select(g, "query_id", "vec", "plan"))
+
+    def visit(rows: DataFrame) -> DataFrame:
+        """Local top-k rows of ``rows(g, cell, query_id, vec)``."""
+        asked = rows.groupBy(g, "cell").agg(F.count("*").alias("nq")).join(sizes, [g, "cell"]).select(
+            g, "cell", F.ceil(F.col("nq") / query_block_rows).cast("long").alias("bq"),
+            F.ceil(F.col("n") / chunk_block_rows).cast("long").alias("bc"))
+        left = rows.join(asked, [g, "cell"]).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("bq"))).withColumn(
+            "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bc") - 1))).drop("bq", "bc")
+        right = c.drop("dist").join(asked, [g, "cell"]).withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("bc"))).withColumn(
+            "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bq") - 1))).drop("bq", "bc")
+        return left.groupBy(g, "cell", "qb", "cb").cogroup(right.groupBy(g, "cell", "qb", "cb")).applyInPandas(
+            _local_topk(k, exclude_self, g), schema=f"{g} {kind}, query_id long, chunk_id long, distance double")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        w = Window.partitionBy(g, "query_id").orderBy("distance", "chunk_id")
+        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    near = q.select(g, "query_id", "vec", F.explode(F.filter("plan", lambda p: p["first"])).alias("p")).select(g, "query_id", "vec", "p.cell")
+    found = cut_lineage(best(visit(near)).drop("rank"))
+    bound = found.groupBy(g, "query_id").agg(F.max("distance").alias("far"), F.count("*").alias("got"))
+    bound = bound.select(g, "query_id", F.when(F.col("got") >= k, F.col("far")).alias("bound"))
+    rest = q.join(bound, [g, "query_id"], "left")
+    # a little slack: distances come from a formula that rounds
+    rest = rest.withColumn("p", F.explode(F.filter("plan", lambda p: ~p["first"]))).filter(
+        F.coalesce(F.col("p.lower") <= F.col("bound") + 1e-6 * (1 + F.col("bound")), F.lit(True))).select(g, "query_id", "vec", "p.cell")
+    if visits is not None:
+        visits += [near, rest]
+    top = best(found.unionByName(visit(rest)))
     return top if group else top.drop(g)
 
 

@@ -75,3 +75,33 @@ def test_grouped_knn_per_repo_blocks(spark):
     c = spark.createDataFrame(crows, "repo_id string, chunk_id long, vec array<float>")
     got = vectors.knn_pairs(q, c, 3, group="repo_id", query_block_rows=7, chunk_block_rows=11)
     assert {(r.query_id, r.rank): r.chunk_id for r in got.collect()} == exp
+
+
+def test_knn_visits_fewer_cells_than_all(spark):
+    """Clustered vectors: exact results from few of the (query, cell) pairs; null and equal vectors included."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 20
+    c = np.concatenate([centres[i] + rng.normal(size=(60, 8)) * 0.3 for i in range(12)])
+    c[100] = c[101] = c[102]
+    q = centres[rng.integers(0, 12, 40)] + rng.normal(size=(40, 8)) * 0.3
+    cd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)] + [(9999, None)], "chunk_id long, vec array<double>")
+    qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(9999, None)], "query_id long, vec array<double>")
+    visits = []
+    got = vectors.knn_pairs(qd, cd, 5, query_block_rows=7, chunk_block_rows=20, visits=visits).collect()
+    want = {}
+    for i, v in enumerate(q):
+        d = np.sqrt(((c - v) ** 2).sum(axis=1))
+        for r, j in enumerate(sorted(range(len(c)), key=lambda j: (round(d[j], 9), j))[:5], start=1):
+            want[(i, r)] = j
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in got} == want
+    n_cells = len(vectors.fit_centroids(c, vectors.CENTROIDS))
+    assert sum(v.count() for v in visits) < 0.5 * 40 * n_cells
+
+
+def test_knn_of_few_or_no_chunks(spark):
+    qd = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "query_id long, vec array<double>")
+    cd = spark.createDataFrame([(1, [0.5]), (2, [0.5])], "chunk_id long, vec array<double>")
+    assert len(vectors.knn_pairs(qd, cd, 5).collect()) == 4
+    assert vectors.knn_pairs(qd, cd.limit(0), 5).collect() == []
+    assert vectors.knn_pairs(qd.limit(0), cd, 5).collect() == []
+    assert {(r.query_id, r.chunk_id) for r in vectors.knn_pairs(qd, cd, 1, exclude_self=True).collect()} == {(1, 2), (2, 1)}
