@@ -110,14 +110,14 @@ def dependencies(seeds: DataFrame, edges: DataFrame, seed_col: str = "path") ->
 
 
 def dependents(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, key_cols: tuple[str, ...] = (),
-               seed_col: str = "path", checkpoint_every: int = 3) -> DataFrame:
+               seed_col: str = "path", checkpoint_every: int = 1) -> DataFrame:
     """Files that import each seed within ``max_hops`` (seed excluded).
 
     Returns ``(*key_cols, repo_id, seed, dependent, hops)`` with the smallest
     hop count. Each hop joins the frontier with the edges on ``dst``, keeps
-    new nodes only (anti-join on what is reached), and unions them in. The
-    lineage is cut every ``checkpoint_every`` hops in the shared checkpoint
-    folder.
+    new nodes only (anti-join on what is reached), and unions them in. A
+    hop's rows are written to the shared checkpoint folder every
+    ``checkpoint_every`` hops.
     """
     keys = list(key_cols) + ["repo_id", "seed"]
     start = seeds.select(*key_cols, "repo_id", F.col(seed_col).alias("seed")).distinct()
@@ -131,10 +131,10 @@ def dependents(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, key_cols:
         if reached is not None:
             nxt = nxt.join(reached.select(*keys, "dependent"), keys + ["dependent"], "left_anti")
         nxt = nxt.withColumn("hops", F.lit(hop))
+        if hop < max_hops and hop % checkpoint_every == 0:
+            nxt = cut_lineage(nxt)          # read by the union, the next hop's join and its anti-join
         reached = nxt if reached is None else reached.unionByName(nxt)
         if hop < max_hops:
-            if hop % checkpoint_every == 0:
-                reached = cut_lineage(reached)
             frontier = nxt.select(*keys, F.col("dependent").alias("node"))
     return reached
 

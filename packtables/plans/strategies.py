@@ -236,7 +236,9 @@ def pack_paths(*parts: DataFrame) -> DataFrame:
 def blast_radius_strategy(signals: DataFrame, idx: CodeIndex, sym: DataFrame, files: DataFrame,
                           opts: PackOptions) -> DataFrame:
     req = signals.filter(gate("blast_radius")).select("request_id")
-    seeds = pack_paths(sym, files).join(req, "request_id", "left_semi")
+    from packtables.session import cut_lineage
+
+    seeds = cut_lineage(pack_paths(sym, files).join(req, "request_id", "left_semi"))
     # each distinct seed is expanded once, whatever the number of requests that hold it
     dep = graph.dependents(seeds.select("repo_id", "path").distinct(), idx.edges, max_hops=opts.blast_hops)
     dep = dep.withColumnRenamed("dependent", "path").join(
