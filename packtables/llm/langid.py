@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packtables.llm.common import slices, trimmed
+
 TRAIN_DOCS = 2_000     # labelled documents of each language in the sample
 BUCKETS = 1 << 16
 PENALTY = 12.0         # log odds that a change of language has to win
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.001   # a language uses a script that holds this share of its letters
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 6_000_000        # characters of the texts whose words run side by side
+BLOCK_CHARS = 500_000          # characters whose letters and trigrams are held at once (or one text)
 
 #: First code point, last code point, script.
 SCRIPTS = [
@@ -193,61 +196,62 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     return path[slot]
 
 
-def label(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, list[list[dict]]]:
-    """Language, score and spans of each text."""
-    n, k = len(texts), len(model.langs)
-    w = words_of(texts)
-    if not k or not len(w.doc):
-        return ["und"] * n, np.zeros(n), [[] for _ in texts]
+def word_scores(w: Words, model: Model) -> np.ndarray:
+    """Log odds of each word (rows) in each language, 0 for the best; those its script rules out are far below."""
+    k = len(model.langs)
     scores = np.empty((len(w.doc), k), np.float32)
-    step = max(1, 4_000_000 // k)
+    step = max(1, 2_000_000 // k)
     edges = np.append(w.first_gram, len(w.buckets))
     i = 0
-    while i < len(w.doc):                            # blocks of words, to bound the trigrams held at once
+    while i < len(w.doc):
         j = max(i + 1, int(np.searchsorted(edges, edges[i] + step)) - 1)
         scores[i:j] = np.add.reduceat(model.logp[w.buckets[edges[i]:edges[j]]], edges[i:j] - edges[i], axis=0)
         i = j
     allowed = model.allowed[w.script]
     none = ~allowed.any(axis=1)
-    scores -= scores.max(axis=1, keepdims=True)
+    scores -= scores.max(axis=1, keepdims=True, initial=-np.inf) if k else 0
     scores[none] = 0
     scores[~allowed & ~none[:, None]] -= 1e4
-    path = viterbi(scores, w.doc, n, model.penalty)
+    return scores
+
+
+def label(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    """Language, score and spans of each text."""
+    n, k = len(texts), len(model.langs)
+    blocks, i = [], 0
+    while i < n and k:                               # blocks of texts, to bound the letters and trigrams held at once
+        j, size = i + 1, len(texts[i])
+        while j < n and size + len(texts[j]) <= BLOCK_CHARS:
+            size += len(texts[j])
+            j += 1
+        w = words_of(texts[i:j])
+        blocks.append((w.doc + i, w.start, w.size, w.letters, word_scores(w, model)))
+        i = j
+    if not sum(len(b[0]) for b in blocks):
+        return ["und"] * n, np.zeros(n), [[] for _ in texts]
+    doc, start, size, n_letters, scores = (np.concatenate(x) for x in zip(*blocks))
+    del blocks
+    path = viterbi(scores, doc, n, model.penalty)
     letters = np.zeros((n, k))
-    np.add.at(letters, (w.doc, path), w.size)
+    np.add.at(letters, (doc, path), size)
     pick = letters.argmax(axis=1)
-    own = path == pick[w.doc]
+    own = path == pick[doc]
     total = np.zeros((n, k))
-    np.add.at(total, w.doc[own], scores[own])
+    np.add.at(total, doc[own], scores[own])
     total -= total.max(axis=1, keepdims=True)
     odds = np.exp(total)
     rows = np.arange(n)
     score = letters[rows, pick] / np.maximum(1, letters.sum(axis=1)) * (odds[rows, pick] / odds.sum(axis=1))
-    some = w.letters > 0
-    new = np.flatnonzero(np.diff(w.doc, prepend=-1) | np.diff(path, prepend=-1))
+    some = n_letters > 0
+    new = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(path, prepend=-1))
     last = np.append(new[1:], len(path)) - 1
     spans: list[list[dict]] = [[] for _ in texts]
     for a, b in zip(new, last):
-        if some[d := w.doc[a]]:
-            spans[d].append({"start": int(w.start[a]), "end": int(w.start[b] + w.size[b]), "lang": model.langs[path[a]]})
+        if some[d := doc[a]]:
+            spans[d].append({"start": int(start[a]), "end": int(start[b] + size[b]), "lang": model.langs[path[a]]})
     return ([model.langs[p] if s else "und" for p, s in zip(pick, some)], np.where(some, score, 0.0), spans)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch of at most about SLICE_CHARS characters, with their texts (null: empty)."""
-    texts, size, begin = [], 0, 0
-    values = batch.column(batch.schema.get_field_index(column))
-    for i, x in enumerate(values):
-        t = x.as_py() or ""
-        if texts and size + len(t) > SLICE_CHARS:
-            yield batch.slice(begin, i - begin), texts
-            texts, size, begin = [], 0, i
-        texts.append(t)
-        size += len(t)
-    if texts:
-        yield batch.slice(begin), texts
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``spans`` (start, end, lang; code points) of each text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -255,13 +259,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in slices(b):
+            for part, texts in slices(b, SLICE_CHARS):
                 lang, score, spans = label(texts, shipped.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(spans, span)],
                                                  ["doc_id", "lang_pred", "score", "spans"])
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, "
+    return slim.mapInArrow(trimmed(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, "
                                 "spans array<struct<start:int,end:int,lang:string>>")
 
 
@@ -271,9 +275,9 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in slices(b):
+            for part, texts in slices(b, SLICE_CHARS):
                 lang, score, _ = label(texts, shipped.value)
                 keep = (np.array(lang, object) != "und") & (score >= least_score)
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
