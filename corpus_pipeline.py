@@ -37,7 +37,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document with their digest and that of the decoded bytes."""
-    return bytebpe.digests(bytebpe.encode(docs), keep_ids=True)
+    return bytebpe.digests(docs, keep_ids=True)
 
 
 STAGES = [

@@ -34,9 +34,10 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from packtables.llm.common import texts_of
+from packtables.llm.common import slices, trimmed
 
 LEAF = 2_048           # characters (encoding) or ids (decoding) of a leaf
+SLICE_CHARS = 2_000_000     # characters of the texts whose ids are held at once (or one text)
 WINDOW = 48            # characters on either side of a boundary, at first
 SETTLED = re.compile(r"[\w!-~](?=[ \n])")      # ends at a settled position
 
@@ -128,12 +129,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(ranks.value, pat)
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                yield list_batch(part.column(0), [bpe.encode(t or "") for t in texts_of(part)], "ids")
+            for part, texts in slices(b, SLICE_CHARS):
+                yield list_batch(part.column(0), [bpe.encode(t) for t in texts], "ids")
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return slim.mapInArrow(trimmed(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def id_rows(batch: pa.RecordBatch, column: str = "ids") -> Iterator[np.ndarray]:
@@ -157,27 +157,30 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
                 yield pa.RecordBatch.from_arrays([part.column(0), data], ["doc_id", "bytes"])
 
     slim = encoded.select("doc_id", "ids")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return slim.mapInArrow(trimmed(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def digests(encoded: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each row of ``encode``'s result (and its ids)."""
-    ranks, pat = shipped(encoded, path, pattern)
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each document: ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and the ids).
+
+    ``encode`` and ``decode`` in one pass, so that one worker a task holds the tokenizer.
+    """
+    ranks, pat = shipped(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(ranks.value, pat)
         for b in batches:
-            n, ids, data = [], [], []
-            for x in id_rows(b):
-                n.append(len(x))
-                ids.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-                data.append(hashlib.sha256(bpe.decode(x)).hexdigest())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                cols, names = [*cols, b.column(1)], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            for part, texts in slices(b, SLICE_CHARS):
+                rows = [bpe.encode(t) for t in texts]
+                ids = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows]
+                data = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in rows]
+                cols = [part.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array(ids, pa.string()),
+                        pa.array(data, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    cols, names = [*cols, list_batch(part.column(0), rows, "ids").column(1)], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    slim = encoded.select("doc_id", "ids")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
-                                "ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    slim = docs.select("doc_id", "text")
+    return slim.mapInArrow(trimmed(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
+                                         "ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

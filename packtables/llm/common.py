@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,21 @@ def slices(batch: pa.RecordBatch, chars: int, column: str = "text") -> Iterator[
         yield batch.slice(begin), texts
 
 
+def trimmed(run: Callable) -> Callable:
+    """A batch function that gives freed memory back to the system at the end of its partition.
+
+    Python workers are reused: without this, one that ran a stage with large buffers keeps them while other stages run
+    beside it in workers of their own.
+    """
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return wrapped
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base`` with underscores in front until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}

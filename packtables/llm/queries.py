@@ -21,9 +21,9 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from packtables.llm.bytebpe import digests, encode
+    from packtables.llm.bytebpe import digests
 
-    return digests(encode(read_table(spark, sf_dir, "documents")))
+    return digests(read_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packtables.llm.common import texts_of
+from packtables.llm.common import slices, texts_of, trimmed
 
 KINDS = ("assign", "access", "hex", "novel")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -51,6 +51,7 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,63}(?=\x20?[=:(])")
 REACH, LEAST, NOVEL, AROUND = 64, 16, 0.5, 256
 DICTIONARY = 2_048
 MARK = "[SECRET]"
+SLICE_CHARS = 4_000_000
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -144,7 +145,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return slim.mapInArrow(trimmed(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = MARK) -> str:
@@ -166,15 +167,15 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = compressor(names)
         for b in batches:
-            at = b.schema.get_field_index("text")
-            old = b.column(at).to_pylist()
-            new = [t and redacted(t, spans_of(t, z)[1]) for t in old]
-            cols = list(b.columns)
-            cols[at] = pa.array(new, b.schema.field(at).type)
-            k = b.schema.get_field_index("n_chars")
-            if k >= 0 and pa.types.is_integer(b.schema.field(k).type):
-                sizes = [n if x is y or x == y else len(y) for n, x, y in zip(b.column(k).to_pylist(), old, new)]
-                cols[k] = pa.array(sizes, b.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+            at, k = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
+            for part, _ in slices(b, SLICE_CHARS):
+                old = part.column(at).to_pylist()
+                new = [t and redacted(t, spans_of(t, z)[1]) for t in old]
+                cols = list(part.columns)
+                cols[at] = pa.array(new, b.schema.field(at).type)
+                if k >= 0 and pa.types.is_integer(b.schema.field(k).type):
+                    sizes = [n if x is y or x == y else len(y) for n, x, y in zip(part.column(k).to_pylist(), old, new)]
+                    cols[k] = pa.array(sizes, b.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(trimmed(run), docs.schema)

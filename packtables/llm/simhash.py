@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packtables.llm.common import free_name, texts_of, written
+from packtables.llm.common import free_name, texts_of, trimmed, written
 
 SEED = 42
 SAMPLE = 65_536        # distinct fingerprints the top of the tree is fitted on
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    return slim.mapInArrow(trimmed(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 # ---------------------------------------------------------------- vantage-point tree

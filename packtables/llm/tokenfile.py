@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packtables.llm.bytebpe import id_rows
-from packtables.llm.common import shared_path, slices
+from packtables.llm.common import shared_path, slices, trimmed
 
 END_ID = 2
 ROW_GROUP = 32 << 20
@@ -198,7 +198,7 @@ def write_tokens(docs: DataFrame, path: str, model_path: str | None = None, end_
     kind = slim.schema["doc_id"].dataType.simpleString()
     order = [F.col("doc_id"), F.xxhash64("text")]
     slim.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        run, f"doc_id {kind}, part int, local_start long, n_tokens long, token_ids array<int>",
+        trimmed(run), f"doc_id {kind}, part int, local_start long, n_tokens long, token_ids array<int>",
     ).write.options(**WRITE).parquet(path)
 
 
@@ -225,7 +225,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
     slim = tokens.select("doc_id", "start", "token_ids")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return slim.mapInArrow(trimmed(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame) -> DataFrame:
