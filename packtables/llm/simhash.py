@@ -296,10 +296,12 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     fp = written(fingerprints(slim.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text"),
                               shingle), "fingerprints")
     roots = grouped(fp, max_bits)
+    # the first row of each fingerprint, then of each component: a fingerprint of many copies meets its root once
     rows = fp.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    keep = rows.join(roots, "fp").groupBy("root").agg(F.min(F.struct(
+    first = rows.groupBy("fp").agg(F.min(F.struct(
         F.col("doc_id.doc_id").isNull().alias("last"), F.col("doc_id.doc_id").alias("id"),
         F.col("doc_id.key").alias("key"), "n")).alias("k"))
+    keep = first.join(roots, "fp").groupBy("root").agg(F.min("k").alias("k"))
     keep = written(keep.select(F.col("k.id").alias("keep_id"), F.col("k.key").alias("keep_key"),
                                F.col("k.n").alias(copies)), "kept")
     keyed = docs.withColumn(key, F.xxhash64("text"))
