@@ -26,8 +26,8 @@ SPACE = " \t\n\x0b\x0c\r"
 RULES = [
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "100 * n_symbols > 10 * word_chars"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("symbols", "5 * n_symbols > n_words"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("short_words", "2 * word_chars < 5 * n_words"),
     ("long_words", "word_chars > 14 * n_words"),
     ("shouting", "100 * n_capitals > 50 * word_chars"),
@@ -130,7 +130,7 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (doc_id)
 ), f AS (
   SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-           + CASE WHEN 100 * n_symbols > 10 * word_chars THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+           + CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
            + CASE WHEN 2 * word_chars < 5 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 32 ELSE 0 END
            + CASE WHEN 100 * n_capitals > 50 * word_chars THEN 64 ELSE 0 END + CASE WHEN 100 * n_digits > 30 * word_chars THEN 128 ELSE 0 END
            AS BIGINT) AS failed
