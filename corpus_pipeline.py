@@ -12,11 +12,11 @@ from packtables.llm import bytebpe, decontaminate, langid, secretscan, simhash
 from packtables.llm.common import written
 from packtables.session import read_table
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.25     # texts that mix two or three languages stay
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters (``und``), or whose language no half of the letters supports, go."""
+    """Documents without letters (``und``), or whose language a quarter of the letters or less supports, go."""
     return langid.keep_identified(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
 
 

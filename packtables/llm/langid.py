@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                                 "spans array<struct<start:int,end:int,lang:string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.25) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text has a language with at least that score."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
