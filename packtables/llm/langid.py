@@ -14,7 +14,7 @@ floats however large the corpus. Prediction reads the text and nothing else.
 
 Defined results: ``und`` with score 0 for a null text or one without letters;
 if no language was learned, every text is ``und``; a script that no learned
-language uses is no evidence (all languages stay candidates); ties go to the
+language uses is no evidence for any (a text of it has score 0); ties go to the
 first language in sort order; repeated rows are labelled one by one; a null id
 is never learned from and not held out; an empty table gives an empty table.
 """
@@ -196,8 +196,9 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     return path[slot]
 
 
-def word_scores(w: Words, model: Model) -> np.ndarray:
-    """Log odds of each word (rows) in each language, 0 for the best; those its script rules out are far below."""
+def word_scores(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of each word (rows) in each language, 0 for the best; those its script rules out are far below.
+    And whether any language uses the word's script; else the word is no evidence."""
     k = len(model.langs)
     scores = np.empty((len(w.doc), k), np.float32)
     step = max(1, 2_000_000 // k)
@@ -212,7 +213,7 @@ def word_scores(w: Words, model: Model) -> np.ndarray:
     scores -= scores.max(axis=1, keepdims=True, initial=-np.inf) if k else 0
     scores[none] = 0
     scores[~allowed & ~none[:, None]] -= 1e4
-    return scores
+    return scores, ~none
 
 
 def label(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, list[list[dict]]]:
@@ -225,15 +226,15 @@ def label(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, list[l
             size += len(texts[j])
             j += 1
         w = words_of(texts[i:j])
-        blocks.append((w.doc + i, w.start, w.size, w.letters, word_scores(w, model)))
+        blocks.append((w.doc + i, w.start, w.size, w.letters, *word_scores(w, model)))
         i = j
     if not sum(len(b[0]) for b in blocks):
         return ["und"] * n, np.zeros(n), [[] for _ in texts]
-    doc, start, size, n_letters, scores = (np.concatenate(x) for x in zip(*blocks))
+    doc, start, size, n_letters, scores, known = (np.concatenate(x) for x in zip(*blocks))
     del blocks
     path = viterbi(scores, doc, n, model.penalty)
     letters = np.zeros((n, k))
-    np.add.at(letters, (doc, path), size)
+    np.add.at(letters, (doc[known], path[known]), size[known])
     pick = letters.argmax(axis=1)
     own = path == pick[doc]
     total = np.zeros((n, k))
@@ -241,7 +242,7 @@ def label(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, list[l
     total -= total.max(axis=1, keepdims=True)
     odds = np.exp(total)
     rows = np.arange(n)
-    score = letters[rows, pick] / np.maximum(1, letters.sum(axis=1)) * (odds[rows, pick] / odds.sum(axis=1))
+    score = letters[rows, pick] / np.maximum(1, np.bincount(doc, size, n)) * (odds[rows, pick] / odds.sum(axis=1))
     some = n_letters > 0
     new = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(path, prepend=-1))
     last = np.append(new[1:], len(path)) - 1
