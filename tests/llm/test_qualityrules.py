@@ -3,8 +3,6 @@
 import random
 import re
 
-import pytest
-
 from packtables.llm import qualityrules as Q
 from tests.llm.oracle import same
 
