@@ -15,8 +15,9 @@ length, are its novelty. Text the surroundings or the dictionary hold adds
 next to nothing; a random key cannot be shortened, so ``NOVEL`` bytes a
 character or more report it. Candidates that overlap a base span are left to it.
 
-The dictionary is counted over all documents; its size is bounded
-(``DICTIONARY`` most frequent identifiers, ties by name).
+The dictionary is counted over the distinct texts of all documents; its size is
+bounded (``DICTIONARY`` most frequent identifiers, ties by name). A name that
+could be a key itself, as it stands or padded, is never in it.
 
 Defined results: a null text counts as empty and has no span; repeated rows are
 scanned one by one; an empty table gives an empty table; extra columns are
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +47,7 @@ SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-
              "private_key", "access_key", "client_key", "signing_key", "license_key", "session_id", "passphrase")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,63}(?=\x20?[=:(])")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_]{3,63}(?=\x20?[=:(])")       # no part of a longer run
 REACH, LEAST, NOVEL, AROUND = 64, 16, 0.5, 256
 DICTIONARY = 2_048
 MARK = "[SECRET]"
@@ -82,6 +82,11 @@ def novelty(z: zstandard.ZstdCompressor, text: str, a: int, b: int) -> float:
     return (len(z.compress(around + own)) - len(z.compress(around))) / len(own)
 
 
+def keylike(s: str, least: int = LEAST) -> bool:
+    """Whether a run of key characters is measured at all."""
+    return len(s) >= least and any(map(str.isdigit, s)) and any(map(str.isalpha, s))
+
+
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], z: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
     if not any(x in low for x in SENSITIVE):
         return []
@@ -92,8 +97,7 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], z: zstand
             if a > word.end() + REACH:
                 break
             done = b
-            s = m.group()
-            if b - a < LEAST or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
+            if not keylike(m.group()):
                 continue
             if not any(x < b and a < y for x, _, y in base) and novelty(z, text, a, b) >= NOVEL:
                 out.append((a, 3, b))
@@ -110,18 +114,26 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def names_of(text: str) -> set[str]:
+    """Names before ``=``, ``:`` or an opening bracket that aren't keys, with up to two ``=`` of padding or without."""
+    return {x for x in IDENTIFIER.findall(text) if not keylike(x, LEAST - 2)}
+
+
 def identifiers(docs: DataFrame, top: int = DICTIONARY) -> list[str]:
-    """The most frequent identifiers of all documents (names before ``=``, ``:`` or an opening bracket)."""
+    """The identifiers that most distinct texts hold, over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter[str] = Counter()
-            for t in texts_of(b):
-                if t and ("=" in t or ":" in t or "(" in t):
-                    seen.update(IDENTIFIER.findall(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                             ["name", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
+            names, keys, seen = [], [], set()
+            for t, key in zip(texts_of(b), b.column(1).to_pylist()):
+                if t and key not in seen and ("=" in t or ":" in t or "(" in t):
+                    seen.add(key)
+                    found = names_of(t)
+                    names += found
+                    keys += [key] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64())], ["name", "key"])
+
+    pairs = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "name string, key long").distinct()
+    counts = pairs.groupBy("name").agg(F.count("*").alias("n"))
     return [r.name for r in counts.orderBy(F.desc("n"), "name").limit(top).collect()]
 
 

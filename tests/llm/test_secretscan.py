@@ -78,3 +78,23 @@ def test_redact(spark):
 
 def test_overlapping_spans_are_merged():
     assert S.redacted("0123456789", [(1, 0, 4), (3, 2, 6), (6, 3, 7), (8, 0, 9)]) == "0[SECRET][SECRET]7[SECRET]9"
+
+
+PADDED = "q7Zx9LmP2vTb8RkW4nYc6H=="
+
+
+def test_keys_are_not_taught_to_the_dictionary(spark):
+    """A padded key, the tail of one behind '+', and keys before ':' or '(' on a tiny corpus, and in a group of copies."""
+    keys = [PADDED, "Zx+" + PADDED, "q7Zx9LmP2vTb8R==", f"{RANDOM_KEY}: x", f"{RANDOM_KEY}(", f"{RANDOM_KEY} = x"]
+    rows = [(i, f"Authorization: Bearer {k}") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"Authorization: Bearer {PADDED}; load_data(1); call_{i % 3}x(2)") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert S.identifiers(df) == ["Authorization", "load_data", "call_0x", "call_1x", "call_2x"]
+    got = {r.doc_id: r.spans for r in S.scan(df).collect()}
+    assert all(f"novel:22:{22 + len(k.rstrip(':(= x') if not k.endswith('==') else k)}" in got[i] for i, k in enumerate(keys))
+    assert all(got[100 + i] == "novel:22:46" for i in range(60))
+
+
+def test_identifiers_count_distinct_texts(spark):
+    rows = [(i, "copied_name(1)") for i in range(50)] + [(50 + i, f"other_name({i})") for i in range(3)]
+    assert S.identifiers(spark.createDataFrame(rows, "doc_id long, text string"), 1) == ["other_name"]
