@@ -14,6 +14,8 @@ primed with the corpus's most frequent identifiers; the bytes it adds, over its
 length, are its novelty. Text the surroundings or the dictionary hold adds
 next to nothing; a random key cannot be shortened, so ``NOVEL`` bytes a
 character or more report it. Candidates that overlap a base span are left to it.
+Copies of a candidate that are in a base span, or in reach of a sensitive word
+themselves, are cut out of its surroundings; a copy elsewhere stays there.
 
 The dictionary is counted over the distinct texts of all documents; its size is
 bounded (``DICTIONARY`` most frequent identifiers, ties by name). A name that
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,9 +78,19 @@ def compressor(identifiers: list[str]) -> zstandard.ZstdCompressor:
         dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
 
 
-def novelty(z: zstandard.ZstdCompressor, text: str, a: int, b: int) -> float:
-    """Marginal compressed bytes of ``text[a:b]`` behind its surroundings, per byte."""
-    around = (text[max(0, a - AROUND):a] + "\n" + text[b:b + AROUND] + "\n").encode()
+def without(text: str, lo: int, hi: int, hidden: list[tuple[int, int]]) -> str:
+    """``text[lo:hi]`` without the hidden spans (sorted)."""
+    out, at = [], lo
+    for x, y in hidden:
+        if at < y and x < hi:
+            out.append(text[at:max(at, x)])
+            at = y
+    return "".join([*out, text[at:hi]])
+
+
+def novelty(z: zstandard.ZstdCompressor, text: str, a: int, b: int, hidden: list[tuple[int, int]] = ()) -> float:
+    """Marginal compressed bytes of ``text[a:b]`` behind its surroundings (without the hidden spans), per byte."""
+    around = (without(text, max(0, a - AROUND), a, hidden) + "\n" + without(text, b, b + AROUND, hidden) + "\n").encode()
     own = text[a:b].encode()
     return (len(z.compress(around + own)) - len(z.compress(around))) / len(own)
 
@@ -87,21 +100,55 @@ def keylike(s: str, least: int = LEAST) -> bool:
     return len(s) >= least and any(map(str.isdigit, s)) and any(map(str.isalpha, s))
 
 
-def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], z: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
-    if not any(x in low for x in SENSITIVE):
-        return []
-    out, done = [], 0
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The characters that the sorted spans cover, as spans that don't touch each other."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether ``[a, b)`` overlaps one of the sorted, separate spans."""
+    i = bisect_left(spans, b, key=lambda x: x[0])
+    return i > 0 and spans[i - 1][1] > a
+
+
+def copies(text: str, a: int, b: int, *cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Other copies of ``text[a:b]``, padding aside, in its surroundings that overlap one of the ``cuts``."""
+    s = text[a:b].strip("=-")
+    lo, hi = max(0, a - AROUND - len(s)), b + AROUND + len(s)
+    out, at = [], text.find(s, lo, hi)
+    while at >= 0:
+        end = at + len(s)
+        if (end <= a or b <= at) and any(meets(x, at, end) for x in cuts):
+            out.append((at, end))
+        at = text.find(s, end, hi)
+    return out
+
+
+def in_reach(text: str) -> Iterator[tuple[int, int]]:
+    """Keylike runs that begin within reach after a sensitive word."""
+    done = 0
     for word in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, max(done, word.end())):
             a, b = m.span()
             if a > word.end() + REACH:
                 break
             done = b
-            if not keylike(m.group()):
-                continue
-            if not any(x < b and a < y for x, _, y in base) and novelty(z, text, a, b) >= NOVEL:
-                out.append((a, 3, b))
-    return out
+            if keylike(m.group()):
+                yield a, b
+
+
+def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], z: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
+    if not any(x in low for x in SENSITIVE):
+        return []
+    near, known = list(in_reach(text)), merged(base)
+    return [(a, 3, b) for a, b in near
+            if not meets(known, a, b) and novelty(z, text, a, b, copies(text, a, b, near, known)) >= NOVEL]
 
 
 def spans_of(text: str, z: zstandard.ZstdCompressor) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -98,3 +98,11 @@ def test_keys_are_not_taught_to_the_dictionary(spark):
 def test_identifiers_count_distinct_texts(spark):
     rows = [(i, "copied_name(1)") for i in range(50)] + [(50 + i, f"other_name({i})") for i in range(3)]
     assert S.identifiers(spark.createDataFrame(rows, "doc_id long, text string"), 1) == ["other_name"]
+
+
+def test_repeated_keys_are_found_at_all_places():
+    k = RANDOM_KEY
+    assert scan_one(f"first run: bearer {k} ok; second run: bearer {k} ok") == [k, k]
+    assert scan_one("".join(f"$ curl -H 'Authorization: Bearer {k}'\n" for _ in range(40))) == [k] * 40
+    assert scan_one(f"secret = {k} and then bearer {k}") == [k]                           # the other one is a base span
+    assert scan_one(f"bearer {k}== and again bearer {k}") == [k + "==", k]
