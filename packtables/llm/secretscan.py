@@ -8,14 +8,17 @@ its characters aren't tried again):
 * ``hex``: a run of lower-case hex digits, 24 at least.
 
 Novel spans: a candidate is a run of key characters, ``LEAST`` long at least and
-with both a letter and a digit, that begins within ``REACH`` characters after a
-sensitive word. It is compressed behind its surroundings by a compressor
+with both a letter and a digit, or of letters whose case or whose lack of vowels
+no words have. It begins within ``REACH`` characters after a sensitive word, or
+ends within ``REACH`` before one; a reported span carries the reach on from its
+own end, so the segments and lines of a key follow each other. A shorter run
+between a reported one and ``-----END`` is the last line of its key. A candidate is compressed behind its surroundings by a compressor
 primed with the corpus's most frequent identifiers; the bytes it adds, over its
 length, are its novelty. Text the surroundings or the dictionary hold adds
 next to nothing; a random key cannot be shortened, so ``NOVEL`` bytes a
 character or more report it. Candidates that overlap a base span are left to it.
-Copies of a candidate that are in a base span, or in reach of a sensitive word
-themselves, are cut out of its surroundings; a copy elsewhere stays there.
+Copies of a candidate that are in a base span, or in reach on the same side of a
+sensitive word, are cut out of its surroundings; a copy elsewhere stays there.
 
 The dictionary is counted over the distinct texts of all documents; its size is
 bounded (``DICTIONARY`` most frequent identifiers, ties by name). A name that
@@ -31,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -46,15 +49,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")         # maximal runs, as [0-9a-f]+ gives them
 
-SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "credential", "authorization", "bearer",
-             "private_key", "access_key", "client_key", "signing_key", "license_key", "session_id", "passphrase")
-CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
+SENSITIVE = ("password", "passwd", "secret", "token", "api key", "credential", "authorization", "bearer", "private key", "access key",
+             "client key", "signing key", "license key", "session id", "passphrase")
+HINTS = ("passw", "secret", "token", "key", "credential", "authorization", "bearer", "session", "passphrase")   # each word has one
+CONTEXT = re.compile("|".join(x.replace(" ", "[ _-]?") for x in SENSITIVE), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_]{3,63}(?=\x20?[=:(])")       # no part of a longer run
+RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")         # the characters of a candidate
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+LAST_LINE = re.compile(r"(?:\s|\\[nr])+-----END")
 REACH, LEAST, NOVEL, AROUND = 64, 16, 0.5, 256
 DICTIONARY = 2_048
 MARK = "[SECRET]"
 SLICE_CHARS = 4_000_000
+Judge = Callable[[int, int], bool]
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -95,9 +103,17 @@ def novelty(z: zstandard.ZstdCompressor, text: str, a: int, b: int, hidden: list
     return (len(z.compress(around + own)) - len(z.compress(around))) / len(own)
 
 
+def irregular(s: str) -> bool:
+    """Whether a run without digits changes case, or lacks vowels, as words and joined words don't."""
+    letters = sum(map(str.isalpha, s))
+    vowels = sum(x in "aeiouAEIOU" for x in s)
+    changes = sum(len(PART.findall(x)) - 1 for x in re.split(r"[^A-Za-z]+", s) if x)
+    return vowels < 0.15 * letters or (changes >= letters / 4 and vowels < 0.35 * letters)
+
+
 def keylike(s: str, least: int = LEAST) -> bool:
     """Whether a run of key characters is measured at all."""
-    return len(s) >= least and any(map(str.isdigit, s)) and any(map(str.isalpha, s))
+    return len(s) >= least and any(map(str.isalpha, s)) and (any(map(str.isdigit, s)) or irregular(s))
 
 
 def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -130,25 +146,67 @@ def copies(text: str, a: int, b: int, *cuts: list[tuple[int, int]]) -> list[tupl
     return out
 
 
-def in_reach(text: str) -> Iterator[tuple[int, int]]:
-    """Keylike runs that begin within reach after a sensitive word."""
-    done = 0
-    for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end())):
+def before(text: str, at: int, floor: int) -> tuple[int, int]:
+    """The last run of key characters in ``text[floor:at]``; empty, at ``floor``, if there is none."""
+    while at > floor and text[at - 1] not in RUN:
+        at -= 1
+    a = at
+    while a > floor and text[a - 1] in RUN:
+        a -= 1
+    return a, at
+
+
+def ahead(text: str, words: list[tuple[int, int]], known: list[tuple[int, int]], judge: Judge) -> list[tuple[int, int]]:
+    """Runs in reach after a word that are judged keys."""
+    out, done, told = [], 0, -1         # told: the end of the last reported span
+    for _, word in words:
+        limit = word + REACH
+        for m in CANDIDATE.finditer(text, max(done, word)):
             a, b = m.span()
-            if a > word.end() + REACH:
+            if a > limit:
                 break
             done = b
-            if keylike(m.group()):
-                yield a, b
+            if not meets(known, a, b):
+                last = b - a < LEAST and told >= 0 and not text[told:a].strip(" \t\r\n\\\"'+") and LAST_LINE.match(text, b)
+                if not last and not (keylike(m.group()) and judge(a, b)):
+                    continue
+                out.append((a, b))
+            told = b
+            limit = max(limit, b + REACH)
+    return out
+
+
+def back(text: str, words: list[tuple[int, int]], known: list[tuple[int, int]], judge: Judge) -> list[tuple[int, int]]:
+    """Runs in reach before a word that are judged keys; one that touches the word is a part of its name."""
+    out, floor = [], 0
+    for word, end in words:
+        at, limit, found = word, word - REACH, []
+        while True:
+            a, b = before(text, at, floor)
+            if a == b or b < limit:
+                break
+            at = a
+            if b == word:
+                continue
+            if not meets(known, a, b):
+                if not (keylike(text[a:b]) and judge(a, b)):
+                    continue
+                found.append((a, b))
+            limit = min(limit, a - REACH)
+        out += reversed(found)
+        floor = end
+    return out
 
 
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], z: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
-    if not any(x in low for x in SENSITIVE):
+    if not any(x in low for x in HINTS):
         return []
-    near, known = list(in_reach(text)), merged(base)
-    return [(a, 3, b) for a, b in near
-            if not meets(known, a, b) and novelty(z, text, a, b, copies(text, a, b, near, known)) >= NOVEL]
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    known, out = merged(base), set()
+    for side in (ahead, back):
+        near = side(text, words, known, lambda a, b: True)
+        out |= set(side(text, words, known, lambda a, b: novelty(z, text, a, b, copies(text, a, b, near, known)) >= NOVEL))  # noqa: B023
+    return [(a, 3, b) for a, b in sorted(out)]
 
 
 def spans_of(text: str, z: zstandard.ZstdCompressor) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
