@@ -7,11 +7,13 @@ r"""Personal data by bootstrapped contextual extraction (DataFrame operations on
 2. Each seed induces lexical patterns: the two words before it, and the word
    before with the word after. The same contexts are taken of *candidates*:
    identifier-like tokens (three digits or more) that overlap no base span.
-3. ``ROUNDS`` times, the graph of patterns and instances is scored: a pattern's
-   confidence for a kind is the share of its distinct instances known to be of
-   that kind, damped for few; patterns with ``SUPPORT`` known instances and ``TRUST``
-   confidence vote; a candidate whose votes, joined as independent evidence, reach
-   ``ACCEPT`` becomes known and counts in the next round.
+3. Until a round accepts nothing new, the graph of patterns and instances is
+   scored: a pattern's confidence for a kind is the share of its distinct known
+   instances that are of that kind, damped for few; instances of no known kind
+   weigh lightly, by the logarithm of their number (``UNSEEN`` for each doubling).
+   Patterns with ``SUPPORT`` known instances and ``TRUST`` confidence vote; a candidate
+   whose votes, joined as independent evidence, reach ``ACCEPT`` becomes known, stays
+   so, and counts in the next round.
 4. Known candidates add spans ``found_<kind>``; base spans stay as they are.
 
 Patterns and instances are counted over all documents. Edges are reduced to
@@ -45,7 +47,7 @@ PATTERNS = {
 }
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,60}[0-9])[A-Za-z0-9._%+@-]{6,64}+(?![A-Za-z0-9._%+@-])"
 AROUND = 64            # characters looked at on either side for context
-ROUNDS = 2
+UNSEEN = 0.25          # weight against a pattern of each doubling of its instances of no known kind
 SUPPORT = 3            # known instances of a pattern that votes
 TRUST = 0.6
 ACCEPT = 0.9
@@ -115,25 +117,32 @@ def clear_candidates(spans: DataFrame) -> DataFrame:
                          & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))).drop("reach", "next")
 
 
-def bootstrap(base: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``value``, ``kind``, ``score`` of the candidates accepted after the last round."""
+def bootstrap(base: DataFrame, candidates: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``value``, ``kind``, ``score`` of the candidates accepted in ``rounds``, or until a round accepts nothing new."""
     seeds = base.select("kind", "value", F.explode("contexts").alias("pattern")).distinct()
     edges = written(candidates.select("value", F.explode("contexts").alias("pattern")).distinct(), "edges")
     seeds = written(seeds, "seeds")
     known = None
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
         labelled = edges.select(F.lit(None).cast("string").alias("kind"), "value", "pattern") if known is None else \
             edges.join(known.select("value", "kind"), "value", "left").select("kind", "value", "pattern")
         both = seeds.select("kind", "value", "pattern").union(labelled)
-        sums = both.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        sums = both.groupBy("pattern").agg(F.count("kind").alias("n"), F.count(F.when(F.col("kind").isNull(), 1)).alias("unseen"),
+                                           *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        weight = F.col("n") + 1 + UNSEEN * F.log2(F.col("unseen") + 1)
         votes = sums.select("pattern", F.explode(F.array(*[F.struct(
-            F.lit(k).alias("kind"), F.col(k).alias("n_known"), (F.col(k) / (F.col("n") + 1)).alias("trust")) for k in KINDS])).alias("v")) \
+            F.lit(k).alias("kind"), F.col(k).alias("n_known"), (F.col(k) / weight).alias("trust")) for k in KINDS])).alias("v")) \
             .select("pattern", "v.*").filter((F.col("n_known") >= SUPPORT) & (F.col("trust") >= TRUST))
-        scored = edges.join(votes, "pattern").groupBy("value", "kind") \
+        fresh = edges if known is None else edges.join(known, "value", "left_anti")
+        scored = fresh.join(votes, "pattern").groupBy("value", "kind") \
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         best = scored.filter(F.col("score") >= ACCEPT).groupBy("value") \
             .agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
-        known = written(best, "known")
+        new = written(best, "known")
+        known = new if known is None else known.union(new)
+        rounds = rounds and rounds - 1
+        if new.isEmpty():
+            break
     return known
 
 

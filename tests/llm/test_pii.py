@@ -102,3 +102,34 @@ def test_candidates_overlapping_base_spans_are_left_out(spark):
 def test_native_plan(spark):
     plan = P.extract(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+CARDS = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "4012888888881881", "378282246310005",
+         "5105105105105100", "4222222222222", "3566002020360505", "30569309025904", "38520000023237", "4242424242424242"]
+
+
+def found_values(spark, docs):
+    """The texts of the found spans, by their kind."""
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return [(x.split(":")[0], docs[r.doc_id][int(x.split(":")[1]):int(x.split(":")[2])])
+            for r in P.extract(df).collect() for x in r.spans.split(",") if x.startswith("found_")]
+
+
+def test_more_unseen_values_than_seeds(spark):
+    unseen = [f"77{i:03}88123" for i in range(3 * len(CARDS))]
+    docs = [f"please charge {c} today thanks" for c in CARDS + unseen] + ["in the year 2024001 it was", "the part 884412x is here"]
+    assert sorted(found_values(spark, docs)) == [("found_card", x) for x in unseen]
+
+
+def test_a_pattern_of_another_kind_as_well_is_not_trusted(spark):
+    docs = [f"please note {c} today thanks" for c in CARDS[:8]] + [f"please note 10.1.2.{i} today thanks" for i in range(8)]
+    assert found_values(spark, [*docs, "please note 7700088123 today thanks"]) == []
+
+
+def test_a_chain_of_contexts_is_followed_to_its_end(spark):
+    """Each context but the first is taught by what was found in the one before."""
+    ids = [f"77{i:03}88123" for i in range(45)]
+    docs = [f"please charge {x} today thanks" for x in CARDS + ids[:12]]
+    for k, (a, b) in enumerate((("we bill account", "monthly now"), ("she paid using", "last week"), ("refund goes onto", "very soon"))):
+        docs += [f"{a} {x} {b}" for x in ids[12 * k:12 * k + 23 if k < 2 else 45]]
+    assert {x for _, x in found_values(spark, docs)} == set(ids)
