@@ -5,8 +5,10 @@ r"""Personal data by bootstrapped contextual extraction (DataFrame operations on
    a leftmost match can start and never backtrack into a run, so they are linear
    and need no stack on long runs. Places come from the texts between matches.
 2. Each seed induces lexical patterns: the two words before it, and the word
-   before with the word after. The same contexts are taken of *candidates*:
-   identifier-like tokens (three digits or more) that overlap no base span.
+   before with the word after. The same contexts are taken of *candidates* that
+   overlap no base span: tokens and groups of digits (joined by a space, hyphen, dot
+   or brackets) of 6 characters or more with three digits or more, and mail
+   addresses of any host, with ``@`` or ``at`` and ``dot`` spelled out.
 3. Until a round accepts nothing new, the graph of patterns and instances is
    scored: a pattern's confidence for a kind is the share of its distinct known
    instances that are of that kind, damped for few; instances of no known kind
@@ -14,7 +16,8 @@ r"""Personal data by bootstrapped contextual extraction (DataFrame operations on
    Patterns with ``SUPPORT`` known instances and ``TRUST`` confidence vote; a candidate
    whose votes, joined as independent evidence, reach ``ACCEPT`` becomes known, stays
    so, and counts in the next round.
-4. Known candidates add spans ``found_<kind>``; base spans stay as they are.
+4. Known candidates add spans ``found_<kind>``, of those that overlap the one that
+   begins first, or else is longest; base spans stay as they are.
 
 Patterns and instances are counted over all documents. Edges are reduced to
 distinct (pattern, instance) pairs before any scoring, so a value copied into
@@ -45,7 +48,15 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,60}[0-9])[A-Za-z0-9._%+@-]{6,64}+(?![A-Za-z0-9._%+@-])"
+CANDIDATES = {
+    "token": r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+",
+    # digits joined by a space, dot, hyphen or brackets; starts only where such a run starts
+    "group": r"(?<![A-Za-z0-9_%+@.(-])(?<![0-9)][\x20])(?<![0-9)]\x20-\x20)[+]?\(?[0-9]++(?:(?:\x20-\x20|\x20?\(|\)[\x20-]?|[\x20.-])[0-9]++)++"
+             r"(?![A-Za-z_%+@]|[.-][A-Za-z0-9@])",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)*+"
+            r"|\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)*+"
+            r"|\x20(?i:at)\x20[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++)",
+}
 AROUND = 64            # characters looked at on either side for context
 UNSEEN = 0.25          # weight against a pattern of each doubling of its instances of no known kind
 SUPPORT = 3            # known instances of a pattern that votes
@@ -56,8 +67,8 @@ ACCEPT = 0.9
 def raw_matches(docs: DataFrame) -> DataFrame:
     """``uid``, ``doc_id`` and ``occ``: (kind, i, gap, match, before, after) of each pattern's matches, no text."""
     t = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id",
-                    F.when(F.col("text").rlike("[0-9@]"), F.col("text")).alias("t"))
-    every = PATTERNS | {"token": TOKEN}
+                    F.when(F.col("text").rlike(r"[0-9@]|(?i)[\x20(\[]at[\x20)\]]"), F.col("text")).alias("t"))
+    every = PATTERNS | CANDIDATES
     t = t.select("uid", "doc_id", "t", *[F.regexp_extract_all("t", F.lit(p), 0).alias(f"m_{k}") for k, p in every.items()])
     t = t.select("uid", "doc_id", *[f"m_{k}" for k in every],
                  *[F.when(F.size(f"m_{k}") > 0, F.split("t", p, -1)).alias(f"p_{k}") for k, p in every.items()])
@@ -79,7 +90,8 @@ def _valid(m: Column) -> Column:
     doubled = F.transform(figure, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x))
     luhn = F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
     return (F.when(F.col("kind") == "ip", byte).when(F.col("kind") == "card", n.between(12, 19) & luhn)
-            .when(F.col("kind") == "phone", n.between(9, 15)).when(F.col("kind") == "token", n >= 3).otherwise(True))
+            .when(F.col("kind") == "phone", n.between(9, 15)).when(F.col("kind") == "token", n >= 3)
+            .when(F.col("kind") == "group", (n >= 3) & (F.length(m) >= 6)).otherwise(True))
 
 
 def _contexts() -> Column:
@@ -100,9 +112,10 @@ def located(raw: DataFrame) -> DataFrame:
     flat = flat.filter(_valid(F.col("match")))
     edge = F.regexp_extract("match", r"^[._%+@-]*", 0)
     core = F.regexp_replace("match", r"^[._%+@-]+|[._%+@-]+$", "")
-    token = F.col("kind") == "token"
+    token = F.col("kind").isin("token", "mail")
     start = F.when(token, F.col("start") + F.length(edge)).otherwise(F.col("start"))
-    return flat.select("uid", "kind", start.alias("start"), F.when(token, start + F.length(core)).otherwise(F.col("end")).alias("end"),
+    kind = F.when(F.col("kind").isin(*CANDIDATES), F.lit("token")).otherwise(F.col("kind"))
+    return flat.select("uid", kind.alias("kind"), start.alias("start"), F.when(token, start + F.length(core)).otherwise(F.col("end")).alias("end"),
                        F.when(token, core).otherwise(F.col("match")).alias("value"), _contexts().alias("contexts"))
 
 
@@ -146,6 +159,12 @@ def bootstrap(base: DataFrame, candidates: DataFrame, rounds: int | None = None)
     return known
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """``found`` without spans that overlap one that begins before them, or there and is longer."""
+    order = Window.partitionBy("uid").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("reach", F.max("end").over(order)).filter(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))).drop("reach")
+
+
 def _joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed."""
     names = F.array(*[F.lit(k) for k in KINDS + FOUND])
@@ -160,8 +179,8 @@ def extract(docs: DataFrame) -> DataFrame:
     base = spans.filter(F.col("kind") != "token")
     clear = written(clear_candidates(spans), "clear")
     known = bootstrap(base, clear)
-    found = clear.join(known.select("value", F.col("kind").alias("of")), "value") \
-        .select("uid", F.concat(F.lit("found_"), "of").alias("kind"), "start", "end")
+    found = apart(clear.join(known.select("value", F.col("kind").alias("of")), "value")
+                  .select("uid", F.concat(F.lit("found_"), "of").alias("kind"), "start", "end"))
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS + FOUND]), F.col("kind")).cast("int")
     every = base.select("uid", "kind", "start", "end").union(found).withColumn("k", place)
     span = F.struct("start", "k", "end")

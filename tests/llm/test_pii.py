@@ -133,3 +133,23 @@ def test_a_chain_of_contexts_is_followed_to_its_end(spark):
     for k, (a, b) in enumerate((("we bill account", "monthly now"), ("she paid using", "last week"), ("refund goes onto", "very soon"))):
         docs += [f"{a} {x} {b}" for x in ids[12 * k:12 * k + 23 if k < 2 else 45]]
     assert {x for _, x in found_values(spark, docs)} == set(ids)
+
+
+def test_candidates_have_the_shapes_of_all_kinds(spark):
+    """Groups and addresses that fail the base patterns are found whole where seeds of their kind stand."""
+    spaced = [f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}" for c in CARDS if len(c) == 16]
+    phones = [f"+1 (555) 555-01{i:02}" for i in range(10)]
+    mails = [f"user{i}@mail.example.com" for i in range(10)]
+    docs = [f"please charge {x} today thanks" for x in [*spaced, "4111 1111 1111 1112"]]
+    docs += [f"just call me {x} after lunch" for x in [*phones, "020 7946 0958", "(555) 010-4477", "5550104477", "555.010.4478."]]
+    docs += [f"send mail to {x} for details" for x in [*mails, "ann.lee@localhost", "ann at example dot com", "bo[at]example[dot]com"]]
+    docs += ["meet at the gate in 2024 or call 12", "look at example dot com"]
+    want = {"found_card": ["4111 1111 1111 1112"], "found_phone": ["020 7946 0958", "(555) 010-4477", "5550104477", "555.010.4478"],
+            "found_email": ["ann.lee@localhost", "ann at example dot com", "bo[at]example[dot]com"]}
+    assert sorted(found_values(spark, docs)) == sorted((k, x) for k, v in want.items() for x in v)
+
+
+def test_candidates_of_long_runs(spark):
+    docs = ["1 " * 50_000 + "x", "(" * 20_000 + "1", "1 (" * 20_000, "a at " * 20_000, "1-" * 30_000 + "a", "9" * 100_000, "x." * 30_000 + "1",
+            "a@" * 20_000, "%" * 50_000, "ann dot " * 20_000]
+    assert found_values(spark, docs) == []
