@@ -300,7 +300,11 @@ def compiled_packs(spark, sf):
 
     fx = fixture(spark, sf)
     if not hasattr(fx, "packs"):
-        fx.packs = compile_packs(strategy_inputs(spark, sf), OPTS)
+        errors = []
+        packs = compile_packs(strategy_inputs(spark, sf), OPTS, errors=errors)
+        if errors:      # no smaller packs without a word
+            raise RuntimeError(f"strategies failed: {errors}")
+        fx.packs = packs
     return fx.packs
 
 

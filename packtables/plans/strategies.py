@@ -13,6 +13,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,14 +288,20 @@ class Strategy:
     fn: object
 
 
+#: What building a frame raises for a missing table or column, or a bad option; Spark jobs raise none of these.
+PLANNING = (AnalysisException, AttributeError, KeyError, TypeError, ValueError)
+
+
 def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
                    extra: list[Strategy] | tuple = (), materialize: bool = False, errors: list | None = None) -> DataFrame:
     """R1-R7 staged: returns all pack entries before budgeting.
 
-    R8: a strategy that fails (missing input table, bad option, a failure while
-    its result is written) contributes nothing; the others still run. The
-    failure is logged and, if ``errors`` is given, appended to it as (strategy,
-    error); ``strategy_errors`` makes a table of it. With ``materialize`` the
+    R8: a built-in strategy that cannot be planned (missing input table, bad
+    option) contributes nothing; the others still run. The failure is logged
+    and, if ``errors`` is given, appended to it as (strategy, error);
+    ``strategy_errors`` makes a table of it. A Spark job of a built-in strategy
+    that fails raises. A user strategy that fails, when planned or while its
+    result is written, is listed in the same way. With ``materialize`` the
     stage-0 results that later stages read again (symbol and file entries,
     vector hits) are written once to the shared checkpoint folder, and so are
     user strategies, so that one that fails at run time fails alone.
@@ -303,19 +310,23 @@ def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
 
     keep = cut_lineage if materialize else (lambda df: df)
 
-    def safe(name, fn):
+    def safe(name, fn, caught=PLANNING):
         try:
             return fn()
-        except Exception as e:    # noqa: BLE001 - failure isolation is the feature
+        except caught as e:
             logging.getLogger(__name__).warning("strategy %s failed: %s", name, e)
             if errors is not None:
                 errors.append((name, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
             return None
 
     sig = inp.signals
-    sym = safe("symbol", lambda: keep(symbol_strategy(sig, inp.index, opts)))
-    fil = safe("file_expand", lambda: keep(file_expand_strategy(sig, inp.index, opts)))
-    hits = safe("semantic", lambda: keep(semantic_hits(sig, inp.query_vectors, inp.chunks, opts)))
+    def kept(name, fn):
+        df = safe(name, fn)
+        return keep(df) if df is not None else None     # a failing job raises
+
+    sym = kept("symbol", lambda: symbol_strategy(sig, inp.index, opts))
+    fil = kept("file_expand", lambda: file_expand_strategy(sig, inp.index, opts))
+    hits = kept("semantic", lambda: semantic_hits(sig, inp.query_vectors, inp.chunks, opts))
     sem = safe("semantic", lambda: semantic_strategy(hits, opts)) if hits is not None else None
     conv = safe("convention", lambda: convention_strategy(hits, sig, opts)) if hits is not None else None
     empty = entries(sig.limit(0), "files")
@@ -324,7 +335,7 @@ def run_strategies(inp: StrategyInputs, opts: PackOptions = PackOptions(),
     blast = safe("blast_radius", lambda: blast_radius_strategy(sig, inp.index, sym_, fil_, opts))
     blast_ = blast if blast is not None else empty
     git = safe("git_ctx", lambda: git_strategy(sig, inp.commit_summary, sym_, fil_, blast_, opts=opts))
-    custom = [safe(st.name, lambda st=st: keep(st.fn(sig.filter(st.gate), inp, opts))) for st in extra]
+    custom = [safe(st.name, lambda st=st: keep(st.fn(sig.filter(st.gate), inp, opts)), Exception) for st in extra]
     out = None
     for part in (sym, fil, sem, blast, conv, git, *custom):
         if part is not None:

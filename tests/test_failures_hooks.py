@@ -136,3 +136,32 @@ def test_definitions_are_ordered(spark):
                               "repo_id string, name string, path string, start_line int, col int, kind string")
     got = [(r.path, r.start_line) for r in definitions(s).filter("name = 'run'").orderBy("rank").collect()]
     assert got == sorted(got) and len(got) == 200 and definitions(s).count() == 201
+
+
+def test_failing_jobs_of_built_in_strategies_raise(spark, monkeypatch):
+    """A job that is aborted raises; a frame that cannot be built is listed, and the registered query raises for it."""
+    import pytest
+
+    from packtables.plans import strategies as T
+
+    inp = R.strategy_inputs(spark, SF)
+
+    def late(sig, *_):
+        bad = sig.select("request_id", "repo_id", F.raise_error(F.lit("late failure")).cast("string").alias("content"))
+        return T.entries(bad, "symbols", pos=T.pos(0, 1))
+
+    def early(sig, *_):
+        return sig.select("no_such_column")
+
+    for name in ("symbol_strategy", "file_expand_strategy", "semantic_hits"):
+        with monkeypatch.context() as m:
+            m.setattr(T, name, late)
+            with pytest.raises(Exception, match="late failure"):
+                T.run_strategies(inp, R.OPTS, materialize=True)
+    monkeypatch.setattr(T, "symbol_strategy", early)
+    errors = []
+    T.run_strategies(inp, R.OPTS, errors=errors)
+    assert [name for name, _ in errors] == ["symbol"]
+    monkeypatch.delattr(R.fixture(spark, SF), "packs", raising=False)
+    with pytest.raises(RuntimeError, match="symbol"):
+        R.compiled_packs(spark, SF)
