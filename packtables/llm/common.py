@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packtables.session import ensure_checkpoint_dir
 
@@ -29,6 +30,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table with a number for each row, which stays the same when the table is read again."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
     """The texts of a batch, one Python string at a time."""
     for x in batch.column(batch.schema.get_field_index(column)):

@@ -69,9 +69,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.mixing import allocation
+
+    return allocation(read_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packtables.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_token_file, op3_byte_bpe, op4_quality_rules, op5_language_id, op6_chat_format, op7_simhash,
-    op8_quality_classifier, op9_secret_scan, op10_decontamination)}
+    op8_quality_classifier, op9_secret_scan, op10_decontamination, op11_mixing, op12_importance_resampling, op13_whitening)}
 
 #: Where DuckDB can give a query's rows over whole tables.
 ORACLE = {

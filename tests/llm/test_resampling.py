@@ -1,0 +1,95 @@
+"""Importance resampling against a literal version; quickselect against sorting; edge rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+
+from packtables.llm import resampling as R
+from packtables.llm.queries import op12_importance_resampling
+
+SF = "/root/testdata/sf0.001"
+
+def features(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    return w, w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
+def bucket(f):
+    return zlib.crc32(f.encode()) % 10000
+
+
+def literal(docs, target):
+    """Rows ``(doc_id, n_features, weight, score, rank)``."""
+    s, t = [0] * 10000, [0] * 10000
+    for _, text in docs:
+        for f in features(text)[1]:
+            s[bucket(f)] += 1
+    for text in target:
+        for f in features(text)[1]:
+            t[bucket(f)] += 1
+    big_s, big_t = sum(s), sum(t)
+    gain = [math.floor(1000 * math.log((t[b] + 1.0) * (big_s + 10000.0) / ((s[b] + 1.0) * (big_t + 10000.0)))) for b in range(10000)]
+    rows = []
+    for d, text in docs:
+        w, fs = features(text)
+        weight = sum(gain[bucket(f)] for f in fs) // len(fs) if fs else 0
+        h = int(hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        rows.append([d, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(w)])
+    able = sorted((r for r in rows if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    for i, r in enumerate(able[:len(able) * 25 // 100]):
+        r[4] = i + 1
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def test_query_matches_literal_version(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = op12_importance_resampling(spark, SF)
+    assert got.dtypes[:5] == [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == literal(docs, target)
+
+
+def test_edge_rows(spark):
+    rng = random.Random(5)
+    vocab = ["Alpha", "béta", "GAMMA", "漢字", "d", "e9", "ÄÖ", "x-y"]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 2, 19, 20, 30, 60])))) for i in range(120)]
+    docs += [(None, "alpha " * 25)] * 30 + [(7, docs[7][1])] * 2 + [(900, None), (901, ""), (902, "beta gamma " * 20_000), (903, "?!")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in docs], "doc_id long, text string, score string, rank int").repartition(4)
+    target = spark.createDataFrame([("alpha gamma e9",), (None,), ("",)], "text string")
+    assert sorted((tuple(r) for r in R.resample(df, target).collect()), key=str) == literal(docs, ["alpha gamma e9"])
+    assert sorted((tuple(r) for r in R.resample(df, target.limit(0)).collect()), key=str) == literal(docs, [])
+    assert R.resample(df.limit(0), target).collect() == []
+    few = R.resample(df.filter("doc_id = 0"), target).collect()
+    assert len(few) == 1 and few[0].rank is None
+    drawn = R.drawn(df, target)
+    assert drawn.columns == [*df.columns, "_rank"]
+    assert sorted(r._rank for r in drawn.collect()) == list(range(1, sum(r[4] is not None for r in literal(docs, ["alpha gamma e9"])) + 1))
+
+
+def test_quickselect_matches_sorting(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), rng.choice([None, 1, 2, 3]), rng.randrange(3)) for _ in range(400)] + [(5, None, 1)] * 300
+    df = spark.createDataFrame(rows, "score long, doc_id long, n_features long").select(R._key().alias("key")).cache()
+    want = sorted(((-s, d is None, d, f) for s, d, f in rows), key=lambda k: (k[0], k[1], k[2] or 0, k[3]))
+    for k in (1, 2, 57, 350, 699, 700):
+        assert R.kth_key(df, k) == want[k - 1]
+    assert R.kth_key(df, 0) is None and R.kth_key(df, 701) is None
+    df.unpersist()
+
+
+def test_equal_keys_at_the_border(spark):
+    """All rows equal: as many as asked for are drawn, no more."""
+    df = spark.createDataFrame([(1, "same words here " * 10)] * 90, "doc_id long, text string").repartition(3)
+    got = R.resample(df, df.limit(1).select("text")).collect()
+    assert sorted(r.rank for r in got if r.rank) == list(range(1, 23)) and len(got) == 90
+
+
+def test_texts_are_split_once(spark):
+    """The scores come from the arrays: no plan after the first table reads a text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = R.resample(docs, docs.select("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan and "crc32" not in plan
