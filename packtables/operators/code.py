@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packtables.operators.joins import null_safe_join
 from packtables.operators.scanners import EXT_LANG, SCANNERS
 
 EXTRACT_SCHEMA = (
@@ -107,9 +108,9 @@ def errors_of(tagged: DataFrame) -> DataFrame:
 def replace_files(old: DataFrame, new_rows: DataFrame, changed_paths: DataFrame) -> DataFrame:
     """Drop every row of the changed files, then add their new rows.
 
-    ``changed_paths(repo_id, path)`` lists touched files (deleted ones included).
+    ``changed_paths(repo_id, path)`` lists touched files (deleted ones included); a null ``repo_id`` is a repository.
     """
-    keep = old.join(changed_paths.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
+    keep = null_safe_join(old, changed_paths.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
     return keep.unionByName(new_rows, allowMissingColumns=True)
 
 

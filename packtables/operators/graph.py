@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packtables.operators.joins import null_safe_join
 from packtables.session import cut_lineage
 
 # Extension lists tried by the resolution ladder, in order.
@@ -86,9 +87,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame, keys: DataFrame | None
     cand = named.select("repo_id", "source", "folder").distinct()
     cand = cand.select("repo_id", "source", "folder", F.explode(_candidates()).alias("c"))
     cand = cand.select("repo_id", "source", "folder", "c.prio", "c.ns", "c.key")
-    hit = cand.join(look.withColumnRenamed("path", "target"), ["repo_id", "ns", "key"])
+    hit = null_safe_join(cand, look.withColumnRenamed("path", "target"), ["repo_id", "ns", "key"])
     best = hit.groupBy("repo_id", "source", "folder").agg(F.min_by("target", "prio").alias("target"))
-    out = named.join(best, ["repo_id", "source", "folder"]).select("repo_id", "path", "source", "line", "col", "target")
+    out = null_safe_join(named, best, ["repo_id", "source", "folder"]).select("repo_id", "path", "source", "line", "col", "target")
     return out.filter(F.col("target") != F.col("path")).distinct()
 
 

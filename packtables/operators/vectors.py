@@ -1,23 +1,28 @@
-"""Exact k-nearest-neighbour search (J11, J12, W1, P12) and the embedder hook.
+"""k-nearest-neighbour search (J11, J12, J14, W1, P12) and the embedder hook.
 
-Chunks are dealt to cells by their nearest centroid; a cell's radius is its
-furthest chunk. A query first visits its nearest cells, as many as hold k
-chunks; the k-th distance found there bounds the answer. By the triangle
-inequality a cell whose centroid is further away than that bound plus the cell's
-radius cannot improve it, so only the other cells are visited, in a second round.
-The centroids come from a bounded sample (``SAMPLE``); they decide how much is
-pruned, never the result.
+Exact search (``knn_pairs``): the chunks of a group (repository) are dealt to a tree of cells whose depth follows the group's
+own count. A cell of more than ``LEAF`` rows is cut into at most ``FAN`` by the nearest of as many centroids, which come
+from a sample of the cell (a hash threshold from its exact count); each level is one distributed pass over the rows of
+the cells that are still too large, and records every new cell's centroid, radius (its furthest chunk) and count.
+A query first descends to its nearest leaf; the k-th distance found there bounds the answer. By the triangle inequality no chunk of
+a cell is nearer than the centroid's distance less the radius, so the tree is walked once more and only cells below
+the bound are kept. Their leaves are visited in rounds, the lowest bounds first and more of them each time, and each
+round lowers the bound for the next. Centroids and samples decide how much is pruned, never the result.
+
+Approximate search (``knn_approx``, opt-in): bands of random projections. A chunk has one key for each band, the signs of a few
+projections; a query meets the chunks that share a key, and keys that differ where its own projection is least
+certain. The distances of those that meet are exact.
 
 In a visit, blocks of a cell's chunks meet blocks of its queries in a cogroup, where
 NumPy keeps each query's local top-k (ties by chunk_id, so never more than k). A
 row_number window over these rows gives the global top-k. No pair rows are
-materialised; block counts follow the row counts of each group (repository) and
-cell, so a block always fits in one task's memory.
+materialised; block counts follow the row counts of each group and
+cell, so a block always fits in one task's memory, and cells of many equal vectors, which cannot be cut, are blocked alike.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -62,17 +67,19 @@ def _local_topk(k: int, exclude_self: bool, group: str):
     return run
 
 
-SAMPLE, CENTROIDS = 2_048, 48
+LEAF, FAN, SAMPLE = 4_096, 16, 1_024        # rows of a leaf, cells a cell is cut into, rows its centroids come from
+FIRST, MORE = 4, 8                          # leaves a query visits in the first bounded round; factor of the next ones
+SLACK = 1e-6                                # distances come from a formula that rounds
 
 
 def fit_centroids(vecs: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
-    """A few rounds of k-means from evenly spaced sample rows."""
+    """A few rounds of k-means from evenly spaced rows; equal centroids are one."""
     cent = vecs[np.linspace(0, len(vecs) - 1, min(n, len(vecs))).astype(int)].copy()
     for _ in range(rounds):
         near = _distances(vecs, cent).argmin(axis=1)
         for i in np.unique(near):
             cent[i] = vecs[near == i].mean(axis=0)
-    return cent
+    return np.unique(cent, axis=0)
 
 
 def _distances(x: np.ndarray, cent: np.ndarray) -> np.ndarray:
@@ -83,107 +90,228 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
 
 
-def _assigner(cent: np.ndarray):
-    @F.pandas_udf("cell int, dist double")
-    def assign(vec: pd.Series) -> pd.DataFrame:
-        if not len(vec):
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
-        d = _distances(_matrix(vec), cent)
-        near = d.argmin(axis=1)
-        return pd.DataFrame({"cell": near.astype("int32"), "dist": d[np.arange(len(d)), near]})
-    return assign
+def _meeting(rows: DataFrame, table: DataFrame, keys: list[str], id_col: str, per: int, fn, schema: str) -> DataFrame:
+    """``fn(rows, table)`` of each key, in blocks of about ``per`` rows; every block sees the key's whole table (a cell's children)."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("long").alias("_n"))
+    left = rows.join(n, keys).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_n"))).drop("_n")
+    right = table.join(n, keys).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    return left.groupBy(*keys, "_b").cogroup(right.groupBy(*keys, "_b")).applyInPandas(fn, schema)
 
 
-def _planner(cent: np.ndarray, enough: int):
-    """The cells of a query's group with the least distance any of their chunks can have, and which to visit first."""
-    @F.pandas_udf("array<struct<cell:int,lower:double,first:boolean>>")
-    def plan(vec: pd.Series, cells: pd.Series, radius: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        d = _distances(_matrix(vec), cent) if len(vec) else None
-        for i, (cs, rs, ns) in enumerate(zip(cells, radius, n)):
-            cs, rs, ns = np.asarray(cs, int), np.asarray(rs, float), np.asarray(ns, int)
-            order = np.argsort(d[i, cs], kind="stable")
-            before = np.cumsum(ns[order]) - ns[order]
-            out.append([{"cell": int(cs[j]), "lower": float(d[i, cs[j]] - rs[j]), "first": bool(b < enough)}
-                        for j, b in zip(order, before)])
-        return pd.Series(out)
-    return plan
+class CellTree(NamedTuple):
+    """``leaves(_g, node, chunk_id, vec)`` and, for each level, ``cells(_g, node, child, centroid, radius, n)``."""
+    leaves: DataFrame
+    levels: list[DataFrame]
+
+
+def cell_tree(chunks: DataFrame, leaf: int = LEAF, fan: int = FAN, sample: int = SAMPLE, block: int = 65_536) -> CellTree:
+    """The tree of ``chunks(_g, chunk_id, vec)``; a node is a path of child numbers, the root an empty one."""
+    from packtables.session import cut_lineage
+
+    vec = chunks.schema["vec"].dataType.simpleString()
+    rows, done, levels = cut_lineage(chunks.withColumn("node", F.lit(""))), [], []
+    keys = ["_g", "node"]
+
+    def centroids(df: pd.DataFrame) -> pd.DataFrame:
+        cent = fit_centroids(_matrix(df.sort_values("chunk_id")["vec"]), fan)
+        return pd.DataFrame({"_g": df["_g"].iloc[0], "node": df["node"].iloc[0], "child": np.arange(len(cent), dtype="int32"), "centroid": list(cent)})
+
+    def assign(cdf: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if cdf.empty or cells.empty:
+            return pd.DataFrame({"_g": [], "node": [], "chunk_id": [], "vec": [], "child": [], "dist": []})
+        d = _distances(_matrix(cdf["vec"]), _matrix(cells.sort_values("child")["centroid"]))
+        near = d.argmin(axis=1)
+        return cdf[["_g", "node", "chunk_id", "vec"]].assign(child=near.astype("int32"), dist=d[np.arange(len(d)), near])
+
+    while True:
+        counts = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("n")))
+        large = counts.filter(F.col("n") > leaf)
+        if large.isEmpty():
+            return CellTree(_union([*done, rows.select("_g", "node", "chunk_id", "vec")]), levels)
+        done.append(rows.join(large, keys, "left_anti").select("_g", "node", "chunk_id", "vec"))
+        rows = rows.join(large, keys)
+        some = rows.filter(F.shiftrightunsigned(F.xxhash64("chunk_id", F.lit(len(levels))), 1) < F.lit(float(2 ** 63)) * sample / F.col("n"))
+        cent = cut_lineage(some.select("_g", "node", "chunk_id", "vec").groupBy(*keys).applyInPandas(
+            centroids, "_g string, node string, child int, centroid array<double>"))
+        dealt = cut_lineage(_meeting(rows.drop("n"), cent, keys, "chunk_id", block, assign,
+                                     f"_g string, node string, chunk_id long, vec {vec}, child int, dist double"))
+        cells = dealt.groupBy(*keys, "child").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).join(cent, [*keys, "child"])
+        path = F.concat(F.col("node"), F.lit("/"), F.col("child").cast("string"))
+        levels.append(cut_lineage(cells.select("_g", "node", path.alias("child"), "centroid", "radius", "n")))
+        # a cell whose rows all went to one child cannot be cut: its rows are equal, or nearly; that child stays a leaf
+        stuck = levels[-1].groupBy(*keys).agg(F.count("*").alias("parts")).filter("parts = 1").select(*keys)
+        done.append(dealt.join(stuck, keys, "left_semi").select("_g", path.alias("node"), "chunk_id", "vec"))
+        rows = dealt.join(stuck, keys, "left_anti").select("_g", path.alias("node"), "chunk_id", "vec")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _walked(rows: DataFrame, tree: CellTree, nearest: bool, vec: str, block: int) -> DataFrame:
+    """``rows(_g, query_id, vec, node, lower, bound)`` moved down to leaves: to the nearest child, or to all below the bound."""
+    def step(qdf: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or cells.empty:
+            return qdf[["_g", "query_id", "vec", "node", "lower", "bound"]]
+        cells = cells.sort_values("child")
+        d = _distances(_matrix(qdf["vec"]), _matrix(cells["centroid"]))
+        names = cells["child"].to_numpy()
+        if nearest:
+            return qdf.assign(node=names[d.argmin(axis=1)])[["_g", "query_id", "vec", "node", "lower", "bound"]]
+        lower, bound = d - cells["radius"].to_numpy(), qdf["bound"].fillna(np.inf).to_numpy(dtype=float)[:, None]
+        r, c = np.nonzero(lower <= bound + SLACK * (1 + np.where(np.isfinite(bound), bound, 0)))
+        return qdf.iloc[r].assign(node=names[c], lower=lower[r, c])[["_g", "query_id", "vec", "node", "lower", "bound"]]
+
+    for cells in tree.levels:
+        rows = _meeting(rows, cells, ["_g", "node"], "query_id", block, step,
+                        f"_g string, query_id long, vec {vec}, node string, lower double, bound double")
+    return rows
+
+
+def _sides(queries: DataFrame, chunks: DataFrame, group: str | None) -> tuple[DataFrame, DataFrame]:
+    """Fresh projections (both sides may be one table) with a group key that is never null."""
+    g = F.coalesce(F.concat(F.lit("r_"), F.col(group).cast("string")), F.lit("none")) if group else F.lit("")
+    return tuple(df.select(g.alias("_g"), F.col(i).cast("long").alias(i), F.col("vec").alias("vec")).filter("vec is not null")
+                 for df, i in ((queries, "query_id"), (chunks, "chunk_id")))
+
+
+def _visited(rows: DataFrame, cells: DataFrame, k: int, exclude_self: bool, query_block_rows: int, chunk_block_rows: int) -> DataFrame:
+    """Local top-k rows: ``rows(_g, node, query_id, vec)`` meet the chunks of ``cells(_g, node, chunk_id, vec)``."""
+    keys = ["_g", "node"]
+    nq = rows.groupBy(*keys).agg(F.ceil(F.count("*") / query_block_rows).cast("long").alias("bq"))
+    nc = cells.groupBy(*keys).agg(F.ceil(F.count("*") / chunk_block_rows).cast("long").alias("bc"))
+    asked = nq.join(nc, keys)
+    left = rows.select(*keys, "query_id", "vec").join(asked, keys).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("bq"))).withColumn(
+        "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bc") - 1))).drop("bq", "bc")
+    right = cells.select(*keys, "chunk_id", "vec").join(asked, keys).withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("bc"))).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bq") - 1))).drop("bq", "bc")
+    return left.groupBy(*keys, "qb", "cb").cogroup(right.groupBy(*keys, "qb", "cb")).applyInPandas(
+        _local_topk(k, exclude_self, "_g"), schema="_g string, query_id long, chunk_id long, distance double")
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("_g", "query_id").orderBy("distance", "chunk_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _named(top: DataFrame, group: str | None, kind: str | None) -> DataFrame:
+    g = F.when(F.col("_g") != "none", F.substring("_g", 3, 2 ** 31 - 1)).cast(kind) if group else None
+    return top.select(*([g.alias(group)] if group else []), "query_id", "chunk_id", "distance", "rank")
 
 
 def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bool = False,
               query_block_rows: int = 4096, chunk_block_rows: int = 65536, group: str | None = None,
-              visits: list | None = None) -> DataFrame:
+              visits: list | None = None, leaf_rows: int = LEAF) -> DataFrame:
     """Exact top-k per query by Euclidean distance, ties broken by chunk_id.
 
     ``queries(query_id long, vec array<float|double>)``,
     ``chunks(chunk_id long, vec array<float|double>)``; with ``group`` (e.g.
-    ``repo_id``) on both sides a query only meets chunks of its own group.
-    A cell with ``Q`` visiting queries and ``C`` chunks is cut into
+    ``repo_id``) on both sides a query only meets chunks of its own group, null being one.
+    A leaf with ``Q`` visiting queries and ``C`` chunks is cut into
     ``ceil(Q / query_block_rows)`` by ``ceil(C / chunk_block_rows)`` blocks.
     Returns ``(group, query_id, chunk_id, distance, rank)``, ``group`` only if it was given; ids need to be unique
-    within a group only. ``visits``, if given, gets the frames of the two rounds' (query, cell) rows.
+    within a group only. ``visits``, if given, gets the frames of each round's (query, leaf) rows.
     """
     from packtables.session import cut_lineage
 
-    g = group or "_grp"
-    gcol = (lambda: F.col(group)) if group else (lambda: F.lit(0))
-    # fresh projections: both sides may come from one table (all-against-all search)
-    queries = queries.select(gcol().alias(g), F.col("query_id").cast("long").alias("query_id"),
-                             F.col("vec").alias("vec")).filter("vec is not null")
-    chunks = chunks.select(gcol().alias(g), F.col("chunk_id").cast("long").alias("chunk_id"),
-                           F.col("vec").alias("vec")).filter("vec is not null")
-    kind = queries.schema[g].dataType.simpleString()
-    sample = [r.vec for r in chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).select("vec").collect()]
-    cent = fit_centroids(np.array(sample, dtype=np.float64), CENTROIDS) if sample else np.zeros((1, 1))
-
-    c = chunks.withColumn("a", _assigner(cent)("vec")).select(g, "chunk_id", "vec", "a.cell", "a.dist")
-    c = cut_lineage(c)
-    sizes = c.groupBy(g, "cell").agg(F.max("dist").alias("radius"), F.count("*").alias("n"))
-    per_group = sizes.groupBy(g).agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "n"))).alias("cells"))   # CENTROIDS at most
-    q = queries.join(per_group, g) if group else queries.withColumn("cells", per_group.select("cells").scalar())
-    q = q.filter("cells is not null").withColumn(
-        "plan", _planner(cent, k + int(exclude_self))("vec", F.col("cells.cell"), F.col("cells.radius"), F.col("cells.n")))
-    q = cut_lineage(q.select(g, "query_id", "vec", "plan"))
-
-    def visit(rows: DataFrame) -> DataFrame:
-        """Local top-k rows of ``rows(g, cell, query_id, vec)``."""
-        asked = rows.groupBy(g, "cell").agg(F.count("*").alias("nq")).join(sizes, [g, "cell"]).select(
-            g, "cell", F.ceil(F.col("nq") / query_block_rows).cast("long").alias("bq"),
-            F.ceil(F.col("n") / chunk_block_rows).cast("long").alias("bc"))
-        left = rows.join(asked, [g, "cell"]).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("bq"))).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bc") - 1))).drop("bq", "bc")
-        right = c.drop("dist").join(asked, [g, "cell"]).withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("bc"))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bq") - 1))).drop("bq", "bc")
-        return left.groupBy(g, "cell", "qb", "cb").cogroup(right.groupBy(g, "cell", "qb", "cb")).applyInPandas(
-            _local_topk(k, exclude_self, g), schema=f"{g} {kind}, query_id long, chunk_id long, distance double")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        w = Window.partitionBy(g, "query_id").orderBy("distance", "chunk_id")
-        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    near = q.select(g, "query_id", "vec", F.explode(F.filter("plan", lambda p: p["first"])).alias("p")).select(g, "query_id", "vec", "p.cell")
-    found = cut_lineage(best(visit(near)).drop("rank"))
-    bound = found.groupBy(g, "query_id").agg(F.max("distance").alias("far"), F.count("*").alias("got"))
-    bound = bound.select(g, "query_id", F.when(F.col("got") >= k, F.col("far")).alias("bound"))
-    rest = q.join(bound, [g, "query_id"], "left")
-    # a little slack: distances come from a formula that rounds
-    rest = rest.withColumn("p", F.explode(F.filter("plan", lambda p: ~p["first"]))).filter(
-        F.coalesce(F.col("p.lower") <= F.col("bound") + 1e-6 * (1 + F.col("bound")), F.lit(True))).select(g, "query_id", "vec", "p.cell")
+    kind = queries.schema[group].dataType.simpleString() if group else None
+    q, c = _sides(queries, chunks, group)
+    vec = q.schema["vec"].dataType.simpleString()
+    tree = cell_tree(c, leaf_rows, block=chunk_block_rows)
+    visit = lambda rows: _visited(rows, tree.leaves, k, exclude_self, query_block_rows, chunk_block_rows)
+    start = q.select("_g", "query_id", "vec", F.lit("").alias("node"), F.lit(0.0).alias("lower"), F.lit(None).cast("double").alias("bound"))
+    if not tree.levels:                 # every group is one leaf
+        if visits is not None:
+            visits.append(start)
+        return _named(_best(visit(start), k), group, kind)
+    near = cut_lineage(_walked(start, tree, True, vec, query_block_rows))
     if visits is not None:
-        visits += [near, rest]
-    top = best(found.unionByName(visit(rest)))
-    return top if group else top.drop(g)
+        visits.append(near)
+    found = cut_lineage(_best(visit(near), k).drop("rank"))
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        far = found.groupBy("_g", "query_id").agg(F.max("distance").alias("far"), F.count("*").alias("got"))
+        far = far.select("_g", "query_id", F.when(F.col("got") >= k, F.col("far")).alias("bound"))
+        return rows.drop("bound").join(far, ["_g", "query_id"], "left")
+
+    left = _walked(bounded(start).select(*start.columns), tree, False, vec, query_block_rows)
+    left = left.join(near.select("_g", "query_id", "node"), ["_g", "query_id", "node"], "left_anti")
+    take = FIRST
+    while True:
+        # a group of one leaf has been visited whole; elsewhere a null bound means fewer than k chunks so far
+        open_rows = bounded(left).filter(F.col("bound").isNull() | (F.col("lower") <= F.col("bound") + SLACK * (1 + F.col("bound"))))
+        open_rows = cut_lineage(open_rows.withColumn("turn", F.row_number().over(Window.partitionBy("_g", "query_id").orderBy("lower", "node"))))
+        now = open_rows.filter(F.col("turn") <= take)
+        if now.isEmpty():
+            return _named(_best(found, k), group, kind)
+        if visits is not None:
+            visits.append(now)
+        found = cut_lineage(_best(found.unionByName(visit(now)), k).drop("rank"))
+        left, take = open_rows.filter(F.col("turn") > take).drop("turn"), take * MORE
+
+
+BANDS, PROBES, APPROX_CELL = 12, 2, 256
+
+
+def _projected(df: DataFrame, planes: np.ndarray, mean: np.ndarray, bands: int, probes: int) -> DataFrame:
+    """``df(_g, bits, ..., vec)`` with ``node``, the keys of each row: one for each band, and ``probes`` more with its least certain signs turned."""
+    @F.pandas_udf("array<string>")
+    def keys(vec: pd.Series, bits: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype="object")
+        p = (_matrix(vec) - mean) @ planes.T
+        out = []
+        for row, b in zip(p.reshape(len(p), bands, -1), bits):
+            own = []
+            for band, x in enumerate(row[:, :b]):
+                sign = x > 0
+                for turned in [None, *np.argsort(np.abs(x), kind="stable")[:probes]]:
+                    s = sign.copy()
+                    if turned is not None:
+                        s[turned] = ~s[turned]
+                    own.append(f"{band}:{''.join('01'[int(v)] for v in s)}")
+            out.append(own)
+        return pd.Series(out)
+
+    return df.withColumn("node", F.explode(keys("vec", "bits")))
+
+
+def knn_approx(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bool = False, bands: int = BANDS, probes: int = PROBES,
+               cell_rows: int = APPROX_CELL, most_bits: int = 24, query_block_rows: int = 4096, chunk_block_rows: int = 65536,
+               group: str | None = None, seed: int = 5) -> DataFrame:
+    """Top-k among the chunks that share a key with the query; recall below one, distances exact.
+
+    The number of projections of a key follows the group's count, so that a key has about ``cell_rows`` chunks; ``bands``
+    and ``probes`` trade work for recall. Inputs and result are those of ``knn_pairs``; a query may get fewer than k rows.
+    """
+    from packtables.session import cut_lineage
+
+    kind = queries.schema[group].dataType.simpleString() if group else None
+    q, c = _sides(queries, chunks, group)
+    c = cut_lineage(c)
+    mean = [r.m for r in c.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
+    planes = np.random.default_rng(seed).standard_normal((bands * most_bits, max(1, len(mean))))
+    bits = F.least(F.lit(most_bits), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(float(cell_rows)))))).cast("int")
+    depth = c.groupBy("_g").agg(bits.alias("bits"))
+    cells = cut_lineage(_projected(c.join(depth, "_g"), planes, np.array(mean), bands, 0).select("_g", "node", "chunk_id", "vec"))
+    rows = _projected(q.join(depth, "_g"), planes, np.array(mean), bands, probes).select("_g", "node", "query_id", "vec")
+    pairs = _visited(cut_lineage(rows), cells, k, exclude_self, query_block_rows, chunk_block_rows)
+    once = pairs.groupBy("_g", "query_id", "chunk_id").agg(F.min("distance").alias("distance"))     # a pair may meet under several keys
+    return _named(_best(once, k), group, kind)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 8, threshold: float = 0.40, *,
            exclude_self: bool = False, query_block_rows: int = 4096,
-           chunk_block_rows: int = 65536, group: str | None = None) -> DataFrame:
-    """Top ``k`` first, threshold on score second (Q15).
+           chunk_block_rows: int = 65536, group: str | None = None, approximate: bool = False) -> DataFrame:
+    """Top ``k`` first, threshold on score second (Q15); ``approximate`` searches by keys.
 
     Returns ``(group, query_id, chunk_id, rank, distance, score)``, ``group`` only if it was given.
     """
-    pairs = knn_pairs(queries, chunks, k, exclude_self=exclude_self, query_block_rows=query_block_rows,
-                      chunk_block_rows=chunk_block_rows, group=group)
+    pairs = (knn_approx if approximate else knn_pairs)(queries, chunks, k, exclude_self=exclude_self, query_block_rows=query_block_rows,
+                                                       chunk_block_rows=chunk_block_rows, group=group)
     return (pairs.withColumn("score", similarity("distance"))
             .filter(F.col("score") >= F.lit(threshold)))
 

@@ -4,14 +4,14 @@ The reference flushes pending file changes after a quiet period of the whole
 repository, keeps the last change per path, re-indexes only those files, and
 rebuilds the dependency graph. Here the quiet period is a session window on
 event time per ``repo_id`` (events exactly ``gap`` apart stay in one
-session), and a flush is applied by keyed anti-joins and unions on the tables
-of the touched repositories, which become a new version of the store (readers
-always see whole versions).
+session), and a flush becomes a delta of the touched files' rows: applied to tables by keyed anti-joins and unions, or
+committed to a store, whose readers always see whole versions.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,10 @@ from packtables.operators.joins import null_safe_join
 from packtables.operators.vectors import embed_column
 from packtables.plans.index import chunks_of
 from packtables.session import cut_lineage
+from packtables.sources import commitlog
+from packtables.sources.commitlog import Conflict
 from packtables.sources.files import watched
-from packtables.sources.store import read_index, reuse_or_embed, write_index
+from packtables.sources.store import latest_version, read_index, reuse_or_embed, write_delta
 
 FAN = 1024            # buckets a session is cut into at most (twice that at a border)
 CHANGE_SCHEMA = ("repo_id string, path string, change_type string, ts timestamp, seq long, "
@@ -118,6 +120,50 @@ class Flush(NamedTuple):
     repos: DataFrame
 
 
+class Delta(NamedTuple):
+    """What a flush changes: the new rows of the touched files, and the edges that leave ``sources``, files with other edges."""
+    files: DataFrame
+    tagged: DataFrame
+    imports: DataFrame
+    edges: DataFrame
+    chunks: DataFrame
+    touched: DataFrame          # repo_id, path: added, modified and deleted files
+    sources: DataFrame          # repo_id, src
+
+    def keys(self) -> DataFrame:
+        """``repo_id, key, kind`` of all rows that the flush replaces (``sources.store.write_delta``)."""
+        return (self.touched.select("repo_id", F.col("path").alias("key"), F.lit("path").alias("kind"))
+                .unionByName(self.sources.select("repo_id", F.col("src").alias("key"), F.lit("src").alias("kind"))))
+
+
+def flush_delta(files: DataFrame, imports: DataFrame, edges: DataFrame, chunks: DataFrame, flush: DataFrame, embedder=None,
+                dim: int = 64, scanners: dict | None = None) -> Delta:
+    """T3 + T4: the rows that one flush adds, and the keys whose older rows go.
+
+    Added and modified files are read and parsed alone; vectors of equal text are reused from ``chunks``. Edges are resolved
+    over the touched repositories (a new file may be the target of an old import), and those of a file are replaced
+    only if they differ.
+    """
+    last = flush.groupBy("repo_id", "path").agg(F.max_by(F.struct("change_type", "content", "lang"), "seq").alias("l"))
+    touched = last.select("repo_id", "path")
+    upserts = (last.filter(F.col("l.change_type") != "deleted")
+               .select("repo_id", "path", F.col("l.content").alias("content"), F.col("l.lang").alias("lang")))
+    repos = touched.select("repo_id").distinct()
+    own = lambda df: null_safe_join(df, repos, ["repo_id"], "left_semi")
+    added, added_imports = code.extract(upserts, scanners=scanners), extract_imports(upserts)
+    new_files = code.replace_files(own(files).select("repo_id", "path"), upserts.select("repo_id", "path"), touched)
+    columns = ["repo_id", "src", "dst", "line", "col"]
+    new_edges = graph.build_edges(code.replace_files(own(imports), added_imports, touched), new_files).select(*columns)
+    old_edges = own(edges).select(*columns)
+    differing = null_safe_join(new_edges, old_edges, columns, "left_anti").unionByName(null_safe_join(old_edges, new_edges, columns, "left_anti"))
+    sources = cut_lineage(differing.select("repo_id", "src").distinct())        # as few as the change has
+    stored = own(chunks).select("repo_id", F.md5("text").alias("content_hash"), "embedding")
+    new_chunks = reuse_or_embed(chunks_of(code.symbols_of(added)), stored, "text", embedder=embedder, dim=dim)
+    new_chunks = new_chunks.select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
+    return Delta(upserts, added, added_imports, null_safe_join(new_edges, sources, ["repo_id", "src"], "left_semi"), new_chunks,
+                 touched, sources)
+
+
 def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame, edges: DataFrame | None = None,
                 chunks: DataFrame | None = None, embedder=None, dim: int = 64, scanners: dict | None = None,
                 imports: DataFrame | None = None) -> Flush:
@@ -125,78 +171,110 @@ def apply_flush(files: DataFrame, tagged: DataFrame, flush: DataFrame, edges: Da
 
     Deleted paths leave every table; added/modified paths are re-read and
     re-extracted alone; untouched files are not parsed again. Edges are
-    rebuilt for the touched repositories; those of the others are carried
-    over from ``edges`` (without it, all are rebuilt). The chunks of the
+    resolved for the touched repositories; those of the others are carried
+    over from ``edges`` (without it, all are built). The chunks of the
     touched files are cut anew and embedded, with vectors of equal text reused
     from ``chunks``.
     """
-    last = flush.groupBy("repo_id", "path").agg(
-        F.max_by(F.struct("change_type", "content", "lang"), "seq").alias("l"))
-    touched = last.select("repo_id", "path")
-    upserts = (last.filter(F.col("l.change_type") != "deleted")
-               .select("repo_id", "path", F.col("l.content").alias("content"), F.col("l.lang").alias("lang")))
-    new_files = code.replace_files(files.select("repo_id", "path", "content", "lang"), upserts, touched)
-    added = code.extract(upserts, scanners=scanners)
-    new_tagged = code.replace_files(tagged, added, touched)
-    old_imports = extract_imports(files) if imports is None else imports
-    new_imports = code.replace_files(old_imports, extract_imports(upserts), touched)
-    repos = touched.select("repo_id").distinct()
-    if edges is None:
-        new_edges = graph.build_edges(new_imports, new_files)
-    else:
-        own_files = null_safe_join(new_files, repos, ["repo_id"], "left_semi")
-        own_imports = null_safe_join(new_imports, repos, ["repo_id"], "left_semi")
-        new_edges = null_safe_join(edges, repos, ["repo_id"], "left_anti").unionByName(graph.build_edges(own_imports, own_files))
-    fresh = chunks_of(code.symbols_of(added))
+    imports = extract_imports(files) if imports is None else imports
+    edges = graph.build_edges(imports, files) if edges is None else edges
     if chunks is None:
-        old = embed_column(chunks_of(code.symbols_of(tagged)), "text", "embedding", embedder=embedder, dim=dim)
-        new_chunks = embed_column(fresh, "text", "embedding", embedder=embedder, dim=dim)
-    else:
-        old = chunks
-        stored = old.select("repo_id", F.md5("text").alias("content_hash"), "embedding")
-        new_chunks = reuse_or_embed(fresh, stored, "text", embedder=embedder, dim=dim)
-    new_chunks = new_chunks.select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
-    return Flush(new_files, new_tagged, new_imports, new_edges, code.replace_files(old, new_chunks, touched), repos)
+        chunks = embed_column(chunks_of(code.symbols_of(tagged)), "text", "embedding", embedder=embedder, dim=dim)
+    d = flush_delta(files, imports, edges, chunks, flush, embedder, dim, scanners)
+    new_edges = null_safe_join(edges, d.sources, ["repo_id", "src"], "left_anti").unionByName(d.edges, allowMissingColumns=True)
+    return Flush(code.replace_files(files.select("repo_id", "path", "content", "lang"), d.files, d.touched),
+                 code.replace_files(tagged, d.tagged, d.touched), code.replace_files(imports, d.imports, d.touched), new_edges,
+                 code.replace_files(chunks, d.chunks, d.touched), d.touched.select("repo_id").distinct())
+
+
+STORED = {"files": "repo_id string, path string, content string, lang string", "tagged": code.EXTRACT_SCHEMA,
+          "imports": "repo_id string, path string, source string, names array<string>, line int, col int",
+          "edges": "repo_id string, src string, dst string, line int, col int",
+          "chunks": "repo_id string, chunk_id long, path string, start_line int, end_line int, text string, embedding array<float>"}
+
+
+def flush_store(spark: SparkSession, store_dir: str, hits: DataFrame, query: str | None = None, batch: int | None = None,
+                embedder=None, dim: int = 64, attempts: int = 5) -> int:
+    """T3 on a store: commit the delta of one flush (``hits`` in ``CHANGE_SCHEMA``); returns the version.
+
+    If another writer commits to one of the repositories meanwhile, the delta is computed anew from the newer version.
+    """
+    for left in reversed(range(attempts)):
+        base = latest_version(spark, store_dir) or 0
+        stored = read_index(spark, store_dir, version=base) if base else {}
+        prev = {t: stored[t] if t in stored else spark.createDataFrame([], ddl) for t, ddl in STORED.items()}
+        d = flush_delta(prev["files"], prev["imports"], prev["edges"], prev["chunks"], hits, embedder=embedder, dim=dim)
+        try:
+            return write_delta({t: getattr(d, t) for t in STORED}, d.keys(), store_dir, query, batch, base)
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError("attempts must be positive")
+
+
+def feed_ranges(spark: SparkSession, change_dir: str, store_dir: str) -> DataFrame:
+    """``file, lo, hi``, the time range of each file of the feed, kept as a table beside the store.
+
+    Files that the table does not hold yet are read once, their ``ts`` column only.
+    """
+    path = f"{store_dir}/_feed"
+    ranges = "file string, lo timestamp, hi timestamp"
+    known = spark.read.schema(ranges).parquet(path) if commitlog.children(spark, path) else spark.createDataFrame([], ranges)
+    seen = {r.file for r in known.select("file").distinct().collect()}         # names, as the stream itself keeps them
+    fresh = [f for f in spark.read.schema(CHANGE_SCHEMA).parquet(change_dir).inputFiles() if f not in seen]
+    if fresh:
+        new = spark.read.schema(CHANGE_SCHEMA).parquet(*fresh).select("ts", F.col("_metadata.file_path").alias("path"))
+        found = new.groupBy("path").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        listed = spark.createDataFrame([(f, _plain(f)) for f in fresh], "file string, path string")
+        found = listed.join(found.withColumn("path", _plain_column("path")), "path", "left").select("file", "lo", "hi")   # a file without rows too
+        found.coalesce(1).write.mode("append").parquet(path)
+        return spark.read.schema(ranges).parquet(path)
+    return known
+
+
+def _plain(uri: str) -> str:
+    """A path without scheme slashes, so that ``file:/x`` and ``file:///x`` agree."""
+    return re.sub(r"^([a-z][a-z0-9+.-]*:)/{2,}", r"\1/", uri)
+
+
+def _plain_column(name: str):
+    return F.regexp_replace(F.col(name), r"^([a-z][a-z0-9+.-]*:)/{2,}", "$1/")
+
+
+def feed_between(spark: SparkSession, change_dir: str, store_dir: str, lo, hi) -> DataFrame:
+    """The changes of the feed from ``lo`` to ``hi``; only files whose time range overlaps are opened."""
+    ranges = feed_ranges(spark, change_dir, store_dir)
+    files = [r.file for r in ranges.filter((F.col("lo") <= F.lit(hi)) & (F.col("hi") >= F.lit(lo))).select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], CHANGE_SCHEMA)
+    return spark.read.schema(CHANGE_SCHEMA).parquet(*files).filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi)))
 
 
 def follow_changes(spark: SparkSession, change_dir: str, store_dir: str, checkpoint_dir: str,
                    gap: str = "2 seconds", watermark: str = "10 seconds", trigger_once: bool = False,
                    embedder=None, dim: int = 64):
-    """Follow a change feed and keep a versioned index store up to date.
+    """Follow a change feed and keep an index store up to date, after an initial ``build_index`` or from nothing.
 
     Each micro-batch (``foreachBatch``) takes the sessions the watermark has
-    closed, gathers their changes from the raw feed, applies them to the
-    touched repositories of the latest version and writes those as version
-    ``batch_id`` (``sources.store``). Re-running a batch id rewrites the same
-    version, so replays after a failure are idempotent.
+    closed, gathers their changes from the files of the feed that overlap them, and commits the
+    delta (``flush_store``) under the next version of the store. The query's id and the batch id are
+    recorded in the commit, so a batch replayed after a failure is found in the log and not applied again.
     """
     stream = read_change_stream(spark, change_dir)
     closed = sessions(watch_filter(stream), gap, watermark)
     gap_seconds = _seconds(gap)
 
     def apply(batch: DataFrame, batch_id: int):
+        query = spark.read.schema("id string").json(f"{checkpoint_dir}/metadata").first().id     # the stream's id, kept over restarts
+        if commitlog.version_of(commitlog.commits(spark, store_dir), query, batch_id) is not None:
+            return
         bounds = cut_lineage(batch.select("repo_id", "session_start", "last_ts"))
         lo, hi = bounds.agg(F.min("session_start"), F.max("last_ts")).first()
         if lo is None:
             return
-        # only the closed sessions' time range is read (pushed to the scan)
-        raw = watch_filter(spark.read.schema(CHANGE_SCHEMA).parquet(change_dir)
-                           .filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))))
+        raw = watch_filter(feed_between(spark, change_dir, store_dir, lo, hi))
         hits = cut_lineage(assign_sessions(raw, bounds, gap_seconds))
-        repos = hits.select("repo_id").distinct()
-        stored = read_index(spark, store_dir, before=batch_id)
-        empty = {"files": "repo_id string, path string, content string, lang string", "tagged": code.EXTRACT_SCHEMA,
-                 "imports": "repo_id string, path string, source string, names array<string>, line int, col int",
-                 "edges": "repo_id string, src string, dst string, line int, col int",
-                 "chunks": "repo_id string, chunk_id long, path string, start_line int, end_line int, text string, "
-                           "embedding array<float>"}
-        # the touched repositories alone are read, applied and written
-        prev = {t: null_safe_join(stored[t], repos, ["repo_id"], "left_semi") if t in stored else spark.createDataFrame([], ddl)
-                for t, ddl in empty.items()}
-        new = apply_flush(prev["files"], prev["tagged"], hits, prev["edges"], prev["chunks"], embedder=embedder, dim=dim,
-                          imports=prev["imports"])
-        write_index({"files": new.files, "tagged": new.tagged, "imports": new.imports, "edges": new.edges, "chunks": new.chunks}, store_dir,
-                    repos=new.repos, version=batch_id)
+        flush_store(spark, store_dir, hits, query, batch_id, embedder=embedder, dim=dim)
 
     q = (closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint_dir)
          .foreachBatch(apply))

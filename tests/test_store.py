@@ -44,7 +44,7 @@ def test_build_index_written_equals_in_memory(spark, tmp_path):
         a = {repr(tuple(r)) for r in getattr(mem, t).collect()}
         b = {repr(tuple(r)) for r in getattr(disk, t).collect()}
         assert a == b, t
-    version, = (d for d in os.listdir(tmp_path / "idx" / "tagged") if d.startswith("v="))
+    version, = (d for d in os.listdir(tmp_path / "idx" / "tagged") if d.startswith("commit="))
     assert sorted(d for d in os.listdir(tmp_path / "idx" / "tagged" / version) if d.startswith("part=")) == ["part=r_a", "part=r_b"]
     loaded = load_index(spark, str(tmp_path / "idx"))
     assert {r.text: len(r.embedding) for r in loaded.vectors.collect()} == {r.text: 64 for r in mem.chunks.collect()}
