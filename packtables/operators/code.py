@@ -1,9 +1,8 @@
-"""Code-structure extraction (X1-X3, X7, X8, P8, A5) as one Spark job; imports (X4-X6) are in imports.py.
+"""Code-structure extraction (X1-X3, X7, X8, P8, A5) into one tagged table; imports (X4-X6) are in imports.py.
 
-``files`` -> ``mapInPandas`` over Arrow batches of files -> rows tagged
-``symbol | call | error``. Callers persist the tagged table once
-(``index.build_index`` writes it) and split it by tag, so files are parsed
-once. The per-language scanner is a plain function (``scanners.py``).
+``files`` -> rows tagged ``symbol | call | error``: JavaScript, TypeScript and Go by column functions and windows
+(``braces.py``), Python files by the standard parser in ``mapInPandas`` (``scanners.py``), any language by a function of the
+user's. Callers persist the tagged table once (``index.build_index`` writes it) and split it by tag.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packtables.operators.braces import extract_braced
 from packtables.operators.joins import null_safe_join
-from packtables.operators.scanners import EXT_LANG, SCANNERS
+from packtables.operators.scanners import BRACED, EXT_LANG, SCANNERS
 
 EXTRACT_SCHEMA = (
     "repo_id string, path string, tag string, name string, kind string, start_line int, end_line int, "
@@ -74,7 +74,7 @@ def _extract_batches(batches: Iterator[pd.DataFrame], scanners: dict = SCANNERS)
 def extract(files: DataFrame, num_partitions: int | None = None, scanners: dict | None = None) -> DataFrame:
     """Tagged extraction rows for every file with a known language.
 
-    Files are parsed where they lie: a files table read from Parquet is split
+    Python files are parsed where they lie: a files table read from Parquet is split
     by bytes already, and shuffling all contents only to balance the Python
     work would cost more than the parsing at scale. ``num_partitions`` asks for
     a hash partitioning by (repo_id, path) first, for an input in few partitions.
@@ -84,7 +84,11 @@ def extract(files: DataFrame, num_partitions: int | None = None, scanners: dict
     if num_partitions:
         src = src.repartition(num_partitions, "repo_id", "path")
     known = {**SCANNERS, **(scanners or {})}
-    return src.mapInPandas(lambda batches: _extract_batches(batches, known), schema=EXTRACT_SCHEMA)
+    out = src.filter(F.col("lang").isin(*known)).mapInPandas(lambda batches: _extract_batches(batches, known), schema=EXTRACT_SCHEMA)
+    present = {r.lang for r in src.select("lang").distinct().collect()}         # a few names
+    own = {rules: [x for x in langs if x in present and x not in known] for rules, langs in BRACED.items()}
+    braced = {rules: src.filter(F.col("lang").isin(*langs)) for rules, langs in own.items() if langs}
+    return out.unionByName(extract_braced(braced).select(*out.columns)) if braced else out
 
 
 def symbols_of(tagged: DataFrame) -> DataFrame:

@@ -1,348 +1,50 @@
-"""Per-language code scanners (U2): plain Python functions over one file.
+"""Python files (X1, X7): one text's definitions and calls as flat rows.
 
-Each scanner takes ``(text)`` and returns rows as dicts tagged ``symbol`` or
-``call`` (imports are column functions, see imports.py). They run inside ``mapInPandas`` (see code.py); Spark
-distributes the files, the scanner only reads one file at a time.
-
-Python uses the standard ``ast`` module. JavaScript/TypeScript and Go use a
-line-aware scanner: strings and comments are blanked first, so braces and
-names inside them are not seen, then declarations are found by pattern and
-their extent by brace matching.
+A scanner is a plain function of a text that returns rows as dicts tagged ``symbol`` or ``call``; it runs inside ``mapInPandas``
+(code.py), one file at a time. Only Python has one, around the standard parser; JavaScript, TypeScript and Go are column functions
+(braces.py), and so are the imports of all languages (imports.py). ``scanners=`` of ``code.extract`` adds or replaces one.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
 import re
 
-# ---------------------------------------------------------------------------
-# Python (X1 definitions, X7 calls)
-
-
-_LINE_ENDS = re.compile(r"\r\n|\r|\n")
-
-
-def _segmenter(text: str):
-    """Source text of a node, as ``ast.get_source_segment`` gives it, but with
-    the file split into lines once (that function re-splits per call, which
-    is quadratic on files with many calls). Columns are UTF-8 byte offsets."""
-    pieces, start = [], 0
-    for m in _LINE_ENDS.finditer(text):
-        pieces.append(text[start:m.end()])
-        start = m.end()
-    pieces.append(text[start:])
-    encoded: dict[int, bytes] = {}
-
-    def enc(i: int) -> bytes:
-        if i not in encoded:
-            encoded[i] = pieces[i].encode()
-        return encoded[i]
-
-    def seg(node) -> str:
-        try:
-            l0, l1 = node.lineno - 1, node.end_lineno - 1
-            c0, c1 = node.col_offset, node.end_col_offset
-        except AttributeError:
-            return ""
-        if l1 is None or c1 is None or l1 >= len(pieces):
-            return ""
-        if l0 == l1:
-            return enc(l0)[c0:c1].decode(errors="replace")
-        return (enc(l0)[c0:].decode(errors="replace") + "".join(pieces[l0 + 1:l1])
-                + enc(l1)[:c1].decode(errors="replace"))
-    return seg
+_LINE_END = re.compile(rb"\r\n|\r|\n")
+_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def scan_python(text: str) -> list[dict]:
-    tree = ast.parse(text)
-    lines = text.split("\n")
-    out: list[dict] = []
-    seg = _segmenter(text)
-
-    def sig(lineno: int) -> str:
-        return lines[lineno - 1].strip() if 0 < lineno <= len(lines) else ""
-
-    def walk(node, class_name):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            full = f"{class_name}.{node.name}" if class_name else node.name
-            out.append(dict(tag="symbol", name=full, kind="method" if class_name else "function",
-                            start_line=node.lineno, end_line=node.end_lineno, col=node.col_offset,
-                            body=seg(node), signature=sig(node.lineno)))
-        elif isinstance(node, ast.ClassDef):
-            out.append(dict(tag="symbol", name=node.name, kind="class", start_line=node.lineno,
-                            end_line=node.end_lineno, col=node.col_offset, body="", signature=""))
-            for child in ast.iter_child_nodes(node):
-                walk(child, node.name)
-            return
-        elif isinstance(node, ast.Call):
-            out.append(dict(tag="call", name=seg(node.func), line=node.lineno, col=node.col_offset))
-        for child in ast.iter_child_nodes(node):
-            walk(child, class_name)
-
-    walk(tree, None)
-    return out
-
-
-# ---------------------------------------------------------------------------
-# Shared helpers for brace languages
-
-
-def _blank_strings_and_comments(text: str, backtick_raw: bool) -> str:
-    """Replace string/comment characters by spaces, keeping newlines and offsets."""
-    out = list(text)
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if c == "/" and i + 1 < n and text[i + 1] == "/":
-            j = text.find("\n", i)
-            j = n if j < 0 else j
-            for k in range(i, j):
-                out[k] = " "
-            i = j
-        elif c == "/" and i + 1 < n and text[i + 1] == "*":
-            j = text.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            for k in range(i, j):
-                if text[k] != "\n":
-                    out[k] = " "
-            i = j
-        elif c in "\"'`":
-            j = i + 1
-            while j < n and text[j] != c:
-                if text[j] == "\\" and not (c == "`" and backtick_raw):
-                    j += 1
-                elif text[j] == "\n" and c != "`":
-                    break
-                j += 1
-            for k in range(i + 1, min(j, n)):
-                if text[k] != "\n":
-                    out[k] = " "
-            i = j + 1
-        else:
-            i += 1
-    return "".join(out)
-
-
-def _match_brace(masked: str, open_pos: int) -> int:
-    depth = 0
-    for k in range(open_pos, len(masked)):
-        ch = masked[k]
-        if ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return k
-    return len(masked) - 1
-
-
-class _Lines:
-    def __init__(self, text: str):
-        self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
-
-    def line(self, pos: int) -> int:
-        return bisect.bisect_right(self.starts, pos)
-
-
-_CALL_RE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$#][\w$]*)*)\s*(?:<[\w$<>,\s\[\]]*>)?\s*\(")
-
-# Words that look like calls but are statements.
-_JS_NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await",
-                 "new", "delete", "void", "in", "of", "instanceof", "yield", "class", "do", "else",
-                 "import", "export", "throw", "case", "with"}
-_GO_NOT_CALLS = {"if", "for", "switch", "func", "return", "select", "go", "defer", "range", "case",
-                 "else", "type", "struct", "interface", "map", "chan", "package", "import", "var", "const"}
-
-
-def _calls(text: str, masked: str, lines: _Lines, skip_words: set, def_name_pos: set) -> list[dict]:
-    out = []
-    for m in _CALL_RE.finditer(masked):
-        name = m.group(1)
-        first = re.split(r"[\s?.]", name, maxsplit=1)[0]
-        if first in skip_words or m.start(1) in def_name_pos:
+    """Every definition and call with its range; a function belongs to the class whose range is the smallest around it."""
+    data, lines = text.encode(), text.split("\n")
+    starts = [0, *(m.end() for m in _LINE_END.finditer(data))]
+    spans = []                      # byte ranges, outer ones first
+    for n in ast.walk(ast.parse(text)):
+        if isinstance(n, (*_DEFS, ast.ClassDef, ast.Call)):
+            spans.append((starts[n.lineno - 1] + n.col_offset, -starts[n.end_lineno - 1] - n.end_col_offset, n))
+    spans.sort(key=lambda s: s[:2])
+    rows, around = [], []           # classes that are open where the sweep stands
+    for begin, end, n in spans:
+        while around and around[-1][0] <= begin:
+            around.pop()
+        if isinstance(n, ast.Call):
+            callee = data[begin:starts[n.func.end_lineno - 1] + n.func.end_col_offset]
+            rows.append(dict(tag="call", name=callee.decode(), line=n.lineno, col=n.col_offset))
             continue
-        # a name right after 'function'/'func' is a declaration, not a call
-        before = masked[max(0, m.start(1) - 10):m.start(1)].rstrip()
-        if before.endswith("function") or before.endswith("func") or before.endswith("new"):
+        place = dict(tag="symbol", start_line=n.lineno, end_line=n.end_lineno, col=n.col_offset)
+        if isinstance(n, ast.ClassDef):
+            rows.append(dict(place, name=n.name, kind="class", body="", signature=""))
+            around.append((-end, n.name))
             continue
-        out.append(dict(tag="call", name=text[m.start(1):m.end(1)], line=lines.line(m.start(1)),
-                        col=m.start(1) - lines.starts[lines.line(m.start(1)) - 1]))
-    return out
-
-
-def _sig(text_lines: list[str], line: int) -> str:
-    return text_lines[line - 1].strip() if 0 < line <= len(text_lines) else ""
-
-
-# ---------------------------------------------------------------------------
-# JavaScript / TypeScript (X2 definitions, X7 calls)
-
-_JS_FUNC_RE = re.compile(r"(?<![\w$.])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\s*\(")
-_JS_CLASS_RE = re.compile(r"(?<![\w$.])class\s+([A-Za-z_$][\w$]*)[^{;]*\{")
-_JS_METHOD_RE = re.compile(
-    r"(?m)^[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)\s+)*\*?\s*"
-    r"([A-Za-z_$#][\w$]*)\s*(?:<[^>{]*>)?\s*\([^)]*\)\s*(?::[^{;]+)?\{")
-_JS_ARROW_RE = re.compile(
-    r"(?<![\w$.])(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s+)?"
-    r"(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=;{]+)?=>")
-
-
-def scan_js(text: str) -> list[dict]:
-    masked = _blank_strings_and_comments(text, backtick_raw=False)
-    lines = _Lines(text)
-    tlines = text.split("\n")
-    out: list[dict] = []
-    def_pos: set[int] = set()
-
-    classes = []   # (name, body_open, body_close)
-    for m in _JS_CLASS_RE.finditer(masked):
-        open_pos = m.end() - 1
-        close = _match_brace(masked, open_pos)
-        classes.append((m.group(1), open_pos, close))
-        out.append(dict(tag="symbol", name=m.group(1), kind="class", start_line=lines.line(m.start()),
-                        end_line=lines.line(close), col=m.start(), body="", signature=""))
-        def_pos.add(m.start(1))
-
-    def enclosing_class(pos: int):
-        best = None
-        for name, o, c in classes:
-            if o < pos < c and (best is None or o > best[1]):
-                best = (name, o, c)
-        return best
-
-    def depth_in(o: int, pos: int) -> int:
-        seg = masked[o:pos]
-        return seg.count("{") - seg.count("}")
-
-    for m in _JS_FUNC_RE.finditer(masked):
-        open_pos = masked.find("{", m.end())
-        if open_pos < 0:
-            continue
-        close = _match_brace(masked, open_pos)
-        cls = enclosing_class(m.start())
-        full = f"{cls[0]}.{m.group(1)}" if cls else m.group(1)
-        out.append(dict(tag="symbol", name=full, kind="method" if cls else "function",
-                        start_line=lines.line(m.start()), end_line=lines.line(close), col=m.start(),
-                        body=text[m.start():close + 1], signature=_sig(tlines, lines.line(m.start()))))
-        def_pos.add(m.start(1))
-
-    for name, o, c in classes:
-        for m in _JS_METHOD_RE.finditer(masked, o + 1, c):
-            if m.group(1) in _JS_NOT_CALLS or depth_in(o, m.start()) != 1:
-                continue
-            open_pos = m.end() - 1
-            close = _match_brace(masked, open_pos)
-            start = m.start() + (len(masked[m.start():m.end()]) - len(masked[m.start():m.end()].lstrip()))
-            out.append(dict(tag="symbol", name=f"{name}.{m.group(1)}", kind="method",
-                            start_line=lines.line(start), end_line=lines.line(close), col=start,
-                            body=text[start:close + 1], signature=_sig(tlines, lines.line(start))))
-            def_pos.add(m.start(1))
-
-    for m in _JS_ARROW_RE.finditer(masked):
-        rest = m.end()
-        k = rest
-        while k < len(masked) and masked[k] in " \t\n":
-            k += 1
-        if k < len(masked) and masked[k] == "{":
-            end = _match_brace(masked, k) + 1
-        else:
-            depth, end = 0, k
-            while end < len(masked):
-                ch = masked[end]
-                if ch in "([{":
-                    depth += 1
-                elif ch in ")]}":
-                    if depth == 0:
-                        break
-                    depth -= 1
-                elif ch in ";\n" and depth == 0:
-                    break
-                end += 1
-        if end < len(masked) and masked[end] == ";":
-            end += 1
-        out.append(dict(tag="symbol", name=m.group(1), kind="function", start_line=lines.line(m.start()),
-                        end_line=lines.line(max(m.start(), end - 1)), col=m.start(),
-                        body=text[m.start():end], signature=_sig(tlines, lines.line(m.start()))))
-        def_pos.add(m.start(1))
-
-    out.extend(_calls(text, masked, lines, _JS_NOT_CALLS, def_pos))
-    return out
-
-
-# ---------------------------------------------------------------------------
-# Go (X3 definitions, X7 calls)
-
-_GO_FUNC_RE = re.compile(r"(?m)^func\s+(?:\(([^)]*)\)\s*)?([A-Za-z_][\w]*)\s*(?:\[[^\]]*\])?\s*\(")
-_GO_TYPE_RE = re.compile(r"(?m)^type\s+(\()?")
-_GO_SPEC_RE = re.compile(r"(?m)^[ \t]*([A-Za-z_][\w]*)\b")
-
-
-def _go_type_end(masked: str, pos: int) -> int:
-    """End offset of a type spec starting at ``pos`` (end of line, or its closing brace)."""
-    nl = masked.find("\n", pos)
-    nl = len(masked) if nl < 0 else nl
-    brace = masked.find("{", pos, nl)
-    if brace >= 0:
-        close = _match_brace(masked, brace)
-        nl2 = masked.find("\n", close)
-        return (len(masked) if nl2 < 0 else nl2)
-    return nl
-
-
-def scan_go(text: str) -> list[dict]:
-    masked = _blank_strings_and_comments(text, backtick_raw=True)
-    lines = _Lines(text)
-    tlines = text.split("\n")
-    out: list[dict] = []
-    def_pos: set[int] = set()
-
-    for m in _GO_FUNC_RE.finditer(masked):
-        open_pos = masked.find("{", m.end())
-        nl = masked.find("\n", m.end())
-        close = _match_brace(masked, open_pos) if open_pos >= 0 else (nl if nl >= 0 else len(masked)) - 1
-        name = m.group(2)
-        kind = "function"
-        if m.group(1) is not None:
-            kind = "method"
-            params = m.group(1).strip().split()
-            rcv = params[-1].lstrip("*") if params else ""
-            name = f"{rcv}.{name}" if rcv else name
-        out.append(dict(tag="symbol", name=name, kind=kind, start_line=lines.line(m.start()),
-                        end_line=lines.line(close), col=m.start(), body=text[m.start():close + 1],
-                        signature=_sig(tlines, lines.line(m.start()))))
-        def_pos.add(m.start(2))
-
-    for m in _GO_TYPE_RE.finditer(masked):
-        if m.group(1):
-            close = masked.find(")", m.end())
-            close = len(masked) if close < 0 else close
-            pos = m.end()
-            while pos < close:
-                sm = _GO_SPEC_RE.search(masked, pos, close)
-                if not sm:
-                    break
-                end = _go_type_end(masked, sm.start(1))
-                out.append(dict(tag="symbol", name=sm.group(1), kind="class", start_line=lines.line(sm.start(1)),
-                                end_line=lines.line(max(sm.start(1), end - 1)), col=sm.start(1), body="",
-                                signature=""))
-                def_pos.add(sm.start(1))
-                pos = max(end, sm.end())
-        else:
-            sm = re.compile(r"[ \t]*([A-Za-z_][\w]*)").match(masked, m.end())
-            if sm:
-                end = _go_type_end(masked, sm.start(1))
-                out.append(dict(tag="symbol", name=sm.group(1), kind="class", start_line=lines.line(sm.start(1)),
-                                end_line=lines.line(max(sm.start(1), end - 1)), col=sm.start(1), body="",
-                                signature=""))
-                def_pos.add(sm.start(1))
-
-    out.extend(_calls(text, masked, lines, _GO_NOT_CALLS, def_pos))
-    return out
+        owner = around[-1][1] if around else None
+        rows.append(dict(place, name=f"{owner}.{n.name}" if owner else n.name, kind="method" if owner else "function",
+                         body=data[begin:-end].decode(), signature=lines[n.lineno - 1].strip() if n.lineno <= len(lines) else ""))
+    return rows
 
 
 # Extension -> language, and the language switch that enables it.
 EXT_LANG = {".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript",
             ".py": "python", ".go": "go"}
-SCANNERS = {"python": scan_python, "typescript": scan_js, "tsx": scan_js, "javascript": scan_js,
-            "go": scan_go}
+SCANNERS = {"python": scan_python}
+#: Languages of braces.py by the rules they share.
+BRACED = {"js": ("typescript", "tsx", "javascript"), "go": ("go",)}

@@ -801,6 +801,15 @@ union all
 select fin.repo_id, 'chunk', fin.path, md5(s.body) from fin join sym s on s.file_id = fin.u where s.kind <> 'class'
 """, ("fx_changes", "fx_files"))
 
+ORACLE["store_history"] = with_views("""
+with last as (select repo_id, path, arg_max(change_type, seq) as ct, arg_max(user_id, seq) as u from fx_changes group by repo_id, path),
+fin as (select nullif(l.repo_id, '1') as repo_id, l.path, l.u, f.a, f.b, f.content from last l join fx_files f on f.file_id = l.u where l.ct <> 'deleted')
+select repo_id, 'file' as kind, path as a, md5(content) as b from fin
+union all
+select * from (select distinct x.repo_id, 'edge', x.path, y.path
+               from fin x join fin y on x.repo_id is not distinct from y.repo_id and (y.u = x.a or y.u = x.b) and y.u <> x.u)
+""", ("fx_changes", "fx_files"))
+
 ORACLE["find_files"] = retrieval("""
 select distinct m.mention, f.path from (select distinct unnest(files) as mention from sig) m
 join fx_files f on contains(f.path, m.mention)

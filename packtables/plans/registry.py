@@ -439,6 +439,36 @@ def q_flush_one_repo(spark, sf):
     return files.unionByName(edges).unionByName(chunks)
 
 
+def q_store_history(spark, sf):
+    """S7 + S8 + T7: three builds of a store, a flush of all later changes, a compaction; files and edges as stored then.
+
+    Repository 1 has no name (null) here. The first build is out of date and is replaced by the second.
+    """
+    import uuid
+
+    from packtables.operators import code, graph
+    from packtables.operators.imports import extract_imports
+    from packtables.session import cut_lineage, ensure_checkpoint_dir
+    from packtables.sources.store import compact, read_index, write_index
+    from packtables.streaming.changes import flush_store, last_state
+
+    ch = fixture(spark, sf).changes.withColumn("repo_id", F.when(F.col("repo_id") != PARTIAL_REPO, F.col("repo_id")))
+    cut = F.lit(SNAPSHOT_CUTOFF).cast("timestamp")
+    files = cut_lineage(last_state(ch.filter(F.col("ts") < cut)))
+    imports = cut_lineage(extract_imports(files))
+    built = {"files": files, "tagged": cut_lineage(code.extract(files)), "imports": imports, "edges": cut_lineage(graph.build_edges(imports, files))}
+    odd = F.coalesce(F.pmod(F.crc32("repo_id"), F.lit(2)) == 1, F.lit(True))
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    write_index({"files": files.filter(odd).withColumn("content", F.lit("")), "edges": built["edges"].filter(odd)}, store)
+    write_index({t: df.filter(odd) for t, df in built.items()}, store)
+    write_index({t: df.filter(~odd) for t, df in built.items()}, store)
+    flush_store(spark, store, ch.filter(F.col("ts") >= cut), "query", 0, dim=8)
+    compact(spark, store, ratio=0.5)
+    now = read_index(spark, store)
+    stored = now["files"].select("repo_id", F.lit("file").alias("kind"), F.col("path").alias("a"), F.md5("content").alias("b"))
+    return stored.unionByName(now["edges"].select("repo_id", F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def q_find_files(spark, sf):
     """Every path that contains a mention."""
     from packtables.plans.strategies import find_files
@@ -509,6 +539,7 @@ QUERIES.update({
     "changes_final_symbols": q_changes_final_symbols,
     "changes_final_edges": q_changes_final_edges,
     "flush_one_repo": q_flush_one_repo,
+    "store_history": q_store_history,
     "find_files": q_find_files,
     "definitions": q_definitions,
     "ttl_cache": q_ttl_cache,

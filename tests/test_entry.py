@@ -51,4 +51,4 @@ def test_oracle_sql_needs_no_spark_session():
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
     n_oracle, n_queries = map(int, out.stdout.split())
-    assert n_oracle == n_queries == 39
+    assert (n_oracle, n_queries) == (40, 41)         # approximate search has no SQL
