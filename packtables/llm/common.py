@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packtables.session import ensure_checkpoint_dir
@@ -71,6 +71,16 @@ def trimmed(run: Callable) -> Callable:
     return wrapped
 
 
+def sample_threshold(wanted: int, total: int) -> int:
+    """The 63-bit number that a hash must stay below for about ``wanted`` of ``total`` rows; exact for any total."""
+    return 2 ** 63 - 1 if wanted >= total else (wanted << 63) // total
+
+
+def sample_hash(*columns: Column) -> Column:
+    """63 bits of the columns' hash, to compare with ``sample_threshold`` (``<=``: the largest threshold takes all rows)."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base`` with underscores in front until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}

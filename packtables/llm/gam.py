@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packtables.llm.common import texts_of
+from packtables.llm.common import sample_hash, sample_threshold, texts_of
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -183,9 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> G
     """Fits the labelled rows that are not held out, or a sample of about ``train_rows`` of them."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")) \
         .filter("doc_id is not null and quality in (0, 1)").filter(~held_out_column())
-    n = usable.count()
-    share = int(min(1.0, train_rows / max(1, n)) * 1_000_000)
-    some = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_000)) < share)
+    below = sample_threshold(train_rows, usable.count())
+    some = usable.filter(sample_hash(F.col("doc_id"), F.lit("quality sample")) <= F.lit(below))
     some = some.select(F.col("doc_id").alias("id"), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packtables.llm.common import slices, trimmed
+from packtables.llm.common import sample_hash, sample_threshold, slices, trimmed
 
 TRAIN_DOCS = 2_000     # labelled documents of each language in the sample
 BUCKETS = 1 << 16
@@ -125,32 +125,37 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, train_docs / sizes[k]) * 1_000_000)))])
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(sample_threshold(train_docs, sizes[k])).cast("long"))])
+    sample = known.filter(sample_hash(F.col("doc_id"), F.lit("language sample")) <= share[F.col("lang")])
     place = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((len(langs), BUCKETS), np.int64)
         scripts = np.zeros((len(langs), len(SCRIPT_NAMES)), np.int64)
+        drawn = np.zeros((len(langs), 1), np.int64)
         for b in batches:
             texts, lang = b.column(0).to_pylist(), np.array([place[x] for x in b.column(1).to_pylist()])
+            drawn[:, 0] += np.bincount(lang, minlength=len(langs))
             for i in range(0, len(texts), 256):
                 w = words_of(texts[i:i + 256])
                 of = lang[i:i + 256][w.doc]
                 np.add.at(grams, (np.repeat(of, w.size), w.buckets), 1)
                 np.add.at(scripts, (of, w.script), w.size)
-        both = np.concatenate([grams, scripts], axis=1)
+        both = np.concatenate([grams, scripts, drawn], axis=1)
         of, cell = np.nonzero(both)
         if len(of):
             yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int64)), pa.array(cell.astype(np.int64)),
                                               pa.array(both[of, cell])], ["lang", "cell", "n"])
 
-    # at most languages x (BUCKETS + scripts) rows
+    # at most languages x (BUCKETS + scripts + 1) rows
     rows = sample.select("text", "lang").mapInArrow(count, "lang long, cell long, n long") \
         .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
+    both = np.zeros((BUCKETS + len(SCRIPT_NAMES) + 1, len(langs)))
     both[rows["cell"], rows["lang"]] = rows["n"]
-    grams, scripts = both[:BUCKETS] + SMOOTH, both[BUCKETS:]
+    unseen = [k for k, n in zip(langs, both[-1]) if not n]
+    if unseen:
+        raise RuntimeError(f"no document was drawn of {', '.join(unseen)}; raise train_docs")
+    grams, scripts = both[:BUCKETS] + SMOOTH, both[BUCKETS:-1]
     allowed = scripts > SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))
     return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), allowed)
 

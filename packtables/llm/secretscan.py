@@ -9,7 +9,9 @@ its characters aren't tried again):
 
 Novel spans: a candidate is a run of key characters, ``LEAST`` long at least and
 with both a letter and a digit, or of letters whose case or whose lack of vowels
-no words have. It begins within ``REACH`` characters after a sensitive word, or
+no words have. Words and numbers between its separators (``/``, ``-``, ``_`` and
+so on) are set apart: ``LEAST`` - 4 characters of a candidate, or half of it,
+must lie outside them, so addresses, paths and titles are none. It begins within ``REACH`` characters after a sensitive word, or
 ends within ``REACH`` before one; a reported span carries the reach on from its
 own end, so the segments and lines of a key follow each other. A shorter run
 between a reported one and ``-----END`` is the last line of its key. A candidate is compressed behind its surroundings by a compressor
@@ -57,6 +59,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_]{3,63}(?=\x20?[=:(])")       # no part of a longer run
 RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")         # the characters of a candidate
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+WORDLIKE = re.compile(r"[0-9]{1,10}|[0-9]{0,4}(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}")       # a word or a number, or both
 LAST_LINE = re.compile(r"(?:\s|\\[nr])+-----END")
 REACH, LEAST, NOVEL, AROUND = 64, 16, 0.5, 256
 DICTIONARY = 2_048
@@ -111,9 +115,17 @@ def irregular(s: str) -> bool:
     return vowels < 0.15 * letters or (changes >= letters / 4 and vowels < 0.35 * letters)
 
 
+def odd(s: str) -> int:
+    """How many characters of a run are neither separators nor in segments like words or numbers."""
+    return sum(len(x) for x in SEGMENT.findall(s) if not WORDLIKE.fullmatch(x) or irregular(x.strip("0123456789") or "a"))
+
+
 def keylike(s: str, least: int = LEAST) -> bool:
     """Whether a run of key characters is measured at all."""
-    return len(s) >= least and any(map(str.isalpha, s)) and (any(map(str.isdigit, s)) or irregular(s))
+    if len(s) < least or not any(map(str.isalpha, s)) or not (any(map(str.isdigit, s)) or irregular(s)):
+        return False
+    # padding and a few separators are part of a key: what counts is that words do not fill it
+    return odd(s) >= least - 4 or (odd(s) > 0 and 2 * odd(s) >= len(s))
 
 
 def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:

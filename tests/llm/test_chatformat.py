@@ -24,7 +24,8 @@ def logs():
             turns = [("user", rng.choice(["hi", "x", "", None]))] + [("assistant", rng.choice("xyz")) for _ in range(rng.randrange(4))]
         convs.append(turns)
         rows += [(c, i, r, t, "c") for i, (r, t) in enumerate(turns)]
-    rows += [(None, 0, "user", "only null id", "c"), (None, 1, "assistant", "yes", "c"), (90, None, "user", "null turn", "c"), (90, 2, "user", "b", "c"),
+    rows += [(None, 0, "user", "only null id", "c"), (None, 1, "assistant", "yes", "c"), (None, 9, "assistant", "yes", "c"), (None, 0, "user", "m0", "c"),
+             (None, None, None, None, "c"), (90, None, "user", "null turn", "c"), (90, 2, "user", "b", "c"),
              (91, 0, "user", "twice", "c"), (91, 0, "user", "twice", "c")]
     rows += [(95, i, "user", f"m{i}", "c") for i in range(50)] + [(96, i, "user", f"m{i}", "c") for i in range(49)]
     return rows
@@ -33,10 +34,10 @@ def logs():
 def brute(rows):
     key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
     convs = {}
-    for c, turn, role, text, _ in rows:
-        convs.setdefault(c, []).append((turn, role, text))
+    for n, (c, turn, role, text, _) in enumerate(rows):
+        convs.setdefault((c, n if c is None else 0), []).append((turn, role, text))
     seqs = {}
-    for c, turns in convs.items():
+    for (c, _), turns in convs.items():
         seqs.setdefault(tuple(x[1:] for x in sorted(turns, key=key)), []).append(c)
     out = []
     for s, ids in seqs.items():
@@ -57,7 +58,7 @@ def test_matches_brute_force(spark, monkeypatch, block):
 
 
 def test_oracle_sql(spark):
-    rows = [r for r in logs() if r[0] is not None]
+    rows = logs()
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("pos", pa.string())])
     assert same(C.format_chats(spark.createDataFrame(rows, SCHEMA)), C.ORACLE, conversations=arrow(rows, schema))
 

@@ -68,3 +68,13 @@ def test_held_out_rows_are_not_learned(spark):
     df = spark.createDataFrame([(i, "### " * 60) for i in held], "doc_id long, text string")
     lab = spark.createDataFrame([(i, 1) for i in held], "doc_id long, quality int")
     assert not len(G.train(df, lab).pairs) and G.train(df, lab).intercept == 0.0
+
+
+def test_sample_of_any_size():
+    """The threshold is exact where a share in millionths would round to nothing."""
+    from packtables.llm.common import sample_threshold
+
+    for total in (1, 20_000, 3 * 10 ** 8, 3 * 10 ** 9, 5 * 10 ** 10, 10 ** 15):
+        t = sample_threshold(20_000, total)
+        assert 0 < t < 2 ** 63 and (total <= 20_000 or abs(t * total / 2 ** 63 - 20_000) < 1)
+    assert sample_threshold(20_000, 20_000) == 2 ** 63 - 1

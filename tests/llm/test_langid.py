@@ -1,5 +1,6 @@
 """Language identification: Viterbi by brute force, held-out accuracy, edge cases."""
 
+import pytest
 import itertools
 
 import numpy as np
@@ -79,3 +80,13 @@ def test_held_out_rows_are_not_learned(spark):
     rows = [(i, "zzz qqq xxx", "held") for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1] + [(1000, "abc", "en"), (1003, "abc", "en")]
     m = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert "held" not in m.langs
+
+
+def test_a_language_without_a_sample_is_an_error(spark, monkeypatch):
+    """Thousands of millions of documents of a language leave a sample; none at all is said, not passed over."""
+    df = spark.createDataFrame([(i, "the house and the garden", "en") for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "sample_threshold", lambda wanted, total: 0)
+    with pytest.raises(RuntimeError, match="en"):
+        L.train(df)
+    monkeypatch.undo()
+    assert L.train(df, train_docs=20).langs == ["en"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import re
 
 from packtables.llm import secretscan as S
@@ -135,3 +136,44 @@ def test_keys_of_letters_only():
     assert scan_one("credential qZxLmPvTbRkWnYcHdJgFsEtU now") == ["qZxLmPvTbRkWnYcHdJgFsEtU"]
     for name in ("getPrivateKeyFromStringValue", "internationalization", "AUTHENTICATION_FAILURES", "src/main/java/org/tests"):
         assert scan_one(f"credential {name} now") == [], name
+
+
+def planted():
+    """Keys of many forms in sensitive contexts, and clean lines beside the same words; ``(text, key or None)``."""
+    rng = random.Random(21)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, mixed = string.ascii_lowercase + string.digits, string.ascii_letters + string.digits
+    forms = [lambda: pick(mixed, rng.randrange(20, 44)), lambda: pick(mixed + "+/", 40) + "==", lambda: pick(mixed + "-_", 36), lambda: pick(low, 32),
+             lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "sk_live_" + pick(mixed, 24), lambda: "ghp_" + pick(mixed, 36)]
+    frames = ["the api key is {}", "Authorization: Bearer {}", "use passphrase {} here", "my private key\n{}\nend", "session id {}", "credential ({})",
+              "{} is the access key", "signing key -> '{}'", "set client-key to {} please"]
+    prose = "the meeting about our new garden house went well and everybody was happy with the plans for the next year".split()
+    words = lambda n, sep: sep.join(rng.choice(prose) for _ in range(n))
+    clean = [lambda: f"https://example.com/blog/20{rng.randrange(10, 30)}/0{rng.randrange(1, 10)}/{words(8, '-')}", lambda: f"/usr/local/lib/python3.11/site-packages/{words(3, '_')}",
+             lambda: f"http://example.org/articles/{rng.randrange(10000, 99999)}-{words(4, '-')}", lambda: words(12, " "), lambda: f"src/{words(2, '/')}/index{rng.randrange(9)}.html",
+             lambda: f"release-20{rng.randrange(10, 30)}-0{rng.randrange(1, 10)}-1{rng.randrange(9)}-{words(3, '-')}", lambda: f"{words(2, '_')}_version_{rng.randrange(1, 400)}_final"]
+    out = []
+    for i in range(210):
+        key = forms[i % len(forms)]()
+        out.append((f"{words(20, ' ')}\n{frames[i % len(frames)].format(key)}\n{words(20, ' ')}", key))
+        out.append((f"{words(20, ' ')}\n{rng.choice(['token usage: see', 'password reset link', 'secret path', 'the api key page'])} {clean[i % len(clean)]()}\n{words(20, ' ')}", None))
+    return out
+
+
+def test_planted_keys_and_clean_lines(spark):
+    """Recall over planted keys (every character of it in a span) and no span in addresses, paths, titles and prose."""
+    rows = planted()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found, wrong, n = 0, [], 0
+    for r in S.scan(df).collect():
+        text, key = rows[r.doc_id]
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+        if key is None:
+            wrong += [text[a:b] for a, b in spans]
+            continue
+        at = text.index(key)
+        covered = {p for a, b in spans for p in range(a, b)}
+        n += 1
+        found += all(p in covered for p in range(at, at + len(key.rstrip("="))))
+    assert n == 210 and found / n >= 0.9, found / n
+    assert wrong == []
