@@ -9,7 +9,7 @@ possessive, so long strings and comments need no stack.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _C_COMMENTS = r"//[^\n]*|(?s:/\*.*?(?:\*/|\z))"
@@ -45,16 +45,19 @@ def _pieces(df: DataFrame, text: str, pattern: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, keep, keys: list[str], first_line: Column) -> DataFrame:
-    """One row per kept match: ``s`` (its text without leading blanks), ``line``, ``col`` (places before it in its line)."""
-    hits = F.transform("m", lambda m, i: F.struct(m.alias("t"), i.alias("i")))
-    rows = df.select(*keys, "p", "nl", F.explode(F.filter(hits, lambda h: keep(h["t"]))).alias("h"))
+    """One row per kept match: ``s`` (its text without leading blanks), ``line``, ``col`` (places before it in its line).
+
+    A match becomes a row of its own with its number of line feeds; only kept ones carry texts. The lines before it are a running sum over
+    the matches of its file, so the work grows with their number.
+    """
+    hits = F.transform("m", lambda m, i: F.struct(i.alias("i"), F.get("nl", i).alias("nl"), F.when(keep(m), m).alias("t"), F.when(keep(m), F.get("p", i)).alias("b")))
+    earlier = Window.partitionBy(*keys).orderBy("h.i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.select(*keys, F.explode(hits).alias("h")).withColumn("n", F.coalesce(F.sum("h.nl").over(earlier), F.lit(0))).filter("h.t is not null")
     s = F.regexp_replace(F.col("h.t"), r"^\s+", "")
     lead = F.substring(F.col("h.t"), F.lit(1), F.length("h.t") - F.length(s))
-    before = F.get("p", F.col("h.i"))
-    feeds = F.aggregate(F.slice("nl", F.lit(1), F.col("h.i")), F.lit(0), lambda a, x: a + x) + _feeds(before) + _feeds(lead)
-    ahead = F.concat(before, lead)
+    ahead = F.concat("h.b", lead)
     col = F.length(F.regexp_extract(ahead, r"([^\n]*)\z", 1))
-    return rows.select(*keys, s.alias("s"), (first_line + feeds).cast("int").alias("line"), col.cast("int").alias("col"))
+    return rows.select(*keys, s.alias("s"), (first_line + F.col("n") + _feeds(ahead)).cast("int").alias("line"), col.cast("int").alias("col"))
 
 
 def _is_import(m: Column) -> Column:

@@ -76,8 +76,9 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
                 repos: DataFrame | None = None, embedder=None, dim: int = 64) -> CodeIndex:
     """The index of ``files``; with ``path`` it becomes a new version of that store.
 
-    The stored version holds files, extraction rows, imports, edges and chunks with their
-    vectors (S7: vectors of equal text are taken from the version before). It
+    The stored version holds files, extraction rows, imports, edges, chunks with their
+    vectors (S7: vectors of equal text are taken from the version before), and the chunks whose batch the
+    embedder failed on, with its error (they are embedded anew by the next build). It
     covers the repositories of ``files`` and those of ``repos``: a covered
     repository that has no files any more is empty afterwards.
     """
@@ -96,12 +97,13 @@ def build_index(files: DataFrame, opts: PackOptions = PackOptions(), path: str |
         stored = read_index(spark, path).get("chunks")
         if stored is not None:
             stored = stored.select("repo_id", F.md5("text").alias("content_hash"), "embedding")
-        chunks = embed_chunks(idx, stored, embedder, dim)
-        chunks = chunks.select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
+        chunks = cut_lineage(embed_chunks(idx, stored, embedder, dim, checked=True))
+        failed = chunks.filter("embedding is null").select("repo_id", "path", "chunk_id", F.col("embedding_error").alias("error"))
+        chunks = chunks.filter("embedding is not null").select("repo_id", "chunk_id", "path", "start_line", "end_line", "text", "embedding")
         covered = files.select("repo_id")
         if repos is not None:
             covered = covered.union(repos.select("repo_id"))
-        write_index({"files": files, "tagged": tagged, "imports": imports, "edges": edges, "chunks": chunks}, path, repos=covered)
+        write_index({"files": files, "tagged": tagged, "imports": imports, "edges": edges, "chunks": chunks, "embed_errors": failed}, path, repos=covered)
         return load_index(spark, path)
     if materialize:
         edges = cut_lineage(edges)      # read by file expansion, blast radius and stats
@@ -113,7 +115,10 @@ def load_index(spark, path: str, repos: list[str] | None = None) -> CodeIndex:
     from packtables.sources.store import read_index
 
     t = read_index(spark, path, repos)
-    return _index_of(t["files"], t["tagged"], t["imports"], t["edges"], materialize=True, vectors=t["chunks"])
+    idx = _index_of(t["files"], t["tagged"], t["imports"], t["edges"], materialize=True, vectors=t["chunks"])
+    if "embed_errors" in t:
+        idx.errors = idx.errors.unionByName(t["embed_errors"].select("repo_id", "path", "error"))
+    return idx
 
 
 def index_status(idx: CodeIndex, as_of=None) -> DataFrame:
@@ -136,16 +141,16 @@ def chunks_per_file(chunks: DataFrame) -> DataFrame:
     return per.join(tot, "repo_id")
 
 
-def embed_chunks(idx: CodeIndex, stored: DataFrame | None = None, embedder=None, dim: int = 64) -> DataFrame:
+def embed_chunks(idx: CodeIndex, stored: DataFrame | None = None, embedder=None, dim: int = 64, checked: bool = False) -> DataFrame:
     """Chunks with vectors (U1 + S7): stored vectors are reused by (repo, content hash),
-    only new chunk text goes through the embedder."""
-    from packtables.operators.vectors import embed_column
+    only new chunk text goes through the embedder. ``checked`` keeps the rows that it failed on, with ``embedding_error``."""
+    from packtables.operators.vectors import embed_checked, embed_column
     from packtables.sources.store import reuse_or_embed
 
     chunks = idx.chunks
     if stored is None:
-        return embed_column(chunks, "text", "embedding", embedder=embedder, dim=dim)
-    return reuse_or_embed(chunks, stored, "text", embedder=embedder, dim=dim)
+        return (embed_checked if checked else embed_column)(chunks, "text", "embedding", embedder=embedder, dim=dim)
+    return reuse_or_embed(chunks, stored, "text", embedder=embedder, dim=dim, checked=checked)
 
 
 def embed_queries(signals: DataFrame, embedder=None, dim: int = 64) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from packtables.operators.joins import null_safe_join
-from packtables.operators.vectors import embed_column
+from packtables.operators.vectors import embed_checked, embed_column
 from packtables.sources import commitlog
 from packtables.sources.commitlog import Commit
 
@@ -199,9 +199,11 @@ def vacuum(spark: SparkSession, path: str, keep: int = 10, orphan_hours: float =
 
 
 def reuse_or_embed(chunks: DataFrame, stored: DataFrame, text_col: str = "text", embedder=None,
-                   dim: int = 64) -> DataFrame:
+                   dim: int = 64, checked: bool = False) -> DataFrame:
     """Attach vectors, reusing stored ones by (repo_id, md5(text)).
 
+    ``checked`` keeps the rows whose batch the embedder failed on, without a vector and with ``embedding_error``.
+
     ``stored(repo_id, content_hash, embedding)``. Returns the chunks with
     ``embedding`` and ``reused``. Only the anti-joined remainder goes through
     the embedder (U1).
@@ -210,8 +212,8 @@ def reuse_or_embed(chunks: DataFrame, stored: DataFrame, text_col: str = "text",
     s = stored.select("repo_id", "content_hash", "embedding").dropDuplicates(["repo_id", "content_hash"])
     hit = null_safe_join(c, s, ["repo_id", "content_hash"]).withColumn("reused", F.lit(True))
     miss = null_safe_join(c, s.select("repo_id", "content_hash"), ["repo_id", "content_hash"], "left_anti")
-    new = embed_column(miss, text_col, "embedding", embedder=embedder, dim=dim).withColumn("reused", F.lit(False))
-    return hit.unionByName(new)
+    new = (embed_checked if checked else embed_column)(miss, text_col, "embedding", embedder=embedder, dim=dim).withColumn("reused", F.lit(False))
+    return hit.unionByName(new, allowMissingColumns=True)
 
 
 REQUEST_JSON_SCHEMA = "request_id long, ts timestamp, body string"

@@ -3,8 +3,6 @@ stream (T6) and the request log rollup (A4)."""
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,43 +89,95 @@ def compile_reusing(inp, opts=None, ts: str = "ts", index_version: str = "") ->
     return served.select("request_id", "compiled", "served_by").join(packs, "served_by")
 
 
-def _ttl_state(ttl_seconds: int, order: str | None):
-    from pyspark.sql.streaming.state import GroupState
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        # a key's rows of one micro-batch may come in several chunks; the rule needs them in time order
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", order] if order else ["ts"], kind="stable")
-        compiled = []
-        for t in pdf["ts"]:
-            us = pd.Timestamp(t).value // 1000
-            if last is None or us > last + ttl_seconds * 1_000_000:
-                last = us
-                compiled.append(True)
+def _ttl_processor(names: list[str], ttl_seconds: int, order: str | None):
+    """State of a key: the time of its last compile, and the requests that the watermark has not passed yet."""
+    import pickle
+
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Reuse(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "us long")
+            self.waiting = handle.getListState("waiting", "us long, row binary")
+
+        def handleInputRows(self, key, rows, timerValues):
+            """Requests wait until no earlier one can come; nothing is decided on arrival."""
+            first = None
+            for pdf in rows:
+                us = [pd.Timestamp(t).value // 1000 for t in pdf["ts"]]
+                if us:
+                    self.waiting.appendList([(u, pickle.dumps(tuple(r))) for u, r in zip(us, pdf[names].astype(object).itertuples(index=False))])
+                    first = min(us) if first is None else min(first, *us)
+            if first is not None:
+                self.handle.registerTimer(-(-first // 1000))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            """The watermark has passed some of them: these are final, in the order of their times."""
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            held = [(u, pickle.loads(bytes(r))) for u, r in (self.waiting.get() if self.waiting.exists() else ())]
+            ready = sorted((x for x in held if x[0] <= now), key=lambda x: (x[0], x[1][names.index(order)] if order else 0))
+            later = [x for x in held if x[0] > now]
+            last = self.last.get()[0] if self.last.exists() else None
+            out = []
+            for u, row in ready:
+                compiled = last is None or u > last + ttl_seconds * 1_000_000
+                last = u if compiled else last
+                out.append((*row, compiled))
+            if later:
+                self.waiting.put([(u, pickle.dumps(r)) for u, r in later])
+                self.handle.registerTimer(-(-min(u for u, _ in later) // 1000))
             else:
-                compiled.append(False)
-        yield pdf.assign(compiled=compiled)
-        expiry = last // 1000 + ttl_seconds * 1000 + 1
-        if expiry > state.getCurrentWatermarkMs():
-            state.update((last,))
-            state.setTimeoutTimestamp(expiry)
-        elif state.exists:        # nothing the watermark still lets in can reuse this pack
-            state.remove()
-    return fn
+                self.waiting.clear()
+            ends = None if last is None else last + ttl_seconds * 1_000_000
+            if ends is not None and (ends > now or later):
+                self.last.update((last,))
+                if not later:
+                    self.handle.registerTimer(ends // 1000 + 1)
+            else:
+                self.last.clear()           # nothing the watermark still lets in can reuse this pack
+            if out:
+                yield pd.DataFrame(out, columns=[*names, "compiled"])
+
+        def close(self):
+            pass
+
+    return Reuse()
 
 
 def ttl_compiles_stream(requests: DataFrame, key: str = "fingerprint", ttl_seconds: int = 300,
                         watermark: str = "10 minutes", order: str | None = "seq") -> DataFrame:
-    """T5 on a stream: per-key state is the last compile time only, dropped
-    once the watermark passes its expiry (exact TTL, bounded state)."""
+    """T5 on a stream, by event time: requests that arrive out of order (within the watermark) give what ``ttl_compiles`` gives.
+
+    A request is told ``compiled`` or not once the watermark has passed it. Per-key state is the last compile and the requests that
+    still wait; the first goes when the watermark passes its expiry. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``), which keeps appended lists.
+    """
     schema = StructType([*requests.schema.fields, StructField("compiled", BooleanType())])
+    names = requests.columns
     return (requests.withWatermark("ts", watermark).groupBy(key)
-            .applyInPandasWithState(_ttl_state(ttl_seconds, order), outputStructType=schema,
-                                    stateStructType="last_us long", outputMode="append",
-                                    timeoutConf="EventTimeTimeout"))
+            .transformWithStateInPandas(_ttl_processor(names, ttl_seconds, order), outputStructType=schema, outputMode="Append", timeMode="EventTime"))
+
+
+def append_request_log(log: DataFrame, sink_dir: str, checkpoint_dir: str, every: str = "1 hour", trigger_once: bool = False):
+    """A4 on a stream: each micro-batch appends its partial rollup (``sink_dir/batch=<id>``; a replay overwrites its own).
+
+    No watermark closes a window, so late rows are counted when they come; ``read_request_log`` adds the parts up.
+    """
+    def run(batch: DataFrame, batch_id: int):
+        request_log(batch, every).write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id:012d}")
+
+    q = log.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(run)
+    if trigger_once:
+        q = q.trigger(availableNow=True)
+    return q.start()
+
+
+def read_request_log(spark, sink_dir: str) -> DataFrame:
+    """The rollup that ``append_request_log`` has stored so far."""
+    parts = spark.read.schema("window_start timestamp, task_type string, status string, requests long, tokens long, batch string").parquet(sink_dir)
+    return parts.groupBy("window_start", "task_type", "status").agg(F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"))
 
 
 def request_log(log: DataFrame, every: str = "1 hour") -> DataFrame:

@@ -14,6 +14,8 @@ def spark():
     from packtables.session import get_spark
 
     ckpt = tempfile.mkdtemp(prefix="pt-tests-ckpt-")
-    s = get_spark("local[4]", shuffle_partitions=4, extra={"spark.checkpoint.dir": ckpt})
+    s = get_spark("local[4]", shuffle_partitions=4, extra={
+        "spark.checkpoint.dir": ckpt,
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     yield s
     s.stop()

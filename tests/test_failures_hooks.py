@@ -165,3 +165,25 @@ def test_failing_jobs_of_built_in_strategies_raise(spark, monkeypatch):
     monkeypatch.delattr(R.fixture(spark, SF), "packs", raising=False)
     with pytest.raises(RuntimeError, match="symbol"):
         R.compiled_packs(spark, SF)
+
+
+def test_failed_embedding_batches_stay_in_the_index(spark, tmp_path):
+    """A stored build tells which chunks have no vector and why; the next build embeds them."""
+    from packtables.operators.code import language_of
+    from packtables.plans.index import build_index
+
+    files = spark.createDataFrame([("r", "a.py", "def good():\n    return 1\n"), ("r", "b.py", "def bad():\n    return 2\n")],
+                                  "repo_id string, path string, content string").withColumn("lang", language_of("path")).repartition(2, "path")
+
+    def picky():
+        def embed(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no vector for this one")
+            return [[1.0, 2.0]] * len(texts)
+        return embed
+
+    idx = build_index(files, path=str(tmp_path / "idx"), embedder=picky, num_partitions=8)
+    kept, failed = {r.path for r in idx.vectors.collect()}, {(r.path, r.error) for r in idx.errors.collect()}
+    assert kept | {p for p, _ in failed} == {"a.py", "b.py"} and ("b.py", "ValueError: no vector for this one") in failed
+    again = build_index(files, path=str(tmp_path / "idx"), dim=2)
+    assert {r.path for r in again.vectors.collect()} == {"a.py", "b.py"} and again.errors.count() == 0

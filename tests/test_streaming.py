@@ -3,6 +3,8 @@
 import datetime as dt
 
 
+from pyspark.sql import functions as F
+
 from packtables.sources.store import read_index
 from packtables.streaming.changes import CHANGE_SCHEMA, flush_rows, sessions
 from packtables.streaming.requests import ttl_compiles, ttl_compiles_stream
@@ -58,6 +60,7 @@ def test_ttl_stream_equals_batch(spark, tmp_path):
     df = _requests(spark, secs)
     src = tmp_path / "req"
     df.write.parquet(str(src))
+    _requests(spark, [90_000]).withColumn("seq", F.lit(99).cast("long")).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(df.schema).parquet(str(src))
     q = (ttl_compiles_stream(stream).writeStream.format("memory").queryName("ttl_t").outputMode("append")
          .option("checkpointLocation", str(tmp_path / "ck")).start())
@@ -65,7 +68,7 @@ def test_ttl_stream_equals_batch(spark, tmp_path):
     q.stop()
     streamed = {(r.seq, r.compiled) for r in spark.sql("select seq, compiled from ttl_t").collect()}
     batch = {(r.seq, r.compiled) for r in ttl_compiles(df).collect()}
-    assert streamed == batch
+    assert streamed == batch            # the request that moved the watermark still waits
 
 
 def test_follow_changes_equals_batch(spark, tmp_path):
@@ -150,10 +153,51 @@ def test_ttl_state_expires_in_a_later_batch(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     streamed = {(r.seq, r.compiled) for r in spark.sql("select seq, compiled from ttl_x").collect()}
-    rows = make([r for b in batches for r in b])
+    rows = make([r for b in batches[:-1] for r in b])           # the last one moves the watermark past the others
     assert streamed == {(r.seq, r.compiled) for r in ttl_compiles(rows).collect()}
 
 
+def test_ttl_of_shuffled_arrivals_equals_batch(spark, tmp_path):
+    """Requests that come late, in other batches than later ones, are judged in the order of their times."""
+    import random
+
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = sorted((rng.choice("abc"), t0 + dt.timedelta(seconds=rng.randrange(4000)), i) for i in range(120))
+    rows.sort(key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(500)))          # up to 500 s late
+    rows.append(("end", t0 + dt.timedelta(days=1), 999))                                # moves the watermark past all others
+    schema = "fingerprint string, ts timestamp, seq long"
+    src = tmp_path / "req"
+    make = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    make(rows[:40])
+    stream = spark.readStream.schema(schema).parquet(str(src))
+    q = (ttl_compiles_stream(stream, ttl_seconds=300, watermark="10 minutes").writeStream.format("memory").queryName("ttl_s")
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    for part in (rows[40:80], rows[80:]):
+        make(part)
+        q.processAllAvailable()
+    q.stop()
+    streamed = {(r.seq, r.compiled) for r in spark.sql("select seq, compiled from ttl_s").collect()}
+    batch = {(r.seq, r.compiled) for r in ttl_compiles(spark.createDataFrame(rows[:-1], schema)).collect()}
+    assert streamed == batch and 10 < sum(c for _, c in batch) < 110
+
+
+def test_streamed_request_log_equals_batch(spark, tmp_path):
+    """A4: late rows are added to their window; a replayed batch is not counted twice."""
+    from packtables.streaming.requests import append_request_log, log_from_events, read_request_log, request_log
+
+    ev = log_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).orderBy("tokens")
+    src, sink = str(tmp_path / "log"), str(tmp_path / "sink")
+    for part in ev.randomSplit([0.5, 0.5], seed=1):
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for _ in range(2):
+        append_request_log(stream, sink, str(tmp_path / "ck"), trigger_once=True).awaitTermination(120)
+    got = {tuple(r) for r in read_request_log(spark, sink).select("window_start", "task_type", "status", "requests", "tokens").collect()}
+    assert got == {tuple(r) for r in request_log(ev).collect()}
+
+
 def test_ttl_of_null_keys_and_dense_requests(spark):
     """Null fingerprints are a key; chains inside long segments are followed."""
     t0 = dt.datetime(2024, 1, 1)

@@ -1,5 +1,6 @@
 """Text helpers (P9-P15) and the source-file scan."""
 
+import pytest
 import datetime as dt
 import os
 import xml.etree.ElementTree as ET
@@ -70,3 +71,18 @@ def test_exclude_and_watch_filters(spark):
     assert got["src/.vscode/a.ts"] == (False, False)
     assert got["src/a.md"] == (False, False)
     assert os.sep == "/"
+
+
+def test_unreadable_folders_give_error_rows(spark, tmp_path):
+    """A root that cannot be listed is a row with its error, one that went away is none; ``scan_directories`` raises."""
+    from packtables.sources.files import scan
+
+    (tmp_path / "ok").mkdir()
+    (tmp_path / "ok" / "a.py").write_text("x = 1\n")
+    (tmp_path / "file").write_text("not a folder")
+    roots = [("r", str(tmp_path / "ok")), ("bad", str(tmp_path / "file")), ("gone", str(tmp_path / "nothing"))]
+    found = scan(spark, roots, PackOptions(), num_partitions=2)
+    assert [(r.repo_id, r.path) for r in found.files.collect()] == [("r", "a.py")]
+    assert [(r.repo_id, r.path, r.error.split(":")[0]) for r in found.errors.collect()] == [("bad", "", "NotADirectoryError")]
+    with pytest.raises(OSError, match="bad"):
+        scan_directories(spark, roots, PackOptions(), num_partitions=2)
