@@ -223,6 +223,7 @@ def knn_pairs(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: bo
     tree = cell_tree(c, leaf_rows, block=chunk_block_rows)
     visit = lambda rows: _visited(rows, tree.leaves, k, exclude_self, query_block_rows, chunk_block_rows)
     start = q.select("_g", "query_id", "vec", F.lit("").alias("node"), F.lit(0.0).alias("lower"), F.lit(None).cast("double").alias("bound"))
+    start = cut_lineage(start)          # read in each round
     if not tree.levels:                 # every group is one leaf
         if visits is not None:
             visits.append(start)
@@ -290,8 +291,7 @@ def knn_approx(queries: DataFrame, chunks: DataFrame, k: int, *, exclude_self: b
     from packtables.session import cut_lineage
 
     kind = queries.schema[group].dataType.simpleString() if group else None
-    q, c = _sides(queries, chunks, group)
-    c = cut_lineage(c)
+    q, c = (cut_lineage(side) for side in _sides(queries, chunks, group))
     mean = [r.m for r in c.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
     planes = np.random.default_rng(seed).standard_normal((bands * most_bits, max(1, len(mean))))
     bits = F.least(F.lit(most_bits), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(float(cell_rows)))))).cast("int")
