@@ -144,16 +144,17 @@ def flush_delta(files: DataFrame, imports: DataFrame, edges: DataFrame, chunks:
     over the touched repositories (a new file may be the target of an old import), and those of a file are replaced
     only if they differ.
     """
-    last = flush.groupBy("repo_id", "path").agg(F.max_by(F.struct("change_type", "content", "lang"), "seq").alias("l"))
+    # the changed files, their rows and the edges of their repositories are read several times below
+    last = cut_lineage(flush.groupBy("repo_id", "path").agg(F.max_by(F.struct("change_type", "content", "lang"), "seq").alias("l")))
     touched = last.select("repo_id", "path")
     upserts = (last.filter(F.col("l.change_type") != "deleted")
                .select("repo_id", "path", F.col("l.content").alias("content"), F.col("l.lang").alias("lang")))
     repos = touched.select("repo_id").distinct()
     own = lambda df: null_safe_join(df, repos, ["repo_id"], "left_semi")
-    added, added_imports = code.extract(upserts, scanners=scanners), extract_imports(upserts)
+    added, added_imports = cut_lineage(code.extract(upserts, scanners=scanners)), extract_imports(upserts)
     new_files = code.replace_files(own(files).select("repo_id", "path"), upserts.select("repo_id", "path"), touched)
     columns = ["repo_id", "src", "dst", "line", "col"]
-    new_edges = graph.build_edges(code.replace_files(own(imports), added_imports, touched), new_files).select(*columns)
+    new_edges = cut_lineage(graph.build_edges(code.replace_files(own(imports), added_imports, touched), new_files).select(*columns))
     old_edges = own(edges).select(*columns)
     differing = null_safe_join(new_edges, old_edges, columns, "left_anti").unionByName(null_safe_join(old_edges, new_edges, columns, "left_anti"))
     sources = cut_lineage(differing.select("repo_id", "src").distinct())        # as few as the change has
