@@ -7,6 +7,8 @@
   the index. The lists of the ``RARE`` rarest terms, moved back by their offsets in the window, give candidate starts;
   only starts that all of them agree on go on, and are intersected with the lists of the remaining terms, of the
   candidate rows alone.
+* With ``misses=1`` a window of full length also nearly matches where one of its words is another one, or stands in no
+  document at all (an empty list): one list more is read, and starts that ``RARE`` of them agree on are candidates.
 * ``proximity`` uses the same lists with a slack: the rarest terms of an item, each within ``slack`` positions of its place.
 
 A word is a run of ``[0-9a-z]`` and characters beyond ASCII, after A-Z are
@@ -79,16 +81,17 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
                                 F.when(last, F.col("text_key")).alias("text_key")), "index")
 
 
-def ranked(wins: DataFrame, vocabulary: DataFrame, index: DataFrame) -> DataFrame:
-    """Distinct windows ``win``, ``size`` and ``terms``: (frequency, offset, term), rarest first. Windows with a term
-    that no document has are left out."""
+def ranked(wins: DataFrame, vocabulary: DataFrame, index: DataFrame, misses: int = 0, n: int = N) -> DataFrame:
+    """Distinct windows ``win``, ``size`` and ``terms``: (frequency, offset, term), rarest first, and ``misses``, how many
+    words may still be missed. Terms that no document has are misses; windows with more of them are left out."""
     df = index.filter(F.col("term") != SENTINEL).groupBy("term").agg(F.count("*").alias("df"))
     counted = vocabulary.join(df, "term")
     distinct = wins.select("words").distinct().select(F.array_join("words", " ").alias("win"), F.size("words").alias("size"), "words")
     flat = distinct.select("win", "size", F.posexplode("words").alias("off", "word")).join(counted, "word")
     out = flat.groupBy("win", "size").agg(F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("terms"))
-    out = out.filter(F.size("terms") == F.col("size"))
-    return written(out.select(F.monotonically_increasing_id().alias("win_id"), "win", "size", "terms"), "windows")
+    allowed = F.when(F.col("size") >= max(n, RARE + misses), F.lit(misses)).otherwise(0)
+    out = out.withColumn("misses", allowed - (F.col("size") - F.size("terms"))).filter("misses >= 0")
+    return written(out.select(F.monotonically_increasing_id().alias("win_id"), "win", "size", "misses", "terms"), "windows")
 
 
 def lists(index: DataFrame, wins: DataFrame, n_windows: int, rank: int) -> DataFrame:
@@ -99,33 +102,43 @@ def lists(index: DataFrame, wins: DataFrame, n_windows: int, rank: int) -> DataF
         .select("win_id", "uid", (F.col("pos") - F.col("off")).alias("start"))
 
 
-def occurrences(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """``win_id``, ``uid``, ``start``, ``size`` of every place where a window's words stand in a row."""
+def occurrences(index: DataFrame, wins: DataFrame, misses: int = 0) -> DataFrame:
+    """``win_id``, ``uid``, ``start``, ``size``, ``n`` of every place where all words of a window but those that it may
+    miss stand in a row; ``n`` of them do. The place of a missed word at either end lies inside the row as well."""
     n_windows = wins.count()
     tagged = None
-    for r in range(RARE):
-        part = lists(index, wins, n_windows, r).filter("start >= 0").select("*", F.lit(1 << r).alias("bit"))
+    for r in range(RARE + misses):
+        part = lists(index, wins.filter(F.col("misses") + RARE > r), n_windows, r).filter("start >= 0")
         tagged = part if tagged is None else tagged.union(part)
-    agreed = tagged.groupBy("win_id", "uid", "start").agg(F.bit_or("bit").alias("bits"))
-    full = F.expr(f"shiftleft(1, least(size, {RARE})) - 1")
-    cand = agreed.join(hinted(wins.select("win_id", "size", "terms"), n_windows), "win_id").filter(F.col("bits") == full)
-    cand = written(cand.select("win_id", "uid", "start", "size", F.expr(f"slice(terms, {RARE + 1}, 100000)").alias("rest")), "candidates")
-    short = cand.filter(F.size("rest") == 0).select("win_id", "uid", "start", "size")
-    need = cand.select("win_id", "uid", "start", "size", F.explode("rest").alias("t")) \
-        .select("win_id", "uid", "start", "size", (F.col("start") + F.col("t.off")).alias("pos"), F.col("t.term").alias("term"))
+    agreed = tagged.groupBy("win_id", "uid", "start").agg(F.count("*").cast("int").alias("n"))
+    known = wins.select("win_id", "size", "misses", "terms")
+    cand = agreed.join(hinted(known, n_windows), "win_id").filter(F.col("n") >= F.least(F.col("size"), F.lit(RARE)))
+    rest = F.expr(f"slice(terms, {RARE + 1} + misses, 100000)")
+    cand = written(cand.select("win_id", "uid", "start", "size", "n", (F.size("terms") - F.col("misses")).alias("least"),
+                               rest.alias("rest")), "candidates")
+    place = ["win_id", "uid", "start"]
+    need = cand.select(*place, F.explode("rest").alias("t")) \
+        .select(*place, (F.col("start") + F.col("t.off")).alias("pos"), F.col("t.term").alias("term"))
     rows = cand.select("uid").distinct()
     own = index.select("uid", "pos", "term").join(hinted(rows, rows.count()), "uid", "left_semi")
-    met = need.join(own, ["uid", "pos", "term"]).groupBy("win_id", "uid", "start", "size").agg(F.count("*").alias("n"))
-    return met.filter(F.col("n") == F.col("size") - RARE).select("win_id", "uid", "start", "size").union(short)
-
-
-def judged(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """One row for each row of ``docs``: its id, a hash of its text, word and hit counts, items."""
+    met = need.join(own, ["uid", "pos", "term"]).groupBy(*place).agg(F.count("*").cast("int").alias("more"))
+    total = F.col("n") + F.coalesce(F.col("more"), F.lit(0))
+    out = cand.join(met, place, "left").withColumn("n", total).filter(F.col("n") >= F.col("least"))
+    if misses:
+        lengths = index.filter(F.col("term") == SENTINEL).select("uid", F.col("pos").alias("_words"))
+        out = out.join(lengths, "uid").filter(F.col("start") + F.col("size") <= F.col("_words"))
+    return out.select(*place, "size", "n")
+
+
+def judged(docs: DataFrame, items: DataFrame, n: int = N, misses: int = 0) -> DataFrame:
+    """One row for each row of ``docs``: its id, a hash of its text, word and hit counts, items; ``n_near`` counts the
+    items with a window that stands there with up to ``misses`` words changed (exact ones too)."""
     wins = written(windows(items, n), "item-windows")
     vocabulary = build_vocabulary(wins)
     index = build_index(docs, vocabulary)
-    ranks = ranked(wins, vocabulary, index)
-    occ = written(occurrences(index, ranks), "occurrences")
+    ranks = ranked(wins, vocabulary, index, misses, n)
+    near = written(occurrences(index, ranks, misses), "occurrences")
+    occ = near.filter("n = size")
 
     end = F.col("start") + F.col("size")
     spans = occ.groupBy("uid", "start").agg(F.max("size").alias("size")).select("uid", "start", end.alias("end"))
@@ -136,19 +149,21 @@ def judged(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
     names = wins.select(F.array_join("words", " ").alias("win"), "item_id").distinct()
     known = ranks.join(names, "win").select("win_id", "item_id")
-    found = occ.select("uid", "win_id").distinct().join(known, "win_id").select("uid", "item_id").distinct() \
-        .groupBy("uid").agg(F.sort_array(F.collect_list("item_id")).alias("items"))        # at most the benchmark's items
+    met = near.groupBy("uid", "win_id").agg(F.max(F.col("n") == F.col("size")).alias("exact")).join(known, "win_id") \
+        .groupBy("uid", "item_id").agg(F.max("exact").alias("exact"))
+    found = met.groupBy("uid").agg(                                                        # at most the benchmark's items
+        F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item_id")))).alias("items"), F.count("*").alias("n_near"))
 
     rows = index.filter(F.col("term") == SENTINEL).select("uid", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
-    return rows.join(hit.join(found, "uid"), "uid", "left").select(
+    return rows.join(found.join(hit, "uid", "left"), "uid", "left").select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    return judged(docs, items, n).drop("text_key")
+def contamination(docs: DataFrame, items: DataFrame, n: int = N, misses: int = 1) -> DataFrame:
+    return judged(docs, items, n, misses).drop("text_key")
 
 
 def proximity(docs: DataFrame, items: DataFrame, terms: int = 4, slack: int = 3, n: int = N) -> DataFrame:
@@ -209,10 +224,21 @@ WITH d AS (
   SELECT doc_id, i, size, item_id FROM grams JOIN wins USING (size, win)
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM occ) GROUP BY doc_id
+), close AS (
+  SELECT doc_id, item_id FROM (
+    SELECT doc_id, item_id, g.win AS a, w.win AS b FROM grams g JOIN wins w ON g.size = w.size AND g.win[1:5] = w.win[1:5] WHERE w.size = 10
+    UNION ALL
+    SELECT doc_id, item_id, g.win, w.win FROM grams g JOIN wins w ON g.size = w.size AND g.win[6:10] = w.win[6:10] WHERE w.size = 10)
+  WHERE len(list_filter(range(1, 11), lambda i: a[i] <> b[i])) <= 1
+  UNION ALL
+  SELECT doc_id, item_id FROM occ
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close GROUP BY doc_id
 ), found AS (
   SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM occ GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """

@@ -99,6 +99,26 @@ def ablations(rows: DataFrame, policy: str | int) -> DataFrame:
         F.sum(F.when(F.col("bits").bitwiseAND(others) == 0, F.col("n")).otherwise(0)).alias("n_kept_without"))
 
 
+def policy_report(rows: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """``ablations`` of several policy versions from one table of bit patterns, with the rows that each policy keeps.
+
+    The ledger is read once; its patterns are at most 2 to the number of rules. An empty ledger gives no rows.
+    """
+    patterns = rows.groupBy("failed").agg(F.count("*").alias("n"))
+    cells = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(POLICIES[p]).cast("long").alias("mask"), F.lit(k).alias("rule"),
+                               F.lit(b).cast("long").alias("bit")) for p in policies for k, b in BIT.items() if b & POLICIES[p]])
+    flat = patterns.select("failed", "n", F.inline(cells))
+    bits, bit = F.col("failed").bitwiseAND(F.col("mask")), F.col("bit")
+    others = F.col("mask").bitwiseXOR(bit)
+
+    def rows_where(condition: Column, name: str) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)).alias(name)
+
+    return flat.groupBy("policy", "rule").agg(
+        rows_where(bits.bitwiseAND(bit) != 0, "n_failed"), rows_where(bits == bit, "n_failed_alone"),
+        rows_where(bits.bitwiseAND(others) == 0, "n_kept_without"), rows_where(bits == 0, "n_kept"), F.sum("n").alias("n_rows"))
+
+
 def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The ledger's counts with ``base_failed`` and ``kept``."""
     rows = ledger(docs)
@@ -107,7 +127,7 @@ def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
-ORACLE = r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
@@ -136,6 +156,21 @@ WITH d AS (
            AS BIGINT) AS failed
   FROM m
 )
+"""
+
+ORACLE = _LEDGER + r"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
 FROM f
 """
+
+ABLATIONS_ORACLE = _LEDGER + r"""
+, p(policy, mask) AS (
+  VALUES ('base', 3), ('v1', 255)
+), r(rule, bit) AS (
+  VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32),
+         ('shouting', 64), ('digits', 128)
+)
+SELECT policy, rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed & mask = bit) AS n_failed_alone,
+       count(*) FILTER (WHERE failed & mask & ~bit = 0) AS n_kept_without, count(*) FILTER (WHERE failed & mask = 0) AS n_kept, CAST(count(*) AS BIGINT) AS n_rows
+FROM f, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
+"""

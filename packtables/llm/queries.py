@@ -32,6 +32,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "documents"), policy="v1")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy versions of operator 4 and what each of their rules does, over all documents."""
+    from packtables.llm.qualityrules import ledger, policy_report
+
+    return policy_report(ledger(read_table(spark, sf_dir, "documents")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packtables.llm.langid import held_out_column, identify, train
 
@@ -89,11 +96,13 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_token_file, op3_byte_bpe, op4_quality_rules, op5_language_id, op6_chat_format, op7_simhash,
-    op8_quality_classifier, op9_secret_scan, op10_decontamination, op11_mixing, op12_importance_resampling, op13_whitening)}
+    op8_quality_classifier, op9_secret_scan, op10_decontamination, op11_mixing, op12_importance_resampling, op13_whitening,
+    quality_ablations)}
 
 #: Where DuckDB can give a query's rows over whole tables.
 ORACLE = {
     "op4_quality_rules": qualityrules.ORACLE,
+    "quality_ablations": qualityrules.ABLATIONS_ORACLE,
     "op6_chat_format": chatformat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }

@@ -28,13 +28,15 @@ def brute(docs, items, n=10):
             wins |= {(("" if i is None else str(i)), tuple(w[k:k + n])) for k in range(max(1, len(w) - n + 1))}
     out = []
     for d, t in docs:
-        w, hit, found = words(t), set(), set()
+        w, hit, found, near = words(t), set(), set(), set()
         for item, win in wins:
             for k in range(len(w) - len(win) + 1):
+                if sum(x != y for x, y in zip(w[k:k + len(win)], win)) <= (len(win) == n):
+                    near.add(item)
                 if tuple(w[k:k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     found.add(item)
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out, key=str)
 
 
@@ -54,6 +56,13 @@ def corpus():
             a = rng.randrange(max(1, len(w) - 10))
             parts += [" ".join(w[a:a + rng.choice([5, 9, 10, 12, 40])]), sent(rng.randrange(4))]
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(parts).upper() if i % 7 == 0 else "--".join(parts)))
+    for j, (i, t) in enumerate(x for x in items[:12]):              # one word changed: at either end, rare, in no document
+        w = t.split()
+        w[(0, 9, 4, j % 10)[j % 4]] = ("the", "zz", f"only{j}")[j % 3]
+        docs.append((200 + j, " ".join(w[:10]) + ("" if j % 2 else " the end")))
+        docs.append((230 + j, " ".join(w[1:10])))
+    items += [(40, "p1 p2 p3 p4 p5 p6 p7 p8 p9 nowhere"), (41, "q1 q2 absent q4 q5 q6 q7 q8 missing q10")]
+    docs += [(250, "x p1 p2 p3 p4 p5 p6 p7 p8 p9 other"), (251, "p1 p2 p3 p4 p5 p6 p7 p8 p9"), (252, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")]
     docs += [(100, None), (101, ""), (102, "?? !"), (5, docs[5][1]), (5, docs[5][1]), (None, docs[6][1]),
              (103, "the " * 3000 + items[3][1])]
     return docs, items
@@ -71,7 +80,8 @@ def test_contamination_matches_brute_force(frames, monkeypatch, broadcast):
     monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
     got = sorted((tuple(r) for r in D.contamination(*frames).collect()), key=str)
     assert got == brute(*corpus())
-    assert sum(r[-1] for r in got) > 20
+    assert sum(r[-2] for r in got) > 20 and sum(r[-1] > r[3] for r in got) > 10
+    assert {r[0]: r[-1] for r in got if r[0] in (250, 251, 252)} == {250: 1, 251: 0, 252: 0}
 
 
 def test_oracle_sql(spark):
@@ -99,7 +109,7 @@ def test_stage_keeps_clean_rows(frames):
     docs, items = frames
     kept = D.keep_uncontaminated(docs, items)
     assert kept.columns == docs.columns
-    clean = [r[0] for r in brute(*corpus()) if not r[-1]]
+    clean = [r[0] for r in brute(*corpus()) if not r[-2]]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, clean))
 
 

@@ -61,6 +61,19 @@ def test_policies_and_ablations(spark):
         assert got[name] == (sum(bool(b & bit) for b in bits), sum(b & mask == bit for b in bits), sum(not b & mask & ~bit for b in bits))
 
 
+def test_policy_report(spark):
+    bits = [0, 1, 2, 3, 4, 5, 64, 64, 68]
+    df = spark.createDataFrame([(b,) for b in bits], "failed long")
+    rows = Q.policy_report(df).collect()
+    for policy, mask in Q.POLICIES.items():
+        mine = {r.rule: (r.n_failed, r.n_failed_alone, r.n_kept_without) for r in rows if r.policy == policy}
+        assert mine == {r.rule: tuple(r)[1:] for r in Q.ablations(df, policy).collect()}
+        assert {(r.n_kept, r.n_rows) for r in rows if r.policy == policy} == {(sum(not b & mask for b in bits), len(bits))}
+    assert Q.policy_report(df.limit(0)).collect() == []
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert same(Q.policy_report(Q.ledger(docs)), Q.ABLATIONS_ORACLE, documents=f"{SF}/documents.parquet")
+
+
 def test_native_plan(spark):
     plan = Q.verdicts(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
